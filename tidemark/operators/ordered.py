@@ -121,24 +121,29 @@ def running_extreme(df: DataFrame, keys: Sequence[str], t: str, order: Sequence[
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
-                  values: Sequence[str], span: int = DAY) -> DataFrame:
+                  values: Sequence[str], span: int = DAY, max_age: int | None = None) -> DataFrame:
     """Attach the newest right row with ``right_t <= left_t``; NULL when there is none.
 
-    One shuffle of the union of both sides on (key, time slice); what a slice
-    inherits from the past comes from a table of one row per slice.
+    With ``max_age`` (seconds) right rows only need copying that far ahead and
+    one shuffle of the union of both sides on (key, time slice) does the join;
+    a match older than that may come back as NULL.  Without it, what a slice
+    inherits comes from a table of one row per slice.
     """
-    a = left.select(*keys, F.col(left_t).alias("_t"), F.lit(1).alias("_side"),
-                    F.struct(*left.columns).alias("_l"))
-    b = right.select(*keys, F.col(right_t).alias("_t"), F.lit(0).alias("_side"),
-                     F.struct(*values).alias("_r"))
-    both = (a.unionByName(b, allowMissingColumns=True)
-            .where(F.col("_t").isNotNull() | (F.col("_side") == 1))
-            .withColumn(SLICE, grid("_t", span)))
+    a = (left.select(*keys, F.col(left_t).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+         .withColumn(SLICE, grid("_t", span)))
+    b = (right.where(F.col(right_t).isNotNull())
+         .select(*keys, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_r")))
+    w = Window.partitionBy(*keys, SLICE).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    if max_age is not None:
+        b = time_slices(b, "_t", span, before=max_age).drop(OWN)
+        both = a.unionByName(b, allowMissingColumns=True)
+        hit = both.withColumn("_r", F.last("_r", True).over(w)).where(F.col("_side") == 1)
+        return hit.select("_l.*", *[F.col("_r")[v].alias(v) for v in values])
+    both = a.unionByName(b.withColumn(SLICE, grid("_t", span)), allowMissingColumns=True)
     tails = both.groupBy(*keys, SLICE).agg(
         F.max_by("_r", F.when(F.col("_side") == 0, F.col("_t"))).alias("_tail"))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select(*keys, SLICE, F.last("_tail", True).over(earlier).alias("_carry"))
-    w = Window.partitionBy(*keys, SLICE).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     hit = (both.withColumn("_r", F.last("_r", True).over(w)).where(F.col("_side") == 1)
            .join(carry, [*keys, SLICE], "left")
            .withColumn("_r", F.coalesce("_r", "_carry")))

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import SLICE
 
 
-def sliding_extremes(df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int,
-                     prefix: str) -> DataFrame:
-    """``{prefix}_min`` and ``{prefix}_max`` over the last ``width`` rows."""
+def sliding_extremes(df: DataFrame, keys: Sequence[str], pos: str, values: dict[str, str],
+                     width: int) -> DataFrame:
+    """``{prefix}_min`` and ``{prefix}_max`` of each value over the last ``width`` rows."""
     whole = Window.partitionBy(*keys, SLICE).orderBy(pos)
     cell = f"_cell_{width}"
     df = df.withColumn(cell, F.floor(F.col(pos) / width))
@@ -26,16 +26,16 @@ def sliding_extremes(df: DataFrame, keys: Sequence[str], pos: str, value: str, w
           .rowsBetween(Window.unboundedPreceding, 0))
     down = (Window.partitionBy(*keys, SLICE, cell).orderBy(F.col(pos).desc())
             .rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumns({"_lo_up": F.min(value).over(up), "_hi_up": F.max(value).over(up)})
-    df = df.withColumns({"_lo_dn": F.min(value).over(down), "_hi_dn": F.max(value).over(down)})
+    each = [(p, v, k, f) for p, v in values.items() for k, f in (("min", F.min), ("max", F.max))]
+    df = df.withColumns({f"_up_{p}_{k}": f(v).over(up) for p, v, k, f in each})
+    df = df.withColumns({f"_dn_{p}_{k}": f(v).over(down) for p, v, k, f in each})
     # The frame is the head of this cell plus the tail of the previous one.
     at_edge = F.pmod(F.col(pos) + 1, F.lit(width)) == 0
-    df = df.withColumns({"_lo_lag": F.lag("_lo_dn", width - 1).over(whole),
-                         "_hi_lag": F.lag("_hi_dn", width - 1).over(whole)})
-    tail = lambda c: F.when(~at_edge, F.col(c))
-    return (df.withColumn(f"{prefix}_min", F.least("_lo_up", tail("_lo_lag")))
-              .withColumn(f"{prefix}_max", F.greatest("_hi_up", tail("_hi_lag")))
-              .drop(cell, "_lo_up", "_hi_up", "_lo_dn", "_hi_dn", "_lo_lag", "_hi_lag"))
+    df = df.withColumns({f"_lag_{p}_{k}": F.lag(f"_dn_{p}_{k}", width - 1).over(whole) for p, v, k, f in each})
+    pick = {"min": F.least, "max": F.greatest}
+    out = {f"{p}_{k}": pick[k](F.col(f"_up_{p}_{k}"), F.when(~at_edge, F.col(f"_lag_{p}_{k}")))
+           for p, v, k, f in each}
+    return df.withColumns(out).drop(cell, *[f"_{x}_{p}_{k}" for p, v, k, f in each for x in ("up", "dn", "lag")])
 
 
 def sliding_moments(df: DataFrame, keys: Sequence[str], pos: str, value: str,
