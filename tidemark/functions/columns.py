@@ -14,9 +14,28 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def with_exprs(df: DataFrame, **exprs: str) -> DataFrame:
+    """Add columns written as SQL expressions; a name that exists is replaced."""
+    old = [n for n in exprs if n in df.columns]
+    star = f"* EXCEPT ({', '.join(old)})" if old else "*"
+    return df.selectExpr(star, *[f"{e} AS {n}" for n, e in exprs.items()])
+
+
+def sql_micros(t: str) -> str:
+    return f"unix_micros(CAST({t} AS TIMESTAMP))"
+
+
+def sql_grid(t: str, seconds: int) -> str:
+    """SQL text of ``grid``; exact integer arithmetic, also before 1970."""
+    m, w = sql_micros(t), f"{seconds * MICROS}L"
+    return f"(({m} - pmod({m}, {w})) DIV {w})"
+
+
 def micros(t: Column | str) -> Column:
     """Epoch microseconds of a timestamp (with or without time zone)."""
-    return F.unix_micros(as_col(t).cast("timestamp"))
+    if isinstance(t, str):
+        return F.expr(sql_micros(t))
+    return F.unix_micros(t.cast("timestamp"))
 
 
 def from_micros(x: Column | str) -> Column:
@@ -25,6 +44,8 @@ def from_micros(x: Column | str) -> Column:
 
 def grid(t: Column | str, seconds: int) -> Column:
     """Number of the fixed-width time cell a timestamp falls into."""
+    if isinstance(t, str):
+        return F.expr(sql_grid(t, seconds))
     return F.floor(micros(t) / F.lit(seconds * MICROS)).cast("bigint")
 
 

@@ -8,10 +8,9 @@ linear forms of ``sliding``.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidemark.functions.columns import safe_div
+from tidemark.functions.columns import with_exprs
 from tidemark.operators.ordered import DAY, OWN, SLICE, row_blocks, with_position
 from tidemark.operators.sliding import sliding_extremes, sliding_moments
 
@@ -48,93 +47,85 @@ def feature_blocks(timeline: DataFrame, halo: int = MONTH, block: int = BLOCK_RO
     return row_blocks(timeline, "_pos", block, before=halo)
 
 
-def _frame(width: int, end: int = 0):
-    return _order().rowsBetween(end + 1 - width, end)
+ORDER = f"PARTITION BY symbol, {SLICE} ORDER BY _pos"
 
 
-def _order():
-    return Window.partitionBy("symbol", SLICE).orderBy("_pos")
+def _over(rows: int | None = None, end: int = 0) -> str:
+    """OVER clause of the last ``rows`` rows, ending ``end`` rows before this one."""
+    if rows is None:
+        return f"OVER ({ORDER})"
+    last = "CURRENT ROW" if end == 0 else f"{end} PRECEDING"
+    return f"OVER ({ORDER} ROWS BETWEEN {rows + end - 1} PRECEDING AND {last})"
 
 
-def _change(x: str, rows: int) -> Column:
-    return safe_div(x, F.lag(x, rows).over(_order())) - 1
+def _change(x: str, rows: int) -> str:
+    return f"try_divide({x}, lag({x}, {rows}) {_over()}) - 1"
 
 
 def price_features(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"close": F.col("close").cast("double"), "high": F.col("high").cast("double"),
-                         "volume_base": F.col("volume_base").cast("double")})
-    df = df.withColumns({
-        "price_ret_5m": _change("close", 1), "price_ret_1h": _change("close", HOUR),
-        "price_ret_4h": _change("close", FOUR_HOURS), "price_ret_24h": _change("close", DAY_ROWS),
-        "_ceiling": F.max("high").over(_frame(12, -1)),
-        "distance_from_high_24h": safe_div("close", F.max("high").over(_frame(DAY_ROWS))) - 1,
-        "volume_percentile_24h": safe_div("volume_base", F.max("volume_base").over(_frame(DAY_ROWS))),
-    })
-    ceiling = F.col("_ceiling")
-    trapped = (F.col("high") > ceiling) & (F.col("close") < ceiling)
-    depth = safe_div(ceiling - F.col("close"), ceiling) / 0.02
-    return df.withColumns({
-        "price_volatility_24h": F.stddev_samp("price_ret_5m").over(_frame(DAY_ROWS)),
-        "momentum_deceleration_4h": F.col("price_ret_1h") - F.lag("price_ret_1h", 36).over(_order()),
-        "fake_breakout_1h": F.when(trapped, F.least(F.lit(1.0), depth)).otherwise(0.0),
-    }).drop("_ceiling")
+    day = _over(DAY_ROWS)
+    df = with_exprs(df, _hi="CAST(high AS DOUBLE)", _vol="CAST(volume_base AS DOUBLE)")
+    df = with_exprs(
+        df, price_ret_5m=_change("_px", 1), price_ret_1h=_change("_px", HOUR),
+        price_ret_4h=_change("_px", FOUR_HOURS), price_ret_24h=_change("_px", DAY_ROWS),
+        _ceiling=f"max(_hi) {_over(HOUR, 1)}",
+        distance_from_high_24h=f"try_divide(_px, max(_hi) {day}) - 1",
+        volume_percentile_24h=f"try_divide(_vol, max(_vol) {day})")
+    return with_exprs(
+        df, price_volatility_24h=f"stddev_samp(price_ret_5m) {day}",
+        momentum_deceleration_4h=f"price_ret_1h - lag(price_ret_1h, 36) {_over()}",
+        # A high above the previous hour's high that closes back below it, by depth of the return.
+        fake_breakout_1h="CASE WHEN _hi > _ceiling AND _px < _ceiling "
+                         "THEN least(1D, try_divide(_ceiling - _px, _ceiling) / 0.02D) ELSE 0D END")
 
 
 def funding_features(df: DataFrame) -> DataFrame:
-    x, v = "_fund", F.col("_fund")
-    place = lambda p: safe_div(v - F.col(f"{p}_min"), F.col(f"{p}_max") - F.col(f"{p}_min"))
-    spread = F.when(F.col("_f30_min") < F.col("_f30_max"), F.col("_fm_8640_std"))
-    return df.withColumns({
-        "funding_rate_raw": F.coalesce(v, F.lit(0.0)),
-        "funding_percentile_7d": place("_f7"), "funding_percentile_30d": place("_f30"),
-        "funding_zscore_30d": safe_div(v - F.col("_fm_8640_avg"), spread),
-        "funding_change_8h": v - F.lag(x, 96).over(_order()),
-        "funding_change_24h": v - F.lag(x, DAY_ROWS).over(_order()),
-        "funding_persistence_7d": F.col("_fm_2016_avg"),
-    })
+    return with_exprs(
+        df, funding_rate_raw="coalesce(_fund, 0D)",
+        funding_percentile_7d="try_divide(_fund - _f7_min, _f7_max - _f7_min)",
+        funding_percentile_30d="try_divide(_fund - _f30_min, _f30_max - _f30_min)",
+        funding_zscore_30d="CASE WHEN _f30_min < _f30_max THEN try_divide(_fund - _fm_8640_avg, _fm_8640_std) END",
+        funding_change_8h=f"_fund - lag(_fund, 96) {_over()}",
+        funding_change_24h=f"_fund - lag(_fund, {DAY_ROWS}) {_over()}",
+        funding_persistence_7d="_fm_2016_avg")
 
 
 def open_interest_features(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_oi_1h", _change("_oi", HOUR))
-    spread = F.when(F.col("_o7_min") < F.col("_o7_max"), F.col("_om_2016_std"))
-    zero = F.lit(0.0)
-    return df.withColumns({
-        "oi_change_1h": F.coalesce("_oi_1h", zero),
-        "oi_change_4h": F.coalesce(_change("_oi", FOUR_HOURS), zero),
-        "oi_change_24h": F.coalesce(_change("_oi", DAY_ROWS), zero),
-        "oi_zscore_7d": safe_div(F.col("_oi") - F.col("_om_2016_avg"), spread),
-        "oi_acceleration_1h": F.col("_oi_1h") - F.lag("_oi_1h", HOUR).over(_order()),
-        "price_oi_divergence_1h": _change("_px", HOUR) * F.col("_oi_1h"),
-    })
+    df = with_exprs(df, _oi_1h=_change("_oi", HOUR))
+    return with_exprs(
+        df, oi_change_1h="coalesce(_oi_1h, 0D)", oi_change_4h=f"coalesce({_change('_oi', FOUR_HOURS)}, 0D)",
+        oi_change_24h=f"coalesce({_change('_oi', DAY_ROWS)}, 0D)",
+        oi_zscore_7d="CASE WHEN _o7_min < _o7_max THEN try_divide(_oi - _om_2016_avg, _om_2016_std) END",
+        oi_acceleration_1h=f"_oi_1h - lag(_oi_1h, {HOUR}) {_over()}",
+        price_oi_divergence_1h=f"({_change('_px', HOUR)}) * _oi_1h")
 
 
 def taker_features(df: DataFrame) -> DataFrame:
-    buy, sell = F.col("buy_volume").cast("double"), F.col("sell_volume").cast("double")
-    df = df.withColumn("_buy", safe_div(buy, buy + sell))
-    trend = F.avg("_buy").over(_frame(HOUR))
-    return df.withColumns({
-        "taker_buy_ratio": F.coalesce("_buy", F.lit(0.5)),
-        "taker_buy_ratio_trend_1h": trend,
-        "taker_buy_ratio_trend_4h": F.avg("_buy").over(_frame(FOUR_HOURS)),
-        "taker_buy_ratio_change_1h": F.col("_buy") - F.lag("_buy", HOUR).over(_order()),
-        "price_flow_divergence_1h": _change("_px", HOUR) * (trend - 0.5),
-    })
+    df = with_exprs(df, _buy="try_divide(CAST(buy_volume AS DOUBLE), CAST(buy_volume AS DOUBLE) + CAST(sell_volume AS DOUBLE))")
+    trend = f"avg(_buy) {_over(HOUR)}"
+    return with_exprs(
+        df, taker_buy_ratio="coalesce(_buy, 0.5D)", taker_buy_ratio_trend_1h=trend,
+        taker_buy_ratio_trend_4h=f"avg(_buy) {_over(FOUR_HOURS)}",
+        taker_buy_ratio_change_1h=f"_buy - lag(_buy, {HOUR}) {_over()}",
+        price_flow_divergence_1h=f"({_change('_px', HOUR)}) * ({trend} - 0.5D)")
 
 
 def ratio_features(df: DataFrame) -> DataFrame:
-    one = F.lit(1.0)
-    df = df.withColumns({"global_ls_ratio": F.coalesce(F.col("global_long_short_ratio").cast("double"), one),
-                         "top_ls_ratio": F.coalesce(F.col("top_long_short_ratio").cast("double"), one)})
-    df = df.withColumn("retail_top_spread", F.col("global_ls_ratio") - F.col("top_ls_ratio"))
-    return df.withColumns({"spread_trend_1h": F.avg("retail_top_spread").over(_frame(HOUR)),
-                           "spread_trend_4h": F.avg("retail_top_spread").over(_frame(FOUR_HOURS))})
+    df = with_exprs(df, global_ls_ratio="coalesce(CAST(global_long_short_ratio AS DOUBLE), 1D)",
+                    top_ls_ratio="coalesce(CAST(top_long_short_ratio AS DOUBLE), 1D)")
+    df = with_exprs(df, retail_top_spread="global_ls_ratio - top_ls_ratio")
+    return with_exprs(df, spread_trend_1h=f"avg(retail_top_spread) {_over(HOUR)}",
+                      spread_trend_4h=f"avg(retail_top_spread) {_over(FOUR_HOURS)}")
 
 
 def long_frames(df: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """The 7- and 30-day frames of all groups together, so equal frames share their sorts."""
-    df = df.withColumns({"_px": F.col("close").cast("double"),
-                         **({"_fund": F.col("funding_rate_last_known").cast("double")} if "funding" in groups else {}),
-                         **({"_oi": F.col("open_interest_value").cast("double")} if "oi" in groups else {})})
+    raw = {"_px": "close"}
+    if "funding" in groups:
+        raw["_fund"] = "funding_rate_last_known"
+    if "oi" in groups:
+        raw["_oi"] = "open_interest_value"
+    df = with_exprs(df, **{n: f"CAST({c} AS DOUBLE)" for n, c in raw.items()})
     week = {**({"_f7": "_fund"} if "funding" in groups else {}), **({"_o7": "_oi"} if "oi" in groups else {})}
     if week:
         df = sliding_extremes(df, ["symbol"], "_pos", week, WEEK)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import MICROS, as_col, grid, micros
+from tidemark.functions.columns import MICROS, as_col, grid, micros, sql_grid
 
 DAY = 86_400
 SLICE = "_slice"
@@ -26,16 +26,13 @@ def time_slices(df: DataFrame, t: str, span: int, before: int = 0, after: int =
     Slice ``s`` owns ``[s*span, (s+1)*span)`` and also sees the rows up to
     ``before`` seconds earlier and ``after`` seconds later.
     """
-    m, width = micros(t), F.lit(span * MICROS)
-    home = F.floor(m / width).cast("bigint")
+    home = sql_grid(t, span)
     if not before and not after:
-        return df.withColumn(SLICE, home).withColumn(OWN, F.lit(True))
-    low = F.floor((m - F.lit(after * MICROS)) / width).cast("bigint")
-    high = F.floor((m + F.lit(before * MICROS)) / width).cast("bigint")
-    return (df.withColumn("_home", home)
-              .withColumn(SLICE, F.explode(F.sequence(low, high)))
-              .withColumn(OWN, F.col(SLICE) == F.col("_home"))
-              .drop("_home"))
+        return df.selectExpr("*", f"{home} AS {SLICE}", f"true AS {OWN}")
+    low = sql_grid(f"CAST({t} AS TIMESTAMP) - INTERVAL {after} SECONDS", span)
+    high = sql_grid(f"CAST({t} AS TIMESTAMP) + INTERVAL {before} SECONDS", span)
+    return (df.selectExpr("*", f"{home} AS _home", f"explode(sequence({low}, {high})) AS {SLICE}")
+              .selectExpr("* EXCEPT (_home)", f"{SLICE} = _home AS {OWN}"))
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], t: str,
@@ -45,24 +42,21 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], t: s
     Rows are numbered inside a time slice and shifted by the number of rows in
     the earlier slices, so no task sorts a whole key.
     """
-    sliced = df.withColumn(SLICE, grid(t, span))
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-               .select(*keys, SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    return (sliced.withColumn("_rn", F.row_number().over(w) - 1)
-            .join(offsets, [*keys, SLICE])
-            .withColumn(out, F.col("_rn") + F.col("_offset"))
-            .drop("_rn", "_offset", SLICE))
+    by, first = ", ".join(keys), ", ".join(order)
+    sliced = df.selectExpr("*", f"{sql_grid(t, span)} AS {SLICE}")
+    offsets = (sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n")).selectExpr(
+        *keys, SLICE, f"coalesce(sum(_n) OVER (PARTITION BY {by} ORDER BY {SLICE} "
+                      "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _offset"))
+    numbered = sliced.selectExpr("*", f"row_number() OVER (PARTITION BY {by}, {SLICE} ORDER BY {first}) - 1 AS _rn")
+    return (numbered.join(offsets, [*keys, SLICE])
+            .selectExpr(f"* EXCEPT (_rn, _offset, {SLICE})", f"_rn + _offset AS {out}"))
 
 
 def row_blocks(df: DataFrame, pos: str, block: int, before: int = 0, after: int = 0) -> DataFrame:
     """Assign rows to position blocks, copying halo rows into neighbours."""
-    p = F.col(pos)
-    low = F.greatest(F.floor((p - after) / F.lit(block)), F.lit(0)).cast("bigint")
-    high = F.floor((p + before) / F.lit(block)).cast("bigint")
-    return (df.withColumn(SLICE, F.explode(F.sequence(low, high)))
-              .withColumn(OWN, F.col(SLICE) == F.floor(p / F.lit(block)).cast("bigint")))
+    low = f"greatest(CAST(floor(({pos} - {after}) / {block}) AS BIGINT), 0L)"
+    return (df.selectExpr("*", f"explode(sequence({low}, ({pos} + {before}) DIV {block})) AS {SLICE}")
+              .selectExpr("*", f"{SLICE} = {pos} DIV {block} AS {OWN}"))
 
 
 def running_last(df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str],

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import boundary_seconds, clamp, flag_list, micros
+from tidemark.functions.columns import clamp, flag_list, micros, sql_grid, with_exprs
 
 # Severity order of the quality states (warning ranks above quarantined).
 SEVERITY = {"valid": 0, "quarantined": 1, "warning": 2, "invalid": 3}
@@ -80,35 +80,27 @@ def assess_ratio(df: DataFrame, what: str = "account") -> DataFrame:
 def timeline_quality(df: DataFrame, max_age_minutes: float = 10.0) -> DataFrame:
     """Score each timeline row; columns that a source lacks are simply not judged."""
     has = set(df.columns)
-    c = F.col
-    source = F.lower(c("quality_status").cast("string")) if "quality_status" in has else F.lit("valid")
-    missing = sum((c(o).isNull().cast("int") for o in OPTIONAL_INPUTS if o in has), F.lit(0))
-    required = F.lit(False)
-    for name in ("symbol", "feature_time", "close"):
-        if name in has:
-            required = required | c(name).isNull()
+    source = "lower(CAST(quality_status AS STRING))" if "quality_status" in has else "'valid'"
+    missing = " + ".join(["0"] + [f"CAST({o} IS NULL AS INT)" for o in OPTIONAL_INPUTS if o in has])
+    required = " OR ".join(["false"] + [f"{n} IS NULL" for n in ("symbol", "feature_time", "close") if n in has])
+    age, known = "0D", "false"
     if "feature_available_time" in has:
         decision = "decision_time" if "decision_time" in has else "feature_time"
-        age = boundary_seconds("feature_available_time", decision) / F.lit(60.0)
-        known = c("feature_available_time").isNotNull()
-        bad_age = F.coalesce(known & ((age > max_age_minutes) | (age < 0)), F.lit(False))
-        future = F.coalesce(known & (age < 0), F.lit(False))
-    else:
-        age, bad_age, future = F.lit(0.0), F.lit(False), F.lit(False)
-    base = df.withColumns({"_src": source, "_miss": missing, "_req": required, "_age": age,
-                           "_bad": bad_age, "_fut": future})
-    untrusted = c("_src").isin("invalid", "quarantined")
-    score = 1.0 - 0.15 * c("_miss") - F.when(c("_bad"), 0.25).otherwise(0.0)
-    codes = flag_list((untrusted, "source_invalid"), (c("_req"), "required_missing"),
-                      (c("_miss") > 0, "optional_missing"), (c("_fut"), "feature_future"),
-                      (c("_bad"), "stale_feature"))
-    return base.withColumns({
-        "data_quality_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)),
-        "max_feature_age_minutes": c("_age").cast("double"),
-        "quality_status": F.when(untrusted | c("_req") | c("_bad"), "invalid")
-                           .when((c("_src") == "warning") | (c("_miss") > 0), "warning").otherwise("valid"),
-        "quality_reason_codes": F.array_join(codes, "|"),
-    }).drop("_src", "_miss", "_req", "_age", "_bad", "_fut")
+        age = f"({sql_grid(decision, 1)} - {sql_grid('feature_available_time', 1)}) / 60D"
+        known = "feature_available_time IS NOT NULL"
+    df = with_exprs(df, _src=source, _miss=missing, _req=required, _age=age)
+    df = with_exprs(df, _bad=f"coalesce({known} AND (_age > {max_age_minutes} OR _age < 0), false)",
+                    _fut=f"coalesce({known} AND _age < 0, false)")
+    untrusted = "_src IN ('invalid', 'quarantined')"
+    codes = ((untrusted, "source_invalid"), ("_req", "required_missing"), ("_miss > 0", "optional_missing"),
+             ("_fut", "feature_future"), ("_bad", "stale_feature"))
+    return with_exprs(
+        df, data_quality_score="greatest(0D, least(1D, 1D - 0.15D * _miss - CASE WHEN _bad THEN 0.25D ELSE 0D END))",
+        max_feature_age_minutes="CAST(_age AS DOUBLE)",
+        quality_status=f"CASE WHEN {untrusted} OR _req OR _bad THEN 'invalid' "
+                       "WHEN _src = 'warning' OR _miss > 0 THEN 'warning' ELSE 'valid' END",
+        quality_reason_codes="concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in codes) + ")",
+    ).drop("_src", "_miss", "_req", "_age", "_bad", "_fut")
 
 
 def snapshot_gate(df: DataFrame, required: list[str], as_of: Column, *, min_score: float = 0.8,

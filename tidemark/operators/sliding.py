@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.operators.ordered import SLICE
 
@@ -19,23 +18,20 @@ from tidemark.operators.ordered import SLICE
 def sliding_extremes(df: DataFrame, keys: Sequence[str], pos: str, values: dict[str, str],
                      width: int) -> DataFrame:
     """``{prefix}_min`` and ``{prefix}_max`` of each value over the last ``width`` rows."""
-    whole = Window.partitionBy(*keys, SLICE).orderBy(pos)
-    cell = f"_cell_{width}"
-    df = df.withColumn(cell, F.floor(F.col(pos) / width))
-    up = (Window.partitionBy(*keys, SLICE, cell).orderBy(pos)
-          .rowsBetween(Window.unboundedPreceding, 0))
-    down = (Window.partitionBy(*keys, SLICE, cell).orderBy(F.col(pos).desc())
-            .rowsBetween(Window.unboundedPreceding, 0))
-    each = [(p, v, k, f) for p, v in values.items() for k, f in (("min", F.min), ("max", F.max))]
-    df = df.withColumns({f"_up_{p}_{k}": f(v).over(up) for p, v, k, f in each})
-    df = df.withColumns({f"_dn_{p}_{k}": f(v).over(down) for p, v, k, f in each})
+    by, cell = f"{', '.join(keys)}, {SLICE}", f"_cell_{width}"
+    up = f"OVER (PARTITION BY {by}, {cell} ORDER BY {pos} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    down = f"OVER (PARTITION BY {by}, {cell} ORDER BY {pos} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    each = [(p, v, f) for p, v in values.items() for f in ("min", "max")]
+    df = df.selectExpr("*", f"{pos} DIV {width} AS {cell}")
+    df = df.selectExpr("*", *[f"{f}({v}) {up} AS _up_{p}_{f}" for p, v, f in each])
+    df = df.selectExpr("*", *[f"{f}({v}) {down} AS _dn_{p}_{f}" for p, v, f in each])
     # The frame is the head of this cell plus the tail of the previous one.
-    at_edge = F.pmod(F.col(pos) + 1, F.lit(width)) == 0
-    df = df.withColumns({f"_lag_{p}_{k}": F.lag(f"_dn_{p}_{k}", width - 1).over(whole) for p, v, k, f in each})
-    pick = {"min": F.least, "max": F.greatest}
-    out = {f"{p}_{k}": pick[k](F.col(f"_up_{p}_{k}"), F.when(~at_edge, F.col(f"_lag_{p}_{k}")))
-           for p, v, k, f in each}
-    return df.withColumns(out).drop(cell, *[f"_{x}_{p}_{k}" for p, v, k, f in each for x in ("up", "dn", "lag")])
+    df = df.selectExpr("*", *[f"lag(_dn_{p}_{f}, {width - 1}) OVER (PARTITION BY {by} ORDER BY {pos}) AS _lag_{p}_{f}"
+                              for p, v, f in each])
+    pick = {"min": "least", "max": "greatest"}
+    inner = f"pmod({pos} + 1, {width}) <> 0"
+    out = [f"{pick[f]}(_up_{p}_{f}, CASE WHEN {inner} THEN _lag_{p}_{f} END) AS {p}_{f}" for p, v, f in each]
+    return df.selectExpr("*", *out).drop(cell, *[f"_{x}_{p}_{f}" for p, v, f in each for x in ("up", "dn", "lag")])
 
 
 def sliding_moments(df: DataFrame, keys: Sequence[str], pos: str, value: str,
@@ -45,22 +41,19 @@ def sliding_moments(df: DataFrame, keys: Sequence[str], pos: str, value: str,
     Values are centred on the first value seen in the block, which keeps the
     running sums small against cancellation.
     """
-    whole = Window.partitionBy(*keys, SLICE).orderBy(pos)
-    run = whole.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_c", F.first(value, True).over(run)).withColumn("_d", F.col(value) - F.col("_c"))
-    df = df.withColumns({"_s0": F.count("_d").over(run),
-                         "_s1": F.coalesce(F.sum("_d").over(run), F.lit(0.0)),
-                         "_s2": F.coalesce(F.sum(F.col("_d") * F.col("_d")).over(run), F.lit(0.0))})
-    lags = {f"_l{i}_{w}": F.lag(f"_s{i}", w).over(whole) for w in widths for i in range(3)}
-    df = df.withColumns(lags)
-    out = {}
+    whole = f"OVER (PARTITION BY {', '.join(keys)}, {SLICE} ORDER BY {pos}"
+    run = f"{whole} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    df = df.selectExpr("*", f"first({value}, true) {run} AS _c")
+    df = df.selectExpr("*", f"{value} - _c AS _d")
+    df = df.selectExpr("*", f"count(_d) {run} AS _s0", f"coalesce(sum(_d) {run}, 0D) AS _s1",
+                       f"coalesce(sum(_d * _d) {run}, 0D) AS _s2")
+    df = df.selectExpr("*", *[f"_s{i} - coalesce(lag(_s{i}, {w}) {whole}), 0) AS _f{i}_{w}"
+                              for w in widths for i in range(3)])
+    out = []
     for w in widths:
-        n = F.col("_s0") - F.coalesce(F.col(f"_l0_{w}"), F.lit(0))
-        s1 = F.col("_s1") - F.coalesce(F.col(f"_l1_{w}"), F.lit(0.0))
-        s2 = F.col("_s2") - F.coalesce(F.col(f"_l2_{w}"), F.lit(0.0))
-        var = F.greatest(s2 - s1 * F.try_divide(s1, n), F.lit(0.0))
-        out[f"{prefix}_{w}_n"] = n
-        out[f"{prefix}_{w}_avg"] = F.col("_c") + F.try_divide(s1, n)
-        out[f"{prefix}_{w}_std"] = F.when(n > 1, F.sqrt(F.try_divide(var, n - 1)))
-    return (df.withColumns(out)
-            .drop("_c", "_d", "_s0", "_s1", "_s2", *lags))
+        n, s1, s2 = (f"_f{i}_{w}" for i in range(3))
+        var = f"greatest({s2} - {s1} * try_divide({s1}, {n}), 0D)"
+        out += [f"{n} AS {prefix}_{w}_n", f"_c + try_divide({s1}, {n}) AS {prefix}_{w}_avg",
+                f"CASE WHEN {n} > 1 THEN sqrt(try_divide({var}, {n} - 1)) END AS {prefix}_{w}_std"]
+    return df.selectExpr("*", *out).drop("_c", "_d", "_s0", "_s1", "_s2",
+                                         *[f"_f{i}_{w}" for w in widths for i in range(3)])

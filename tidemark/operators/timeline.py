@@ -4,11 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import boundary_minutes, grid
+from tidemark.functions.columns import grid, sql_grid
 from tidemark.operators.ordered import asof_backward, latest_per_key, with_position
 
-USABLE = ("valid", "warning")
-
 # Which columns each side series gives to the timeline.
 SIDE_COLUMNS = {
     "open_interest": {"open_interest_contracts": "open_interest_contracts",
@@ -49,29 +47,24 @@ def align(bars: DataFrame, sides: dict[str, DataFrame], as_of: Column, *,
     still narrow; the left joins keep it valid because a side has one row per
     cell.
     """
-    limit = F.expr(f"close_time + INTERVAL {max_lag_seconds} SECONDS")
-    out = (closed_bars(bars, as_of)
-           .where((F.col("available_time") <= limit) & F.col("quality_status").isin(*USABLE))
-           .select("symbol", grid("close_time", cell_seconds).alias("_cell"),
-                   F.col("close_time").alias("feature_time"), limit.alias("decision_time"),
-                   F.col("available_time").alias("feature_available_time"),
-                   "open", "high", "low", "close", "volume_base", "volume_quote", "trade_count",
-                   "quality_status"))
+    limit, usable = f"close_time + INTERVAL {max_lag_seconds} SECONDS", "quality_status IN ('valid', 'warning')"
+    out = (closed_bars(bars, as_of).where(f"available_time <= {limit} AND {usable}")
+           .selectExpr("symbol", f"{sql_grid('close_time', cell_seconds)} AS _cell", "close_time AS feature_time",
+                       f"{limit} AS decision_time", "available_time AS feature_available_time", "open", "high", "low",
+                       "close", "volume_base", "volume_quote", "trade_count", "quality_status"))
     if position:
         out = with_position(out, ["symbol"], ["feature_time"], "feature_time")
     for name, columns in SIDE_COLUMNS.items():
         side = sides.get(name)
         if side is None:
-            out = out.withColumns({c: F.lit(None).cast("decimal(20,8)") for c in columns.values()})
+            out = out.selectExpr("*", *[f"CAST(NULL AS DECIMAL(20,8)) AS {c}" for c in columns.values()])
             continue
-        right = (side.where(F.col("quality_status").isin(*USABLE))
-                 .select("symbol", grid("period_end", cell_seconds).alias("_cell"),
-                         F.col("available_time").alias("_known"),
-                         *[F.col(src).alias(dst) for src, dst in columns.items()]))
-        a, b = out.alias("a"), right.alias("b")
-        on = ((F.col("a.symbol") == F.col("b.symbol")) & (F.col("a._cell") == F.col("b._cell"))
-              & (F.col("b._known") <= F.col("a.decision_time")))
-        out = a.join(b, on, "left").select("a.*", *[f"b.{c}" for c in columns.values()])
+        right = side.where(usable).selectExpr(
+            "symbol", f"{sql_grid('period_end', cell_seconds)} AS _cell", "available_time AS _known",
+            *[f"{src} AS {dst}" for src, dst in columns.items()])
+        on = F.expr("a.symbol = b.symbol AND a._cell = b._cell AND b._known <= a.decision_time")
+        out = (out.alias("a").join(right.alias("b"), on, "left")
+               .selectExpr("a.*", *[f"b.{c}" for c in columns.values()]))
     return out.drop("_cell")
 
 
@@ -83,10 +76,9 @@ def add_funding(timeline: DataFrame, funding: DataFrame, *, max_age_hours: int =
     source = funding.withColumn("available_time", known).withColumnRenamed("event_time", "funding_event_time")
     joined = asof_backward(timeline, source, ["symbol"], "decision_time", "available_time",
                            ["funding_rate", "funding_event_time"], max_age=max_age_hours * 3600 + 600)
-    age = boundary_minutes("funding_event_time", "feature_time")
-    fresh = age <= max_age_hours * 60
-    return joined.withColumns({
-        "funding_rate_last_known": F.when(fresh, F.col("funding_rate")),
-        "funding_age_minutes": F.when(fresh, age),
-        "funding_event_time": F.when(fresh, F.col("funding_event_time")),
-    }).drop("funding_rate")
+    age = f"({sql_grid('feature_time', 60)} - {sql_grid('funding_event_time', 60)})"
+    fresh = f"CASE WHEN {age} <= {max_age_hours * 60} THEN"
+    return joined.selectExpr("* EXCEPT (funding_rate, funding_event_time)",
+                             f"{fresh} funding_rate END AS funding_rate_last_known",
+                             f"{fresh} {age} END AS funding_age_minutes",
+                             f"{fresh} funding_event_time END AS funding_event_time")

@@ -11,9 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import from_micros, grid, micros, safe_div
-from tidemark.operators import features, labels, quality, scoring, timeline
-from tidemark.operators.ordered import DAY, running_sum
+from tidemark.functions.columns import sql_grid
+from tidemark.operators import features, labels, quality, timeline
+from tidemark.operators.ordered import DAY, OWN, SLICE, row_blocks, running_sum, with_position
 from tidemark.session import configure
 
 HOUR = 3600
@@ -40,31 +40,24 @@ class Views:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        e = self.table("events")
-        qty = F.col("value").cast("decimal(20,8)")
-        return e.select(F.col("event_type").alias("symbol"), "ts",
-                        (F.lit(100.0) + F.lit(0.1) * F.col("value")).alias("px"), qty.alias("qty"),
-                        (F.col("user_id") % 2 == 1).alias("is_buy"), "user_id", F.col("event_id").alias("seq"))
+        return self.table("events").selectExpr(
+            "event_type AS symbol", "ts", "100D + 0.1D * value AS px", "CAST(value AS DECIMAL(20,8)) AS qty",
+            "user_id % 2 = 1 AS is_buy", "user_id", "event_id AS seq")
 
     def bars(self, seconds: int) -> DataFrame:
-        t = self.ticks.withColumn("cell", grid("ts", seconds))
-        stamp = F.struct("ts", "seq")
-        px = F.col("px").cast("decimal(20,8)")
-        b = t.groupBy("symbol", "cell").agg(
-            F.min_by("px", stamp).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-            F.max_by("px", stamp).alias("close"), F.sum("qty").alias("vb"),
-            F.sum((F.col("qty") * px).cast("decimal(28,8)")).alias("vq"),
-            F.count(F.lit(1)).alias("trade_count"),
-            F.coalesce(F.sum(F.when(F.col("is_buy"), F.col("qty"))), F.lit(0)).alias("tb"))
-        end = (F.col("cell") + 1) * F.lit(seconds * 1_000_000)
-        state = (F.when(F.col("cell") % 40 == 7, "invalid").when(F.col("cell") % 15 == 4, "warning")
-                 .otherwise("valid"))
-        return b.select(
-            "symbol", "cell", from_micros(F.col("cell") * F.lit(seconds * 1_000_000)).alias("open_time"),
-            from_micros(end - 1000).alias("close_time"), from_micros(end).alias("available_time"),
-            "open", "high", "low", "close", F.col("vb").cast("double").alias("volume_base"),
-            F.col("vq").cast("double").alias("volume_quote"), "trade_count",
-            F.col("tb").cast("double").alias("taker_buy_base"), state.alias("quality_status"))
+        width = f"{seconds * 1_000_000}L"
+        agg = ("min_by(px, struct(ts, seq)) AS open", "max(px) AS high", "min(px) AS low",
+               "max_by(px, struct(ts, seq)) AS close", "sum(qty) AS vb",
+               "sum(CAST(qty * CAST(px AS DECIMAL(20,8)) AS DECIMAL(28,8))) AS vq", "count(1) AS trade_count",
+               "coalesce(sum(qty) FILTER (WHERE is_buy), 0) AS tb")
+        cells = self.ticks.selectExpr("*", f"{sql_grid('ts', seconds)} AS cell")
+        return cells.groupBy("symbol", "cell").agg(*[F.expr(a) for a in agg]).selectExpr(
+            "symbol", "cell", f"timestamp_micros(cell * {width}) AS open_time",
+            f"timestamp_micros((cell + 1) * {width} - 1000) AS close_time",
+            f"timestamp_micros((cell + 1) * {width}) AS available_time", "open", "high", "low", "close",
+            "CAST(vb AS DOUBLE) AS volume_base", "CAST(vq AS DOUBLE) AS volume_quote", "trade_count",
+            "CAST(tb AS DOUBLE) AS taker_buy_base",
+            "CASE WHEN cell % 40 = 7 THEN 'invalid' WHEN cell % 15 = 4 THEN 'warning' ELSE 'valid' END AS quality_status")
 
     @cached_property
     def bars_1h(self) -> DataFrame:
@@ -79,78 +72,61 @@ class Views:
         return self.bars_1h.select("symbol", F.col("close_time").alias("feature_time"), "open", "high", "low",
                                    "close", "volume_base", "quality_status")
 
-    def _period(self, df: DataFrame) -> DataFrame:
-        """Clocks of an hourly side series; every 20th cell arrives too late."""
-        start = F.col("cell") * F.lit(HOUR * 1_000_000)
-        late = F.when(F.col("cell") % 20 == 3, F.lit(4_200_000_000)).otherwise(F.lit(1_000_000))
-        return df.withColumns({
-            "period_end": from_micros(start), "available_time": from_micros(start + late),
-            "quality_status": F.when(F.col("cell") % 50 == 11, "quarantined").otherwise("valid")})
+    # Clocks of an hourly side series; every 20th cell arrives too late.
+    PERIOD = ("symbol", "timestamp_micros(cell * 3600000000L) AS period_end",
+              "timestamp_micros(cell * 3600000000L + CASE WHEN cell % 20 = 3 THEN 4200000000L ELSE 1000000L END) AS available_time",
+              "CASE WHEN cell % 50 = 11 THEN 'quarantined' ELSE 'valid' END AS quality_status")
 
     @cached_property
     def _hourly(self) -> DataFrame:
-        q = F.col("qty")
-        zero = F.lit(0)
-        return self.ticks.groupBy("symbol", grid("ts", HOUR).alias("cell")).agg(
-            F.coalesce(F.sum(F.when(F.col("is_buy"), q)), zero).cast("decimal(20,8)").alias("buy"),
-            F.coalesce(F.sum(F.when(~F.col("is_buy"), q)), zero).cast("decimal(20,8)").alias("sell"),
-            F.count_if("is_buy").alias("n_buy"), F.count_if(~F.col("is_buy")).alias("n_sell"))
+        agg = ("coalesce(sum(qty) FILTER (WHERE is_buy), 0) AS buy", "coalesce(sum(qty) FILTER (WHERE NOT is_buy), 0) AS sell",
+               "count(1) FILTER (WHERE is_buy) AS n_buy", "count(1) FILTER (WHERE NOT is_buy) AS n_sell")
+        return (self.ticks.selectExpr("*", f"{sql_grid('ts', HOUR)} AS cell").groupBy("symbol", "cell")
+                .agg(*[F.expr(a) for a in agg]))
 
     @cached_property
     def oi(self) -> DataFrame:
-        h = self._hourly.withColumn("t", from_micros(F.col("cell") * F.lit(HOUR * 1_000_000)))
-        run = running_sum(h, ["symbol"], "t", ["cell"], {"net": F.col("buy") - F.col("sell")}, span=7 * DAY)
-        contracts = (F.lit(50000.0) + F.col("net").cast("double"))
-        return self._period(run).select("symbol", "period_end", "available_time", "quality_status",
-                                        contracts.alias("open_interest_contracts"),
-                                        (contracts * 2).alias("open_interest_value"))
+        h = self._hourly.selectExpr("symbol", "cell", "buy - sell AS flow", "timestamp_micros(cell * 3600000000L) AS t")
+        run = running_sum(h, ["symbol"], "t", ["cell"], {"net": F.col("flow")}, span=7 * DAY)
+        c = "50000D + CAST(net AS DOUBLE)"
+        return run.selectExpr(*self.PERIOD, f"{c} AS open_interest_contracts", f"({c}) * 2 AS open_interest_value")
 
     @cached_property
     def taker(self) -> DataFrame:
-        return self._period(self._hourly).select(
-            "symbol", "period_end", "available_time", "quality_status",
-            F.col("buy").cast("double").alias("buy_volume"), F.col("sell").cast("double").alias("sell_volume"),
-            safe_div("buy", "sell").alias("buy_sell_ratio"))
+        return self._hourly.selectExpr(
+            *self.PERIOD, "CAST(buy AS DOUBLE) AS buy_volume", "CAST(sell AS DOUBLE) AS sell_volume",
+            "try_divide(CAST(buy AS DOUBLE), CAST(sell AS DOUBLE)) AS buy_sell_ratio")
 
     @cached_property
     def global_ratio(self) -> DataFrame:
         """Distinct buyers against distinct sellers, deduplicated before counting."""
-        users = self.ticks.groupBy("symbol", grid("ts", HOUR).alias("cell"), "user_id", "is_buy").agg(
-            F.lit(1).alias("one"))
-        n = users.groupBy("symbol", "cell").agg(F.count_if("is_buy").alias("nb"),
-                                                F.count_if(~F.col("is_buy")).alias("ns"))
-        return self._period(n).select(
-            "symbol", "period_end", "available_time", "quality_status",
-            safe_div("nb", F.col("nb") + F.col("ns")).alias("long_account"),
-            safe_div("ns", F.col("nb") + F.col("ns")).alias("short_account"),
-            safe_div("nb", "ns").alias("long_short_ratio"))
+        users = self.ticks.selectExpr("symbol", f"{sql_grid('ts', HOUR)} AS cell", "user_id", "is_buy").distinct()
+        n = users.groupBy("symbol", "cell").agg(F.expr("count_if(is_buy) AS nb"), F.expr("count_if(NOT is_buy) AS ns"))
+        return n.selectExpr(*self.PERIOD, "nb / (nb + ns) AS long_account", "ns / (nb + ns) AS short_account",
+                            "try_divide(CAST(nb AS DOUBLE), CAST(ns AS DOUBLE)) AS long_short_ratio")
 
     @cached_property
     def top_ratio(self) -> DataFrame:
-        total = F.col("n_buy") + F.col("n_sell")
-        return self._period(self._hourly).select(
-            "symbol", "period_end", "available_time", "quality_status",
-            safe_div("n_buy", total).alias("long_account"), safe_div("n_sell", total).alias("short_account"),
-            safe_div("n_buy", "n_sell").alias("long_short_ratio"))
+        return self._hourly.selectExpr(
+            *self.PERIOD, "n_buy / (n_buy + n_sell) AS long_account", "n_sell / (n_buy + n_sell) AS short_account",
+            "try_divide(CAST(n_buy AS DOUBLE), CAST(n_sell AS DOUBLE)) AS long_short_ratio")
 
     @cached_property
     def top_position(self) -> DataFrame:
-        total = (F.col("buy") + F.col("sell")).cast("double")
-        return self._period(self._hourly).select(
-            "symbol", "period_end", "available_time", "quality_status",
-            safe_div("buy", total).alias("long_position"), safe_div("sell", total).alias("short_position"),
-            safe_div("buy", "sell").alias("long_short_ratio"))
+        total = "CAST(buy + sell AS DOUBLE)"
+        return self._hourly.selectExpr(
+            *self.PERIOD, f"CAST(buy AS DOUBLE) / {total} AS long_position", f"CAST(sell AS DOUBLE) / {total} AS short_position",
+            "try_divide(CAST(buy AS DOUBLE), CAST(sell AS DOUBLE)) AS long_short_ratio")
 
     @cached_property
     def funding(self) -> DataFrame:
         """Eight-hour rate, stamped at the end of its period; some periods are missing."""
-        f = (self.ticks.groupBy("symbol", grid("ts", 8 * HOUR).alias("cell"))
-             .agg(F.sum(F.col("px").cast("decimal(20,8)")).alias("s"), F.count(F.lit(1)).alias("n")))
-        end = (F.col("cell") + 1) * F.lit(8 * HOUR * 1_000_000)
-        return f.where(~(F.col("cell") % 5).isin(0, 1)).select(
-            "symbol", from_micros(end).alias("event_time"), from_micros(end + 1_000_000).alias("available_time"),
-            (F.col("s").cast("double") / F.col("n") / 100.0 - 1.0).alias("funding_rate"),
-            (F.col("s").cast("double") / F.col("n")).alias("mark_price"))
+        f = (self.ticks.selectExpr("symbol", f"{sql_grid('ts', 8 * HOUR)} AS cell", "CAST(px AS DECIMAL(20,8)) AS px")
+             .groupBy("symbol", "cell").agg(F.expr("sum(px) AS s"), F.expr("count(1) AS n")))
+        return f.where("cell % 5 NOT IN (0, 1)").selectExpr(
+            "symbol", "timestamp_micros((cell + 1) * 28800000000L) AS event_time",
+            "timestamp_micros((cell + 1) * 28800000000L + 1000000L) AS available_time",
+            "CAST(s AS DOUBLE) / n / 100D - 1D AS funding_rate", "CAST(s AS DOUBLE) / n AS mark_price")
 
     @property
     def sides(self) -> dict[str, DataFrame]:
@@ -195,17 +171,13 @@ class Views:
     @cached_property
     def rule_probs(self) -> DataFrame:
         """A probability per bar from a logistic curve on two short returns."""
-        from pyspark.sql import Window
-        from tidemark.operators.ordered import OWN, SLICE, row_blocks, with_position
-        b = row_blocks(with_position(self.path_bars, ["symbol"], ["feature_time"], "feature_time"),
-                       "_pos", 4096, before=16)
-        w = Window.partitionBy("symbol", SLICE).orderBy("_pos")
-        ret = F.coalesce(F.col("close") / F.lag("close", 1).over(w) - 1, F.lit(0.0))
-        pull = F.col("close") / F.max("high").over(w.rowsBetween(-11, 0)) - 1
-        b = b.withColumns({"ret_1": ret, "dist_high": pull}).where(OWN)
-        z = F.lit(0.4) + 12.0 * F.col("ret_1") + 6.0 * F.col("dist_high")
-        return b.select("symbol", F.col("feature_time").alias("signal_time"), "close", "ret_1", "dist_high",
-                        F.round(1.0 / (1.0 + F.exp(-z)), 6).alias("probability"))
+        w = f"OVER (PARTITION BY symbol, {SLICE} ORDER BY _pos"
+        b = row_blocks(with_position(self.path_bars, ["symbol"], ["feature_time"], "feature_time"), "_pos", 4096, before=16)
+        b = b.selectExpr("symbol", "feature_time AS signal_time", "close", OWN,
+                         f"coalesce(close / lag(close, 1) {w}) - 1, 0D) AS ret_1",
+                         f"close / max(high) {w} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) - 1 AS dist_high").where(OWN)
+        return b.selectExpr("symbol", "signal_time", "close", "ret_1", "dist_high",
+                            "round(1 / (1 + exp(-(0.4D + 12D * ret_1 + 6D * dist_high))), 6) AS probability")
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -213,14 +185,11 @@ class Views:
         lab = self.label_events.select("symbol", "signal_time", "label_value", "event_id", "target_time",
                                        "lead_time_minutes", "max_adverse_excursion", "max_favorable_excursion",
                                        "exclusion_reason")
-        p = self.rule_probs.join(lab, ["symbol", "signal_time"])
-        key = F.floor(micros("signal_time") / F.lit(3_600_000_000)).cast("bigint")
-        return p.withColumns({
-            "prediction_id": F.concat_ws("-", F.col("symbol"), key.cast("string")), "cell": key,
-            "threshold": F.lit(0.55), "horizon_hours": F.lit(24),
-            "model_id": F.when(key % 2 == 0, "m_even").otherwise("m_odd"),
-            "invalidation_time": from_micros(micros("signal_time") + F.lit(86_400_000_000)),
-            "pred_value": (F.col("probability") >= 0.55).cast("int")})
+        p = self.rule_probs.join(lab, ["symbol", "signal_time"]).selectExpr("*", f"{sql_grid('signal_time', HOUR)} AS cell")
+        return p.selectExpr("*", "concat_ws('-', symbol, CAST(cell AS STRING)) AS prediction_id", "0.55D AS threshold",
+                            "24 AS horizon_hours", "CASE WHEN cell % 2 = 0 THEN 'm_even' ELSE 'm_odd' END AS model_id",
+                            "signal_time + INTERVAL 24 HOURS AS invalidation_time",
+                            "CAST(probability >= 0.55D AS INT) AS pred_value")
 
     @cached_property
     def judged(self) -> DataFrame:
@@ -229,30 +198,23 @@ class Views:
     @cached_property
     def daily_prices(self) -> DataFrame:
         """Daily bars per supplier from the order lines."""
-        li = self.table("lineitem")
-        px = F.col("l_extendedprice") / F.col("l_quantity")
-        stamp = F.struct("l_orderkey", "l_linenumber")
-        return (li.withColumn("px", px).groupBy(F.col("l_suppkey").cast("string").alias("symbol"),
-                                                grid("l_shipdate", DAY).alias("cell"))
-                .agg(F.min_by("px", stamp).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-                     F.max_by("px", stamp).alias("close"),
-                     F.sum(F.col("l_extendedprice").cast("decimal(20,8)")).cast("double").alias("quote_volume"),
-                     F.count(F.lit(1)).alias("n"))
-                .withColumn("feature_time", from_micros(F.col("cell") * F.lit(DAY * 1_000_000))))
+        li = self.table("lineitem").selectExpr(
+            "CAST(l_suppkey AS STRING) AS symbol", f"{sql_grid('l_shipdate', DAY)} AS cell", "l_extendedprice / l_quantity AS px",
+            "l_extendedprice", "struct(l_orderkey, l_linenumber) AS stamp")
+        agg = ("min_by(px, stamp) AS open", "max(px) AS high", "min(px) AS low", "max_by(px, stamp) AS close",
+               "CAST(sum(CAST(l_extendedprice AS DECIMAL(20,8))) AS DOUBLE) AS quote_volume", "count(1) AS n")
+        return (li.groupBy("symbol", "cell").agg(*[F.expr(a) for a in agg])
+                .selectExpr("*", f"timestamp_micros(cell * {DAY}000000L) AS feature_time"))
 
     @cached_property
     def tickers(self) -> DataFrame:
         """24-hour ticker per part: price change and traded value."""
-        from tidemark.operators.ordered import first_per_key, latest_per_key  # noqa: F401
-        li = self.table("lineitem")
-        stamp = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
-        px = F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount"))
-        g = li.withColumn("px", px).groupBy("l_partkey").agg(
-            F.min_by("px", stamp).alias("first_px"), F.max_by("px", stamp).alias("last_px"),
-            F.sum(F.col("l_extendedprice").cast("decimal(20,8)")).cast("double").alias("quote_volume"))
-        base = F.when(F.col("l_partkey") == 97, "USDC").when(F.col("l_partkey") == 194, "BUSD").when(
-            F.col("l_partkey") == 291, "TUSD").otherwise(
-            F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
-        return g.select(F.col("l_partkey").alias("part"), F.concat(base, F.lit("USDT")).alias("symbol"),
-                        "last_px", "quote_volume",
-                        (100.0 * (F.col("last_px") / F.col("first_px") - 1.0)).alias("change_pct"))
+        li = self.table("lineitem").selectExpr(
+            "l_partkey AS part", "l_extendedprice / l_quantity * (1 - l_discount) AS px", "l_extendedprice",
+            "struct(l_shipdate, l_orderkey, l_linenumber) AS stamp")
+        agg = ("min_by(px, stamp) AS first_px", "max_by(px, stamp) AS last_px",
+               "CAST(sum(CAST(l_extendedprice AS DECIMAL(20,8))) AS DOUBLE) AS quote_volume")
+        return li.groupBy("part").agg(*[F.expr(a) for a in agg]).selectExpr(
+            "part", "concat(CASE part WHEN 97 THEN 'USDC' WHEN 194 THEN 'BUSD' WHEN 291 THEN 'TUSD' "
+                    "ELSE concat('C', part) END, 'USDT') AS symbol",
+            "last_px", "quote_volume", "100D * (last_px / first_px - 1D) AS change_pct")
