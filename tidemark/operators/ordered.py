@@ -78,13 +78,16 @@ def running_last(df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str],
-                values: dict[str, Column], span: int = 7 * DAY) -> DataFrame:
-    """Cumulative sums over the whole key, one output column per entry."""
-    sliced = df.withColumn(SLICE, grid(t, span))
+                values: dict[str, Column], span: int = 7 * DAY, slice_by: Column | None = None) -> DataFrame:
+    """Cumulative sums over the whole key, one output column per entry.
+
+    ``slice_by`` replaces the time slices for rows ordered by something else;
+    it must not decrease in the given order.
+    """
+    sliced = df.withColumn(SLICE, grid(t, span) if slice_by is None else slice_by)
     for name, value in values.items():
         sliced = sliced.withColumn(f"_x_{name}", value)
-    totals = sliced.groupBy(*keys, SLICE).agg(
-        *[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in values])
+    totals = sliced.groupBy(*keys, SLICE).agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in values])
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, SLICE, *[
         F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in values])
@@ -194,10 +197,10 @@ def sessionize(df: DataFrame, keys: Sequence[str], t: str, gap: int, out: str,
             .withColumn("_open", F.when(F.col("_gap").isNull() | (F.col("_gap") >= far), F.col("_first")))
             .withColumn("_latest", F.coalesce("_inner", "_open"))
             .withColumn("_carry", F.last("_latest", True).over(k.rowsBetween(Window.unboundedPreceding, -1)))
-            .select(*keys, SLICE, F.coalesce("_open", "_carry").alias("_start")))
+            .select(*keys, SLICE, F.coalesce("_open", "_carry").alias("_edge")))
     return (rows.join(ends, [*keys, SLICE])
-            .withColumn(out, F.coalesce("_local", "_start"))
-            .drop("_prev", "_break", "_local", "_start", SLICE))
+            .withColumn(out, F.coalesce("_local", "_edge"))
+            .drop("_prev", "_break", "_local", "_edge", SLICE))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every query module, which fills the registry."""
-from tidemark.plans import q_timeline  # noqa: F401
+from tidemark.plans import q_timeline, q_labels  # noqa: F401
 from tidemark.plans.registry import QUERIES  # noqa: F401
