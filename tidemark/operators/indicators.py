@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import with_exprs
 from tidemark.operators.ordered import OWN, SLICE, row_blocks, with_position
+from tidemark.operators.quantiles import exact_percentiles
 
 BLOCK = 4096
 ORDER = f"PARTITION BY symbol, {SLICE} ORDER BY _pos"
@@ -70,9 +71,8 @@ def ewm_volatility(bars: DataFrame, span: int = 100, min_periods: int = 10, fall
     df = with_exprs(df, ewm_vol=f"CASE WHEN _pos >= {min_periods} THEN sqrt(greatest(e_wxx / e_w - pow(e_wx / e_w, 2), 0D)"
                                 " * e_w * e_w / (e_w * e_w - e_w2)) END")
     df = df.select("symbol", "feature_time", "close", "ewm_vol")
-    # One row per symbol: its size is the number of symbols, so Spark may choose the join.
-    middle = df.groupBy("symbol").agg(F.percentile("ewm_vol", 0.5).alias("_mid"))
-    return (df.join(middle, "symbol")
+    middle = exact_percentiles(df, ["symbol"], F.col("ewm_vol"), {"_mid": 0.5}).select("symbol", "_mid")
+    return (df.join(middle, "symbol", "left")
             .withColumn("ewm_vol", F.coalesce("ewm_vol", "_mid", F.lit(fallback))).drop("_mid"))
 
 
@@ -110,8 +110,8 @@ def market_regimes(bars: DataFrame, adx_trend: float = 25.0, width_quantile: flo
     df = with_exprs(df, bb_threshold=f"CASE WHEN _pos >= {min_rows - 1} THEN percentile(bb_width, {width_quantile}D) {_last(window)} END",
                     atr_pct=f"greatest(avg(true_range) {_last(14)} / close, 1e-4D)")
     df = df.where(OWN).drop(SLICE, OWN, "_pos")
-    middle = df.groupBy("symbol").agg(F.percentile("bb_width", 0.5).alias("_mid"))
-    df = df.join(middle, "symbol")
+    middle = exact_percentiles(df, ["symbol"], F.col("bb_width"), {"_mid": 0.5}).select("symbol", "_mid")
+    df = df.join(middle, "symbol", "left")
     df = with_exprs(df, bb_threshold="coalesce(bb_threshold, _mid)")
     regime = (f"CASE WHEN adx >= {adx_trend}D THEN CASE WHEN trend_slope > 0 AND plus_di > minus_di THEN 'TRENDING_BULL' "
               "ELSE 'TRENDING_BEAR' END WHEN bb_width >= bb_threshold THEN 'HIGH_VOLATILITY_CHOP' "
