@@ -182,6 +182,17 @@ VIEWS = {
     p.signal_time + INTERVAL 24 HOUR AS invalidation_time, (p.probability >= 0.55)::INT AS pred_value
   FROM rule_probs p JOIN label_events l USING (symbol, signal_time)""",
     "judged": "SELECT * FROM predictions WHERE label_value IS NOT NULL",
+    "scans": """
+  SELECT symbol, signal_time AS scan_time, cell, cell % 24 AS cycle,
+    cell * 10 + CASE symbol WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS seq,
+    round(probability * 100, 4) AS score, close AS close_price, probability,
+    CASE WHEN probability >= 0.6 THEN 'SHORT_CANDIDATE' WHEN probability >= 0.4 THEN 'WATCH' ELSE 'WAIT' END AS recommendation, ret_1 AS price_change
+  FROM (SELECT *, epoch_us(signal_time) // 3600000000 AS cell FROM rule_probs)""",
+    "alerts": """
+  SELECT symbol, signal_time, cell, probability, close AS close_price, invalidation_time,
+    CASE WHEN probability >= 0.7 THEN 'HIGH' WHEN probability >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, probability >= 0.55 AS sent,
+    signal_time + INTERVAL 10 SECONDS AS sent_at, cell % 4 = 0 AS shadow, cell % 11 = 0 AS dismissed, label_value = 1 AS hit,
+    CASE WHEN label_value = 1 THEN target_time END AS hit_time FROM predictions WHERE probability >= 0.5""",
     "daily_prices": """
   SELECT CAST(l_suppkey AS VARCHAR) AS symbol, epoch_us(l_shipdate) // 86400000000 AS cell,
     arg_min(px, (l_orderkey, l_linenumber)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (l_orderkey, l_linenumber)) AS close,

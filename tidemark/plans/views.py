@@ -218,3 +218,22 @@ class Views:
             "part", "concat(CASE part WHEN 97 THEN 'USDC' WHEN 194 THEN 'BUSD' WHEN 291 THEN 'TUSD' "
                     "ELSE concat('C', part) END, 'USDT') AS symbol",
             "last_px", "quote_volume", "100D * (last_px / first_px - 1D) AS change_pct")
+
+    @cached_property
+    def scans(self) -> DataFrame:
+        """Scan log: one row per symbol and hour; the cycle number restarts every day."""
+        return self.rule_probs.selectExpr("*", f"{sql_grid('signal_time', HOUR)} AS cell").selectExpr(
+            "symbol", "signal_time AS scan_time", "cell", "cell % 24 AS cycle",
+            "cell * 10 + CASE symbol WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS seq",
+            "round(probability * 100, 4) AS score", "close AS close_price", "probability",
+            "CASE WHEN probability >= 0.6D THEN 'SHORT_CANDIDATE' WHEN probability >= 0.4D THEN 'WATCH' ELSE 'WAIT' END AS recommendation",
+            "ret_1 AS price_change")
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        """Alert history: strong predictions with delivery marks and outcomes."""
+        return self.predictions.where("probability >= 0.5D").selectExpr(
+            "symbol", "signal_time", "cell", "probability", "close AS close_price", "invalidation_time",
+            "CASE WHEN probability >= 0.7D THEN 'HIGH' WHEN probability >= 0.6D THEN 'MEDIUM' ELSE 'LOW' END AS risk_level",
+            "probability >= 0.55D AS sent", "signal_time + INTERVAL 10 SECONDS AS sent_at", "cell % 4 = 0 AS shadow",
+            "cell % 11 = 0 AS dismissed", "label_value = 1 AS hit", "CASE WHEN label_value = 1 THEN target_time END AS hit_time")
