@@ -184,7 +184,7 @@ class Episode:
         if begin:
             self.ref, self.ref_t, self.peak, self.peak_t = r.reference_price, r.reference_t, r.peak_price, r.peak_t
             self.last_pump, self.score = now, r.pump_score
-            self.episode = f"{r.symbol}-{int(r.reference_t)}"
+            self.episode = f"{r.symbol}-{int(r.reference_t)}-{r.reference_price:.16g}"
         elif had and r.direct_pump and before != "DUMPED":
             if r.reference_price < self.ref:
                 self.ref, self.ref_t = r.reference_price, r.reference_t

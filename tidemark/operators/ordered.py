@@ -36,20 +36,25 @@ def time_slices(df: DataFrame, t: str, span: int, before: int = 0, after: int =
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], t: str,
-                  span: int = 30 * DAY, out: str = "_pos") -> DataFrame:
+                  span: int = 30 * DAY, out: str = "_pos", last: int | None = None) -> DataFrame:
     """Zero-based row number inside each key.
 
     Rows are numbered inside a time slice and shifted by the number of rows in
-    the earlier slices, so no task sorts a whole key.
+    the earlier slices, so no task sorts a whole key.  With ``last`` only about
+    the newest ``last`` rows of each key are kept (whole slices), which the
+    count table decides before any row is sorted.
     """
     by, first = ", ".join(keys), ", ".join(order)
     sliced = df.selectExpr("*", f"{sql_grid(t, span)} AS {SLICE}")
     offsets = (sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n")).selectExpr(
         *keys, SLICE, f"coalesce(sum(_n) OVER (PARTITION BY {by} ORDER BY {SLICE} "
-                      "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _offset"))
-    numbered = sliced.selectExpr("*", f"row_number() OVER (PARTITION BY {by}, {SLICE} ORDER BY {first}) - 1 AS _rn")
-    return (numbered.join(offsets, [*keys, SLICE])
-            .selectExpr(f"* EXCEPT (_rn, _offset, {SLICE})", f"_rn + _offset AS {out}"))
+                      "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _offset",
+        "_n", f"sum(_n) OVER (PARTITION BY {by}) AS _total"))
+    if last is not None:
+        offsets = offsets.where(f"_offset + _n > _total - {last}")
+    return (sliced.join(offsets.drop("_n", "_total"), [*keys, SLICE])
+            .selectExpr(f"* EXCEPT (_offset, {SLICE})",
+                        f"row_number() OVER (PARTITION BY {by}, {SLICE} ORDER BY {first}) - 1 + _offset AS {out}"))
 
 
 def row_blocks(df: DataFrame, pos: str, block: int, before: int = 0, after: int = 0) -> DataFrame:

@@ -38,14 +38,16 @@ def newest_version(df: DataFrame, time_col: str) -> DataFrame:
 
 
 def align(bars: DataFrame, sides: dict[str, DataFrame], as_of: Column, *,
-          max_lag_seconds: int = 5, cell_seconds: int = 300, position: bool = False) -> DataFrame:
+          max_lag_seconds: int = 5, cell_seconds: int = 300, position: bool = False,
+          last: int | None = None) -> DataFrame:
     """Bars with the side records of the same grid cell that were known in time.
 
     All joins share the key (symbol, cell): bars are shuffled once, and a busy
     symbol is spread over its cells.  A missing side gives typed NULL columns.
     ``position`` adds the row number per symbol (``_pos``) while the rows are
     still narrow; the left joins keep it valid because a side has one row per
-    cell.
+    cell.  ``last`` drops all but about the newest rows of each symbol before
+    the joins, for work that only needs the latest features.
     """
     limit, usable = f"close_time + INTERVAL {max_lag_seconds} SECONDS", "quality_status IN ('valid', 'warning')"
     out = (closed_bars(bars, as_of).where(f"available_time <= {limit} AND {usable}")
@@ -53,7 +55,7 @@ def align(bars: DataFrame, sides: dict[str, DataFrame], as_of: Column, *,
                        f"{limit} AS decision_time", "available_time AS feature_available_time", "open", "high", "low",
                        "close", "volume_base", "volume_quote", "trade_count", "quality_status"))
     if position:
-        out = with_position(out, ["symbol"], ["feature_time"], "feature_time")
+        out = with_position(out, ["symbol"], ["feature_time"], "feature_time", last=last)
     for name, columns in SIDE_COLUMNS.items():
         side = sides.get(name)
         if side is None:

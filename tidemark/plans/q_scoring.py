@@ -130,8 +130,7 @@ def _two_tier(v: Views):
       row_number() OVER (PARTITION BY s.symbol ORDER BY s.feature_time DESC) AS rn FROM scored s JOIN features f USING (symbol, feature_time)) WHERE rn = 1""",
        views=SCORED_VIEW, floats="total_score", digits=5)
 def _rules(v: Views):
-    latest = ordered.latest_per_key(scored(v).drop("components"), ["symbol"], ["feature_time"])
-    c = candidates.candidate_rules(latest, min_return=0.0)
+    c = candidates.candidate_rules(scored(v, v.latest_features), min_return=0.0)
     return c.select("symbol", "feature_time", "total_score", "passed", F.array_join("reason_codes", "|").alias("reasons"))
 
 

@@ -60,11 +60,11 @@ def _inventory(v: Views):
     return envelopes.inventory(envelopes.read_envelopes(v.spark, path)).drop("n_files")
 
 
-@query("norm_funding", "SELECT symbol, event_time, available_time, round(funding_rate, 8) AS funding_rate, round(mark_price, 8) AS mark_price FROM funding", floats="funding_rate mark_price", digits=8)
+@query("norm_funding", "SELECT symbol, event_time, available_time, round(funding_rate, 6) AS funding_rate, round(mark_price, 6) AS mark_price FROM funding", floats="funding_rate mark_price", digits=8)
 def _norm_funding(v: Views):
     f = v.funding.selectExpr("symbol", "unix_micros(event_time) DIV 3600000000L AS cell", "event_time", "funding_rate", "mark_price")
-    p = pages(v, f, "to_json(named_struct('symbol', symbol, 'fundingTime', unix_millis(event_time), 'fundingRate', format_number(funding_rate, '0.0000000000'), "
-                    "'markPrice', format_number(mark_price, '0.0000000000')))", "funding")
+    p = pages(v, f, "to_json(named_struct('symbol', symbol, 'fundingTime', unix_millis(event_time), 'fundingRate', format_number(round(funding_rate, 6), '0.000000'), "
+                    "'markPrice', format_number(round(mark_price, 6), '0.000000')))", "funding")
     return envelopes.normalize_funding(p).select("symbol", "event_time", "available_time", "funding_rate", "mark_price")
 
 
@@ -108,11 +108,11 @@ def _norm_top(v: Views):
         *CLOCK, "long_account", "short_account", "long_short_ratio", "population")
 
 
-@query("norm_top_position", _clock("long_position, short_position, round(long_position, 8) / round(short_position, 8) AS long_short_ratio, 'top_trader_positions' AS population", "top_position WHERE short_position > 0"),
-       floats="long_position short_position long_short_ratio", digits=7)
+@query("norm_top_position", _clock("round(long_position, 4) AS long_position, round(short_position, 4) AS short_position, round(long_position, 4) / round(short_position, 4) AS long_short_ratio, 'top_trader_positions' AS population", "top_position WHERE round(short_position, 4) > 0"),
+       floats="long_position short_position long_short_ratio", digits=8)
 def _norm_position(v: Views):
     """Pages without a ratio: it is derived, and underivable records are rejected."""
-    p = side_pages(v, v.top_position, "'longPosition', CAST(CAST(long_position AS DECIMAL(20,8)) AS STRING), 'shortPosition', CAST(CAST(short_position AS DECIMAL(20,8)) AS STRING)", "position")
+    p = side_pages(v, v.top_position, "'longPosition', CAST(CAST(round(long_position, 4) AS DECIMAL(20,8)) AS STRING), 'shortPosition', CAST(CAST(round(short_position, 4) AS DECIMAL(20,8)) AS STRING)", "position")
     return envelopes.normalize_top_position(p)[0].select(*CLOCK, "long_position", "short_position", "long_short_ratio", "population")
 
 

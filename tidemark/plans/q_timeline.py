@@ -318,8 +318,8 @@ def _expand(text: str) -> str:
 SCORED_VIEW = {"scored": _expand(SCORED_SQL)}
 
 
-def scored(v: Views):
-    f = ordered.with_scalar(v.features, v.benchmark_return(), "benchmark_ret")
+def scored(v: Views, rows=None):
+    f = ordered.with_scalar(v.features if rows is None else rows, v.benchmark_return(), "benchmark_ret")
     ret = F.coalesce("benchmark_ret", F.lit(0.0))
     return scoring.composite(f, ret)
 
@@ -332,5 +332,4 @@ def scored(v: Views):
 def flagship(v: Views):
     """Latest closed bar per symbol with its features, quality and composite score, best first."""
     cols = ["symbol", "feature_time", "close", "data_quality_score", "quality_status", "total_score", "recommendation"]
-    latest = ordered.latest_per_key(scored(v).select(*cols), ["symbol"], ["feature_time"])
-    return latest.orderBy(F.col("total_score").desc(), "symbol")
+    return scored(v, v.latest_features).select(*cols).orderBy(F.col("total_score").desc(), "symbol")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sql_grid
 from tidemark.operators import features, labels, quality, timeline
-from tidemark.operators.ordered import DAY, OWN, SLICE, row_blocks, running_sum, with_position
+from tidemark.operators.ordered import DAY, OWN, SLICE, latest_per_key, row_blocks, running_sum, with_position
 from tidemark.session import configure
 
 HOUR = 3600
@@ -143,6 +143,13 @@ class Views:
         rows = timeline.align(self.bars_1h, self.sides, as_of(), cell_seconds=HOUR, position=True)
         return quality.timeline_quality(timeline.add_funding(rows, self.funding))
 
+    @cached_property
+    def latest_features(self) -> DataFrame:
+        """Newest feature row per symbol, from no more rows than its longest frame needs."""
+        rows = timeline.align(self.bars_1h, self.sides, as_of(), cell_seconds=HOUR, position=True, last=features.MONTH + features.DAY_ROWS)
+        rows = quality.timeline_quality(timeline.add_funding(rows, self.funding))
+        return latest_per_key(features.build_features(rows, keep=("close", "data_quality_score", "quality_status")), ["symbol"], ["feature_time"])
+
     @cached_property
     def bare_timeline(self) -> DataFrame:
         """The same rows from bars alone, for what needs no side series."""
@@ -151,7 +158,7 @@ class Views:
     def benchmark_return(self) -> DataFrame:
         """24-hour return of the newest benchmark bar (always one row)."""
         rows = timeline.align(self.bars_1h.where(F.col("symbol") == BENCHMARK), {}, as_of(), cell_seconds=HOUR,
-                              position=True)
+                              position=True, last=2 * features.DAY_ROWS)
         return features.build_features(rows, ("price",)).agg(
             F.max_by("price_ret_24h", "feature_time").alias("benchmark_ret"))
 
