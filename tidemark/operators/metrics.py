@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import elapsed_minutes, safe_div
-from tidemark.operators.ordered import running_extreme, running_sum
+from tidemark.operators.ordered import running_extreme, running_sum, with_scalar
 from tidemark.operators.quantiles import exact_percentiles
 
 ONE = "_one"
@@ -20,6 +20,13 @@ def _group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(ONE, F.lit(1)), [ONE])
 
 
+def _attach(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join two grouped results; without grouping ``b`` is one row and comes as a scalar."""
+    if by == [ONE]:
+        return with_scalar(a, b, *[c for c in b.columns if c != ONE])
+    return a.join(b, by, how)
+
+
 def ratio(num: Column, den: Column) -> Column:
     """Quotient that is 0 when undefined."""
     return F.coalesce(safe_div(num, den), F.lit(0.0))
@@ -38,7 +45,7 @@ def row_metrics(df: DataFrame, keys: Sequence[str] = (), *, label: str = "label_
         F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0)).alias("n_predicted_positive"),
         F.coalesce(F.sum(F.when(hit, F.col("_pos"))), F.lit(0)).alias("tp"), F.sum("_sq").alias("_sq"))
     ap = average_precision(scores, by)
-    out = base.join(ap, by)
+    out = _attach(base, ap, by)
     tp, n_pred, n_pos = F.col("tp"), F.col("n_predicted_positive"), F.col("n_positive")
     fp, fn = n_pred - tp, n_pos - tp
     precision, recall = ratio(tp, n_pred), ratio(tp, n_pos)
@@ -116,7 +123,7 @@ def event_metrics(df: DataFrame, keys: Sequence[str] = (), id_col: str = "predic
             if "target_time" in df.columns else F.col("lead_time_minutes"))
     caught = df.where((F.col("pred_value") == 1) & (F.col("label_value") == 1)).withColumn("_lead", lead).where("_lead >= 0")
     q = exact_percentiles(caught, by, F.col("_lead"), {"lead_p25": 0.25, "lead_median": 0.5, "lead_p75": 0.75})
-    out = base.join(q, by, "left")
+    out = _attach(base, q, by, "left")
     tp, fp = F.col("tp"), F.col("n_predicted_events") - F.col("tp")
     return out.select(
         *[k for k in by if k != ONE], "n_events", "n_true_events", "n_predicted_events",
@@ -146,7 +153,7 @@ def psi_quantile(reference: DataFrame, current: DataFrame, keys: Sequence[str],
     edges = quantile_edges(reference, by, value, buckets)
     side = lambda df, s: df.select(*by, F.lit(s).alias("_side"), F.col(value).cast("double").alias("_x")).where(
         "_x IS NOT NULL AND NOT isnan(_x) AND abs(_x) < double('infinity')")
-    both = side(reference, 0).unionByName(side(current, 1)).join(edges, by)
+    both = _attach(side(reference, 0).unionByName(side(current, 1)), edges, by)
     cell = F.size(F.filter("edges", lambda e: F.col("_x") >= e))
     counts = (both.groupBy(*by, F.size("edges").alias("_m"), F.when(F.col("edges").isNotNull(), cell).alias("_cell"))
               .agg(F.count_if(F.col("_side") == 0).alias("_e"), F.count_if(F.col("_side") == 1).alias("_a")))
@@ -212,7 +219,7 @@ def performance(trades: DataFrame, keys: Sequence[str] = (), *, fee_bps: float =
         F.avg(net).alias("_mean"), F.stddev_pop(net).alias("_std"), F.stddev_pop(F.when(net < 0, net)).alias("_dstd"),
         F.count_if(net < 0).alias("_nd"), F.avg("mfe").alias("mfe_mean"), F.avg("mae").alias("mae_mean"),
         F.avg("holding_bars").alias("avg_holding_bars"))
-    out = base.join(max_drawdown(t, by, "_net", order), by)
+    out = _attach(base, max_drawdown(t, by, "_net", order), by)
     n, ng, nl = F.col("n"), F.col("_ng"), F.col("_nl")
     avg_win, avg_loss = ratio(F.col("_sg"), ng), ratio(F.col("_sl"), nl)
     ev = ng / n * avg_win - (1 - ng / n) * avg_loss

@@ -206,7 +206,7 @@ UNION = {**ELIG, "modes": """
     UNION ALL SELECT symbol, 'volume', 2, mode_rank FROM top_volume)) WHERE rn = 1"""}
 
 
-@query("topk_modes_union", "SELECT * FROM modes", views=UNION)
+@query("topk_modes_union", "SELECT * FROM modes", views=UNION, ints="mode_rank")
 def _modes(v: Views):
     return selection.union_of_modes(selection.filter_tickers(v.tickers), "all", 60).select("symbol", "mode", "mode_order", "mode_rank")
 
@@ -218,7 +218,7 @@ def manual_symbols(v: Views):
 @query("topk_scan_list", """
   WITH m AS (SELECT symbol, 0 AS a, 0 AS b, part AS c FROM tickers WHERE part <= 400 AND part % 40 = 0 UNION ALL SELECT symbol, 1, mode_order, mode_rank FROM modes),
   d AS (SELECT symbol, row_number() OVER (ORDER BY a, b, c, symbol) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY a, b, c) AS rn FROM m) WHERE rn = 1)
-  SELECT symbol, slot FROM d WHERE slot <= 49 UNION ALL SELECT 'BTCUSDT', 50""", views=UNION)
+  SELECT symbol, slot FROM d WHERE slot <= 49 UNION ALL SELECT 'BTCUSDT', 50""", views=UNION, ints="slot")
 def _scan_list(v: Views):
     auto = selection.union_of_modes(selection.filter_tickers(v.tickers), ["gainers", "losers", "volume"], 60)
     return selection.scan_list(manual_symbols(v), auto, 50)
@@ -238,7 +238,7 @@ def _universe(v: Views):
 
 @query("win_rank_candidates", """
   SELECT symbol, scan_time, rank, rank <= 3 AS selected FROM (SELECT symbol, scan_time, CASE WHEN ok THEN row_number() OVER (PARTITION BY scan_time, ok ORDER BY score DESC, symbol) END AS rank
-    FROM (SELECT symbol, scan_time, score, score >= 30 AND cell % 6 <> 0 AS ok FROM scans))""".replace("rank <= 3 AS selected", "coalesce(rank <= 3, FALSE) AS selected"))
+    FROM (SELECT symbol, scan_time, score, score >= 30 AND cell % 6 <> 0 AS ok FROM scans))""".replace("rank <= 3 AS selected", "coalesce(rank <= 3, FALSE) AS selected"), ints="rank")
 def _rank(v: Views):
     d = v.scans.selectExpr("symbol", "scan_time", "unix_micros(scan_time) AS scan_t", "score AS rank_score", "score >= 30 AS selected",
                            "CASE WHEN cell % 6 = 0 THEN 'DUMPED' ELSE 'PUMPING' END AS stage")
@@ -259,7 +259,7 @@ PUMP = {"dpos": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY featu
 @query("win_pump_daily", """
   SELECT b.symbol, pump_days, peak_price, pump_pct, l.close, l.quote_volume, l.close / peak_price AS current_vs_peak FROM best b JOIN
     (SELECT symbol, arg_max(close, feature_time) AS close, arg_max(quote_volume, feature_time) AS quote_volume FROM daily_prices GROUP BY symbol) l USING (symbol)
-  WHERE pump_pct BETWEEN 0.05 AND 500 AND l.close / peak_price >= 0.1 AND quote_volume >= 1000""", views=PUMP, floats="peak_price pump_pct close quote_volume current_vs_peak")
+  WHERE pump_pct BETWEEN 0.05 AND 500 AND l.close / peak_price >= 0.1 AND quote_volume >= 1000""", views=PUMP, floats="peak_price pump_pct close quote_volume current_vs_peak", ints="pump_days")
 def _pump(v: Views):
     return candidates.pump_candidates(v.daily_prices, min_pump=0.05, max_pump=500.0, keep=0.1, min_volume=1_000)
 
