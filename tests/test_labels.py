@@ -88,3 +88,28 @@ def test_barrier_bar_with_both_levels_is_a_stop(spark):
     assert trade.first()["touch_type"] == "sl"
     moved = labels.excursions(trade, bars).first()
     assert abs(moved["mfe"] - 0.03) < 1e-12 and abs(moved["mae"] - 0.03) < 1e-12
+
+
+def test_first_generation_equals_bar_by_bar_scan(spark):
+    """Every row against the plain definition, walked bar by bar."""
+    import random
+    rng, price, rows = random.Random(7), 100.0, []
+    for i in range(700):
+        price *= 1 + rng.gauss(0, 0.006)
+        rows.append(("A", T0 + timedelta(minutes=5 * i), price, price * (1 + abs(rng.gauss(0, 0.004))), price * (1 - abs(rng.gauss(0, 0.004))), price, "valid"))
+    got = {r["signal_time"]: r for r in labels.label_first_generation(spark.createDataFrame(rows, BARS)).collect()}
+    assert len(got) == 700
+    for i, (_, t, _, _, _, close, _) in enumerate(rows):
+        frame = rows[i + 1:i + 291]
+        horizon = [b for b in rows[i + 1:] if b[1] <= t + timedelta(minutes=1440)]
+        want = None
+        if frame and frame[-1][1] >= t + timedelta(minutes=1435):
+            worst, want = 0.0, 0
+            for b in horizon:
+                adverse = b[3] / close - 1
+                if b[4] <= close * (1 - 0.08):
+                    want = 0 if worst > 0.04 else (None if adverse > 0.04 else 1)
+                    break
+                worst = max(worst, adverse)
+        assert got[t]["label_value"] == want, (i, want)
+    assert {0, 1} <= {r["label_value"] for r in got.values()}

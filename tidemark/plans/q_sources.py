@@ -357,7 +357,7 @@ def _walk_eval(v: Views):
     return out
 
 
-@query("ml_freeze_score")
+@query("ml_score_frozen")
 def _freeze(v: Views):
     """Save a fitted pipeline, load it again and score only complete rows after the cutoff."""
     train, test = _train_test(v)
@@ -367,6 +367,17 @@ def _freeze(v: Views):
     return ml.score(model, test.na.drop(subset=COLS)).select("symbol", "signal_time", "probability")
 
 
+@query("ml_freeze")
+def _freeze_meta(v: Views):
+    """Save a fitted pipeline and describe it: training rows, time range, inputs and threshold."""
+    train, _ = _train_test(v)
+    model = ml.fit_classifier(train, COLS)
+    model.write().save(tables.shared_folder(v.spark, "model"))
+    threshold = ml.pick_threshold(ml.score(model, train))
+    return train.agg(F.count(F.lit(1)).alias("n_train"), F.sum("label_value").alias("n_positive"), F.min("signal_time").alias("train_start"),
+                     F.max("signal_time").alias("train_end")).withColumns({"inputs": F.lit(",".join(COLS)), "threshold": F.lit(threshold)})
+
+
 @query("ml_predict_latest")
 def _predict_latest(v: Views):
     """Train on all but the newest rows, then score the newest row per symbol with its level."""

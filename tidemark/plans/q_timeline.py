@@ -242,7 +242,7 @@ SINGLE = {
     "feat_price_returns": "price_ret_5m price_ret_1h price_ret_4h price_ret_24h", "feat_volatility_24h": "price_volatility_24h",
     "feat_dist_high_24h": "distance_from_high_24h", "feat_volume_pct_24h": "volume_percentile_24h",
     "feat_momentum_decel_4h": "momentum_deceleration_4h", "feat_fake_breakout_1h": "fake_breakout_1h",
-    "feat_funding_raw": "funding_rate_raw", "feat_funding_pct": "funding_percentile_7d funding_percentile_30d",
+    "feat_funding_raw": "funding_rate_raw", "feat_funding_pct_7d": "funding_percentile_7d", "feat_funding_pct_30d": "funding_percentile_30d",
     "feat_funding_z_30d": "funding_zscore_30d", "feat_funding_change": "funding_change_8h funding_change_24h",
     "feat_funding_persist_7d": "funding_persistence_7d", "feat_oi_change": "oi_change_1h oi_change_4h oi_change_24h",
     "feat_oi_z_7d": "oi_zscore_7d", "feat_oi_accel_1h": "oi_acceleration_1h", "feat_price_oi_div_1h": "price_oi_divergence_1h",
@@ -271,6 +271,17 @@ def _assemble(v: Views):
     return features.build_features(v.timeline)
 
 
+@query("feat_registry_meta", "SELECT m.*, c.n_present FROM (VALUES " + ", ".join(
+    f"('{f}', '{g}', {rows}, '{unit}')" for g, fs in FEATURES.items() for f, (rows, unit) in fs.items()) + """) m(feature_id, feature_group, lookback_rows, unit)
+  JOIN (SELECT unnest(['""" + "','".join(features.FEATURE_NAMES) + """']) AS feature_id, unnest([""" + ", ".join(f"count({f})" for f in features.FEATURE_NAMES)
+       + """]) AS n_present FROM features) c USING (feature_id)""")
+def _registry(v: Views):
+    """Metadata of every registered feature with its number of filled rows."""
+    one = v.features.agg(*[F.count(f).alias(f) for f in features.FEATURE_NAMES])
+    counts = one.selectExpr(f"stack({len(features.FEATURE_NAMES)}, {', '.join(f'{f!r}, {f}' for f in features.FEATURE_NAMES)}) AS (feature_id, n_present)")
+    return features.feature_registry(v.spark).drop("version").join(counts, "feature_id")
+
+
 @query("join_snapshot_price", """
   SELECT f.symbol, f.feature_time, f.total_ret, k.close AS price FROM (SELECT symbol, feature_time, price_ret_4h AS total_ret,
     row_number() OVER (PARTITION BY symbol ORDER BY feature_time DESC) AS rn FROM features) f
