@@ -1,9 +1,7 @@
 """Session settings the operators rely on."""
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings that change results or plans; none is machine specific.
 RUNTIME_CONF = {
@@ -30,15 +28,3 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
-
-def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
-
-    Only where the setting is missing (tests) is a local folder used.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=eager)

@@ -1,7 +1,7 @@
 """Reading and writing tables in the shared file system."""
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -14,11 +14,18 @@ FORMATS = {".parquet": "parquet", ".pq": "parquet", ".json": "json", ".jsonl": "
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder that all executors see: below ``spark.checkpoint.dir``.
+
+    Where that is unset, ``/tmp`` of the default file system is used. If that is the disk of one machine and the
+    session has others, there is no shared place and the call fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{purpose}"
+    if not base:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if default.startswith("file:") and not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"/tmp/spark-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
