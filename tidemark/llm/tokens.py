@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from functools import cache
 from heapq import heapify, heappop, heappush
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_rows
 
 BLANK = "▁"
-MEMO_WORDS = 100_000
+MEMO_WORDS = 400_000
 #: Longer words are counted but not kept, so that the memo's bytes are bounded as well.
 MEMO_CHARS = 64
 LIMIT = 4096
@@ -31,44 +32,60 @@ class MergeCounter:
 
     def __init__(self, ranks: dict[str, float]):
         self.ranks = ranks
+        self.single = {p for p in ranks if len(p) == 1}
         self.memo: dict[str, int] = {}
+        self.old: dict[str, int] = {}
         self.by_word = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in ranks)
 
     def merge(self, text: str) -> int:
         """Symbols left after all merges of one word."""
-        ranks, get = self.ranks, self.ranks.get
+        get, push, pop = self.ranks.get, heappush, heappop
         piece = list(text)
-        n = len(piece)
-        count = sum(1 if c in ranks else len(c.encode()) for c in piece)
+        n = count = len(piece)
+        if not self.single.issuperset(piece):
+            count = sum(1 if c in self.single else len(c.encode()) for c in piece)
+        # an entry holds the rank, the left symbol's place and the length that the joined piece would have
+        heap = [(r, i, 2) for i, r in enumerate(map(get, map(add, piece, piece[1:]))) if r is not None]
+        if not heap:
+            return count
+        heapify(heap)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := get(piece[i] + piece[i + 1])) is not None]
-        heapify(heap)
         while heap:
-            _, i, length = heappop(heap)
+            _, i, length = pop(heap)
             j = after[i]
-            # an entry is stale if one of its two symbols has been merged since
-            if not piece[i] or j >= n or len(piece[i]) + len(piece[j]) != length:
+            left = piece[i]
+            # stale if one of the two symbols has been merged since
+            if not left or j >= n or len(left) + len(piece[j]) != length:
                 continue
-            piece[i] += piece[j]
+            piece[i] = left = left + piece[j]
             piece[j] = ""
+            count -= 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := get(piece[i] + piece[k])) is not None:
-                    heappush(heap, (r, i, length + len(piece[k])))
-            if (h := before[i]) >= 0 and (r := get(piece[h] + piece[i])) is not None:
-                heappush(heap, (r, h, length + len(piece[h])))
-            count -= 1
+                right = left + piece[k]
+                if (r := get(right)) is not None:
+                    push(heap, (r, i, len(right)))
+            if (h := before[i]) >= 0:
+                right = piece[h] + left
+                if (r := get(right)) is not None:
+                    push(heap, (r, h, len(right)))
         return count
 
     def word(self, text: str) -> int:
+        """Tokens of a blank and the word after it.
+
+        The memo has two halves: when the newer one is full it becomes the older one, so frequent words stay.
+        """
         n = self.memo.get(text)
         if n is None:
-            n = self.merge(text)
+            n = self.old.get(text)
+            if n is None:
+                n = self.merge(BLANK + text)
             if len(text) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
+                    self.old, self.memo = self.memo, {}
                 self.memo[text] = n
         return n
 
@@ -79,9 +96,10 @@ class MergeCounter:
         if not self.by_word:
             return self.merge(marked)
         if BLANK * 2 in marked:
-            return sum(map(self.word, re.findall(f"{BLANK}+[^{BLANK}]*", marked)))
-        words = marked.split(BLANK)
-        return sum(map(self.word, [BLANK + w for w in words[1:]]))
+            return sum(self.word(w[1:]) for w in re.findall(f"{BLANK}+[^{BLANK}]*", marked))
+        words = marked.split(BLANK)[1:]
+        known = list(map(self.memo.get, words))
+        return sum(n if n is not None else self.word(w) for n, w in zip(known, words)) if None in known else sum(known)
 
 
 @cache
