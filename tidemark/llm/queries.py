@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, pii, quality, secrets, tokens
+from tidemark.llm import decontaminate, language, licenses, pii, quality, secrets, simhash, tokens
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,11 +26,26 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, folder, "documents")))
 
 
+@query("op3_simhash")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_licenses")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, folder, "documents")))
+
+
 @query("op5_secrets")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.secrets(table(spark, folder, "documents")))
 
 
+@query("op6_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 @query("op7_quality")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality.digest(quality.quality(table(spark, folder, "documents")))
