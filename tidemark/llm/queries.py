@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, licenses, pii, quality, secrets, simhash, tokens
+from tidemark.llm import decontaminate, language, licenses, pii, quality, secrets, simhash, substring, tokens
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+@query("op9_substring")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.without_repeats(table(spark, folder, "documents"))
+
+
 @query("op10_tokens")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"))
