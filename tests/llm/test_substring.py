@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import documents, empty, odd_and_real
-from tidemark.llm import fm_index, substring
+from tidemark.llm import common, fm_index, substring, words
 
 
 def plain(texts):
@@ -52,14 +52,14 @@ def test_kept_words(spark, monkeypatch, shard_bytes, frequent):
 
 def test_word_hashes_do_not_depend_on_the_place():
     import pyarrow as pa
-    texts = ["alpha beta", "", None, "x" * 600 + " alpha\tbeta", "Ünï beta " + "y" * substring.HASH_BLOCK + " alpha"]
-    data, offsets = substring.text_bytes(pa.array(texts))
-    starts, ends, row = substring.words_of(data, offsets)
-    words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
-    assert words == [w for t in texts for w in (t or "").encode().split()]
+    texts = ["alpha beta", "", None, "x" * 600 + " alpha\tbeta", "Ünï beta " + "y" * words.HASH_BLOCK + " alpha"]
+    data, offsets = common.text_bytes(pa.array(texts))
+    starts, ends, row = words.words_of(data, offsets)
+    found = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert found == [w for t in texts for w in (t or "").encode().split()]
     assert row.tolist() == [i for i, t in enumerate(texts) for _ in (t or "").encode().split()]
-    hashes = substring.hash_words(data, starts, ends)
-    assert len({(w, h) for w, h in zip(words, hashes.tolist())}) == len(set(words)) == len(set(hashes.tolist()))
+    hashes = words.hash_words(data, starts, ends)
+    assert len({(w, h) for w, h in zip(found, hashes.tolist())}) == len(set(found)) == len(set(hashes.tolist()))
 
 
 def test_backward_search_finds_every_place():

@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, licenses, pii, quality, secrets, simhash, substring, tokens
+import corpus_pipeline
+from tidemark.llm import decontaminate, language, licenses, mixing, pii, quality, secrets, simhash, substring, tokens
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_mixing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op2_pii")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, folder, "documents")))
@@ -64,3 +70,6 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_tokens")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import bounded_batches, map_rows, space_words, text_bytes
 from tidemark.llm.fm_index import FMIndex
+from tidemark.llm.words import BASE, hash_words, mixed, powers, words_of
 
 WINDOW = 13
 GRAM = 4
@@ -37,65 +38,8 @@ SHARD_BYTES = 6 << 20
 SAMPLE_DOCS = 10_000
 FREQUENT_SHARE = 0.002
 FREQUENT_DOCS = 50
-#: Longer words are hashed one by one; bytes are hashed in blocks.
-LONG_WORD = 512
-HASH_BLOCK = 1 << 19
 
-_rng = np.random.default_rng(20240613)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(2**61, 2**62)) * 2 + 1
-_GRAM_WEIGHTS = _rng.integers(0, 2**62, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % 2**64, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP = _powers(_BASE, HASH_BLOCK + LONG_WORD + 1)
-_DOWN = _powers(pow(_BASE, -1, 2**64), HASH_BLOCK + LONG_WORD + 1)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
-    return h ^ (h >> np.uint64(32))
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, end byte, row) of each word of some texts that stand end to end."""
-    if not len(data):
-        return (np.zeros(0, np.int64),) * 3
-    ink = ~_BLANK[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    starts = np.flatnonzero(ink & np.concatenate([[True], ~ink[:-1]]) | ink & cut[:-1])
-    ends = np.flatnonzero(ink & np.concatenate([~ink[1:], [True]]) | ink & cut[1:]) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
-
-
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes; the same word has the same hash wherever it stands."""
-    from xxhash import xxh64_intdigest
-
-    out = np.empty(len(starts), np.uint64)
-    size = ends - starts
-    for base in range(0, len(data), HASH_BLOCK):
-        lo, hi = np.searchsorted(starts, [base, base + HASH_BLOCK])
-        if lo == hi:
-            continue
-        s = starts[lo:hi] - base
-        e = s + np.minimum(size[lo:hi], LONG_WORD)
-        sums = np.zeros(int(e.max()) + 1, np.uint64)
-        np.cumsum(_BYTE[data[base:base + len(sums) - 1]] * _UP[:len(sums) - 1], out=sums[1:])
-        out[lo:hi] = (sums[e] - sums[s]) * _DOWN[s]
-    out = _mixed(out + size.astype(np.uint64))
-    for i in np.flatnonzero(size > LONG_WORD):
-        out[i] = xxh64_intdigest(data[starts[i]:ends[i]].tobytes(), 7)
-    return out
+_GRAM_WEIGHTS = np.random.default_rng(613).integers(0, 2**62, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Segments:
@@ -114,7 +58,7 @@ class Segments:
         grams = np.zeros(n - GRAM + 1, np.uint64)
         for j in range(GRAM):
             grams += h[j:n - GRAM + 1 + j] * _GRAM_WEIGHTS[j]
-        grams = _mixed(grams)
+        grams = mixed(grams)
         value = grams >> np.uint64(1)
         if len(frequent):
             value |= in_sorted(grams, frequent).astype(np.uint64) << np.uint64(63)
@@ -134,9 +78,9 @@ class Segments:
         self.words = last + WINDOW - self.first
         self.row = row[self.first]
         self.anchor = grams[at[self.first]]
-        up, down = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1)
+        up, down = powers(BASE, n + 1), powers(pow(BASE, -1, 2**64), n + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
-        self.content = _mixed((sums[self.first + self.words] - sums[self.first]) * down[self.first] + self.words.astype(np.uint64))
+        self.content = mixed((sums[self.first + self.words] - sums[self.first]) * down[self.first] + self.words.astype(np.uint64))
 
 
 def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -197,8 +141,8 @@ def _cut(joined: DataFrame, shards: int, frequent) -> DataFrame:
             told_row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             told = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             salt = np.uint64(0x9E3779B97F4A7C15)
-            pair = np.sort(_mixed(told + told_row.astype(np.uint64) * salt))
-            use = np.flatnonzero(in_sorted(s.anchor, known) | in_sorted(_mixed(s.anchor + s.row.astype(np.uint64) * salt), pair))
+            pair = np.sort(mixed(told + told_row.astype(np.uint64) * salt))
+            use = np.flatnonzero(in_sorted(s.anchor, known) | in_sorted(mixed(s.anchor + s.row.astype(np.uint64) * salt), pair))
             # rows without an id are never smaller or larger than another
             real = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
             use = use[real[s.row[use]]]
@@ -274,9 +218,9 @@ def _search(pieces: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.
         return tuple(np.concatenate(x) for x in zip(*outs))
     starts = np.cumsum(sizes) - sizes
     # equal segments are indexed once, with the least id that has them
-    weights = _powers(_BASE, int(sizes.max()))
-    mixed = _mixed(names[words - 1] * weights[np.arange(len(words)) - np.repeat(starts, sizes)])
-    content = np.add.reduceat(mixed, starts) + sizes.astype(np.uint64)
+    weights = powers(BASE, int(sizes.max()))
+    symbols = mixed(names[words - 1] * weights[np.arange(len(words)) - np.repeat(starts, sizes)])
+    content = np.add.reduceat(symbols, starts) + sizes.astype(np.uint64)
     _, one, same = np.unique(content, return_index=True, return_inverse=True)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, same, owner_id)
