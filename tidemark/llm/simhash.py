@@ -27,7 +27,7 @@ RADIUS = 4
 #: Vantage points come from this many distinct fingerprints at most, those of the least hashes.
 SAMPLE = 8192
 #: Residents that a shard should have, and visits (guests included) above which one is split into blocks that meet in pairs.
-SHARD = 16_384
+SHARD = 65_536
 SHARD_VISITS = 400_000
 PRINT_BLOCK = 1 << 15
 
