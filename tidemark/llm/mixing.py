@@ -7,6 +7,7 @@ follows from its posterior and the sums of the earlier steps, so no table of rat
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,15 +24,17 @@ from tidemark.llm.words import hash_words, words_of
 from tidemark.sources.tables import materialize
 
 #: Domains and the shares of the tokens that they are to have.
-TARGETS = {"good": 0.875, "poor": 0.12, "toxic": 0.005}
-BUCKET_BITS = 16
+TARGETS = {"good": 0.88, "poor": 0.08, "toxic": 0.04}
+BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-SMOOTHING = 0.1
-#: Labelled documents that are learned from, chosen by a hash of their id; a quarter of them sets the temperature.
+SMOOTHING = 0.5
+#: Buckets that the classifier looks at: for each domain those whose log-odds are the most standard errors from 0.
+FEATURES = 256
+#: Labelled documents that are learned from, chosen by a hash of their id.
 TRAIN_DOCS = 12_000
-TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+REGULARISATION = 0.003
 STEPS = 60
-TOLERANCE = 1e-5
+TOLERANCE = 1e-4
 #: Pull of the rates towards 1, which makes the fit unique.
 RIDGE = 1e-3
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -43,104 +46,107 @@ def domain(labels: DataFrame) -> DataFrame:
     return labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(name).alias("domain"))
 
 
-def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each lower-cased word, and where each row's words begin (one more for the end)."""
+def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct lower-cased words of each row, and the number of all its words."""
     data, offsets = text_bytes(texts)
     data = _LOWER[data]
     starts, ends, row = words_of(data, offsets)
-    return (hash_words(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.searchsorted(row, np.arange(len(offsets)))
+    bucket = (hash_words(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    seen = np.unique(row * BUCKETS + bucket)
+    return seen >> BUCKET_BITS, seen & (BUCKETS - 1), np.bincount(row, minlength=len(texts))
 
 
 @dataclass
 class Classifier:
-    """Naive Bayes over word buckets; the evidence of the words is divided by a temperature."""
+    """Multinomial logistic regression over the presence of word buckets; buckets without a weight are not looked at."""
 
+    slots: np.ndarray
     weights: np.ndarray
-    prior: np.ndarray
-    temperature: float = 1.0
-
-    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-likelihoods per row and domain, and words per row."""
-        bucket, first = _buckets(texts)
-        out = np.empty((len(texts), self.weights.shape[1]))
-        for k in range(out.shape[1]):
-            sums = np.concatenate([[0.0], np.cumsum(self.weights[bucket, k])])
-            out[:, k] = np.diff(sums[first])
-        return out, np.diff(first)
-
-    def posterior(self, evidence: np.ndarray) -> np.ndarray:
-        z = evidence / self.temperature + np.log(self.prior)
+    intercept: np.ndarray
+
+    def present(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature) of the features of each row, and words per row."""
+        row, bucket, n = _buckets(texts)
+        slot = self.slots[bucket]
+        return row[slot >= 0], slot[slot >= 0], n
+
+    def posterior(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior per row and domain, and words per row."""
+        row, slot, n = self.present(texts)
+        z = np.stack([np.bincount(row, self.weights[slot, k], len(texts)) for k in range(len(self.intercept))], axis=1) + self.intercept
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return z / z.sum(axis=1, keepdims=True), n
 
 
 def learn(docs: DataFrame, labels: DataFrame, n_domains: int = len(TARGETS), train_docs: int = TRAIN_DOCS) -> Classifier:
     """Fit on a bounded sample of the labelled documents.
 
     The sample's (doc_id, domain) rows are broadcast: there are about ``train_docs`` of them at most. What comes to the
-    driver are counts of ``BUCKETS`` buckets per domain. Domains without a labelled document get even evidence; without any label, posteriors
-    are even.
+    driver are counts of ``BUCKETS`` buckets per domain and the fitted weights. Where fewer than two domains have labels, every posterior is the
+    smoothed prior.
     """
     bounded_batches(docs.sparkSession)
     known = domain(labels)
     share = min(1.0, train_docs / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    drawn = drawn.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("temperature")), F.lit(4)) == 0)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("domain", "held", "text")
-    schema = "domain int, held boolean, bucket int, n long"
+    rows = materialize(texts.join(F.broadcast(drawn), "doc_id").select("domain", "text"), "labelled")
+    schema = "domain int, bucket int, n long"
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((n_domains, 2, BUCKETS), np.int64)
-        docs_seen = np.zeros((n_domains, 2), np.int64)
+        sums = np.zeros((n_domains, BUCKETS), np.int64)
+        size = np.zeros(n_domains, np.int64)
         for batch in batches:
-            bucket, first = _buckets(batch.column(2))
-            kind = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) * 2 + batch.column(1).to_numpy(zero_copy_only=False)
-            np.add.at(sums.reshape(-1), np.repeat(kind, np.diff(first)) * BUCKETS + bucket, 1)
-            docs_seen += np.bincount(kind, minlength=n_domains * 2).reshape(n_domains, 2)
+            row, bucket, _ = _buckets(batch.column(1))
+            kind = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            np.add.at(sums.reshape(-1), kind[row] * BUCKETS + bucket, 1)
+            size += np.bincount(kind, minlength=n_domains)
         for d in range(n_domains):
-            for held in (0, 1):
-                # bucket -1 counts documents
-                seen = np.flatnonzero(sums[d, held])
-                n = len(seen) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, bool(held))), pa.array(np.append(seen, -1).astype(np.int32)),
-                                                  pa.array(np.append(sums[d, held][seen], docs_seen[d, held]))], schema=out)
-
-    counted = rows.mapInArrow(count, schema).where(~F.col("held")).groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    words = np.full((BUCKETS, n_domains), SMOOTHING)
-    seen = np.ones(n_domains)
-    for d, b, n in counted.itertuples(index=False):
-        if b < 0:
-            seen[d] += n
-        else:
-            words[b, d] += n
-    weights = np.log(words / words.sum(axis=0))
-    empty = words.sum(axis=0) <= BUCKETS * SMOOTHING * 1.000001
-    if (~empty).any():
-        weights[:, empty] = weights[:, ~empty].mean(axis=1, keepdims=True)
-    model = Classifier(weights.astype(np.float64), seen / seen.sum())
-    model.temperature = _temperature(model, rows.where("held"))
-    return model
-
-
-def _temperature(model: Classifier, rows: DataFrame) -> float:
-    """The temperature of least log loss on labelled documents that weren't learned from."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = "temperature double, loss double"
+            # bucket -1 counts documents
+            seen = np.flatnonzero(sums[d])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen) + 1, d, np.int32)), pa.array(np.append(seen, -1).astype(np.int32)),
+                                              pa.array(np.append(sums[d][seen], size[d]))], schema=out)
+
+    counted = rows.mapInArrow(count, schema).groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    has = np.zeros((BUCKETS, n_domains))
+    size = np.zeros(n_domains)
+    documents = counted["bucket"] < 0
+    size[counted["domain"][documents]] = counted["n"][documents]
+    words = counted[~documents]
+    has[words["bucket"], words["domain"]] = words["n"]
+    intercept = np.log((size + 1) / (size + 1).sum())
+    if (size > 0).sum() < 2:
+        return Classifier(np.full(BUCKETS, -1), np.zeros((0, n_domains)), intercept)
+    yes, rest = has + SMOOTHING, has.sum(axis=1, keepdims=True) - has + SMOOTHING
+    no, others = size - has + SMOOTHING, size.sum() - size - rest + 2 * SMOOTHING
+    z = np.abs(np.log(yes / no) - np.log(rest / others)) / np.sqrt(1 / yes + 1 / no + 1 / rest + 1 / others)
+    chosen = np.unique(np.concatenate([np.argsort(-z[:, d], kind="stable")[:FEATURES] for d in np.flatnonzero(size)]))
+    slots = np.full(BUCKETS, -1)
+    slots[chosen] = np.arange(len(chosen))
+    return _regress(rows, Classifier(slots, np.zeros((len(chosen), n_domains)), intercept))
+
+
+def _regress(rows: DataFrame, model: Classifier) -> Classifier:
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    schema = "label double, features array<double>"
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
-    def losses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                evidence, _ = m.evidence(batch.column(2))
-                true = batch.column(0).to_numpy(zero_copy_only=False)
-                made = [-float(np.log(Classifier(m.weights, m.prior, t).posterior(evidence)[np.arange(len(true)), true] + 1e-12).sum()) for t in TEMPERATURES]
-                yield pa.RecordBatch.from_arrays([pa.array(TEMPERATURES), pa.array(made)], schema=out)
+            row, slot, _ = model.present(batch.column(1))
+            x = np.zeros((batch.num_rows, len(model.weights)))
+            x[row, slot] = 1.0
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), _lists(x, out.field("features").type)], schema=out)
 
-    got = {r["temperature"]: r["loss"] for r in rows.mapInArrow(losses, schema).groupBy("temperature").agg(F.sum("loss").alias("loss")).collect()}
-    return min(TEMPERATURES, key=lambda t: (round(got.get(t, 0.0), 6), t))
+    data = rows.mapInArrow(features, schema).select("label", array_to_vector("features").alias("features"))
+    fitted = LogisticRegression(family="multinomial", regParam=REGULARISATION, standardization=False, maxIter=30).fit(data)
+    weights, intercept = np.zeros_like(model.weights), np.full(len(model.intercept), -30.0)
+    weights[:, :fitted.numClasses] = fitted.coefficientMatrix.toArray().T
+    intercept[:fitted.numClasses] = np.maximum(fitted.interceptVector.toArray(), -30.0)
+    return Classifier(model.slots, weights, intercept)
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -153,8 +159,8 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            evidence, n = m.evidence(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _lists(m.posterior(evidence), out.field("p").type)], schema=out)
+            p, n = m.posterior(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _lists(p, out.field("p").type)], schema=out)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -274,8 +280,8 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, gaps = shared.value
         for batch in batches:
-            evidence, n = m.evidence(batch.column(at))
-            rate = np.round(rates(m.posterior(evidence), gaps)[0], 6)
+            p, n = m.posterior(batch.column(at))
+            rate = np.round(rates(p, gaps)[0], 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate), pa.array(n.astype(np.int64))], schema=out)
 
     rated = docs.mapInArrow(run, schema).withColumn("copies", copies(F.col("rate"), F.col("doc_id").cast("long"), "_tokens"))
