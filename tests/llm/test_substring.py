@@ -42,6 +42,7 @@ def made():
 def test_kept_words(spark, monkeypatch, shard_bytes, frequent):
     monkeypatch.setattr(substring, "SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(substring, "FREQUENT_DOCS", frequent)
+    monkeypatch.setattr(substring, "SLICE_BYTES", 5000)
     texts = odd_and_real() + made()
     got = sorted(map(tuple, substring.without_repeats(documents(spark, texts, clash=["shared", "spans", "anchor"])).collect()), key=repr)
     want = plain(texts)

@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ WINDOW = 13
 GRAM = 4
 #: Text bytes that a shard is meant for.
 SHARD_BYTES = 6 << 20
+#: Text bytes that are hashed and cut at a time.
+SLICE_BYTES = 1 << 20
 #: Documents of the sample that shows frequent anchors, and the share of them (at least so many) that makes one frequent.
 SAMPLE_DOCS = 10_000
 FREQUENT_SHARE = 0.002
@@ -43,44 +46,58 @@ _GRAM_WEIGHTS = np.random.default_rng(613).integers(0, 2**62, GRAM, dtype=np.uin
 
 
 class Segments:
-    """The segments of some texts: runs of windows with one anchor."""
+    """The segments of some texts: runs of windows with one anchor.
+
+    ``hashes`` are all words of all rows, ``row_start`` the first word of each row; a segment has a row, its first word, its number
+    of words, and hashes of its anchor and of its words. Texts are worked on in slices, so that what a step needs besides follows the
+    slice.
+    """
 
     def __init__(self, texts: pa.Array, frequent: np.ndarray):
-        data, offsets = text_bytes(texts)
-        starts, ends, row = words_of(data, offsets)
-        self.hashes = h = hash_words(data, starts, ends)
-        n = len(h)
-        self.row_start = np.searchsorted(row, np.arange(len(offsets)))
-        if n < WINDOW:
-            self.row = self.first = self.words = np.zeros(0, np.int64)
-            self.anchor = self.content = np.zeros(0, np.uint64)
-            return
-        grams = np.zeros(n - GRAM + 1, np.uint64)
-        for j in range(GRAM):
-            grams += h[j:n - GRAM + 1 + j] * _GRAM_WEIGHTS[j]
-        grams = mixed(grams)
-        value = grams >> np.uint64(1)
-        if len(frequent):
-            value |= in_sorted(grams, frequent).astype(np.uint64) << np.uint64(63)
-        span = WINDOW - GRAM + 1
-        low = value[:len(value) - span + 1].copy()
-        for j in range(1, span):
-            np.minimum(low, value[j:len(value) - span + 1 + j], out=low)
-        at = np.zeros(len(low), np.int64)
-        for j in range(span - 1, -1, -1):
-            at[value[j:len(value) - span + 1 + j] == low] = j
-        at += np.arange(len(low))
-        whole = np.flatnonzero(row[:n - WINDOW + 1] == row[WINDOW - 1:])
-        turn = np.ones(len(whole), bool)
-        turn[1:] = (np.diff(whole) != 1) | (np.diff(at[whole]) != 0)
-        self.first = whole[turn]
-        last = whole[np.concatenate([turn[1:], [True]])] if len(whole) else whole
-        self.words = last + WINDOW - self.first
-        self.row = row[self.first]
-        self.anchor = grams[at[self.first]]
-        up, down = powers(BASE, n + 1), powers(pow(BASE, -1, 2**64), n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
-        self.content = mixed((sums[self.first + self.words] - sums[self.first]) * down[self.first] + self.words.astype(np.uint64))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE_BYTES)) + 1
+        parts, rows, words = [], 0, 0
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+            hashes, row_start, row, first, n, anchor, content = _segments(texts.slice(lo, hi - lo), frequent)
+            parts.append((hashes, row_start + words, row + lo, first + words, n, anchor, content))
+            words += len(hashes)
+        self.hashes, self.row_start, self.row, self.first, self.words, self.anchor, self.content = map(np.concatenate, zip(*parts))
+
+
+def _segments(texts: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    data, offsets = text_bytes(texts)
+    starts, ends, row = words_of(data, offsets)
+    h = hash_words(data, starts, ends)
+    n = len(h)
+    row_start = np.searchsorted(row, np.arange(len(texts)))
+    if n < WINDOW:
+        none = np.zeros(0, np.int64)
+        return h, row_start, none, none, none, none.view(np.uint64), none.view(np.uint64)
+    grams = np.zeros(n - GRAM + 1, np.uint64)
+    for j in range(GRAM):
+        grams += h[j:n - GRAM + 1 + j] * _GRAM_WEIGHTS[j]
+    grams = mixed(grams)
+    value = grams >> np.uint64(1)
+    if len(frequent):
+        value |= in_sorted(grams, frequent).astype(np.uint64) << np.uint64(63)
+    span = WINDOW - GRAM + 1
+    low = value[:len(value) - span + 1].copy()
+    for j in range(1, span):
+        np.minimum(low, value[j:len(value) - span + 1 + j], out=low)
+    at = np.zeros(len(low), np.int64)
+    for j in range(span - 1, -1, -1):
+        at[value[j:len(value) - span + 1 + j] == low] = j
+    at += np.arange(len(low))
+    whole = np.flatnonzero(row[:n - WINDOW + 1] == row[WINDOW - 1:])
+    turn = np.ones(len(whole), bool)
+    turn[1:] = (np.diff(whole) != 1) | (np.diff(at[whole]) != 0)
+    first = whole[turn]
+    last = whole[np.concatenate([turn[1:], [True]])] if len(whole) else whole
+    words = last + WINDOW - first
+    up, down = powers(BASE, n + 1), powers(pow(BASE, -1, 2**64), n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
+    content = mixed((sums[first + words] - sums[first]) * down[first] + words.astype(np.uint64))
+    return h, row_start, row[first], first, words, grams[at[first]], content
 
 
 def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -131,7 +148,7 @@ def _cut(joined: DataFrame, shards: int, frequent) -> DataFrame:
         known = frequent.value
         for batch in batches:
             shared = batch.column(2)
-            batch = batch.filter(pa.compute.or_kleene(pa.compute.is_valid(shared), len(known) > 0))
+            batch = batch.filter(pc.or_kleene(pc.is_valid(shared), len(known) > 0))
             if not batch.num_rows:
                 continue
             ids, texts, shared = batch.columns
@@ -144,7 +161,7 @@ def _cut(joined: DataFrame, shards: int, frequent) -> DataFrame:
             pair = np.sort(mixed(told + told_row.astype(np.uint64) * salt))
             use = np.flatnonzero(in_sorted(s.anchor, known) | in_sorted(mixed(s.anchor + s.row.astype(np.uint64) * salt), pair))
             # rows without an id are never smaller or larger than another
-            real = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+            real = pc.is_valid(ids).to_numpy(zero_copy_only=False)
             use = use[real[s.row[use]]]
             if not len(use):
                 continue
