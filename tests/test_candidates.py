@@ -56,18 +56,22 @@ def test_stream_and_replay_agree(spark, tmp_path):
     assert streamed.exceptAll(replayed).count() == 0 and replayed.exceptAll(streamed).count() == 0
 
 
-def test_cooldown_and_budget_marks():
+def test_cooldown_marks():
     m = 60_000_000
     assert jobs.cooldown_marks([0, 30 * m, 61 * m, 100 * m], None, 60)[0] == [True, False, True, False]
-    rows = [(i * m, "A" if i % 2 else "B") for i in range(8)]
-    assert jobs.budget_marks(rows, [], total=3, each=2)[0] == [True, True, True] + [False] * 5
 
 
-def test_budget_job_equals_marks(spark):
-    rows = [(f"S{i % 7}", i, i * 1_800_000_000) for i in range(120)]
-    got = {r["seq"]: r["sent"] for r in jobs.daily_budget(spark.createDataFrame(rows, "symbol string, seq int, t bigint")).collect()}
-    want, _ = jobs.budget_marks([(t, s) for s, _, t in rows], [], 15, 2)
-    assert [got[i] for i in range(120)] == want
+def test_daily_cap(spark):
+    rows = [(f"S{i % 12}", i, i * 600_000_000) for i in range(300)]
+    got = {r["seq"]: r["sent"] for r in jobs.daily_cap(spark.createDataFrame(rows, "symbol string, seq int, t bigint")).collect()}
+    want, own, every = {}, {}, {}
+    for symbol, seq, t in rows:
+        day = t // 86_400_000_000
+        own[symbol, day] = own.get((symbol, day), 0) + 1
+        if own[symbol, day] <= 2:
+            every[day] = every.get(day, 0) + 1
+        want[seq] = own[symbol, day] <= 2 and every[day] <= 15
+    assert got == want
 
 
 def test_candidate_rules(spark):

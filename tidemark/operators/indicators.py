@@ -14,14 +14,24 @@ BLOCK = 4096
 ORDER = f"PARTITION BY symbol, {SLICE} ORDER BY _pos"
 # Weights smaller than this (e^-40) cannot change a double any more.
 NEGLIGIBLE = 40.0
+# Weights up to e^600 leave room for sums in a double.
+LARGEST = 600.0
 
 
-def indicator_blocks(bars: DataFrame, before: int, t: str = "feature_time") -> DataFrame:
+def indicator_blocks(bars: DataFrame, before: int, t: str = "feature_time", block: int = BLOCK) -> DataFrame:
     """Row blocks with a halo of ``before`` rows; price columns as doubles."""
     if "_pos" not in bars.columns:
         bars = with_position(bars, ["symbol"], [t], t)
     bars = with_exprs(bars, **{c: f"CAST({c} AS DOUBLE)" for c in ("high", "low", "close") if c in bars.columns})
-    return row_blocks(bars, "_pos", BLOCK, before=before)
+    return row_blocks(bars, "_pos", block, before=before)
+
+
+def ewm_block(alpha: float, before: int, power: int = 2) -> int:
+    """Rows per block so that the weights of a block and its halo, raised to ``power``, stay below e^600.
+
+    Where the halo alone goes beyond, blocks are short and the halo is what the weights allow.
+    """
+    return max(16, min(BLOCK, int(LARGEST / (power * -math.log1p(-alpha))) - before))
 
 
 def _last(rows: int) -> str:
@@ -66,7 +76,8 @@ def relative_atr(bars: DataFrame, period: int = 14) -> DataFrame:
 def ewm_volatility(bars: DataFrame, span: int = 100, min_periods: int = 10, fallback: float = 0.01) -> DataFrame:
     """Exponentially weighted deviation of returns; young rows get the symbol's median."""
     alpha = 2.0 / (span + 1)
-    df = with_exprs(indicator_blocks(bars, ewm_halo(alpha) + 1), ret=f"close / lag(close) OVER ({ORDER}) - 1")
+    halo = ewm_halo(alpha) + 1
+    df = with_exprs(indicator_blocks(bars, halo, block=ewm_block(alpha, halo)), ret=f"close / lag(close) OVER ({ORDER}) - 1")
     df = _weighted(df, "ret", alpha, "e").where(OWN)
     df = with_exprs(df, ewm_vol=f"CASE WHEN _pos >= {min_periods} THEN sqrt(greatest(e_wxx / e_w - pow(e_wx / e_w, 2), 0D)"
                                 " * e_w * e_w / (e_w * e_w - e_w2)) END")
@@ -105,7 +116,7 @@ def market_regimes(bars: DataFrame, adx_trend: float = 25.0, width_quantile: flo
                    min_rows: int = 20) -> DataFrame:
     """Regime of every bar with its permissions and risk factor."""
     halo = ewm_halo(2.0 / 201) + 64
-    df = indicator_blocks(bars, halo)
+    df = indicator_blocks(bars, halo, block=ewm_block(2.0 / 51, halo))
     df = bollinger_width(trend_slope(directional_index(df)))
     df = with_exprs(df, bb_threshold=f"CASE WHEN _pos >= {min_rows - 1} THEN percentile(bb_width, {width_quantile}D) {_last(window)} END",
                     atr_pct=f"greatest(avg(true_range) {_last(14)} / close, 1e-4D)")
@@ -138,7 +149,8 @@ def rsi_smoothed(bars: DataFrame, period: int = 14) -> DataFrame:
     """
     alpha = 1.0 / period
     grow = -math.log1p(-alpha)
-    df = with_exprs(indicator_blocks(bars, ewm_halo(alpha) + 1), _d=f"close - lag(close) OVER ({ORDER})")
+    halo = ewm_halo(alpha) + 1
+    df = with_exprs(indicator_blocks(bars, halo, block=ewm_block(alpha, halo, 1)), _d=f"close - lag(close) OVER ({ORDER})")
     run = f"OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     df = with_exprs(df, _k=f"_pos - min(_pos) {run}", _first=f"min(_pos) {run} = 0")
     for side, move in (("gain", "greatest(_d, 0D)"), ("loss", "greatest(-_d, 0D)")):

@@ -63,11 +63,14 @@ def average_precision(scores: DataFrame, by: list[str]) -> DataFrame:
     """Sum of precision times recall step over falling scores, ties as one step.
 
     ``scores`` has one row per (group, score) with ``_n`` and ``_pos``; the
-    cumulative counts run over slices of the score range.
+    cumulative counts run over slices of each group's own score range, so
+    scores packed into a narrow range are spread as well.
     """
     down = scores.withColumn("_neg", -F.col("_p"))
-    cum = running_sum(down, by, "_neg", ["_neg"], {"_cn": F.col("_n"), "_cp": F.col("_pos")},
-                      slice_by=F.floor(F.col("_neg") * 1024))
+    ends = down.groupBy(*by).agg(F.min("_neg").alias("_low"), F.max("_neg").alias("_high"))
+    down = _attach(down, ends, by)
+    part = F.coalesce(F.floor(F.try_divide(F.col("_neg") - F.col("_low"), F.col("_high") - F.col("_low")) * 1024), F.lit(0))
+    cum = running_sum(down, by, "_neg", ["_neg"], {"_cn": F.col("_n"), "_cp": F.col("_pos")}, slice_by=part)
     return cum.groupBy(*by).agg(
         F.coalesce(safe_div(F.sum(F.col("_pos") * F.col("_cp") / F.col("_cn")), F.sum("_pos")), F.lit(0.0)).alias("_ap"))
 

@@ -110,6 +110,14 @@ def fit_classifier(train: DataFrame, columns: Sequence[str], *, kind: str = "log
     return Pipeline(stages=[*stages, est]).fit(data)
 
 
+def fit_secondary(train: DataFrame, columns: Sequence[str], **options) -> PipelineModel:
+    """A secondary model over inputs that are known at entry; any other column is refused."""
+    other = [c for c in columns if c not in META_INPUTS]
+    if other:
+        raise ValueError(f"not known at entry: {other}")
+    return fit_classifier(train, columns, **options)
+
+
 def score(model: PipelineModel, df: DataFrame, out: str = "probability") -> DataFrame:
     scored = model.transform(df)
     added = [c for c in scored.columns if c not in df.columns]
@@ -152,6 +160,12 @@ def pick_threshold(scored: DataFrame, min_recall: float = 0.5) -> float:
     return float(row["threshold"]) if row else 0.5
 
 
+def pick_f1_threshold(scored: DataFrame) -> float:
+    grid = [(5 + i) / 100.0 for i in range(90)]
+    row = metrics.best_f1_threshold(metrics.threshold_sweep(scored, [], grid)).first()
+    return float(row["threshold"]) if row and row["threshold"] is not None else 0.5
+
+
 def promotion_gate(champion: DataFrame, challenger: DataFrame, *, min_gain: float = 0.0, max_recall_loss: float = 0.05, max_brier_loss: float = 0.0) -> DataFrame:
     """Checks of a challenger against the champion, one row each, and whether all hold."""
     pack = lambda d: d.select(F.struct("precision", "recall", "brier_score")).scalar()

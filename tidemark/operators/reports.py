@@ -139,11 +139,14 @@ def tracked_positions(entries: DataFrame, alerts: DataFrame, tickers: DataFrame,
 
     An alert belongs to an entry when its time is within one second; the
     price comes from the ticker, else the newest scan, else the source.
+    Alerts stand under their own second and both next to it, so the join has
+    the second as a key and meets few rows per key however many a symbol has.
     """
     from tidemark.operators.ordered import latest_per_key
-    e, a = entries.alias("e"), alerts.alias("a")
-    near = F.expr("e.symbol = a.symbol AND abs(unix_micros(e.source_time) - unix_micros(a.signal_time)) < 1000000")
-    t = e.join(a, near, "left").select("e.*", F.col("a.close_price").alias("a_price"), F.col("a.hit").alias("a_hit"), F.col("a.invalidation_time").alias("a_end"))
+    e = entries.withColumn("_s", F.unix_seconds("source_time")).alias("e")
+    a = alerts.withColumn("_s", F.explode(F.array(*[F.unix_seconds("signal_time") + d for d in (-1, 0, 1)]))).alias("a")
+    near = F.expr("e.symbol = a.symbol AND e._s = a._s AND abs(unix_micros(e.source_time) - unix_micros(a.signal_time)) < 1000000")
+    t = e.join(a, near, "left").select(*[f"e.{c}" for c in entries.columns], F.col("a.close_price").alias("a_price"), F.col("a.hit").alias("a_hit"), F.col("a.invalidation_time").alias("a_end"))
     t = t.join(tickers.select("symbol", F.col("last_px").alias("t_price")), "symbol", "left")
     t = t.join(latest_per_key(scans, ["symbol"], ["seq"]).select("symbol", F.col("close_price").alias("s_price")), "symbol", "left")
     t = t.withColumns({"source_price": F.coalesce("a_price", "source_price"), "end_time": F.coalesce("a_end", "end_time")})

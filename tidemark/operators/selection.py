@@ -1,7 +1,6 @@
 """Rankings, quotas, set comparisons and idempotent appends."""
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -168,7 +167,3 @@ def upsert_history(history: DataFrame, snapshot: DataFrame, key: str = "date", k
     """Replace or add snapshot rows by date and keep the newest days."""
     merged = history.join(snapshot.select(key), key, "left_anti").unionByName(snapshot)
     return merged.orderBy(F.col(key).desc()).limit(keep)
-
-
-def movement_slots(target: int, pinned: int, share: float = 0.70) -> int:
-    return math.ceil(max(target - pinned, 0) * share)

@@ -91,6 +91,10 @@ def event_safe(df: DataFrame, rows: list[tuple], t: str = "signal_time") -> tupl
 
 def chronological_cut(df: DataFrame, share: float, t: str = "signal_time") -> DataFrame:
     """Mark rows before the time quantile as ``fit``, the rest as ``calibrate``."""
+    from tidemark.operators.ordered import with_scalar
     from tidemark.operators.quantiles import exact_percentiles
-    cut = exact_percentiles(df, (), F.unix_micros(t).cast("double"), {"cut": share}).select("cut").scalar()
-    return df.withColumn("part", F.when(F.unix_micros(t) < cut, "fit").otherwise("calibrate"))
+    # distances from the first time spread over the percentile's relative buckets; the times themselves would share a few
+    df = with_scalar(df, df.agg(F.min(F.unix_micros(t)).alias("_first")), "_first")
+    since = F.unix_micros(t) - F.col("_first")
+    cut = exact_percentiles(df, (), since.cast("double"), {"cut": share}).select("cut").scalar()
+    return df.withColumn("part", F.when(since < cut, "fit").otherwise("calibrate")).drop("_first")

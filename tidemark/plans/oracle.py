@@ -8,7 +8,7 @@ import re
 
 from tidemark.operators.features import BUILDERS, FEATURES
 
-AS_OF = "TIMESTAMP '2024-01-29 12:00:00'"
+AS_OF = "(SELECT max(ts) FROM events)"
 
 
 def _bars(seconds: int) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import micros, with_exprs
 from tidemark.operators import indicators, labels, ordered, path
 from tidemark.plans.registry import query
-from tidemark.plans.views import EVENT_GAP, GAP_MINUTES, Views, as_of
+from tidemark.plans.views import EVENT_GAP, GAP_MINUTES, Views
 
 LABEL_FLOATS = "signal_price lead_time_minutes max_adverse_excursion max_favorable_excursion future_max_high future_min_low"
 
@@ -177,15 +177,14 @@ def _atr(v: Views):
 
 
 def barrier_signals(v: Views):
-    """Every fifth hour, one minute after the bar: long on even, short on odd cells."""
-    b = v.bars_1h.where("cell % 5 = 0")
-    return b.selectExpr("symbol", "concat_ws('-', symbol, CAST(cell AS STRING)) AS signal_id",
+    """Every hour, one minute after the bar: long on even, short on odd cells."""
+    return v.bars_1h.selectExpr("symbol", "concat_ws('-', symbol, CAST(cell AS STRING)) AS signal_id",
                         "close_time + INTERVAL 61 SECONDS AS signal_time", "CASE WHEN cell % 2 = 0 THEN 1 ELSE -1 END AS side")
 
 
 BARRIER = {**ATR, "bsig": """
   SELECT symbol, symbol || '-' || cell AS signal_id, close_time + INTERVAL 61 SECONDS AS signal_time,
-    CASE WHEN cell % 2 = 0 THEN 1 ELSE -1 END AS side FROM bars_1h WHERE cell % 5 = 0""",
+    CASE WHEN cell % 2 = 0 THEN 1 ELSE -1 END AS side FROM bars_1h""",
            "entries": """
   SELECT s.symbol, s.signal_id, s.side, a.feature_time AS entry_time, a.close AS entry_price, greatest(a.volatility, 0.005) AS target_vol,
     a.close * (1.0 + s.side * greatest(a.volatility, 0.005) * 2.0) AS tp_price, a.close * (1.0 - s.side * greatest(a.volatility, 0.005) * 1.0) AS sl_price
@@ -259,11 +258,11 @@ def _stops(v: Views):
 
 OPPS = {"opps": """
   SELECT symbol || '-' || cell AS opportunity_id, symbol, close_time + INTERVAL 30 SECONDS AS observed_at, close AS reference_price,
-    close_time + INTERVAL 30 SECONDS + INTERVAL 6 HOUR AS due_at FROM bars_1h WHERE cell % 2 = 0""",
+    close_time + INTERVAL 30 SECONDS + INTERVAL 6 HOUR AS due_at FROM bars_1h""",
         "tape": """
   SELECT *, epoch_us(ft) - epoch_us(coalesce(lag(ft) OVER (PARTITION BY opportunity_id ORDER BY ft), observed_at)) AS gap FROM (
     SELECT o.*, b.close_time AS ft, b.high, b.low FROM opps o LEFT JOIN bars_5m b ON o.symbol = b.symbol AND b.close_time > o.observed_at
-      AND b.close_time <= o.due_at WHERE o.due_at <= TIMESTAMP '2024-01-29 12:00:00')""",
+      AND b.close_time <= o.due_at WHERE o.due_at <= (SELECT max(ts) FROM events))""",
         "tapeout": """
   SELECT opportunity_id, symbol, observed_at, reference_price AS p, count(ft) AS n, greatest(max(gap), epoch_us(due_at) - epoch_us(max(ft))) / 6e7 AS hole,
     min(ft) FILTER (low <= reference_price * (1.0 - 0.02::DOUBLE)) AS lo, min(ft) FILTER (high >= reference_price * (1.0 + 0.04::DOUBLE)) AS up,
@@ -281,18 +280,18 @@ OPPS = {"opps": """
     CASE WHEN reason IS NULL THEN 'resolved' ELSE 'excluded' END AS outcome_status, reason AS exclusion_reason FROM tapereason""",
        views=OPPS, floats="lead_time_minutes mae mfe", ints="label_value")
 def _tape(v: Views):
-    opps = v.bars_1h.where("cell % 2 = 0").selectExpr(
+    opps = v.bars_1h.selectExpr(
         "concat_ws('-', symbol, CAST(cell AS STRING)) AS opportunity_id", "symbol", "close_time + INTERVAL 30 SECONDS AS observed_at",
         "close AS reference_price", "close_time + INTERVAL 30 SECONDS + INTERVAL 6 HOURS AS due_at", "0.02D AS target_drawdown",
         "0.04D AS max_adverse_excursion")
     tape = v.bars_5m.selectExpr("symbol", "close_time AS observed_at", "high", "low", "close")
-    return labels.tape_outcomes(opps, tape, as_of(), horizon_hours=6, gap_minutes=90)
+    return labels.tape_outcomes(opps, tape, v.as_of, horizon_hours=6, gap_minutes=90)
 
 
 # Predictions already judged: every third cell.
 PENDING = {"outcomes": "SELECT * FROM predictions WHERE cell % 3 = 0 AND coalesce(exclusion_reason, '') <> 'missing_future_data'",
            "pending": """
-  SELECT p.prediction_id, p.model_id, p.symbol, p.signal_time, p.horizon_hours FROM predictions p WHERE p.invalidation_time <= TIMESTAMP '2024-01-29 12:00:00'
+  SELECT p.prediction_id, p.model_id, p.symbol, p.signal_time, p.horizon_hours FROM predictions p WHERE p.invalidation_time <= (SELECT max(ts) FROM events)
     AND NOT EXISTS (SELECT 1 FROM outcomes o WHERE o.prediction_id = p.prediction_id)"""}
 
 
@@ -310,7 +309,7 @@ def outcomes(v: Views):
 
 @query("join_anti_pending", "SELECT * FROM pending", views=PENDING, ints="horizon_hours")
 def _pending(v: Views):
-    return labels.pending_rows(open_predictions(v), outcomes(v), as_of()).select(
+    return labels.pending_rows(open_predictions(v), outcomes(v), v.as_of).select(
         "prediction_id", "model_id", "symbol", "signal_time", "horizon_hours")
 
 
@@ -321,17 +320,17 @@ def _pending(v: Views):
   FROM pending p JOIN labels_24 l USING (symbol, signal_time, horizon_hours) WHERE coalesce(l.exclusion_reason, '') <> 'missing_future_data'""",
        views=PENDING, floats="lead_time_minutes mae mfe", ints="horizon_hours label_value")
 def _resolve(v: Views):
-    return labels.resolve_predictions(labels.pending_rows(open_predictions(v), outcomes(v), as_of()), v.labels)
+    return labels.resolve_predictions(labels.pending_rows(open_predictions(v), outcomes(v), v.as_of), v.labels)
 
 
 @query("outcome_alerts", """
   SELECT a.symbol, a.signal_time, w.label_value = 1 AS hit FROM (SELECT symbol, signal_time FROM rule_probs WHERE probability >= 0.55
-      AND signal_time + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-29 12:00:00') a
+      AND signal_time + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events)) a
   JOIN (SELECT symbol, signal_time, CASE WHEN reason IS NULL THEN CASE WHEN target_time IS NOT NULL AND prior <= 0.04 THEN 1 ELSE 0 END END AS label_value
     FROM v01) w USING (symbol, signal_time) WHERE w.label_value IS NOT NULL""", views=WIDE)
 def _alerts(v: Views):
     due = v.rule_probs.where("probability >= 0.55").select("symbol", "signal_time").where(
-        F.expr("signal_time + INTERVAL 24 HOURS") <= as_of())
+        F.expr("signal_time + INTERVAL 24 HOURS") <= v.as_of)
     lab = labels.label_first_generation(v.path_bars, rows=26, gap_minutes=GAP_MINUTES).where("label_value IS NOT NULL")
     return due.join(lab, ["symbol", "signal_time"]).selectExpr("symbol", "signal_time", "label_value = 1 AS hit")
 

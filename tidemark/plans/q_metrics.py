@@ -10,7 +10,7 @@ from tidemark.operators.quantiles import exact_percentiles
 from tidemark.plans.q_labels import BARRIER, STOPS, moved, stop_outcomes
 from tidemark.plans.q_timeline import SCORED_VIEW, scored
 from tidemark.plans.registry import query
-from tidemark.plans.views import Views, as_of
+from tidemark.plans.views import Views
 
 AP = """(SELECT {k} sum(pos * cp / cn) / nullif(sum(pos), 0) AS ap FROM (SELECT *, sum(n) OVER (PARTITION BY {g} ORDER BY probability DESC) AS cn,
     sum(pos) OVER (PARTITION BY {g} ORDER BY probability DESC) AS cp FROM (SELECT {k} probability, count(*) AS n, sum(label_value)::DOUBLE AS pos
@@ -279,24 +279,39 @@ def labelled_features(v: Views, groups=("price", "funding", "oi")):
     coalesce(count(*) FILTER (p AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (label_value = 1), 0), 0) AS recall, avg(abs(p::INT - label_value)) AS brier
   FROM preds GROUP BY baseline""", views=BASE, floats="precision recall brier")
 def _baselines(v: Views):
+    g = baseline_counts(v)
+    return g.select("baseline", "n", metrics.ratio(F.col("tp"), F.col("np")).alias("precision"), metrics.ratio(F.col("tp"), F.col("pos")).alias("recall"), "brier")
+
+
+def baseline_counts(v: Views):
+    """Counts of the rule baselines over the labelled rows on which each is defined."""
     rules = ([(f"B1_price_ret_{t}", f"price_ret_4h > {t}D") for t in ("0.0", "0.02", "0.05")]
              + [(f"B2_funding_{t}", f"funding_percentile_7d > {t}D") for t in ("0.5", "0.8", "0.9")]
              + [("B3_oi_0.01", "oi_change_4h > 0.01D"), ("B4_funding_oi", "CASE WHEN funding_percentile_7d IS NOT NULL THEN funding_percentile_7d > 0.5D AND oi_change_4h > 0D END")])
     arms = ", ".join(f"struct('{n}' AS baseline, {e} AS p)" for n, e in rules)
     long = labelled_features(v).selectExpr("label_value", f"inline(array({arms}))").where("p IS NOT NULL")
-    g = long.groupBy("baseline").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("p AND label_value = 1")).alias("tp"), F.count_if("p").alias("np"),
-                                     F.count_if(F.col("label_value") == 1).alias("pos"), F.avg(F.abs(F.col("p").cast("int") - F.col("label_value"))).alias("brier"))
-    return g.select("baseline", "n", metrics.ratio(F.col("tp"), F.col("np")).alias("precision"), metrics.ratio(F.col("tp"), F.col("pos")).alias("recall"), "brier")
+    return long.groupBy("baseline").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("p AND label_value = 1")).alias("tp"), F.count_if("p").alias("np"),
+                                        F.count_if(F.col("label_value") == 1).alias("pos"), F.avg(F.abs(F.col("p").cast("int") - F.col("label_value"))).alias("brier"))
 
 
-@query("met_rule_baseline_random")
+@query("met_rule_baseline_random", "SELECT count(*) AS n, avg(label_value) AS prevalence, TRUE AS near FROM judged", floats="prevalence")
 def _random(v: Views):
     """Random predictions at the prevalence, decided by a hash of the row id."""
     j = v.judged.select("prediction_id", "label_value")
     j = ordered.with_scalar(j, j.agg(F.avg("label_value").alias("prevalence")), "prevalence")
     p = F.pmod(F.xxhash64("prediction_id", F.lit(42)), F.lit(1_000_000)) / 1_000_000 < F.col("prevalence")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.avg("prevalence").alias("prevalence"), F.avg(p.cast("int")).alias("share_predicted"),
-                 metrics.ratio(F.count_if(p & (F.col("label_value") == 1)), F.count_if(p)).alias("precision"))
+    return j.agg(F.count(F.lit(1)).alias("n"), F.avg("prevalence").alias("prevalence"), F.avg(p.cast("int")).alias("_share"),
+                 metrics.ratio(F.count_if(p & (F.col("label_value") == 1)), F.count_if(p)).alias("_precision")).selectExpr(
+        # both lie within five standard errors of the prevalence
+        "n", "prevalence", "abs(_share - prevalence) <= 2.5 / sqrt(n) AND abs(_precision - prevalence) <= 2.5 / sqrt(n * prevalence) AS near")
+
+
+def _held(cells, num, den, interval):
+    """Size and point estimate of what was resampled, and whether the interval holds the point and is no wider than the range."""
+    n = F.col("n")
+    t = cells.agg(F.sum("n").alias("n"), metrics.ratio(F.sum(n * num).cast("double"), F.sum(n * den)).alias("point"))
+    t = t.withColumn("_i", interval.select(F.struct("ci_lower", "ci_upper")).scalar())
+    return t.selectExpr("n", "point", "_i.ci_lower <= point + 1e-9 AND point <= _i.ci_upper + 1e-9 AND _i.ci_upper - _i.ci_lower < 1 AS holds")
 
 
 def _precision(draws, values):
@@ -304,28 +319,28 @@ def _precision(draws, values):
     return tp / np.maximum(draws @ values["predicted"], 1)
 
 
-@query("met_bootstrap_rows")
+@query("met_bootstrap_rows", "SELECT count(*) AS n, coalesce(count(*) FILTER (pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (pred_value = 1), 0), 0) AS point, TRUE AS holds FROM judged", floats="point")
 def _boot_rows(v: Views):
     """Precision interval over rows; four kinds of rows carry all the information."""
     cells = v.judged.groupBy(F.col("label_value").alias("actual"), F.col("pred_value").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    return metrics.bootstrap_interval(cells, "n", ["actual", "predicted"], _precision)
+    return _held(cells, F.col("actual") * F.col("predicted"), F.col("predicted"), metrics.bootstrap_interval(cells, "n", ["actual", "predicted"], _precision))
 
 
-@query("met_bootstrap_groups")
+@query("met_bootstrap_groups", "SELECT count(*) AS n, coalesce(count(*) FILTER (p = 1 AND a = 1)::DOUBLE / nullif(count(*) FILTER (p = 1), 0), 0) AS point, TRUE AS holds FROM (SELECT coalesce(event_id, prediction_id) AS k, max(label_value) AS a, max(pred_value) AS p FROM judged GROUP BY 1)", floats="point")
 def _boot_groups(v: Views):
     """The same over whole events."""
     e = metrics.event_rows(v.judged).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    return metrics.bootstrap_interval(e, "n", ["actual", "predicted"], _precision)
+    return _held(e, F.col("actual") * F.col("predicted"), F.col("predicted"), metrics.bootstrap_interval(e, "n", ["actual", "predicted"], _precision))
 
 
-@query("met_bootstrap_paired")
+@query("met_bootstrap_paired", "SELECT count(*) AS n, avg(c - a) AS point, TRUE AS holds FROM (SELECT event_id, max((probability >= 0.55)::INT) AS a, max((probability >= 0.5)::INT) AS c FROM judged WHERE event_id IS NOT NULL GROUP BY 1)", floats="point")
 def _boot_paired(v: Views):
     """Recall difference of two thresholds on the same true events."""
     e = v.judged.where("event_id IS NOT NULL").groupBy("event_id").agg(
         F.max(F.expr("CAST(probability >= 0.55 AS INT)")).alias("champion"), F.max(F.expr("CAST(probability >= 0.5 AS INT)")).alias("challenger"))
     cells = e.groupBy("champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
     diff = lambda d, x: (d @ (x["challenger"] - x["champion"])) / d.sum(axis=1)
-    return metrics.bootstrap_interval(cells, "n", ["champion", "challenger"], diff, iterations=10_000, interpolate=True)
+    return _held(cells, F.col("challenger") - F.col("champion"), F.lit(1), metrics.bootstrap_interval(cells, "n", ["champion", "challenger"], diff, iterations=10_000, interpolate=True))
 
 
 SWEEP = {"grid": "SELECT unnest(range(90)) AS i", "sweep": """

@@ -7,9 +7,9 @@ from tidemark.operators import labels, metrics, ordered, reports, selection
 from tidemark.plans.q_labels import PENDING, open_predictions, outcomes
 from tidemark.plans.q_metrics import labelled_features
 from tidemark.plans.registry import query
-from tidemark.plans.views import Views, as_of
+from tidemark.plans.views import Views
 
-NOW = "TIMESTAMP '2024-01-29 12:00:00'"
+NOW = "(SELECT max(ts) FROM events)"
 
 
 @query("agg_alert_stats", """
@@ -40,7 +40,7 @@ def _lead(v: Views):
   SELECT symbol, count(*) AS n FROM alerts WHERE sent AND NOT shadow AND sent_at >= {NOW} - INTERVAL 24 HOUR AND sent_at <= {NOW} GROUP BY symbol
   UNION ALL SELECT 'ALL', count(*) FROM alerts WHERE sent AND NOT shadow AND sent_at >= {NOW} - INTERVAL 24 HOUR AND sent_at <= {NOW}""")
 def _daily_count(v: Views):
-    a = v.alerts.where(f"sent AND NOT shadow AND sent_at >= {NOW} - INTERVAL 24 HOURS AND sent_at <= {NOW}")
+    a = v.alerts.where(f"sent AND NOT shadow AND sent_at >= {v.now} - INTERVAL 24 HOURS AND sent_at <= {v.now}")
     return a.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).unionByName(a.agg(F.count(F.lit(1)).alias("n")).select(F.lit("ALL").alias("symbol"), "n"))
 
 
@@ -84,14 +84,11 @@ def _ops(v: Views):
   SELECT recommendation, count(*) AS n, round(avg(probability), 4) AS avg_prob, count(DISTINCT cycle) AS cycles, min(scan_time) AS first_scan, max(scan_time) AS last_scan
   FROM scans WHERE scan_time >= {NOW} - INTERVAL 24 HOUR AND scan_time <= {NOW} GROUP BY recommendation""", floats="avg_prob", digits=4)
 def _monitor(v: Views):
-    s = v.scans.where(f"scan_time >= {NOW} - INTERVAL 24 HOURS AND scan_time <= {NOW}")
+    s = v.scans.where(f"scan_time >= {v.now} - INTERVAL 24 HOURS AND scan_time <= {v.now}")
     return s.groupBy("recommendation").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 4).alias("avg_prob"), F.count_distinct("cycle").alias("cycles"),
                                            F.min("scan_time").alias("first_scan"), F.max("scan_time").alias("last_scan"))
 
 
-WEEK = f"signal_time >= {NOW} - INTERVAL 7 DAYS"
-
-
 @query("agg_weekly_review", f"""
   WITH w AS (SELECT * FROM judged WHERE signal_time >= {NOW} - INTERVAL 7 DAY),
   e AS (SELECT coalesce(event_id, prediction_id) AS k, max(label_value) AS a, max(pred_value) AS p FROM w GROUP BY 1)
@@ -100,7 +97,7 @@ WEEK = f"signal_time >= {NOW} - INTERVAL 7 DAYS"
     (SELECT sum(n * abs(c - b)) / sum(n) FROM (SELECT least(floor(probability * 10), 9) AS g, count(*) AS n, avg(probability) AS c, avg(label_value) AS b FROM w GROUP BY 1)) AS ece FROM e""",
        floats="event_precision event_recall ece")
 def _weekly(v: Views):
-    w = v.judged.where(WEEK)
+    w = v.judged.where(f"signal_time >= {v.now} - INTERVAL 7 DAYS")
     m = metrics.event_metrics(w).select("n_events", "event_precision", "event_recall")
     return m.withColumn("ece", metrics.calibration_error(w, edge="floor").scalar())
 
@@ -114,14 +111,18 @@ def _top_symbols(v: Views):
   SELECT symbol, signal_time, probability, risk_level, hit FROM alerts WHERE risk_level IN ('HIGH','MEDIUM') AND NOT dismissed AND signal_time >= {NOW} - INTERVAL 20 DAY
   ORDER BY signal_time DESC, symbol LIMIT 200""")
 def _alert_query(v: Views):
-    a = v.alerts.where(F.col("risk_level").isin("HIGH", "MEDIUM") & ~F.col("dismissed")).where(f"signal_time >= {NOW} - INTERVAL 20 DAYS")
+    a = v.alerts.where(F.col("risk_level").isin("HIGH", "MEDIUM") & ~F.col("dismissed")).where(f"signal_time >= {v.now} - INTERVAL 20 DAYS")
     return a.orderBy(F.col("signal_time").desc(), "symbol").limit(200).select("symbol", "signal_time", "probability", "risk_level", "hit")
 
 
-@query("topk_digest_order", "SELECT symbol, signal_time, probability, close_price FROM alerts WHERE sent ORDER BY probability DESC, close_price DESC, symbol, signal_time LIMIT 50", floats="close_price")
+@query("topk_digest_order", """
+  SELECT a.symbol, a.signal_time, a.probability, s.score AS total_score FROM alerts a LEFT JOIN scans s ON a.symbol = s.symbol AND a.signal_time = s.scan_time WHERE a.sent
+  ORDER BY a.probability DESC, total_score DESC, a.symbol, a.signal_time""", floats="total_score")
 def _digest(v: Views):
-    return v.alerts.where("sent").orderBy(F.col("probability").desc(), F.col("close_price").desc(), "symbol", "signal_time").limit(50).select(
-        "symbol", "signal_time", "probability", "close_price")
+    """Every alert that qualifies, the most probable first, equal ones by total score."""
+    scores = v.scans.select("symbol", F.col("scan_time").alias("signal_time"), F.col("score").alias("total_score"))
+    return v.alerts.where("sent").join(scores, ["symbol", "signal_time"], "left").select("symbol", "signal_time", "probability", "total_score").orderBy(
+        F.col("probability").desc(), F.col("total_score").desc(), "symbol", "signal_time")
 
 
 @query("sort_global_stable", "SELECT symbol, signal_time, label_value FROM labels_24 ORDER BY symbol, signal_time", ints="label_value")
@@ -164,7 +165,7 @@ def _feature_labels(v: Views):
     (SELECT count(*) FROM pending) AS pending, 'backlog' AS status""", views=PENDING)
 def _materialization(v: Views):
     o = outcomes(v)
-    return reports.materialization(v.predictions, o, labels.pending_rows(open_predictions(v), o, as_of()))
+    return reports.materialization(v.predictions, o, labels.pending_rows(open_predictions(v), o, v.as_of))
 
 
 @query("agg_learning_readiness", """
@@ -178,11 +179,13 @@ def _readiness(v: Views):
     return n.withColumn("n_events", events.scalar())
 
 
-@query("agg_dataset_fingerprint")
+@query("agg_dataset_fingerprint", "SELECT count(*) AS n_rows, TRUE AS same FROM judged")
 def _fingerprint(v: Views):
-    """Content hash of the judged rows; a second run on reshuffled rows must give the same."""
+    """Content hash of the judged rows; reshuffled rows must give the same."""
     cols = ["prediction_id", "label_value"]
-    return reports.dataset_fingerprint(v.judged.select(*cols), cols).unionByName(reports.dataset_fingerprint(v.judged.select(*cols).repartition(7, "label_value"), cols))
+    first = reports.dataset_fingerprint(v.judged.select(*cols), cols)
+    second = reports.dataset_fingerprint(v.judged.select(*cols).repartition(7, "label_value"), cols)
+    return first.withColumn("other", second.select("fingerprint").scalar()).selectExpr("n_rows", "fingerprint = other AS same")
 
 
 @query("agg_market_index", """
@@ -213,7 +216,7 @@ def _tail(v: Views):
   SELECT symbol, scan_time, score, recommendation FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS rn FROM scans WHERE scan_time >= {NOW} - INTERVAL 6 HOUR AND scan_time <= {NOW})
   WHERE rn = 1 ORDER BY score DESC, symbol LIMIT 200""", floats="score")
 def _latest(v: Views):
-    s = v.scans.where(f"scan_time >= {NOW} - INTERVAL 6 HOURS AND scan_time <= {NOW}")
+    s = v.scans.where(f"scan_time >= {v.now} - INTERVAL 6 HOURS AND scan_time <= {v.now}")
     return selection.latest_snapshot(s).select("symbol", "scan_time", "score", "recommendation")
 
 
@@ -251,7 +254,7 @@ def _feed(v: Views):
 
 @query("join_position_enrich", f"""
   WITH e AS (SELECT symbol, signal_time + INTERVAL 400 MILLISECONDS AS source_time, close * 1.001 AS source_price, CASE WHEN cell % 2 = 0 THEN signal_time + INTERVAL 20 HOUR END AS end_time FROM
-      (SELECT *, epoch_us(signal_time) // 3600000000 AS cell FROM rule_probs) WHERE cell % 6 = 0),
+      (SELECT *, epoch_us(signal_time) // 3600000000 AS cell FROM rule_probs) ),
   j AS (SELECT e.symbol, e.source_time, coalesce(a.close_price, e.source_price) AS src, s.close_price AS cur, a.hit, coalesce(a.invalidation_time, e.end_time) AS fin FROM e
     LEFT JOIN alerts a ON e.symbol = a.symbol AND abs(epoch_us(e.source_time) - epoch_us(a.signal_time)) < 1000000
     LEFT JOIN (SELECT symbol, close_price, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS rn FROM scans) s ON s.symbol = e.symbol AND s.rn = 1)
@@ -259,9 +262,9 @@ def _feed(v: Views):
     round((cur - src) / src * 100, 2) AS signal_change_pct, round(greatest(0, least(1, (src - cur) / (src - round(src * 0.92, 8)))) * 100, 1) AS signal_progress_pct FROM j""",
        floats="source_price current_price signal_change_pct signal_progress_pct")
 def _positions(v: Views):
-    e = v.rule_probs.selectExpr("*", "unix_micros(signal_time) DIV 3600000000L AS cell").where("cell % 6 = 0").selectExpr(
+    e = v.rule_probs.selectExpr("*", "unix_micros(signal_time) DIV 3600000000L AS cell").selectExpr(
         "symbol", "signal_time + INTERVAL '0.4' SECOND AS source_time", "close * 1.001D AS source_price", "CASE WHEN cell % 2 = 0 THEN signal_time + INTERVAL 20 HOURS END AS end_time")
-    return reports.tracked_positions(e, v.alerts, v.tickers, v.scans, as_of())
+    return reports.tracked_positions(e, v.alerts, v.tickers, v.scans, v.as_of)
 
 
 @query("join_price_reconcile", """

@@ -7,7 +7,7 @@ from tidemark.functions.columns import normalize_symbol, sniff_epoch, with_exprs
 from tidemark.operators import candidates, ordered, scoring, selection
 from tidemark.plans.q_timeline import SCORED_VIEW, scored
 from tidemark.plans.registry import query
-from tidemark.plans.views import Views, as_of
+from tidemark.plans.views import Views
 
 COMPONENT = {"score_price_volume": ("price_volume_divergence", "c1"), "score_funding_spike": ("funding_spike", "c2"),
              "score_momentum": ("momentum_exhaustion", "c3"), "score_distance_high": ("distance_from_high", "c4"),
@@ -358,7 +358,7 @@ def _truth(v: Views):
     return candidates.truth_events(v.labels.where("label_value = 1")).select("symbol", "signal_time", "truth_event")
 
 
-AUDIT = {**ELIG, "uni": "SELECT symbol, part, quote_volume, change_pct, last_px FROM eligible WHERE part % 3 = 0",
+AUDIT = {**ELIG, "uni": "SELECT symbol, part, quote_volume, change_pct, last_px FROM eligible",
          "audit": """
   SELECT u.symbol, part % 21 <> 0 AS available, CASE WHEN part % 21 <> 0 THEN last_px END AS close, part % 7 = 2 AS pump, part % 5 <> 1 AS prod, part % 4 <> 3 AS chal, part, change_pct FROM uni u"""}
 
@@ -375,9 +375,9 @@ def _audit(v: Views):
 
 
 def audit_rows(v: Views):
-    u = selection.filter_tickers(v.tickers).where("part % 3 = 0")
+    u = selection.filter_tickers(v.tickers)
     return candidates.paired_audit(
-        u.select("symbol"), u.where("part % 21 <> 0").selectExpr("lower(symbol) AS symbol", "TIMESTAMP '2024-01-29 12:00:00' AS observed_at", "last_px AS close"),
+        u.select("symbol"), u.where("part % 21 <> 0").selectExpr("lower(symbol) AS symbol", f"{v.now} AS observed_at", "last_px AS close"),
         u.where("part % 7 = 2").selectExpr("symbol", "part AS rank", "change_pct AS pump_pct", "2000D AS peak_price"),
         u.where("part % 5 <> 1").selectExpr("symbol", "part + 1 AS rank", "part % 2 = 0 AS selected"),
         u.where("part % 4 <> 3").selectExpr("symbol", "change_pct > 0 AS selected", "CASE WHEN change_pct > 0 THEN 'PUMPING' ELSE 'DUMPED' END AS stage", "part + 2 AS rank",
@@ -445,11 +445,11 @@ def _training(v: Views):
 
 @query("set_union_activity", """
   SELECT * FROM (SELECT sent_at AS logged_at, symbol, 'Composite Scoring' AS step, CASE WHEN sent THEN 'ALERT FIRED' ELSE 'SCORED' END AS status, probability * 100 AS score FROM alerts
-      WHERE signal_time >= TIMESTAMP '2024-01-28 12:00:00' AND signal_time <= TIMESTAMP '2024-01-29 12:00:00' UNION ALL
-    SELECT scan_time, symbol, 'Scan + Score', recommendation, score FROM scans WHERE scan_time >= TIMESTAMP '2024-01-28 12:00:00' AND scan_time <= TIMESTAMP '2024-01-29 12:00:00')
+      WHERE signal_time >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND signal_time <= (SELECT max(ts) FROM events) UNION ALL
+    SELECT scan_time, symbol, 'Scan + Score', recommendation, score FROM scans WHERE scan_time >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND scan_time <= (SELECT max(ts) FROM events))
   ORDER BY logged_at DESC, symbol, step LIMIT 30""", floats="score")
 def _activity(v: Views):
-    day = "{0} BETWEEN TIMESTAMP '2024-01-28 12:00:00' AND TIMESTAMP '2024-01-29 12:00:00'"
+    day = f"{{0}} BETWEEN {v.now} - INTERVAL 24 HOURS AND {v.now}"
     a = v.alerts.where(day.format("signal_time")).selectExpr("sent_at AS logged_at", "symbol", "'Composite Scoring' AS step", "CASE WHEN sent THEN 'ALERT FIRED' ELSE 'SCORED' END AS status", "probability * 100 AS score")
     s = v.scans.where(day.format("scan_time")).selectExpr("scan_time AS logged_at", "symbol", "'Scan + Score' AS step", "recommendation AS status", "score")
     return a.unionByName(s).orderBy(F.col("logged_at").desc(), "symbol", "step").limit(30)

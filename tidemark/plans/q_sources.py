@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import with_exprs
 from tidemark.operators import features, indicators, labels, metrics, ml, ordered, reports, splits
 from tidemark.plans.q_labels import REGIME, barrier_signals, moved
-from tidemark.plans.q_metrics import BASE, labelled_features
+from tidemark.plans.q_metrics import AP, BASE, EDGES, _ece_sql, _precision, baseline_counts, labelled_features
 from tidemark.plans.q_scoring import small_bars
 from tidemark.plans.registry import query
 from tidemark.plans.views import Views
@@ -53,11 +53,11 @@ def _jsonl(v: Views):
 
 
 @query("src_inventory", """
-  SELECT symbol, 'klines' AS endpoint, count(*) AS n_rows, TIMESTAMP '2024-02-01 00:00:01' AS first_received, TIMESTAMP '2024-02-01 00:00:01' AS last_received FROM bars_1h GROUP BY symbol""", ints="n_rows")
+  SELECT symbol, 'klines' AS endpoint, count(*) AS n_rows, TIMESTAMP '2024-02-01 00:00:01' AS first_received, TIMESTAMP '2024-02-01 00:00:01' AS last_received, TRUE AS has_files FROM bars_1h GROUP BY symbol""", ints="n_rows")
 def _inventory(v: Views):
     path = tables.shared_folder(v.spark, "raw")
     bar_pages(v).write.json(path)
-    return envelopes.inventory(envelopes.read_envelopes(v.spark, path)).drop("n_files")
+    return envelopes.inventory(envelopes.read_envelopes(v.spark, path)).withColumn("has_files", F.col("n_files") >= 1).drop("n_files")
 
 
 @query("norm_funding", "SELECT symbol, event_time, available_time, round(funding_rate, 6) AS funding_rate, round(mark_price, 6) AS mark_price FROM funding", floats="funding_rate mark_price", digits=8)
@@ -163,10 +163,12 @@ def _atomic(v: Views):
     return v.spark.read.parquet(path)
 
 
-@query("sink_dataset_export", "SELECT count(*) AS n_rows, min(feature_time) AS first_time, max(feature_time) AS last_time FROM aligned")
+@query("sink_dataset_export", "SELECT count(*) AS n_rows, min(feature_time) AS first_time, max(feature_time) AS last_time, TRUE AS same_content FROM aligned")
 def _export(v: Views):
     path = tables.shared_folder(v.spark, "dataset")
-    return tables.export_dataset(v.aligned, path, "feature_time", ["symbol", "feature_time", "close"]).drop("fingerprint")
+    out = tables.export_dataset(v.aligned, path, "feature_time", ["symbol", "feature_time", "close"])
+    source = reports.dataset_fingerprint(v.aligned, ["symbol", "feature_time", "close"]).select("fingerprint")
+    return out.withColumn("same_content", F.col("fingerprint") == source.scalar()).drop("fingerprint")
 
 
 FOLD_PLAN = splits.walk_forward_plan(START, END, train=10, val=4, test=4, step=4, embargo_hours=24, holdout=3)
@@ -229,7 +231,10 @@ def _by_fold(v: Views):
 
 # --- inputs of models ------------------------------------------------------------------------------------------------
 
-COLS = ["price_ret_1h", "price_ret_4h", "distance_from_high_24h", "volume_percentile_24h", "taker_buy_ratio", "oi_change_4h", "funding_rate_raw"]
+# All features; those that the training window hardly has are left out by each run.
+COLS = list(features.FEATURE_NAMES)
+GROUPS = tuple(features.FEATURES)
+TREES = 40
 
 
 @query("prj_ablation", "SELECT variant, count(*) AS n, count(price_ret_4h) AS price, count(volume_percentile_24h) AS volume, count(funding_rate_raw) AS funding, count(oi_change_4h) AS oi, count(taker_buy_ratio) AS taker "
@@ -296,7 +301,7 @@ def _scaler(v: Views):
 
 
 def _train_test(v: Views):
-    f = tables.materialize(labelled_features(v, ("price", "funding", "oi", "taker")).select("symbol", "signal_time", "label_value", *COLS), "train")
+    f = tables.materialize(labelled_features(v, GROUPS).select("symbol", "signal_time", "label_value", *COLS), "train")
     cut = "TIMESTAMP '2024-01-20 00:00:00'"
     return f.where(f"signal_time < {cut} - INTERVAL 24 HOURS"), f.where(f"signal_time >= {cut}")
 
@@ -304,13 +309,20 @@ def _train_test(v: Views):
 @query("ml_logistic")
 def _logistic(v: Views):
     train, test = _train_test(v)
-    return ml.evaluate(ml.score(ml.fit_classifier(train, COLS, balanced=True), test), 0.5)
+    return ml.evaluate(ml.score(ml.fit_classifier(train, ml.usable_columns(train, COLS), balanced=True), test), 0.5)
 
 
 @query("ml_gbt")
 def _gbt(v: Views):
     train, test = _train_test(v)
-    return ml.evaluate(ml.score(ml.fit_classifier(train, COLS, kind="trees", trees=5), test), 0.3)
+    """Boosted trees on the older four fifths of the training rows; calibration and threshold on the rest of them."""
+    cut = splits.chronological_cut(train, 0.8)
+    fit, rest = cut.where("part = 'fit'").drop("part"), cut.where("part = 'calibrate'").drop("part")
+    model = ml.fit_classifier(fit, ml.usable_columns(fit, COLS), kind="trees", trees=TREES)
+    calibrated = ml.fit_isotonic(ml.score(model, rest))
+    apply = lambda df: ml.apply_isotonic(calibrated, ml.score(model, df)).drop("probability").withColumnRenamed("calibrated", "probability")
+    threshold = ml.pick_threshold(apply(rest))
+    return ml.evaluate(apply(test), threshold).withColumn("threshold", F.lit(threshold))
 
 
 @query("ml_horizon_models")
@@ -346,15 +358,19 @@ def _platt(v: Views):
 
 @query("ml_walk_forward_eval")
 def _walk_eval(v: Views):
-    """Fit and judge each fold; the fold loop is over a handful of windows."""
-    f = tables.materialize(labelled_features(v, ("price",)).select("symbol", "signal_time", "label_value", *COLS[:4]), "train")
-    rows = splits.assign_splits(f, [r for r in RUN_PLAN if r[0] <= 2])
+    """Fit and judge each fold, with mean and deviation over the folds; the loop is over the plan's few windows."""
+    f = tables.materialize(labelled_features(v, GROUPS).select("symbol", "signal_time", "label_value", *COLS), "train")
+    rows = splits.assign_splits(f, RUN_PLAN)
     out = None
-    for fold in (1, 2):
-        part = lambda s: rows.where((F.col("fold_idx") == fold) & (F.col("split") == s))
-        m = ml.evaluate(ml.score(ml.fit_classifier(part("train"), COLS[:4]), part("test")), 0.2).withColumn("fold_idx", F.lit(fold))
+    for fold in sorted({r[0] for r in RUN_PLAN}):
+        train, test = (rows.where((F.col("fold_idx") == fold) & (F.col("split") == s)) for s in ("train", "test"))
+        if test.isEmpty() or train.select("label_value").distinct().count() < 2:
+            continue
+        m = ml.evaluate(ml.score(ml.fit_classifier(train, ml.usable_columns(train, COLS)), test), 0.2).withColumn("fold_idx", F.lit(fold))
         out = m if out is None else out.unionByName(m)
-    return out
+    over = tables.materialize(out, "folds")
+    return ordered.with_scalar(over, over.agg(*[f(c).alias(f"{c}_{n}") for c in ("precision", "recall", "pr_auc", "brier_score") for n, f in (("mean", F.avg), ("std", F.stddev_samp))]),
+                               *[f"{c}_{n}" for c in ("precision", "recall", "pr_auc", "brier_score") for n in ("mean", "std")])
 
 
 @query("ml_score_frozen")
@@ -362,20 +378,23 @@ def _freeze(v: Views):
     """Save a fitted pipeline, load it again and score only complete rows after the cutoff."""
     train, test = _train_test(v)
     path = tables.shared_folder(v.spark, "model")
-    ml.fit_classifier(train, COLS).write().save(path)
+    usable = ml.usable_columns(train, COLS)
+    ml.fit_classifier(train, usable).write().save(path)
     model = ml.PipelineModel.load(path)
-    return ml.score(model, test.na.drop(subset=COLS)).select("symbol", "signal_time", "probability")
+    return ml.score(model, test.na.drop(subset=usable)).select("symbol", "signal_time", "probability")
 
 
 @query("ml_freeze")
 def _freeze_meta(v: Views):
-    """Save a fitted pipeline and describe it: training rows, time range, inputs and threshold."""
+    """Pick the best-F1 threshold on the newest fifth of the training rows, refit on all of them, save and describe the model."""
     train, _ = _train_test(v)
-    model = ml.fit_classifier(train, COLS)
-    model.write().save(tables.shared_folder(v.spark, "model"))
-    threshold = ml.pick_threshold(ml.score(model, train))
+    cut = splits.chronological_cut(train, 0.8)
+    fit, window = cut.where("part = 'fit'").drop("part"), cut.where("part = 'calibrate'").drop("part")
+    usable = ml.usable_columns(fit, COLS)
+    threshold = ml.pick_f1_threshold(ml.score(ml.fit_classifier(fit, usable), window))
+    ml.fit_classifier(train, usable).write().save(tables.shared_folder(v.spark, "model"))
     return train.agg(F.count(F.lit(1)).alias("n_train"), F.sum("label_value").alias("n_positive"), F.min("signal_time").alias("train_start"),
-                     F.max("signal_time").alias("train_end")).withColumns({"inputs": F.lit(",".join(COLS)), "threshold": F.lit(threshold)})
+                     F.max("signal_time").alias("train_end")).withColumns({"inputs": F.lit(",".join(usable)), "threshold": F.lit(threshold)})
 
 
 @query("ml_predict_latest")
@@ -394,16 +413,19 @@ def _predict_latest(v: Views):
 @query("ml_champion_challenger")
 def _champion(v: Views):
     train, test = _train_test(v)
-    champion = ml.evaluate(ml.score(ml.fit_classifier(train, COLS[:2]), test), 0.2)
-    challenger = ml.evaluate(ml.score(ml.fit_classifier(train, COLS, balanced=True), test), 0.5)
+    usable = ml.usable_columns(train, COLS)
+    champion = ml.evaluate(ml.score(ml.fit_classifier(train, usable), test), 0.2)
+    challenger = ml.evaluate(ml.score(ml.fit_classifier(train, usable, balanced=True), test), 0.5)
     return ml.promotion_gate(champion, challenger)
 
 
 def meta_rows(v: Views):
     reg = indicators.market_regimes(v.path_bars).select("symbol", "feature_time", "regime", "atr_pct")
     t = moved(v).join(reg.withColumnRenamed("feature_time", "entry_time"), ["symbol", "entry_time"])
+    # the primary model's probability at the entry bar
+    t = t.join(v.rule_probs.select("symbol", F.col("signal_time").alias("entry_time"), F.col("probability").alias("primary_probability")), ["symbol", "entry_time"], "left")
     code = F.expr("CASE regime WHEN 'TRENDING_BULL' THEN 0D WHEN 'TRENDING_BEAR' THEN 1D WHEN 'HIGH_VOLATILITY_CHOP' THEN 2D ELSE 3D END")
-    return tables.materialize(t.withColumns({"regime_code": code, "volatility": F.col("atr_pct"), "primary_probability": F.lit(0.7), "label_value": (F.col("label") == 1).cast("int")}), "meta")
+    return tables.materialize(t.withColumns({"regime_code": code, "volatility": F.col("atr_pct"), "label_value": (F.col("label") == 1).cast("int")}), "meta")
 
 
 META_RULE = ("CASE WHEN regime = 'TRENDING_BULL' AND side = -1 THEN 'counter_trend' WHEN probability >= 0.35D THEN 'approved' ELSE 'dropped' END")
@@ -413,7 +435,7 @@ META_RULE = ("CASE WHEN regime = 'TRENDING_BULL' AND side = -1 THEN 'counter_tre
 def _meta(v: Views):
     """Secondary model on barrier outcomes; only inputs known at entry are used."""
     t = meta_rows(v)
-    model = ml.fit_classifier(t.where("entry_time < TIMESTAMP '2024-01-20 00:00:00'"), ["regime_code", "volatility", "side"])
+    model = ml.fit_secondary(t.where("entry_time < TIMESTAMP '2024-01-20 00:00:00'"), list(ml.META_INPUTS))
     s = ml.score(model, t.where("entry_time >= TIMESTAMP '2024-01-20 00:00:00'"))
     return with_exprs(s, decision=META_RULE).selectExpr("signal_id", "probability", "regime", "decision", "CASE WHEN decision <> 'approved' THEN 0D WHEN regime = 'HIGH_VOLATILITY_CHOP' THEN 0.5D ELSE 1D END AS risk_scaling")
 
@@ -422,27 +444,50 @@ def _meta(v: Views):
 def _backtest(v: Views):
     """Performance of all later signals against those the secondary model approves."""
     t = meta_rows(v)
-    model = ml.fit_classifier(t.where("entry_time < TIMESTAMP '2024-01-20 00:00:00'"), ["regime_code", "volatility", "side"])
+    model = ml.fit_secondary(t.where("entry_time < TIMESTAMP '2024-01-20 00:00:00'"), list(ml.META_INPUTS))
     s = with_exprs(ml.score(model, t.where("entry_time >= TIMESTAMP '2024-01-20 00:00:00'")), decision=META_RULE)
     arms = s.withColumn("arm", F.explode(F.when(F.col("decision") == "approved", F.array(F.lit("all"), F.lit("filtered"))).otherwise(F.array(F.lit("all")))))
     return metrics.performance(arms, ["arm"], order=("entry_time", "signal_id"))
 
 
-@query("ml_release_report", """
-  WITH r AS (SELECT coalesce(count(*) FILTER (pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (pred_value = 1), 0), 0) AS precision FROM judged),
+RELEASE_SQL = f"""
+  WITH r AS (SELECT coalesce(count(*) FILTER (pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (pred_value = 1), 0), 0) AS precision, count(DISTINCT threshold) AS nt,
+    ({_ece_sql(' + '.join(f'(probability >= {e!r}::DOUBLE)::INT' for e in EDGES))}) AS ece, (SELECT ap FROM {AP.format(k="", g="1", gb="")}) AS pr_auc FROM judged),
   e AS (SELECT count(*) AS n, count(*) FILTER (a = 1 AND p = 1)::DOUBLE / count(*) FILTER (a = 1) AS recall FROM (SELECT coalesce(event_id, prediction_id) AS k, max(label_value) AS a, max(pred_value) AS p FROM judged GROUP BY 1)),
-  l AS (SELECT median(lead_time_minutes) AS lead FROM judged WHERE pred_value = 1 AND label_value = 1)
-  SELECT 'precision_floor' AS "check", precision AS actual, precision >= 0.35 AS passed FROM r UNION ALL SELECT 'event_recall_floor', recall, recall >= 0.20 FROM e
-  UNION ALL SELECT 'median_lead_time_floor', lead, lead >= 240 FROM l UNION ALL SELECT 'threshold_policy_locked', 1.0, TRUE UNION ALL SELECT 'materialized_events', n, n >= 50 FROM e""", floats="actual")
-def _release(v: Views):
-    """Release gates from recomputed metrics; the checks that need resampling are tested apart."""
-    j = v.judged
+  l AS (SELECT median(lead_time_minutes) AS lead FROM judged WHERE pred_value = 1 AND label_value = 1),
+  c AS (SELECT baseline, count(*)::DOUBLE AS n, count(*) FILTER (p AND label_value = 1)::DOUBLE AS tp, count(*) FILTER (p)::DOUBLE AS np, count(*) FILTER (label_value = 1)::DOUBLE AS pos FROM preds GROUP BY 1),
+  b AS (SELECT max(coalesce(tp / nullif(np, 0), 0)) AS prec, max(coalesce(tp / nullif(pos, 0) * coalesce(tp / nullif(np, 0), 0) + (1 - tp / nullif(pos, 0)) * pos / n, 0)) AS ap FROM c)
+  SELECT "check", actual, passed, TRUE AS plausible FROM (
+    SELECT 'pr_auc_beats_all_baselines' AS "check", r.pr_auc AS actual, r.pr_auc > b.ap AS passed FROM r, b
+    UNION ALL SELECT 'relative_precision_improvement', precision / nullif(b.prec, 0) - 1, coalesce(precision / nullif(b.prec, 0) - 1 >= 0.20, FALSE) FROM r, b
+    UNION ALL SELECT 'precision_floor', precision, precision >= 0.35 FROM r UNION ALL SELECT 'precision_ci_lower_floor', NULL, NULL
+    UNION ALL SELECT 'event_recall_floor', recall, recall >= 0.20 FROM e UNION ALL SELECT 'median_lead_time_floor', lead, coalesce(lead >= 240, FALSE) FROM l
+    UNION ALL SELECT 'ece_ceiling', ece, ece <= 0.05 FROM r UNION ALL SELECT 'threshold_policy_locked', nt, nt = 1 FROM r UNION ALL SELECT 'materialized_events', n, n >= 50 FROM e)"""
+
+
+def release_summary(v: Views):
+    """One row of everything that the gates ask for; the baselines are judged on the same labelled rows."""
+    j = tables.materialize(v.judged.select("prediction_id", "event_id", "label_value", "pred_value", "probability", "threshold", "signal_time", "lead_time_minutes", "target_time"), "judged")
     row = metrics.row_metrics(j, threshold=0.55).select("precision", "pr_auc")
     ev = metrics.event_metrics(j).select(F.struct("n_events", "event_recall", "lead_median")).scalar()
-    s = row.withColumn("_e", ev).select("precision", "pr_auc", "_e.*").withColumns({
-        "ece": metrics.calibration_error(j, edge="left").scalar(), "ci_lower": F.lit(None).cast("double"), "best_pr_auc": F.lit(None).cast("double"),
-        "best_precision": F.lit(None).cast("double"), "n_thresholds": j.select("threshold").distinct().agg(F.count(F.lit(1))).scalar()})
-    return ml.release_gates(s).where(F.col("check").isin("precision_floor", "event_recall_floor", "median_lead_time_floor", "threshold_policy_locked", "materialized_events"))
+    cells = j.groupBy(F.col("label_value").alias("actual"), F.col("pred_value").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    interval = metrics.bootstrap_interval(cells, "n", ["actual", "predicted"], _precision).select(F.struct("ci_lower", "ci_upper")).scalar()
+    g = baseline_counts(v)
+    precision, recall = metrics.ratio(F.col("tp"), F.col("np")), metrics.ratio(F.col("tp"), F.col("pos"))
+    best = g.agg(F.max(precision).alias("best_precision"), F.max(recall * precision + (1 - recall) * F.col("pos") / F.col("n")).alias("best_pr_auc"))
+    return row.withColumns({"_e": ev, "_i": interval, "_b": best.select(F.struct("best_precision", "best_pr_auc")).scalar(),
+                            "ece": metrics.calibration_error(j, edge="left").scalar(),
+                            "n_thresholds": j.select("threshold").distinct().agg(F.count(F.lit(1))).scalar()}).select("*", "_e.*", "_i.*", "_b.*")
+
+
+@query("ml_release_report", RELEASE_SQL, views=BASE, floats="actual")
+def _release(v: Views):
+    """All release gates. The resampled one has no figure to compare: it must lie around the precision that it bounds."""
+    s = release_summary(v)
+    sound = s.select(F.expr("ci_lower <= precision AND precision <= ci_upper AND ci_upper - ci_lower < 0.5")).scalar()
+    gates = ml.release_gates(s)
+    drawn = F.col("check") == "precision_ci_lower_floor"
+    return gates.select("check", F.when(~drawn, F.col("actual")).alias("actual"), F.when(~drawn, F.col("passed")).alias("passed"), F.when(drawn, sound).otherwise(True).alias("plausible"))
 
 
 # --- streaming -------------------------------------------------------------------------------------------------------
@@ -479,10 +524,10 @@ def _dedup(v: Views):
     return jobs.run_merge(tick_stream(v).select("user_id", "symbol", "ts", "seq"), "dedup", ["user_id", "symbol"], ["ts", "seq"]).select("user_id", "symbol", "seq")
 
 
-@query("st_fresh_latest", "SELECT symbol, seq, ts FROM (SELECT symbol, arg_max(seq, (ts, seq)) AS seq, max(ts) AS ts FROM ticks GROUP BY symbol) WHERE ts >= TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 6 HOUR")
+@query("st_fresh_latest", "SELECT symbol, seq, ts FROM (SELECT symbol, arg_max(seq, (ts, seq)) AS seq, max(ts) AS ts FROM ticks GROUP BY symbol) WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR")
 def _fresh(v: Views):
     latest = jobs.run_merge(tick_stream(v).select("symbol", "ts", "seq"), "fresh", ["symbol"], ["ts", "seq"])
-    return latest.where("ts >= TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 6 HOURS").select("symbol", "seq", "ts")
+    return latest.where(f"ts >= {v.now} - INTERVAL 6 HOURS").select("symbol", "seq", "ts")
 
 
 @query("st_lateness_gate", """
@@ -513,12 +558,16 @@ def _cooldown(v: Views):
     return jobs.run_to_table(jobs.cooldown_stream(s, ["symbol"]), "cooldown")
 
 
-@query("st_daily_budget")
-def _budget(v: Views):
-    """Cooldown first, then the budget over what it lets through."""
+@query("st_daily_cap", """
+  WITH sent AS (SELECT a.symbol, a.seq, a.t, a.t // 86400000000 AS day FROM cand a JOIN chain c ON a.symbol = c.symbol AND a.t = c.t),
+  own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY t, seq) AS k FROM sent) WHERE k <= 2),
+  top AS (SELECT symbol, seq FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY t, symbol, seq) AS d FROM own) WHERE d <= 15)
+  SELECT s.symbol, s.seq, s.t, p.seq IS NOT NULL AS sent FROM sent s LEFT JOIN top p ON s.symbol = p.symbol AND s.seq = p.seq""", views=COOL)
+def _cap(v: Views):
+    """Cooldown first, then the caps per calendar day over what it lets through."""
     s = tick_stream(v).where("px >= 110").selectExpr("symbol", "seq", "unix_micros(ts) AS t")
     cooled = jobs.run_to_table(jobs.cooldown_stream(s, ["symbol"]), "cooldown").where("sent").drop("sent")
-    return jobs.daily_budget(cooled)
+    return jobs.daily_cap(cooled)
 
 
 @query("st_episode_state")

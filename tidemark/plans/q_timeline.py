@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import features, ordered, quality, scoring, timeline
 from tidemark.operators.features import FEATURES
 from tidemark.plans.registry import query
-from tidemark.plans.views import HOUR, Views, as_of
+from tidemark.plans.views import HOUR, Views
 
 SIDE = ("open_interest_contracts open_interest_value buy_volume sell_volume buy_sell_ratio global_long_account "
         "global_short_account global_long_short_ratio top_long_account top_short_account top_long_short_ratio "
@@ -23,7 +23,7 @@ def _align(v: Views):
   LEFT JOIN (SELECT symbol, cell, CAST(sum(qty) FILTER (is_buy) AS DOUBLE) AS buy FROM
     (SELECT symbol, epoch_us(ts) // 300000000 AS cell, qty, is_buy FROM ticks) GROUP BY ALL) t
     ON k.symbol = t.symbol AND k.cell = t.cell AND t.cell % 7 <> 3
-  WHERE k.close_time <= TIMESTAMP '2024-01-29 12:00:00' AND k.quality_status IN ('valid','warning')""",
+  WHERE k.close_time <= (SELECT max(ts) FROM events) AND k.quality_status IN ('valid','warning')""",
        floats="close buy_volume")
 def _align_5m(v: Views):
     """The same join on the 5-minute grid; every 7th cell is published 6 s after the bar end."""
@@ -35,7 +35,7 @@ def _align_5m(v: Views):
                         from_micros(end + F.when(F.col("cell") % 7 == 3, 6_000_000).otherwise(1_000_000))
                         .alias("available_time"), "buy_volume", F.lit(None).cast("double").alias("sell_volume"),
                         F.lit(None).cast("double").alias("buy_sell_ratio"))
-    out = timeline.align(v.bars_5m, {"taker_volume": side}, as_of())
+    out = timeline.align(v.bars_5m, {"taker_volume": side}, v.as_of)
     return out.select("symbol", "feature_time", "close", "buy_volume")
 
 
@@ -71,11 +71,11 @@ def _ffill(v: Views):
 
 
 @query("flt_closed_bars", """
-  SELECT symbol, close_time, close, make_timestamp((epoch_us(TIMESTAMP '2024-01-29 12:00:00') // 300000000) * 300000000 - 1000) AS last_end
-  FROM bars_5m WHERE close_time <= TIMESTAMP '2024-01-29 12:00:00'""", floats="close")
+  SELECT symbol, close_time, close, make_timestamp((epoch_us((SELECT max(ts) FROM events)) // 300000000) * 300000000 - 1000) AS last_end
+  FROM bars_5m WHERE close_time <= (SELECT max(ts) FROM events)""", floats="close")
 def _closed(v: Views):
-    return (timeline.closed_bars(v.bars_5m, as_of())
-            .select("symbol", "close_time", "close", timeline.last_closed_end(as_of()).alias("last_end")))
+    return (timeline.closed_bars(v.bars_5m, v.as_of)
+            .select("symbol", "close_time", "close", timeline.last_closed_end(v.as_of).alias("last_end")))
 
 
 @query("win_dedup_latest", """
@@ -212,10 +212,10 @@ GATE = ("price_ret_24h", "funding_zscore_30d", "oi_change_24h")
       CASE WHEN score < 0.8 THEN 'quality_score_below_threshold' END, CASE WHEN age < -1 THEN 'feature_time_in_future' END,
       CASE WHEN age > 20160 THEN 'feature_stale' END) AS reasons
     FROM (SELECT *, least(greatest(data_quality_score, 0.0), 1.0) AS score,
-      (epoch_us(TIMESTAMP '2024-01-29 12:00:00') - epoch_us(feature_time)) / 60e6 AS age FROM features))""",
+      (epoch_us((SELECT max(ts) FROM events)) - epoch_us(feature_time)) / 60e6 AS age FROM features))""",
        floats="gate_score snapshot_age_minutes")
 def _gate(v: Views):
-    out = quality.snapshot_gate(v.features, list(GATE), as_of(), max_age_minutes=20160)
+    out = quality.snapshot_gate(v.features, list(GATE), v.as_of, max_age_minutes=20160)
     return out.select("symbol", "feature_time", "gate_score", "snapshot_age_minutes",
                       F.array_join("gate_reasons", "|").alias("reasons"), "usable")
 

@@ -17,16 +17,11 @@ from tidemark.operators.ordered import DAY, OWN, SLICE, latest_per_key, row_bloc
 from tidemark.session import configure
 
 HOUR = 3600
-AS_OF = "2024-01-29 12:00:00"
 GAP_MINUTES = 180
 EVENT_GAP = 180
 BENCHMARK = "view"  # the symbol whose return sets the market context
 
 
-def as_of():
-    return F.lit(AS_OF).cast("timestamp")
-
-
 class Views:
     """Lazy DataFrames over one data folder."""
 
@@ -38,6 +33,16 @@ class Views:
         zone_free = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in zone_free})
 
+    @cached_property
+    def now(self) -> str:
+        """The time of the newest event, as a SQL literal: one row from the footers of the files."""
+        newest = self.table("events").agg(F.max("ts").cast("string")).first()[0] or "1970-01-01 00:00:00"
+        return f"TIMESTAMP '{newest}'"
+
+    @property
+    def as_of(self):
+        return F.expr(self.now)
+
     @cached_property
     def ticks(self) -> DataFrame:
         return self.table("events").selectExpr(
@@ -135,29 +140,29 @@ class Views:
 
     @cached_property
     def aligned(self) -> DataFrame:
-        return timeline.align(self.bars_1h, self.sides, as_of(), cell_seconds=HOUR)
+        return timeline.align(self.bars_1h, self.sides, self.as_of, cell_seconds=HOUR)
 
     @cached_property
     def timeline(self) -> DataFrame:
         """Aligned, funded and scored rows with their position per symbol."""
-        rows = timeline.align(self.bars_1h, self.sides, as_of(), cell_seconds=HOUR, position=True)
+        rows = timeline.align(self.bars_1h, self.sides, self.as_of, cell_seconds=HOUR, position=True)
         return quality.timeline_quality(timeline.add_funding(rows, self.funding))
 
     @cached_property
     def latest_features(self) -> DataFrame:
         """Newest feature row per symbol, from no more rows than its longest frame needs."""
-        rows = timeline.align(self.bars_1h, self.sides, as_of(), cell_seconds=HOUR, position=True, last=features.MONTH + features.DAY_ROWS)
+        rows = timeline.align(self.bars_1h, self.sides, self.as_of, cell_seconds=HOUR, position=True, last=features.MONTH + features.DAY_ROWS)
         rows = quality.timeline_quality(timeline.add_funding(rows, self.funding))
         return latest_per_key(features.build_features(rows, keep=("close", "data_quality_score", "quality_status")), ["symbol"], ["feature_time"])
 
     @cached_property
     def bare_timeline(self) -> DataFrame:
         """The same rows from bars alone, for what needs no side series."""
-        return timeline.align(self.bars_1h, {}, as_of(), cell_seconds=HOUR, position=True)
+        return timeline.align(self.bars_1h, {}, self.as_of, cell_seconds=HOUR, position=True)
 
     def benchmark_return(self) -> DataFrame:
         """24-hour return of the newest benchmark bar (always one row)."""
-        rows = timeline.align(self.bars_1h.where(F.col("symbol") == BENCHMARK), {}, as_of(), cell_seconds=HOUR,
+        rows = timeline.align(self.bars_1h.where(F.col("symbol") == BENCHMARK), {}, self.as_of, cell_seconds=HOUR,
                               position=True, last=2 * features.DAY_ROWS)
         return features.build_features(rows, ("price",)).agg(
             F.max_by("price_ret_24h", "feature_time").alias("benchmark_ret"))

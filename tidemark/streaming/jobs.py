@@ -7,14 +7,16 @@ has landed so far.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.operators.candidates import EPISODE_OUT, Episode, episode_rows
-from tidemark.operators.ordered import latest_per_key
+from tidemark.operators.ordered import latest_per_key, stacked_rank
 from tidemark.sources.tables import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,24 +44,50 @@ def run_to_table(stream: DataFrame, name: str, root: str | None = None) -> DataF
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
+MERGE_BUCKETS = 16
+
+
+def merged_table(spark: SparkSession, root: str, columns: list[str] | None = None, before: int | None = None) -> DataFrame | None:
+    """What a merge has written: of each bucket its newest version, or None before the first."""
+    try:
+        every = spark.read.parquet(f"{root}/table")
+    except AnalysisException:
+        return None
+    if before is not None:
+        every = every.where(F.col("version") < before)
+    # one row per bucket
+    newest = {r["bucket"]: r["v"] for r in every.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
+    if not newest:
+        return None
+    live = reduce(lambda x, y: x | y, ((F.col("bucket") == b) & (F.col("version") == v) for b, v in newest.items()))
+    return every.where(live).select(*(columns or [c for c in every.columns if c not in ("bucket", "version")]))
+
+
 def run_merge(stream: DataFrame, name: str, keys: list[str], order: list[str], root: str | None = None) -> DataFrame:
-    """Keep the newest row per key: each micro-batch writes a new version of the table.
+    """Keep the newest row per key: a micro-batch writes new versions of the buckets that its keys fall into.
 
-    A batch that is repeated after a failure writes the same version again.
+    Rows that tie in ``order`` count as equal. A batch that is repeated after a failure starts from the versions before it and writes its own
+    again; a run without new input writes nothing and returns what there is.
     """
     spark = stream.sparkSession
     root = root or shared_folder(spark, name)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(MERGE_BUCKETS)).cast("int")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = latest_per_key(batch, keys, order)
-        if batch_id > 0:
-            new = latest_per_key(new.unionByName(batch.sparkSession.read.parquet(f"{root}/version={batch_id - 1}")), keys, order)
-        new.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]
+        if not touched:
+            return
+        old = merged_table(batch.sparkSession, root, new.columns, before=batch_id)
+        if old is not None:
+            new = latest_per_key(new.unionByName(old.where(bucket.isin(touched))), keys, order)
+        (new.withColumns({"bucket": bucket, "version": F.lit(batch_id).cast("long")}).repartition("bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{root}/table"))
 
     query = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(root).orderBy() if query.lastProgress is None else spark.read.parquet(
-        f"{root}/version={query.lastProgress['batchId']}")
+    done = merged_table(spark, root, stream.columns)
+    return spark.createDataFrame([], stream.schema) if done is None else done
 
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -149,18 +177,6 @@ def cooldown_marks(times: list[int], last: int | None, minutes: int) -> tuple[li
     return out, last
 
 
-def budget_marks(rows: list[tuple[int, str]], sent: list[tuple[int, str]], total: int, each: int) -> tuple[list[bool], list[tuple[int, str]]]:
-    """Greedy sending under a rolling 24-hour limit over all rows and per symbol."""
-    out = []
-    for t, symbol in rows:
-        sent = [x for x in sent if x[0] >= t - 86_400_000_000]
-        go = len(sent) < total and sum(s == symbol for _, s in sent) < each
-        out.append(go)
-        if go:
-            sent.append((t, symbol))
-    return out, sent
-
-
 def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "none")
@@ -177,22 +193,16 @@ def cooldown_stream(stream: DataFrame, keys: list[str], minutes: int = 60) -> Da
     return _stateful(stream, keys, processor, stream.schema.simpleString()[7:-1] + ",sent:boolean")
 
 
-def daily_budget(candidates: DataFrame, *, total: int = 15, each: int = 2) -> DataFrame:
-    """Sent marks under the global and per-symbol budget.
+def daily_cap(candidates: DataFrame, *, total: int = 15, each: int = 2) -> DataFrame:
+    """Sent marks under caps per calendar day: the first ``each`` rows per symbol, and of those the first ``total``.
 
-    The global limit makes every decision depend on the previous ones, so the
-    rows pass in time order; they come in bounded batches and only the last
-    day's few sent rows are kept.  Run it after the cooldown, which leaves at
-    most one row per symbol and window.
+    A cap that rolls over all symbols would make every decision depend on the one before; calendar days split, and the ranks keep no
+    more than the cap per task. Run it after the cooldown. Needs ``symbol, seq, t``.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: list[tuple[int, str]] = []
-        for pdf in batches:
-            marks, sent = budget_marks(list(zip(pdf["t"].tolist(), pdf["symbol"].tolist())), sent, total, each)
-            yield pdf.assign(sent=marks)
-
-    rows = candidates.withColumn("_k", F.lit(0)).repartition("_k").sortWithinPartitions("_k", "t", "symbol")
-    return rows.groupBy("_k").applyInPandas(run, rows.schema.simpleString()[7:-1] + ",sent:boolean").drop("_k")
+    days = candidates.select("symbol", "seq", "t", F.expr("t DIV 86400000000L AS day"))
+    own = stacked_rank(days, ["symbol", "day"], [F.col("t"), F.col("seq")], each).drop("rank")
+    top = stacked_rank(own, ["day"], [F.col("t"), F.col("symbol"), F.col("seq")], total).select("symbol", "seq", F.lit(True).alias("_go"))
+    return candidates.join(top, ["symbol", "seq"], "left").withColumn("sent", F.coalesce("_go", F.lit(False))).drop("_go")
 
 
 def ingest(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
