@@ -25,7 +25,7 @@ from tidemark.sources.tables import materialize
 
 #: Domains and the shares of the tokens that they are to have.
 TARGETS = {"good": 0.88, "poor": 0.08, "toxic": 0.04}
-BUCKET_BITS = 18
+BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
 #: Buckets that the classifier looks at: for each domain those whose log-odds are the most standard errors from 0.

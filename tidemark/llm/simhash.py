@@ -121,7 +121,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     """
     found = near_duplicates(docs, words, radius)
     kept = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")), "kept")
-    ids = kept.select("doc_id")
+    # the ids grow with the documents, so they are always dealt like them and never sent to every task
+    ids = kept.select("doc_id").hint("shuffle_hash")
     stay = docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")
     if not kept.where("_times > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id"])
