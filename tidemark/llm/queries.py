@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, language, licenses, mixing, pii, quality, secrets, simhash, substring, tokens
+from tidemark.llm import decontaminate, language, licenses, mixing, pii, quality, secrets, simhash, sql_forms, substring, tokens
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,17 +52,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
-@query("op7_quality")
+@query("op7_quality", sql_forms.QUALITY)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality.digest(quality.quality(table(spark, folder, "documents")))
 
 
-@query("op8_decontaminate")
+@query("op8_decontaminate", sql_forms.DECONTAMINATE)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
-@query("op9_substring")
+@query("op9_substring", sql_forms.SUBSTRING)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return substring.without_repeats(table(spark, folder, "documents"))
 
