@@ -12,7 +12,7 @@ import time
 
 HEADLINE = ("flagship_latest_scored", "join_align_5m", "join_asof_backward", "join_features_assemble", "feat_group_price", "label_v1_horizons",
             "label_triple_barrier", "win_sessionize_events", "met_row", "met_event", "met_psi_quantile", "ml_threshold_sweep", "win_best_runup",
-            "win_pump_daily", "topk_universe_quota", "outcome_filter_tape", "score_stage", "norm_kline", "st_tumbling_bars", "st_cooldown")
+            "win_pump_daily", "topk_universe_quota", "outcome_filter_tape", "score_stage", "norm_kline", "st_tumbling_bars", "st_cooldown", "feat_line_daily", "ind_line_atr", "met_line_row")
 
 
 def main() -> None:
@@ -20,10 +20,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from tidemark.plans.catalog import QUERIES
-    from tidemark.session import build_session
+    from tidemark.session import build_session, scratch_folder
 
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.log.level": "ERROR",
+        "spark.sql.shuffle.partitions": cpus, "spark.checkpoint.dir": scratch_folder(), "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.log.level": "ERROR",
         "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false"})
     # start the JVM's and the Python workers' machinery outside the timings
     spark.range(1000).groupBy("id").applyInPandas(lambda p: p, "id long").count()

@@ -8,8 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidemark.session import build_session
+    from tidemark.session import build_session, scratch_folder
     session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-                                                    "spark.log.level": "ERROR", "spark.driver.memory": "4g"})
+                                                    "spark.log.level": "ERROR", "spark.driver.memory": "4g", "spark.checkpoint.dir": scratch_folder()})
     yield session
     session.stop()

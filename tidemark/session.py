@@ -1,6 +1,8 @@
 """Session settings the operators rely on."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Runtime settings that change results or plans; none is machine specific.
@@ -28,3 +30,7 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
+
+def scratch_folder() -> str:
+    """A new folder for ``spark.checkpoint.dir`` of a session on this machine alone."""
+    return f"/tmp/spark-{uuid.uuid4().hex[:12]}"
