@@ -4,7 +4,7 @@ A window is 13 consecutive words of a document. A window that also starts in a d
 words that a repeat covers are removed.
 
 1. Words become 64-bit hashes. Each window has an *anchor*, the least hash among its four-word grams; equal windows have equal
-   anchors, so anchors that one document alone has need no further look. Anchors that very many documents of a bounded
+   anchors, so anchors that one document alone has need no further look. Grams that very many documents of a bounded
    sample have are taken to be shared without counting, and are chosen only by windows that have no other gram.
 2. Runs of windows with one shared anchor are *segments*. Segments go to the shard of their anchor, so equal windows meet in one shard.
    Of equal segments in one batch only that of the least id goes; the others are repeats of it as a whole.
@@ -37,11 +37,12 @@ GRAM = 4
 SHARD_BYTES = 6 << 20
 #: Text bytes that are hashed and cut at a time.
 SLICE_BYTES = 1 << 20
-#: Documents of the sample that shows frequent anchors, and the share of them (at least so many) that makes one frequent.
-SAMPLE_DOCS = 10_000
-FREQUENT_SHARE = 0.002
-FREQUENT_DOCS = 50
+#: Documents of the sample that shows frequent grams, and the share of them (at least so many) that makes one frequent.
+SAMPLE_DOCS = 4000
+FREQUENT_SHARE = 0.005
+FREQUENT_DOCS = 20
 
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 _GRAM_WEIGHTS = np.random.default_rng(613).integers(0, 2**62, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -64,19 +65,24 @@ class Segments:
         self.hashes, self.row_start, self.row, self.first, self.words, self.anchor, self.content = map(np.concatenate, zip(*parts))
 
 
-def _segments(texts: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its row, hash of the gram that begins with each word); grams over the border of two rows mean nothing."""
     data, offsets = text_bytes(texts)
     starts, ends, row = words_of(data, offsets)
     h = hash_words(data, starts, ends)
+    grams = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
+    for j in range(GRAM):
+        grams += h[j:len(grams) + j] * _GRAM_WEIGHTS[j]
+    return h, row, mixed(grams)
+
+
+def _segments(texts: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    h, row, grams = _grams(texts)
     n = len(h)
     row_start = np.searchsorted(row, np.arange(len(texts)))
     if n < WINDOW:
         none = np.zeros(0, np.int64)
         return h, row_start, none, none, none, none.view(np.uint64), none.view(np.uint64)
-    grams = np.zeros(n - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        grams += h[j:n - GRAM + 1 + j] * _GRAM_WEIGHTS[j]
-    grams = mixed(grams)
     value = grams >> np.uint64(1)
     if len(frequent):
         value |= in_sorted(grams, frequent).astype(np.uint64) << np.uint64(63)
@@ -107,28 +113,46 @@ def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _anchor_rows(docs: DataFrame, frequent) -> DataFrame:
-    """(anchor, doc_id) of the segments whose anchor is not known to be frequent."""
-    schema = "anchor long, doc_id long"
+def _once(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places of the distinct (row, value) pairs."""
+    return np.unique(mixed(value + row.astype(np.uint64) * _SALT), return_index=True)[1]
+
+
+def _pairs(docs: DataFrame, name: str, pairs) -> DataFrame:
+    """(name, doc_id): distinct values of each row of documents, from a function of a batch's texts."""
+    schema = f"{name} long, doc_id long"
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value if frequent is not None else np.zeros(0, np.uint64)
         for batch in batches:
-            s = Segments(batch.column(1), known)
-            rare = ~in_sorted(s.anchor, known)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(s.anchor[rare].view(np.int64)), pa.array(ids[s.row[rare]].astype(np.int64))], schema=out)
+            row, value = pairs(batch.column(1))
+            one = _once(row, value)
+            yield pa.RecordBatch.from_arrays([pa.array(value[one].view(np.int64)), pa.array(ids[row[one]].astype(np.int64))], schema=out)
 
     return docs.mapInArrow(run, schema)
 
 
-def frequent_anchors(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Anchors that many documents of a bounded sample have, sorted."""
+def _anchor_rows(docs: DataFrame, frequent) -> DataFrame:
+    """(anchor, doc_id) of the segments whose anchor is not known to be frequent."""
+    def pairs(texts):
+        s = Segments(texts, frequent.value)
+        rare = ~in_sorted(s.anchor, frequent.value)
+        return s.row[rare], s.anchor[rare]
+    return _pairs(docs, "anchor", pairs)
+
+
+def frequent_grams(docs: DataFrame, n_docs: int) -> np.ndarray:
+    """Grams that many documents of a bounded sample have, sorted: no more than the sample's grams by the least count."""
+    def pairs(texts):
+        _, row, grams = _grams(texts)
+        inside = np.flatnonzero(row[:len(grams)] == row[GRAM - 1:]) if len(grams) else np.zeros(0, np.int64)
+        return row[inside], grams[inside]
+
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("anchors")), F.lit(1 << 20)) < math.ceil(min(1.0, SAMPLE_DOCS / max(1, n_docs)) * (1 << 20)))
     least = max(FREQUENT_DOCS, int(FREQUENT_SHARE * min(n_docs, SAMPLE_DOCS)))
-    many = _anchor_rows(drawn, None).distinct().groupBy("anchor").count().where(F.col("count") >= least).select("anchor").toPandas()
-    return np.sort(many["anchor"].to_numpy(np.int64).view(np.uint64))
+    many = _pairs(drawn, "gram", pairs).groupBy("gram").count().where(F.col("count") >= least).select("gram").toPandas()
+    return np.sort(many["gram"].to_numpy(np.int64).view(np.uint64))
 
 
 PIECES = "shard int, dictionary binary, codes binary, sizes binary, owner binary, place binary, ids binary, prints binary, spans binary"
@@ -157,9 +181,8 @@ def _cut(joined: DataFrame, shards: int, frequent) -> DataFrame:
             lists = shared.fill_null([]) if shared.null_count else shared
             told_row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             told = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            salt = np.uint64(0x9E3779B97F4A7C15)
-            pair = np.sort(mixed(told + told_row.astype(np.uint64) * salt))
-            use = np.flatnonzero(in_sorted(s.anchor, known) | in_sorted(mixed(s.anchor + s.row.astype(np.uint64) * salt), pair))
+            pair = np.sort(mixed(told + told_row.astype(np.uint64) * _SALT))
+            use = np.flatnonzero(in_sorted(s.anchor, known) | in_sorted(mixed(s.anchor + s.row.astype(np.uint64) * _SALT), pair))
             # rows without an id are never smaller or larger than another
             real = pc.is_valid(ids).to_numpy(zero_copy_only=False)
             use = use[real[s.row[use]]]
@@ -281,7 +304,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_docs, n_bytes = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, math.ceil(n_bytes / SHARD_BYTES))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs, n_docs))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, n_docs))
     rows = _anchor_rows(docs.where(F.col("doc_id").isNotNull()), frequent)
     same = Window.partitionBy("anchor")
     shared = rows.select("anchor", "doc_id", F.min("doc_id").over(same).alias("least"), F.max("doc_id").over(same).alias("most")).where("least < most")
