@@ -116,3 +116,15 @@ def test_run_up_counts_lows_for_later_bars_only(spark):
     df = spark.createDataFrame(rows, "symbol string, open_time timestamp, close_time timestamp, open double, high double, low double, close double")
     got = [r["ret_24"] for r in candidates.run_ups(df).orderBy("scan_time").collect()]
     assert [round(x, 6) for x in got] == [round(x, 6) for x in (0.01, 150 / 99 - 1, 110 / 50 - 1)]
+
+
+def test_universe_forces_an_eligible_benchmark(spark):
+    rows = [(f"C{i:02d}USDT", 1e9 - i * 1e6, float(i % 7)) for i in range(30)] + [("BTCUSDT", 1.0, 0.0)]
+    eligible = spark.createDataFrame(rows, "symbol string, quote_volume double, change_pct double")
+    pinned = spark.createDataFrame([("c29usdt", 1)], "symbol string, position int")
+    got = [r["symbol"] for r in selection.comparison_universe(eligible, pinned, 10).collect()]
+    without = [r["symbol"] for r in selection.comparison_universe(eligible.where("symbol <> 'BTCUSDT'"), pinned, 10).collect()]
+    assert len(got) == len(without) == 10 and "BTCUSDT" in got and "C29USDT" in got
+    assert len(set(without) - set(got)) == 1 and len(set(got) - set(without)) == 1
+    volume = spark.createDataFrame([("BTCUSDT", 9e12, 50.0)], eligible.schema).unionByName(eligible.where("symbol <> 'BTCUSDT'"))
+    assert sorted(r["symbol"] for r in selection.comparison_universe(volume, pinned, 10).collect()).count("BTCUSDT") == 1

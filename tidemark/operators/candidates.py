@@ -53,24 +53,25 @@ def pump_windows(daily: DataFrame, days: int = 5) -> DataFrame:
     """Strongest rise from a day's open to the highest high of the next 1..``days`` days, per symbol.
 
     The earliest start and then the shortest window wins a tie.  Days count by row.
+    The newest close and volume come from the same pass.
     """
     b = row_blocks(with_position(daily, ["symbol"], ["feature_time"], "feature_time", span=365 * DAY), "_pos", 4096, after=days)
     w = f"OVER (PARTITION BY symbol, {SLICE} ORDER BY _pos"
-    b = b.selectExpr("symbol", "_pos", "open", OWN, *[
+    b = b.selectExpr("symbol", "_pos", "open", "close", "quote_volume", OWN, *[
         f"CASE WHEN lead(high, {k}) {w}) IS NOT NULL THEN max(high) {w} ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING) END AS top_{k}"
         for k in range(1, days + 1)])
-    each = b.where(OWN).where("open > 0").selectExpr(
-        "symbol", "_pos", f"inline(array({', '.join(f'struct({k} AS pump_days, top_{k} AS peak_price, top_{k} / open - 1 AS pump_pct)' for k in range(1, days + 1))}))")
-    best = each.where("pump_pct > 0").groupBy("symbol").agg(
-        F.max_by(F.struct("pump_pct", "pump_days", "peak_price"), F.struct("pump_pct", -F.col("_pos"), -F.col("pump_days"))).alias("b"))
-    return best.select("symbol", "b.*")
+    each = b.where(OWN).selectExpr(
+        "symbol", "_pos", "open", "close", "quote_volume", f"inline(array({', '.join(f'struct({k} AS pump_days, top_{k} AS peak_price, try_divide(top_{k}, open) - 1 AS pump_pct)' for k in range(1, days + 1))}))")
+    rise = F.when(F.expr("open > 0 AND pump_pct > 0"), F.struct("pump_pct", -F.col("_pos"), -F.col("pump_days")))
+    best = each.groupBy("symbol").agg(F.max_by(F.struct("pump_pct", "pump_days", "peak_price"), rise).alias("b"),
+                                      F.max_by(F.struct("close", "quote_volume"), "_pos").alias("l"), F.count(rise).alias("n"))
+    return best.where("n > 0").select("symbol", "b.*", "l.*")
 
 
 def pump_candidates(daily: DataFrame, *, min_pump: float = 0.5, max_pump: float = 5.0, keep: float = 0.7, min_volume: float = 500_000,
                     days: int = 5) -> DataFrame:
     """Symbols that rose strongly, have not yet fallen back, and trade enough."""
-    last = daily.groupBy("symbol").agg(F.max_by(F.struct("close", "quote_volume"), "feature_time").alias("l")).select("symbol", "l.*")
-    c = pump_windows(daily, days).join(last, "symbol").withColumn("current_vs_peak", F.col("close") / F.col("peak_price"))
+    c = pump_windows(daily, days).withColumn("current_vs_peak", F.col("close") / F.col("peak_price"))
     return c.where(F.col("pump_pct").between(min_pump, max_pump) & (F.col("current_vs_peak") >= keep) & (F.col("quote_volume") >= min_volume))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def scan_list(manual: DataFrame, automatic: DataFrame, cap: int, benchmark: str
     return out.join(extra.select("slot"), "slot", "left_anti").select("symbol", "slot").unionByName(extra)
 
 
-def comparison_universe(eligible: DataFrame, pinned: DataFrame, target: int, movement_share: float = 0.70) -> DataFrame:
+def comparison_universe(eligible: DataFrame, pinned: DataFrame, target: int, movement_share: float = 0.70, benchmark: str = BENCHMARK_SYMBOL) -> DataFrame:
     """Pinned symbols, then most of the rest by movement and the remainder by volume.
 
     Only the first ``2*target`` rows of each ordering can matter, so all
@@ -99,7 +100,19 @@ def comparison_universe(eligible: DataFrame, pinned: DataFrame, target: int, mov
     first = pins.unionByName(move.select(*pins.columns))
     left = F.lit(target) - first.agg(F.count(F.lit(1))).scalar()
     rest = bounded("volume", first.select("symbol")).where(F.col("source_rank") <= left)
-    return first.unionByName(rest.select(*pins.columns))
+    return _with_benchmark(first.unionByName(rest.select(*pins.columns)), eligible.where(F.col("symbol") == benchmark), target)
+
+
+def _with_benchmark(chosen: DataFrame, benchmark: DataFrame, target: int) -> DataFrame:
+    """An eligible benchmark that was not chosen takes a free place or that of the last symbol; at most ``target`` + 1 rows are ranked."""
+    spare = benchmark.withColumns({"source": F.lit("benchmark"), "source_rank": F.lit(0)}).select(*chosen.columns)
+    place = F.when(F.col("source") == "pinned", 0).when(F.col("source") == "movement", 1).when(F.col("source") == "volume", 2).otherwise(3)
+    rows = chosen.unionByName(spare).withColumn("_place", place)
+    rows = ranked(rows, [F.col("_place"), F.col("source_rank"), F.col("symbol")], "_slot")
+    name = F.max(F.when(F.col("_place") == 3, F.col("symbol"))).over(Window.partitionBy())
+    rows = rows.withColumn("_name", name).withColumn("_has", F.coalesce(F.max((F.col("_place") < 3) & (F.col("symbol") == F.col("_name"))).over(Window.partitionBy()), F.lit(False)))
+    force = F.col("_name").isNotNull() & ~F.col("_has")
+    return rows.where(F.when(F.col("_place") == 3, force).otherwise(~(force & (F.col("_slot") == target)))).select(*chosen.columns)
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -108,6 +121,18 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: Sequence[str], order
     return once.join(existing.select(*key), list(key), "left_anti")
 
 
+def append_new(incoming: DataFrame, path: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Append the rows whose key the table at ``path`` doesn't have; a repeated run appends nothing. Returns the table."""
+    spark = incoming.sparkSession
+    try:
+        existing = spark.read.schema(incoming.schema).parquet(path)
+        rows = new_rows(incoming, existing, key, order)
+    except AnalysisException:
+        rows = first_per_key(incoming, list(key), list(order))
+    rows.write.mode("append").parquet(path)
+    return spark.read.schema(incoming.schema).parquet(path)
+
+
 def latest_snapshot(scans: DataFrame, limit: int = 200) -> DataFrame:
     """Newest row per symbol, best score first."""
     from tidemark.operators.ordered import latest_per_key

@@ -8,6 +8,7 @@ from tidemark.plans.q_labels import PENDING, open_predictions, outcomes
 from tidemark.plans.q_metrics import labelled_features
 from tidemark.plans.registry import query
 from tidemark.plans.views import Views
+from tidemark.sources.tables import materialize, shared_folder
 
 NOW = "(SELECT max(ts) FROM events)"
 
@@ -315,17 +316,23 @@ def _historical(v: Views):
 
 
 @query("sink_append_idempotent", """
-  SELECT user_id, cell, min(seq) AS seq FROM (SELECT user_id, epoch_us(ts) // 3600000000 AS cell, seq FROM ticks) a
-  WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id AS u, epoch_us(ts) // 3600000000 AS c FROM ticks WHERE seq % 5 = 0) b WHERE b.u = a.user_id AND b.c = a.cell) GROUP BY user_id, cell""")
+  SELECT user_id, epoch_us(ts) // 3600000000 AS cell, coalesce(min(seq) FILTER (seq % 5 = 0), min(seq)) AS seq FROM ticks GROUP BY ALL""")
 def _append(v: Views):
     t = v.ticks.selectExpr("user_id", "unix_micros(ts) DIV 3600000000L AS cell", "seq")
-    return selection.new_rows(t, t.where("seq % 5 = 0").select("user_id", "cell").distinct(), ["user_id", "cell"], ["seq"])
+    path = shared_folder(v.spark, "appended")
+    # a first load of some rows, then all of them, and all of them again
+    for rows in (t.where("seq % 5 = 0"), t, t):
+        table = selection.append_new(rows, path, ["user_id", "cell"], ["seq"])
+    return table
 
 
 @query("sink_latest_snapshot", """
   SELECT symbol, seq, score FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS rn FROM scans) WHERE rn = 1 ORDER BY score DESC, symbol LIMIT 200""", floats="score")
 def _snapshot(v: Views):
-    return selection.latest_snapshot(v.scans).select("symbol", "seq", "score")
+    newest = selection.latest_snapshot(v.scans).select("symbol", "seq", "score")
+    path = shared_folder(v.spark, "snapshot")
+    newest.coalesce(1).write.mode("overwrite").json(path)
+    return v.spark.read.schema(newest.schema).json(path).orderBy(F.col("score").desc(), "symbol")
 
 
 @query("sink_backfill_hits", """
@@ -333,7 +340,7 @@ def _snapshot(v: Views):
   LEFT JOIN alerts b USING (symbol, signal_time)""")
 def _backfill(v: Views):
     open_ = v.alerts.selectExpr("symbol", "signal_time", "CASE WHEN cell % 3 = 0 THEN hit END AS hit", "CASE WHEN cell % 3 = 0 THEN hit_time END AS hit_time")
-    return selection.fill_missing_hits(open_, v.alerts).select("symbol", "signal_time", "hit", "filled")
+    return materialize(selection.fill_missing_hits(open_, v.alerts), "alerts").select("symbol", "signal_time", "hit", "filled")
 
 
 @query("met_filter_comparison", """
