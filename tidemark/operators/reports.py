@@ -198,3 +198,61 @@ def promotion_metrics(df: DataFrame) -> DataFrame:
     t = df.groupBy("arm").agg(F.count(F.lit(1)).alias("resolved"), F.count_if(sel).alias("selected_resolved"), F.count_if(sel & (F.col("label_value") == 1)).alias("tp"),
                               F.count_if(F.col("label_value") == 1).alias("positive_anchors"))
     return t.withColumns({"anchor_precision": ratio(F.col("tp"), F.col("selected_resolved")), "anchor_recall": ratio(F.col("tp"), F.col("positive_anchors"))})
+
+
+def filter_comparison(decisions: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row per arm of candidate filters: anchors, truth events, episodes, lead times and false candidates.
+
+    ``decisions``: ``arm, symbol, signal_time, selected, rank, episode_id, label_value``.  ``truth``: ``symbol, signal_time, truth_event,
+    event_target`` of the positive anchors, the same for all arms.  An event counts as caught from its earliest selected anchor, an
+    episode by its first selected anchor; a missing ratio is NULL.
+    """
+    d = decisions.join(truth, ["symbol", "signal_time"], "left")
+    day = F.greatest(F.lit(1.0), (F.max(F.unix_micros("signal_time")) - F.min(F.unix_micros("signal_time"))) / 86_400_000_000)
+    base = d.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("anchors"), F.count("label_value").alias("resolved"), F.count_if(F.expr("selected AND label_value IS NOT NULL")).alias("selected_resolved"),
+        F.count_if(F.expr("selected AND label_value = 1")).alias("tp"), F.count_if(F.col("label_value") == 1).alias("positive_anchors"),
+        F.count_if(F.expr("selected AND rank <= 10 AND label_value IS NOT NULL")).alias("_n10"), F.count_if(F.expr("selected AND rank <= 10 AND label_value = 1")).alias("_tp10"),
+        day.alias("_days"), F.count_distinct(F.to_date("signal_time")).alias("evaluation_days"))
+    events = d.where("truth_event IS NOT NULL").groupBy("arm", "truth_event").agg(
+        F.min("event_target").alias("_target"), F.min(F.when(F.expr("selected AND label_value = 1"), F.col("signal_time"))).alias("_first"))
+    lead = events.where("_first IS NOT NULL").withColumn("_lead", F.greatest(F.lit(0.0), (F.unix_micros("_target") - F.unix_micros("_first")) / 6e7))
+    leads = exact_percentiles(lead, ["arm"], F.col("_lead"), {"median_lead_time_minutes": 0.5}).drop("n_values")
+    events = events.groupBy("arm").agg(F.count(F.lit(1)).alias("positive_events"), F.count("_first").alias("caught_events"))
+    first = d.where("selected AND label_value IS NOT NULL AND episode_id IS NOT NULL").groupBy("arm", "episode_id").agg(
+        F.min_by("label_value", F.struct("signal_time", "symbol")).alias("y"))
+    episodes = first.groupBy("arm").agg(F.count(F.lit(1)).alias("episodes_resolved"), F.count_if(F.col("y") == 1).alias("_good"), F.count_if(F.col("y") == 0).alias("_bad"))
+    t = base.join(events, "arm", "left").join(leads, "arm", "left").join(episodes, "arm", "left").na.fill(
+        0, ["positive_events", "caught_events", "episodes_resolved", "_good", "_bad"])
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    return t.withColumns({
+        "anchor_precision": share("tp", "selected_resolved"), "anchor_recall": share("tp", "positive_anchors"), "event_recall": share("caught_events", "positive_events"),
+        "precision_at_10": share("_tp10", "_n10"), "episode_precision": share("_good", "episodes_resolved"),
+        "false_candidates_per_day": F.col("_bad") / F.col("_days")}).drop("_n10", "_tp10", "_days", "_good", "_bad")
+
+
+# Floors of the promotion of a filter.
+PROMOTION = {"resolved": 200, "events": 50, "days": 14, "event_recall": 0.80, "gain": 0.10, "recall_loss": 0.05}
+
+
+def promotion_gates(comparison: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+    """Gates of the challenger against the champion, one row each with the reason that it gives when it fails.
+
+    ``intervals`` has one row with the lower ends ``precision_low`` and ``recall_low`` of the paired differences; without it those two
+    gates are NULL.  No gate is decided (NULL) before there is enough data.
+    """
+    p = PROMOTION
+    row = comparison.groupBy().agg(*[F.max_by(F.struct("*"), F.when(F.col("arm") == arm, 1)).alias(name) for arm, name in (("champion", "a"), ("challenger", "b"))])
+    low = intervals.select(F.struct("precision_low", "recall_low")).scalar() if intervals is not None else F.expr(
+        "CAST(NULL AS STRUCT<precision_low: DOUBLE, recall_low: DOUBLE>)")
+    row = row.withColumn("i", low)
+    enough = (f"least(a.resolved, b.resolved) >= {p['resolved']} AND a.positive_events >= {p['events']} AND greatest(a.evaluation_days, b.evaluation_days) >= {p['days']}")
+    gates = (("insufficient_resolved_outcomes", f"least(a.resolved, b.resolved) >= {p['resolved']}", False), ("insufficient_positive_events", f"a.positive_events >= {p['events']}", False),
+             ("evaluation_window_too_short", f"greatest(a.evaluation_days, b.evaluation_days) >= {p['days']}", False),
+             ("precision_at_10_gate_failed", f"coalesce(b.precision_at_10 >= a.precision_at_10 * {1 + p['gain']}D, false)", True),
+             ("precision_ci_gate_failed", "i.precision_low > 0", True), ("recall_guardrail_failed", f"coalesce(b.event_recall >= a.event_recall - {p['recall_loss']}D, false)", True),
+             ("recall_ci_guardrail_failed", f"i.recall_low >= -{p['recall_loss']}D", True),
+             ("false_candidate_guardrail_failed", "b.false_candidates_per_day <= a.false_candidates_per_day", True),
+             ("minimum_event_recall_failed", f"coalesce(b.event_recall >= {p['event_recall']}D, false)", True))
+    arms = ", ".join(f"named_struct('reason', '{n}', 'passed', {f'CASE WHEN {enough} THEN {e} END' if late else e})" for n, e, late in gates)
+    return row.selectExpr(f"inline(array({arms}))")

@@ -343,21 +343,68 @@ def _backfill(v: Views):
     return materialize(selection.fill_missing_hits(open_, v.alerts), "alerts").select("symbol", "signal_time", "hit", "filled")
 
 
-@query("met_filter_comparison", """
-  WITH d AS (SELECT r.symbol, r.signal_time, r.probability, l.label_value, l.event_id, x.a AS arm, x.s AS selected FROM (SELECT *, unnest([{'a': 'champion', 's': probability >= 0.5},
-      {'a': 'challenger', 's': ret_1 >= 0}]) AS x FROM rule_probs) r JOIN label_events l USING (symbol, signal_time) WHERE l.label_value IS NOT NULL)
-  SELECT arm, count(*) AS resolved, count(*) FILTER (selected) AS selected_resolved, count(*) FILTER (selected AND label_value = 1) AS tp, count(*) FILTER (label_value = 1) AS positive_anchors,
-    count(*) FILTER (selected AND label_value = 1) / count(*) FILTER (selected)::DOUBLE AS anchor_precision, count(*) FILTER (selected AND label_value = 1) / count(*) FILTER (label_value = 1)::DOUBLE AS anchor_recall,
-    count(DISTINCT event_id) FILTER (selected AND label_value = 1) AS caught_events, count(DISTINCT event_id) AS positive_events,
-    count(DISTINCT event_id) FILTER (selected AND label_value = 1) / count(DISTINCT event_id)::DOUBLE AS event_recall,
-    max(p10) AS precision_at_10 FROM d JOIN (SELECT arm, avg(label_value) AS p10 FROM (SELECT arm, label_value, row_number() OVER (PARTITION BY arm, CAST(signal_time AS DATE) ORDER BY probability DESC, signal_time, symbol) AS rk
-      FROM d WHERE selected) WHERE rk <= 10 GROUP BY arm) USING (arm) GROUP BY arm""", floats="anchor_precision anchor_recall event_recall precision_at_10")
+COMPARE = {
+    "truth": """
+  SELECT symbol, signal_time, symbol || '_' || (epoch_us(min(target_time) OVER (PARTITION BY symbol, g)) // 1000000) AS truth_event, min(target_time) OVER (PARTITION BY symbol, g) AS event_target FROM (
+    SELECT *, sum(nw) OVER (PARTITION BY symbol ORDER BY target_time, signal_time ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT symbol, signal_time, target_time,
+      CASE WHEN lag(target_time) OVER w IS NULL OR epoch_us(target_time) - epoch_us(lag(target_time) OVER w) >= 14400000000 THEN 1 ELSE 0 END AS nw
+      FROM labels_24 WHERE label_value = 1 WINDOW w AS (PARTITION BY symbol ORDER BY target_time, signal_time)))""",
+    "fdec": """
+  SELECT *, CASE WHEN selected THEN row_number() OVER (PARTITION BY arm, signal_time, selected ORDER BY probability DESC, symbol) END AS rank FROM (
+    SELECT r.symbol, r.signal_time, r.probability, l.label_value, x.a AS arm, x.s AS selected, r.symbol || '-' || (epoch_us(r.signal_time) // 43200000000) AS episode_id
+    FROM (SELECT *, unnest([{'a': 'champion', 's': probability >= 0.5}, {'a': 'challenger', 's': ret_1 >= 0}]) AS x FROM rule_probs) r JOIN labels_24 l USING (symbol, signal_time))""",
+    "fbase": """
+  SELECT arm, count(*) AS anchors, count(label_value) AS resolved, count(*) FILTER (selected AND label_value IS NOT NULL) AS selected_resolved, count(*) FILTER (selected AND label_value = 1) AS tp,
+    count(*) FILTER (label_value = 1) AS positive_anchors, count(DISTINCT CAST(signal_time AS DATE)) AS evaluation_days,
+    count(*) FILTER (selected AND rank <= 10 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (selected AND rank <= 10 AND label_value IS NOT NULL), 0) AS precision_at_10,
+    greatest(1.0, (epoch_us(max(signal_time)) - epoch_us(min(signal_time))) / 86400e6) AS days FROM fdec GROUP BY arm""",
+    "fev": """
+  SELECT arm, truth_event, min(event_target) AS target, min(signal_time) FILTER (selected AND label_value = 1) AS first_ FROM fdec JOIN truth USING (symbol, signal_time) GROUP BY arm, truth_event""",
+    "fevents": """
+  SELECT arm, count(*) AS positive_events, count(first_) AS caught_events, median(greatest(0.0, (epoch_us(target) - epoch_us(first_)) / 6e7)) FILTER (first_ IS NOT NULL) AS median_lead_time_minutes FROM fev GROUP BY arm""",
+    "fepi": """
+  SELECT arm, count(*) AS episodes_resolved, count(*) FILTER (y = 1) AS good, count(*) FILTER (y = 0) AS bad FROM (
+    SELECT arm, episode_id, arg_min(label_value, (signal_time, symbol)) AS y FROM fdec WHERE selected AND label_value IS NOT NULL GROUP BY ALL) GROUP BY arm""",
+    "fcmp": """
+  SELECT arm, anchors, resolved, selected_resolved, tp, positive_anchors, evaluation_days, positive_events, caught_events, median_lead_time_minutes, episodes_resolved,
+    tp::DOUBLE / nullif(selected_resolved, 0) AS anchor_precision, tp::DOUBLE / nullif(positive_anchors, 0) AS anchor_recall, caught_events::DOUBLE / nullif(positive_events, 0) AS event_recall, precision_at_10,
+    good::DOUBLE / nullif(episodes_resolved, 0) AS episode_precision, bad / days AS false_candidates_per_day FROM fbase JOIN fevents USING (arm) JOIN fepi USING (arm)"""}
+
+
+@query("met_filter_comparison", "SELECT * FROM fcmp", views=COMPARE,
+       floats="median_lead_time_minutes anchor_precision anchor_recall event_recall precision_at_10 episode_precision false_candidates_per_day")
 def _comparison(v: Views):
-    r = v.rule_probs.selectExpr("symbol", "signal_time", "probability", "inline(array(struct('champion' AS arm, probability >= 0.5D AS selected), struct('challenger' AS arm, ret_1 >= 0D AS selected)))")
-    d = r.join(v.label_events.where("label_value IS NOT NULL").select("symbol", "signal_time", "label_value", "event_id"), ["symbol", "signal_time"])
-    base = reports.promotion_metrics(d)
-    ev = d.where("event_id IS NOT NULL").groupBy("arm", "event_id").agg(F.max(F.expr("selected AND label_value = 1")).alias("c"))
-    ev = ev.groupBy("arm").agg(F.count_if("c").alias("caught_events"), F.count(F.lit(1)).alias("positive_events"))
-    top = ordered.stacked_rank(d.where("selected").withColumn("day", F.to_date("signal_time")), ["arm", "day"], [F.col("probability").desc(), F.col("signal_time"), F.col("symbol")], 10)
-    p10 = top.groupBy("arm").agg(F.avg("label_value").alias("precision_at_10"))
-    return base.join(ev, "arm").join(p10, "arm").withColumn("event_recall", F.col("caught_events") / F.col("positive_events"))
+    return compared(v)
+
+
+def compared(v: Views):
+    # the labels are read for the decisions and for the truth events
+    lab = materialize(v.labels.select("symbol", "signal_time", "label_value", "target_time"), "labels")
+    return reports.filter_comparison(filter_decisions(v, lab), truth_rows(lab))
+
+
+def filter_decisions(v: Views, lab):
+    r = v.rule_probs.selectExpr("symbol", "signal_time", "probability", "concat_ws('-', symbol, CAST(unix_micros(signal_time) DIV 43200000000L AS STRING)) AS episode_id",
+                                "inline(array(struct('champion' AS arm, probability >= 0.5D AS selected), struct('challenger' AS arm, ret_1 >= 0D AS selected)))")
+    d = r.join(lab.select("symbol", "signal_time", "label_value"), ["symbol", "signal_time"])
+    # ranks are kept with the decisions: one per scan, over the symbols of the scan
+    return d.withColumn("rank", F.when(F.col("selected"), F.expr("row_number() OVER (PARTITION BY arm, signal_time, selected ORDER BY probability DESC, symbol)")))
+
+
+def truth_rows(lab):
+    from tidemark.operators.candidates import truth_events
+    t = truth_events(lab.where("label_value = 1"))
+    return t.select("symbol", "signal_time", "truth_event", F.expr("min(target_time) OVER (PARTITION BY truth_event) AS event_target"))
+
+
+@query("met_filter_gates", """
+  WITH x AS (SELECT least(a.resolved, b.resolved) >= 200 AS g1, a.positive_events >= 50 AS g2, greatest(a.evaluation_days, b.evaluation_days) >= 14 AS g3,
+      coalesce(b.precision_at_10 >= a.precision_at_10 * 1.1::DOUBLE, FALSE) AS p1, coalesce(b.event_recall >= a.event_recall - 0.05::DOUBLE, FALSE) AS p2,
+      b.false_candidates_per_day <= a.false_candidates_per_day AS p3, coalesce(b.event_recall >= 0.8::DOUBLE, FALSE) AS p4 FROM fcmp a, fcmp b WHERE a.arm = 'champion' AND b.arm = 'challenger')
+  SELECT unnest(['insufficient_resolved_outcomes','insufficient_positive_events','evaluation_window_too_short','precision_at_10_gate_failed','recall_guardrail_failed','false_candidate_guardrail_failed',
+      'minimum_event_recall_failed','precision_ci_gate_failed','recall_ci_guardrail_failed']) AS reason,
+    unnest([g1, g2, g3, CASE WHEN g1 AND g2 AND g3 THEN p1 END, CASE WHEN g1 AND g2 AND g3 THEN p2 END, CASE WHEN g1 AND g2 AND g3 THEN p3 END, CASE WHEN g1 AND g2 AND g3 THEN p4 END, NULL, NULL]) AS passed FROM x""",
+       views=COMPARE)
+def _gates(v: Views):
+    """The gates that need no resampling; the two interval gates stay open here and are tested with given intervals."""
+    return reports.promotion_gates(materialize(compared(v), "comparison"))
