@@ -126,6 +126,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
                   values: Sequence[str], span: int = DAY, max_age: int | None = None) -> DataFrame:
     """Attach the newest right row with ``right_t <= left_t``; NULL when there is none.
 
+    Of right rows at one time that with the largest values counts, so a repeated run gives the same.
+
     With ``max_age`` (seconds) right rows only need copying that far ahead and
     one shuffle of the union of both sides on (key, time slice) does the join;
     a match older than that may come back as NULL.  Without it, what a slice
@@ -135,7 +137,7 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
          .withColumn(SLICE, grid("_t", span)))
     b = (right.where(F.col(right_t).isNotNull())
          .select(*keys, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_r")))
-    w = Window.partitionBy(*keys, SLICE).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, SLICE).orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     if max_age is not None:
         b = time_slices(b, "_t", span, before=max_age).drop(OWN)
         both = a.unionByName(b, allowMissingColumns=True)
@@ -143,7 +145,7 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
         return hit.select("_l.*", *[F.col("_r")[v].alias(v) for v in values])
     both = a.unionByName(b.withColumn(SLICE, grid("_t", span)), allowMissingColumns=True)
     tails = both.groupBy(*keys, SLICE).agg(
-        F.max_by("_r", F.when(F.col("_side") == 0, F.col("_t"))).alias("_tail"))
+        F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_r"))).alias("_tail"))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select(*keys, SLICE, F.last("_tail", True).over(earlier).alias("_carry"))
     hit = (both.withColumn("_r", F.last("_r", True).over(w)).where(F.col("_side") == 1)

@@ -208,7 +208,7 @@ def alert_policy(df: DataFrame, *, mode: str = "canary", global_limit: int = 15,
     ``in_cooldown``, ``global_count`` and ``coin_count``.
     """
     tier, p = F.upper("tier"), F.col("probability")
-    missing = p.isNull() | F.isnan(p)
+    missing = p.isNull() | F.isnan(p) | (F.abs(p) == float("inf"))
     rules: list[tuple[Column, str]] = []
     add = lambda cond, reason: rules.append((cond, reason))
     add(F.lit(mode == "research" or (mode == "shadow" and not shadow_sends)), "mode_no_action_alerts")

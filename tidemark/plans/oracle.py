@@ -184,7 +184,7 @@ VIEWS = {
     "judged": "SELECT * FROM predictions WHERE label_value IS NOT NULL",
     "scans": """
   SELECT symbol, signal_time AS scan_time, cell, cell % 24 AS cycle,
-    cell * 10 + CASE symbol WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS seq,
+    cell * 16777216 + ('0x' || substr(md5(symbol), 1, 6))::BIGINT AS seq,
     round(probability * 100, 4) AS score, close AS close_price, probability,
     CASE WHEN probability >= 0.6 THEN 'SHORT_CANDIDATE' WHEN probability >= 0.4 THEN 'WATCH' ELSE 'WAIT' END AS recommendation, ret_1 AS price_change
   FROM (SELECT *, epoch_us(signal_time) // 3600000000 AS cell FROM rule_probs)""",

@@ -236,7 +236,7 @@ class Views:
         """Scan log: one row per symbol and hour; the cycle number restarts every day."""
         return self.rule_probs.selectExpr("*", f"{sql_grid('signal_time', HOUR)} AS cell").selectExpr(
             "symbol", "signal_time AS scan_time", "cell", "cell % 24 AS cycle",
-            "cell * 10 + CASE symbol WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS seq",
+            "cell * 16777216L + CAST(conv(substr(md5(symbol), 1, 6), 16, 10) AS BIGINT) AS seq",
             "round(probability * 100, 4) AS score", "close AS close_price", "probability",
             "CASE WHEN probability >= 0.6D THEN 'SHORT_CANDIDATE' WHEN probability >= 0.4D THEN 'WATCH' ELSE 'WAIT' END AS recommendation",
             "ret_1 AS price_change")
