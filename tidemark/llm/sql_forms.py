@@ -6,7 +6,7 @@ _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_SPACED} AS w, row_number() OVER () AS r FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t, {_SPACED} AS w, row_number() OVER () AS r FROM documents),
 grams AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS x FROM again) GROUP BY r),
@@ -26,7 +26,7 @@ FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source"""
 DECONTAMINATE = rf"""
 WITH b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
 iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
-d AS (SELECT doc_id, {_ALNUM} AS w, row_number() OVER () AS r FROM documents),
+d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS w, row_number() OVER () AS r FROM documents),
 pos AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
 hit AS (SELECT DISTINCT r, i, pos.n AS n, item_id FROM pos JOIN iw ON pos.n = iw.n AND pos.k = iw.k),
 cov AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS x FROM hit) GROUP BY r),
@@ -35,7 +35,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
 
 SUBSTRING = rf"""
-WITH d AS (SELECT doc_id, {_SPACED} AS w, row_number() OVER () AS r FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, {_SPACED} AS w, row_number() OVER () AS r FROM documents),
 win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 rep AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS m FROM win) WHERE m < doc_id),
 gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS x FROM rep),
