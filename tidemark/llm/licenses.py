@@ -1,16 +1,15 @@
 """License scan by ordered signature rules, in SQL functions only.
 
 A text is brought to lower-cased words with single blanks. Rules are regular expressions over those words, each with a
-keyword: a rule runs only where its keyword occurs, and texts without any keyword are left at once. Detections are
-intervals; one that lies inside the interval of another of the same or a better class is suppressed, and of equal
-intervals the rule that comes first stays.
+keyword taken from the expression itself: a rule runs only where its keyword occurs, and a rule without one runs always.
+Rules that share a keyword are looked up together. Detections are intervals; one that lies inside the interval of another
+of the same or a better class is suppressed, and of equal intervals the rule that comes first stays.
 """
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +21,6 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Places of these phrases are always reported.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Pieces of words of which one must occur for a text to be read at all.
-GATE = ("licen", "spdx", "copyright", "gpl", "commons", "cc", "domain", "reserved", "warrant", "permission", "redistribution", "confidential")
-
 #: label: names (as expressions over words), versions ('' stands for none).
 FAMILIES = {
     "gpl": ((r"gnu general public licen[sc]e", r"general public licen[sc]e"), ("1", "2", "3")),
@@ -85,18 +81,23 @@ def _version(v: str) -> str:
 
 
 def keyword(pattern: str) -> str:
-    """The longest word that every match of a pattern holds as it stands."""
-    plain = re.sub(r"\S*(?:\([^()]*\)|\[[^\]]*\])\S*", " ", pattern)
-    return max(re.findall(r"(?<![^ ])[a-z0-9]+(?![^ ])", plain), key=len, default="")
+    """The longest run of words and pieces of words that every match of a pattern holds as it stands; '' if there is none."""
+    plain = re.sub(r"\[[^\]]*\](?:\{[^}]*\}|[?*+])?\??", "\0", pattern)
+    plain = re.sub(r"\([^()]*\)(?:\{[^}]*\}|[?*+])?\??", "\0", plain)
+    plain = re.sub(r"[^\0](?:\{[^}]*\}|[?*+])\??", "\0", plain)
+    if "(" in plain or "|" in plain:
+        return ""
+    run = max(re.findall(r"[a-z0-9 ]+", plain), key=len, default="")
+    return run if run.strip() else ""
 
 
 def rules() -> Iterator[dict]:
     """All rules in order: within a class, longer forms come first."""
-    def rule(label, level, pattern, name):
-        return dict(label=label, level=level, pattern=f" {pattern}(?= )", keyword=keyword(name))
+    def rule(label, level, pattern, name=None):
+        return dict(label=label, level=level, pattern=f" {pattern}(?= )", keyword=keyword(name or f" {pattern}"))
 
     for phrase, label in BASE_PHRASES.items():
-        yield rule(label, 1, phrase, phrase)
+        yield rule(label, 1, phrase)
     for family, (names, versions) in FAMILIES.items():
         family = family.removesuffix("-short")
         for v in versions:
@@ -105,31 +106,35 @@ def rules() -> Iterator[dict]:
                 full = f"{name}{_version(v)}"
                 if v:
                     yield rule(f"{label}-or-later", 1, f"(?:{_GRANT})?{full}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?", name)
-                yield rule(label, 1, f"{_GRANT}{full}", name)
-                yield rule(label, 2, full, name)
+                yield rule(label, 1, f"{_GRANT}{full}")
+                yield rule(label, 2, full)
             spdx = f"{family} {v} ?0?" if v and " " not in v else f"{family} {v}".rstrip()
-            yield rule(label, 1, f"spdx license identifier {spdx}(?: only)?", "spdx")
+            yield rule(label, 1, f"spdx license identifier {spdx}(?: only)?")
         for name in names:
             if versions != ("",) and " " in name:
-                yield rule(family, 3, name, name)
+                yield rule(family, 3, name)
     for part, words in CC_PARTS.items():
         short = " ".join(["cc by", *part.split("-")]).rstrip()
         label = "-".join(x for x in ("cc-by", part) if x)
         full = f"creative commons attribution {words}".rstrip()
         for v in CC_VERSIONS:
-            for form, word in ((short, "cc"), (full, "creative")):
-                yield rule(f"{label}-{v.replace(' ', '.')}", 1, f"{form}(?: licen[sc]e)? {v}(?: international| unported)?", word)
-        yield rule(label, 2, short, "cc")
-        yield rule(label, 2, full, "creative")
+            for form in (short, full):
+                yield rule(f"{label}-{v.replace(' ', '.')}", 1, f"{form}(?: licen[sc]e)? {v}(?: international| unported)?")
+        yield rule(label, 2, short)
+        yield rule(label, 2, full)
     for label, level, pattern in SENTENCES:
-        yield rule(label, level, pattern, pattern)
+        yield rule(label, level, pattern)
 
 
-_RULE = "array<struct<rank: int, label: string, level: int, pattern: string, keyword: string>>"
+_RULE = "array<struct<keyword: string, rules: array<struct<rank: int, label: string, level: int, pattern: string>>>>"
 
 
 def rule_table() -> Column:
-    return F.from_json(F.lit(json.dumps([dict(rank=i, **r) for i, r in enumerate(rules())])), _RULE)
+    """The rules by keyword."""
+    groups: dict[str, list[dict]] = {}
+    for i, r in enumerate(rules()):
+        groups.setdefault(r.pop("keyword"), []).append(dict(rank=i, **r))
+    return F.from_json(F.lit(json.dumps([dict(keyword=k, rules=g) for k, g in groups.items()])), _RULE)
 
 
 def _blanks(s: Column) -> Column:
@@ -169,15 +174,13 @@ def _suppress(hits: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places of the base phrases, and the detections that remain, of each row.
 
-    Null texts are empty; texts without a keyword have no detections; repeated rows give repeated results; an empty
+    Null texts are empty; texts in which no rule matches have no detections; repeated rows give repeated results; an empty
     table gives none; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    low = F.lower(text)
-    read = reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in GATE))
     line = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-                        F.when(read, line).otherwise(F.lit(" ")).alias("line"))
+                        line.alias("line"))
     line = F.col("line")
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in BASE_PHRASES.items():
@@ -186,7 +189,8 @@ def scan(docs: DataFrame) -> DataFrame:
         labels.append(F.when(n > 0, F.lit(label)))
         firsts.append(F.when(n > 0, _blanks(F.substring(line, F.lit(1), F.locate(f" {phrase} ", line) - 1))))
         lasts.append(F.when(n > 0, _blanks(F.regexp_extract(line, f"(?s)^(.*) {phrase} ", 1))))
-    hits = F.flatten(F.transform(F.filter(rule_table(), lambda r: F.contains(line, r["keyword"])), lambda r: _places(line, r)))
+    meant = F.flatten(F.transform(F.filter(rule_table(), lambda g: F.contains(line, g["keyword"])), lambda g: g["rules"]))
+    hits = F.flatten(F.transform(meant, lambda r: _places(line, r)))
     found = lines.select(
         "doc_id", "n_words", "line", sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"),
         F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base"),
