@@ -3,15 +3,15 @@
 Three basic patterns (a sensitive word assigned a value, access keys, long hexadecimal runs) are always reported. The
 lexer adds ``literal`` spans: it reads the text line by line into (name, value) pairs, in the forms ``name = "value"``,
 ``name: value``, ``"name": "value"``, ``export NAME=value``, ``name := 'value'`` and ``<name>value</name>``, where a
-value is literals and names joined by ``+`` or ``.``. A name's literals are remembered for the rest of the text, so that a value
-that is handed on (``key = "..."; password = key``) is found at the literal it comes from.
+value is literals and names joined by ``+`` or ``.``. A name's value is remembered for the rest of the text, so that one
+that is handed on (``key = "..."; password = key``) is found at the literal it comes from. Values refer to the values they are made of
+and are scored by summaries that add up, so neither long sums nor repeated doubling are ever written out.
 """
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
-from collections.abc import Iterator
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,8 @@ from tidemark.llm.common import SPAN, map_rows, replace_column, span_digest
 BASE_KINDS = ("assign", "access", "hex")
 MIN_SCORE = 0.6
 MIN_LITERAL = 6
-#: Constants remembered at a time, and literals per constant; the oldest go first.
-MAX_NAMES = 10_000
-MAX_PARTS = 64
+#: Characters at a value's ends by which a summary knows placeholders; longer than any word of one.
+EDGE = 16
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -41,12 +40,68 @@ SENSITIVE = (("password", .6), ("passwd", .6), ("passphrase", .6), ("pwd", .5),
              ("access_key", .6), ("private_key", .6), ("credential", .5), ("auth", .35), ("signing", .35), ("encryption_key", .6), ("dsn", .35),
              ("connection_string", .45))
 HARMLESS = ("path", "file", "name", "url", "label", "field", "regex", "length", "expire", "hint", "policy", "type", "count", "id_column")
-PLACEHOLDER = re.compile(r"(?i)^(?:your|my|the|some|change|replace|example|dummy|test|none|null|true|false|todo|x+$|\*+$|<|\$\{|\{\{|%)|example|placeholder|changeme|redacted")
+PLACEHOLDER_START = re.compile(r"(?i)your|my|the|some|change|replace|example|dummy|test|none|null|true|false|todo|<|\$\{|\{\{|%")
+PLACEHOLDER_INSIDE = re.compile(r"(?i)example|placeholder|changeme|redacted")
 
 
-def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+class Summary:
+    """What scoring needs of a string: characters with counts (times 2 ** ``exp``), both ends, whether a placeholder's word is inside."""
+
+    __slots__ = ("counts", "size", "exp", "head", "tail", "inside")
+
+    def __init__(self, text: str = ""):
+        self.counts: dict[str, float] = dict(Counter(text))
+        self.size: float = len(text)
+        self.exp = 0
+        self.head, self.tail = text[:EDGE], text[-EDGE:]
+        self.inside = bool(PLACEHOLDER_INSIDE.search(text))
+
+    @classmethod
+    def total(cls, strings: list[Summary]) -> Summary:
+        """The summary of strings one after the other."""
+        if len(strings) == 1:
+            return strings[0]
+        out = cls()
+        for s in strings:
+            out._append(s)
+        return out
+
+    def _scale(self, by: int) -> None:
+        factor = 2.0 ** -by
+        self.counts = {k: n * factor for k, n in self.counts.items()}
+        self.size, self.exp = self.size * factor, self.exp + by
+
+    def _append(self, other: Summary) -> None:
+        if other.exp > self.exp:
+            self._scale(other.exp - self.exp)
+        factor = 2.0 ** (other.exp - self.exp)
+        for k, n in other.counts.items():
+            self.counts[k] = self.counts.get(k, 0) + n * factor
+        self.size += other.size * factor
+        if self.size > 2.0 ** 900:
+            self._scale(500)
+        self.inside = self.inside or other.inside or bool(PLACEHOLDER_INSIDE.search(self.tail + other.head))
+        # an end is shorter than EDGE only if it is the whole string
+        self.head = self.head if len(self.head) == EDGE else (self.head + other.head)[:EDGE]
+        self.tail = other.tail if len(other.tail) == EDGE else (self.tail + other.tail)[-EDGE:]
+
+    def entropy(self) -> float:
+        return -sum(c / self.size * math.log2(c / self.size) for c in self.counts.values() if c / self.size > 0) if self.size else 0.0
+
+    def placeholder(self) -> bool:
+        return self.inside or bool(PLACEHOLDER_START.match(self.head)) or bool(self.counts) and (self.counts.keys() <= {"x", "X"} or self.counts.keys() == {"*"})
+
+    def at_least(self, n: int) -> bool:
+        return self.exp > 0 or self.size >= n
+
+
+class Value:
+    """A value as its parts in order: spans of literals, and earlier values that names stand for."""
+
+    __slots__ = ("parts", "summary", "score")
+
+    def __init__(self, parts: list[tuple[int, int] | Value], summary: Summary):
+        self.parts, self.summary, self.score = parts, summary, 0.0
 
 
 def name_weight(name: str) -> float:
@@ -55,47 +110,59 @@ def name_weight(name: str) -> float:
     return w - 0.4 * any(part in plain.split("_")[-1:] for part in HARMLESS) if w else 0.0
 
 
-def literal_score(name: str, value: str) -> float:
-    """0 to 1: how much the name speaks of secrets, and the value looks like one."""
-    w = name_weight(name)
-    if w <= 0 or len(value) < MIN_LITERAL or PLACEHOLDER.search(value):
+def literal_score(weight: float, value: Summary) -> float:
+    """0 to 1: how much a name's weight speaks of secrets, and the value looks like one."""
+    if weight <= 0 or not value.at_least(MIN_LITERAL) or value.placeholder():
         return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
-    look = 0.1 * (len(value) >= 12) + 0.1 * (kinds >= 2) + 0.05 * (kinds >= 3) + 0.2 * (entropy(value) >= 3) - 0.3 * (" " in value)
-    return round(min(1.0, max(0.0, w + look)), 2)
+    kinds = sum(any(re.match(p, c) for c in value.counts) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
+    look = 0.1 * value.at_least(12) + 0.1 * (kinds >= 2) + 0.05 * (kinds >= 3) + 0.2 * (value.entropy() >= 3) - 0.3 * (" " in value.counts)
+    return round(min(1.0, max(0.0, weight + look)), 2)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of the literals that make up its value), in order; names in values stand for their literals."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    ages: deque[str] = deque()
-    at = 0
+def scored_values(text: str) -> list[Value]:
+    """The values of all names in order, each with its score; names in values stand for the values they were given last."""
     found = []
     if "=" in text or ":" in text:
         found += [(m.start("name"), m) for m in _PAIR.finditer(text)]
     if "</" in text:
         found += [(m.start("name"), m) for m in _TAG.finditer(text)]
-    for at, m in sorted(found, key=lambda x: x[0]):
+    weights = {name: name_weight(name) for name in {m["name"] for _, m in found}}
+    if not any(w > 0 for w in weights.values()):
+        return []
+    known: dict[str, Value] = {}
+    out: list[Value] = []
+    for _, m in sorted(found, key=lambda x: x[0]):
         low = m.start("value")
-        spans: list[tuple[int, int]] = []
+        parts: list[tuple[int, int] | Value] = []
         if m.re is _TAG:
-            spans = [m.span("value")]
+            parts = [m.span("value")]
         else:
             for p in _PART.finditer(m["value"]):
                 if p["literal"]:
-                    spans.append((low + p.start() + 1, low + p.end() - 1))
+                    parts.append((low + p.start() + 1, low + p.end() - 1))
                 elif (bare := p["bare"]) in known:
-                    spans += known[bare]
+                    parts.append(known[bare])
                 elif bare != ".":
-                    spans.append((low + p.start(), low + p.end()))
-        name = m["name"]
-        spans = spans[:MAX_PARTS]
-        if name not in known:
-            ages.append(name)
-            if len(ages) > MAX_NAMES:
-                known.pop(ages.popleft(), None)
-        known[name] = spans
-        yield name, spans
+                    parts.append((low + p.start(), low + p.end()))
+        value = Value(parts, Summary.total([p.summary if isinstance(p, Value) else Summary(text[p[0]:p[1]]) for p in parts]))
+        value.score = literal_score(weights[m["name"]], value.summary)
+        known[m["name"]] = value
+        out.append(value)
+    return out
+
+
+def literal_spans(text: str) -> dict[tuple[int, int], float]:
+    """Literals that reach a sensitive name, with the best score of those names; each value hands its score down once."""
+    literals: dict[tuple[int, int], float] = {}
+    for value in reversed(scored_values(text)):  # all values that refer to it come later
+        if value.score < MIN_SCORE:
+            continue
+        for part in value.parts:
+            if isinstance(part, Value):
+                part.score = max(part.score, value.score)
+            elif part[1] > part[0]:
+                literals[part] = max(value.score, literals.get(part, 0.0))
+    return literals
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int, float]]:
@@ -114,14 +181,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     found = base_spans(text)
-    literals: dict[tuple[int, int], float] = {}
-    for name, spans in pairs(text):
-        whole = "".join(text[a:b] for a, b in spans)
-        if (s := literal_score(name, whole)) >= MIN_SCORE:
-            for span in spans:
-                if span[1] > span[0]:
-                    literals[span] = max(s, literals.get(span, 0.0))
-    found += [(a, 3, "literal", b, s) for (a, b), s in literals.items()]
+    found += [(a, 3, "literal", b, s) for (a, b), s in literal_spans(text).items()]
     found.sort()
     return [(kind, a, b, s) for a, _, kind, b, s in found]
 
