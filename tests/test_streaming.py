@@ -45,3 +45,35 @@ def test_bars_over_time_ordered_files_equal_one_batch(spark, tmp_path):
     many = jobs.run_to_table(jobs.tumbling_bars(jobs.landed(spark, path, files_per_batch=1)), "many").select(*schema)
     assert one.count() > 30
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def landed_in_steps(spark, path, *steps):
+    """A stream over one file a step; files are written one after the other, so they are read in this order."""
+    for step in steps:
+        step.coalesce(1).write.mode("append").parquet(path)
+    return jobs.landed(spark, path, files_per_batch=1)
+
+
+def at(minutes):
+    return f"timestamp_seconds(1700000000 + 60 * ({minutes}))"
+
+
+def test_gate_keeps_bars_without_a_timely_record(spark, tmp_path):
+    bars = lambda lo, hi: spark.range(lo, hi).selectExpr("id AS bar_key", f"{at('id')} AS close_time")
+    # every third bar has a record after 3 seconds, every third one after 9, the rest none
+    side = lambda lo, hi: spark.range(lo, hi).where("id % 3 < 2").selectExpr("id AS bar_key", f"{at('id')} + make_interval(0, 0, 0, 0, 0, 0, 3 + 6 * (id % 3)) AS available_time", "id AS n")
+    b = landed_in_steps(spark, str(tmp_path / "bars"), bars(0, 60), bars(60, 120), bars(5000, 5001))
+    s = landed_in_steps(spark, str(tmp_path / "side"), side(0, 60), side(60, 120), side(5001, 5002))
+    got = jobs.run_to_table(jobs.lateness_gate(b, s).selectExpr("b.bar_key", "s.n"), "gate_test").where("bar_key < 5000")
+    assert sorted(map(tuple, got.collect())) == [(i, i if i % 3 == 0 else None) for i in range(120)]
+
+
+def test_every_opening_is_due_once(spark, tmp_path):
+    # two resolving rows for every even opening, one beyond the horizon for every odd one; nobody else shares the key
+    opened = lambda lo, hi: spark.range(lo, hi).selectExpr("id AS who", f"{at('id * 10')} AS opened_at", "id AS open_id")
+    solved = lambda lo, hi: spark.range(2 * lo, 2 * hi).selectExpr("id DIV 2 AS who", f"{at('(id DIV 2) * 10 + 30 + 5 * (id % 2) + 100 * (id DIV 2 % 2)')} AS resolved_at", "id AS resolve_id")
+    a = landed_in_steps(spark, str(tmp_path / "a"), opened(0, 30), opened(30, 60), opened(5000, 5001))
+    b = landed_in_steps(spark, str(tmp_path / "b"), solved(0, 30), solved(30, 60), solved(5000, 5001))
+    got = jobs.run_to_table(jobs.outcome_due(a, b), "due_test").where("open_id < 5000")
+    want = [(i, 2 * i, "resolved") if i % 2 == 0 else (i, None, "retry") for i in range(60)]
+    assert sorted((r["open_id"], r["resolve_id"], r["status"]) for r in got.collect()) == want

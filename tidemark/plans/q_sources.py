@@ -535,7 +535,7 @@ def _fresh(v: Views):
 def _gate(v: Views):
     o = jobs.landed(v.spark, f"{v.folder}/orders.parquet").selectExpr("o_orderkey AS bar_key", "o_orderdate AS close_time")
     li = jobs.landed(v.spark, f"{v.folder}/lineitem.parquet").selectExpr("l_orderkey AS bar_key", "l_shipdate AS available_time", "l_linenumber")
-    return jobs.run_to_table(jobs.lateness_gate(o, li, "500 days").selectExpr("b.bar_key", "s.l_linenumber"), "gate")
+    return jobs.run_to_table(jobs.lateness_gate(o, li, "500 days", keep="500 days").where("s.bar_key IS NOT NULL").selectExpr("b.bar_key", "s.l_linenumber"), "gate")
 
 
 @query("st_outcome_due", """
@@ -544,7 +544,7 @@ def _gate(v: Views):
 def _due(v: Views):
     a = tick_stream(v).where("symbol = 'click'").selectExpr("user_id AS who", "ts AS opened_at", "seq AS open_id")
     b = tick_stream(v).where("symbol = 'purchase'").selectExpr("user_id AS who", "ts AS resolved_at", "seq AS resolve_id")
-    return jobs.run_to_table(jobs.follow_up(a, b), "due")
+    return jobs.run_to_table(jobs.follow_up(a, b).where("resolve_id IS NOT NULL"), "due")
 
 
 COOL = {"cand": "SELECT symbol, seq, epoch_us(ts) AS t FROM ticks WHERE px >= 110",

@@ -113,19 +113,32 @@ def session_events(signals: DataFrame, minutes: int = 60, lateness: str = "10 mi
 
 
 def lateness_gate(bars: DataFrame, side: DataFrame, limit: str = "5 seconds", keep: str = "1 hour") -> DataFrame:
-    """Side records joined to their bar when they were available in time; late ones never join."""
+    """Every bar with its side records that were available in time; late ones never join.
+
+    A bar without any comes with nulls, once the watermark of both streams has passed its limit.
+    """
     b = bars.withWatermark("close_time", keep).alias("b")
     s = side.withWatermark("available_time", keep).alias("s")
     on = F.expr(f"b.bar_key = s.bar_key AND s.available_time >= b.close_time AND s.available_time <= b.close_time + INTERVAL {limit}")
-    return b.join(s, on)
+    return b.join(s, on, "left_outer")
 
 
 def follow_up(first: DataFrame, second: DataFrame, within: str = "2 hours", lateness: str = "1 hour") -> DataFrame:
-    """Pairs of an opening row and a resolving row of the same key within the horizon."""
+    """Each opening row with every resolving row of the same key within the horizon.
+
+    One without any comes with nulls, once the watermark of both streams has passed its horizon.
+    """
     a = first.withWatermark("opened_at", lateness).alias("a")
     b = second.withWatermark("resolved_at", lateness).alias("b")
-    return a.join(b, F.expr(f"a.who = b.who AND b.resolved_at > a.opened_at AND b.resolved_at <= a.opened_at + INTERVAL {within}")).selectExpr(
-        "a.who", "a.opened_at", "a.open_id", "b.resolved_at", "b.resolve_id")
+    on = F.expr(f"a.who = b.who AND b.resolved_at > a.opened_at AND b.resolved_at <= a.opened_at + INTERVAL {within}")
+    return a.join(b, on, "left_outer").selectExpr("a.who", "a.opened_at", "a.open_id", "b.resolved_at", "b.resolve_id")
+
+
+def outcome_due(first: DataFrame, second: DataFrame, within: str = "2 hours", lateness: str = "1 hour") -> DataFrame:
+    """One row per opening whose horizon has ended: its first resolving row and ``resolved``, or nulls and ``retry``."""
+    earliest = F.min(F.struct("resolved_at", "resolve_id")).alias("r")
+    return follow_up(first, second, within, lateness).groupBy("who", "opened_at", "open_id").agg(earliest).select(
+        "who", "opened_at", "open_id", "r.resolved_at", "r.resolve_id", F.when(F.col("r.resolve_id").isNull(), F.lit("retry")).otherwise(F.lit("resolved")).alias("status"))
 
 
 class _PerKey(StatefulProcessor):
