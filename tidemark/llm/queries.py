@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, language, licenses, mixing, pii, quality, secrets, simhash, sql_forms, substring, tokens
+from tidemark.llm import conversations, decontaminate, language, licenses, lines, mixing, pii, quality, secrets, simhash, sql_forms, substring, tokens, vector_codes
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,4 +72,19 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"))
 
 
+@query("op11_lines", sql_forms.LINES)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.digest(lines.deduplicate_lines(table(spark, folder, "documents")))
+
+
+@query("op12_vector_codes", sql_forms.VECTOR_CODES)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.digest(vector_codes.encode(table(spark, folder, "embeddings")))
+
+
+@query("op13_conversations", sql_forms.CONVERSATIONS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.digest(conversations.repair(conversations.damage(table(spark, folder, "conversations"))))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
