@@ -251,8 +251,8 @@ def repair(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Repaired:
     """Repairs all conversations of ``rows``: conv_id, turn, role, text, and copies, the number of times the row stands.
 
     A row is blank, else a duplicate of an earlier role and text, else truncated if no sentence end comes last; the first two go. Rows come by turn, nulls
-    first, and equal turns by role and a hash of the text, which keeps equal rows together. Null roles and texts are one space; null
-    ids are one conversation; a conversation whose rows all have no copies is empty and stays; repeated rows add to
+    first, and equal turns by role and a hash of the text, which keeps equal rows together. Null roles and texts are one space; an empty role has no
+    initial and can't be kept; null ids are one conversation; a conversation whose rows all have no copies is empty and stays; repeated rows add to
     the copies; an empty table gives no rows; columns beyond those are not read.
     """
     space = F.lit(" ")
