@@ -16,11 +16,20 @@ from tidemark.sources.tables import materialize
 MIN_CHARS = 20
 MIN_DOCS = 3
 BLANKS = " \t\n\x0b\x0c\r"
+CONTROLS = BLANKS[1:]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def bare_line(line: Column) -> Column:
+    """The line without blanks at its ends; the plain trim of spaces does for most."""
+    cheap = F.trim(line)
+    more = F.substring(cheap, 1, 1).isin(*CONTROLS) | F.right(cheap, F.lit(1)).isin(*CONTROLS)
+    return F.when(more, F.btrim(line, F.lit(BLANKS))).otherwise(cheap)
+
+
+def line_key(bare: Column) -> Column:
+    """ASCII letters in lower case; lines of ASCII alone take the faster function."""
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -28,8 +37,11 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
     ``text_id`` tells rows of one id but different texts apart.
     """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
+    # a text's hash is taken before it is split, once and not per line
+    lines = docs.withColumn("text_id", F.xxhash64("text")).select("doc_id", "text_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # the key is as long as the bare line, so the lower case comes after the filter
+    lines = lines.where(F.length("line") >= min_chars).withColumn("bare", bare_line(F.col("line"))).where(F.length("bare") >= min_chars)
+    lines = lines.withColumn("key", line_key(F.col("bare")))
     return lines.select("doc_id", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
@@ -53,7 +65,7 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     columns are not read. Texts of any length work in time in proportion to their lines.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = hashed_lines(docs, min_chars)
+    lines = materialize(hashed_lines(docs, min_chars), "hashed-lines")
     shared = materialize(shared_keys(lines, min_docs), "shared-lines")
     found = join_facts(lines, shared, ["h1", "h2"], "n_docs", F.xxhash64("doc_id", "pos")).where("fact IS NOT NULL AND NOT (doc_id <=> fact.doc_id)")
     # a group is the lines of one document
