@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import first_true, flag_list, from_micros, micros, sql_grid, sql_micros, with_exprs
 from tidemark.operators.ordered import DAY, OWN, SLICE, row_blocks, time_slices, with_position
+from tidemark.operators.speculative import speculative_scan
 
 # Fixed values of the filter policy.
 PUMP_HORIZONS = {24: 0.15, 72: 0.30, 120: 0.50}
@@ -229,6 +231,18 @@ def episode_rows(batches: Iterator[pd.DataFrame], state: Episode) -> Iterator[pd
             yield pd.DataFrame(rows)
 
 
+EPISODE_STATE = "struct<episode: string, stage: string, ref: double, ref_t: long, peak: double, peak_t: long, last_pump: long, score: double>"
+_EPISODE_NEW = ", ".join(f.replace(" ", ": ") for f in EPISODE_OUT.split(", ")[2:])
+
+
+def episode_machine(state: dict | None, rows: list[dict]) -> tuple[list[dict], dict]:
+    """Run the episode state over the ordered rows of a block; missing numbers are NaN for it."""
+    nan = float("nan")
+    e = Episode([state[f] for f in Episode.FIELDS] if state else None)
+    out = [e.step(SimpleNamespace(**{k: nan if x is None and k not in ("symbol", "direct_pump") else x for k, x in r.items()})) for r in rows]
+    return out, {f: None if x != x else int(x) if x is not None and f in ("ref_t", "peak_t", "last_pump") else x for f, x in zip(Episode.FIELDS, e.values())}
+
+
 def episode_input(bars: DataFrame, small_bars: DataFrame) -> DataFrame:
     """One compact row per symbol and scan: all windows are done before the state machine."""
     flow = flow_evidence(small_bars).withColumn("_h", F.expr(sql_grid("close_time", 3600)))
@@ -237,17 +251,18 @@ def episode_input(bars: DataFrame, small_bars: DataFrame) -> DataFrame:
     return s.join(last, ["symbol", "_h"], "left").withColumn("scan_t", micros("scan_time")).select(*EPISODE_IN)
 
 
-def replay_episodes(rows: DataFrame) -> DataFrame:
-    """Batch replay of the episode state per symbol.
+def episode_scan(rows: DataFrame, carried: DataFrame | None = None, block_rows: int = 256) -> tuple[DataFrame, DataFrame, int]:
+    """Episode decisions of scan rows, the states they leave, and the rounds it took.
 
-    Rows arrive sorted and in bounded batches, so a symbol's history never has
-    to fit in memory; only its state is kept.
+    A symbol's rows run in blocks over many tasks. A block that starts in a quiet stretch ends the same whatever came before; one within an
+    episode is run again from the state it is handed.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from episode_rows(batches, Episode())
+    return speculative_scan(rows, ["symbol"], ["scan_t"], episode_machine, EPISODE_STATE, _EPISODE_NEW, carried, block_rows, keep=["symbol", "scan_t"])
+
 
-    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "scan_t")
-    return ordered.groupBy("symbol").applyInPandas(run, EPISODE_OUT)
+def replay_episodes(rows: DataFrame, block_rows: int = 256) -> DataFrame:
+    """Batch replay of the episode states of all symbols."""
+    return episode_scan(rows, None, block_rows)[0]
 
 
 def rank_decisions(decisions: DataFrame, cap: int) -> DataFrame:

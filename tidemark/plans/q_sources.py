@@ -555,7 +555,7 @@ COOL = {"cand": "SELECT symbol, seq, epoch_us(ts) AS t FROM ticks WHERE px >= 11
 @query("st_cooldown", "SELECT a.symbol, a.seq, a.t, c.t IS NOT NULL AS sent FROM cand a LEFT JOIN chain c ON a.symbol = c.symbol AND a.t = c.t", views=COOL)
 def _cooldown(v: Views):
     s = tick_stream(v).where("px >= 110").selectExpr("symbol", "seq", "unix_micros(ts) AS t")
-    return jobs.run_to_table(jobs.cooldown_stream(s, ["symbol"]), "cooldown")
+    return jobs.cooldown_run(s, ["symbol"], "cooldown")
 
 
 @query("st_daily_cap", """
@@ -566,13 +566,34 @@ def _cooldown(v: Views):
 def _cap(v: Views):
     """Cooldown first, then the caps per calendar day over what it lets through."""
     s = tick_stream(v).where("px >= 110").selectExpr("symbol", "seq", "unix_micros(ts) AS t")
-    cooled = jobs.run_to_table(jobs.cooldown_stream(s, ["symbol"]), "cooldown").where("sent").drop("sent")
+    cooled = jobs.cooldown_run(s, ["symbol"], "cooldown").where("sent").drop("sent")
     return jobs.daily_cap(cooled)
 
 
 @query("st_episode_state")
 def _episode_stream(v: Views):
     from tidemark.operators.candidates import episode_input
-    path = tables.shared_folder(v.spark, "scans")
-    episode_input(v.bars_1h, small_bars(v)).write.parquet(path)
-    return jobs.run_to_table(jobs.episode_stream(jobs.landed(v.spark, path)), "episodes")
+    # scans land in four steps of time; after each a run takes what is new and goes on from the states of the run before
+    path, root = tables.shared_folder(v.spark, "scans"), tables.shared_folder(v.spark, "episodes")
+    scans = tables.materialize(episode_input(v.bars_1h, small_bars(v)), "all-scans")
+    step = scans.agg(F.min("scan_t").alias("lo"), ((F.max("scan_t") - F.min("scan_t")) / 4 + 1).cast("long").alias("wide")).select(F.struct("lo", "wide")).scalar()
+    stepped = tables.materialize(scans.withColumn("_s", step).selectExpr("* EXCEPT (_s)", "(scan_t - _s.lo) DIV _s.wide AS step"), "stepped")
+    for i in range(4):
+        stepped.where(F.col("step") == i).drop("step").write.mode("append").parquet(path)
+        done = jobs.episode_run(jobs.landed(v.spark, path), "episodes", root)
+    return done
+
+
+BUDGET = {"named": "SELECT symbol || '-' || user_id % 8 AS name, seq, epoch_us(ts) AS t FROM ticks WHERE px >= 110",
+          "sends": """SELECT * FROM (WITH RECURSIVE s(r, sent) AS (SELECT min(row(t, name, seq)), []::STRUCT(t BIGINT, name VARCHAR)[] FROM named
+    UNION ALL SELECT (SELECT min(row(c.t, c.name, c.seq)) FROM named c WHERE row(c.t, c.name, c.seq) > s.r
+        AND len(list_filter(n.sent, lambda x: c.t - x.t <= 86400000000)) < 15 AND len(list_filter(n.sent, lambda x: x.name = c.name AND c.t - x.t <= 86400000000)) < 2
+        AND len(list_filter(n.sent, lambda x: x.name = c.name AND c.t - x.t <= 3600000000)) = 0),
+      n.sent FROM s, LATERAL (SELECT list_append(list_filter(s.sent, lambda x: s.r[1] - x.t <= 86400000000), {'t': s.r[1], 'name': s.r[2]}) AS sent) n WHERE s.r IS NOT NULL) SELECT r[1] AS t, r[2] AS name, r[3] AS seq FROM s WHERE r IS NOT NULL)"""}
+
+
+@query("st_daily_budget", "SELECT n.name, n.seq, n.t, s.seq IS NOT NULL AS sent FROM named n LEFT JOIN sends s ON n.name = s.name AND n.seq = s.seq AND n.t = s.t", views=BUDGET)
+def _budget(v: Views):
+    """Cooldown of an hour, two sends per name and fifteen over all in any 24 hours."""
+    s = tick_stream(v).where("px >= 110").selectExpr("concat(symbol, '-', user_id % 8) AS name", "seq", "unix_micros(ts) AS t")
+    return jobs.budget_run(s, "budget", who="name").drop("reason")

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.operators.candidates import EPISODE_OUT, Episode, episode_rows
+from tidemark.operators.candidates import EPISODE_OUT, Episode, episode_rows, episode_scan
 from tidemark.operators.ordered import latest_per_key, stacked_rank
+from tidemark.operators.speculative import BLOCK_ROWS, BUDGET_STATE, COOLDOWN_STATE, budget_machine, cooldown_machine, speculative_scan
 from tidemark.sources.tables import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -153,7 +154,7 @@ class _PerKey(StatefulProcessor):
         pass
 
     def _sorted(self, rows: Iterator[pd.DataFrame], t: str) -> pd.DataFrame:
-        # bounded by what one micro-batch brings for one key
+        # what one micro-batch brings for one key: bound it by the files of a trigger, or take episode_run, which cuts keys into blocks
         return pd.concat(list(rows), ignore_index=True).sort_values(t, ignore_index=True)
 
 
@@ -167,19 +168,6 @@ class EpisodeProcessor(_PerKey):
         self._state.update(tuple(native(x) for x in state.values()))
 
 
-class CooldownProcessor(_PerKey):
-    STATE = "last_sent bigint"
-    MINUTES = 60
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self._state.get()[0] if self._state.exists() else None
-        pdf = self._sorted(rows, "t")
-        sent, last = cooldown_marks(pdf["t"].tolist(), last, self.MINUTES)
-        if last is not None:
-            self._state.update((int(last),))
-        yield pdf.assign(sent=sent)
-
-
 def cooldown_marks(times: list[int], last: int | None, minutes: int) -> tuple[list[bool], int | None]:
     """Greedy sending: a row is sent when nothing was sent in the last ``minutes``."""
     gap, out = minutes * 60_000_000, []
@@ -199,18 +187,82 @@ def episode_stream(stream: DataFrame) -> DataFrame:
     return _stateful(stream, ["symbol"], EpisodeProcessor(), EPISODE_OUT)
 
 
-def cooldown_stream(stream: DataFrame, keys: list[str], minutes: int = 60) -> DataFrame:
-    """Mark sent rows per key; needs ``t`` in microseconds."""
-    processor = CooldownProcessor()
-    processor.MINUTES = minutes
-    return _stateful(stream, keys, processor, stream.schema.simpleString()[7:-1] + ",sent:boolean")
+CARRY = "version"
+
+
+def run_carried(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], root: str | None = None) -> DataFrame:
+    """Run a step over every micro-batch with the states that the batches before left.
+
+    ``step`` takes a batch and the states (None before the first) and returns rows and new states. Both are written per batch
+    below the root, so a batch that is repeated after a failure starts from the states before it and writes the same again.
+    """
+    spark = stream.sparkSession
+    root = root or shared_folder(spark, name)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        states = _written(session, f"{root}/carry")
+        if states is not None:
+            states = states.where(F.col(CARRY) < batch_id)
+            newest = states.agg(F.max(CARRY)).first()[0]
+            states = None if newest is None else states.where(F.col(CARRY) == newest).drop(CARRY)
+        out, new = step(batch, states)
+        new.write.mode("overwrite").parquet(f"{root}/carry/{CARRY}={batch_id}")
+        out.write.mode("overwrite").parquet(f"{root}/table/{CARRY}={batch_id}")
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = _written(spark, f"{root}/table")
+    if done is None:
+        done = step(spark.createDataFrame([], stream.schema), None)[0]
+        return done
+    return done.drop(CARRY)
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def cooldown_run(stream: DataFrame, keys: list[str], name: str, *, minutes: int = 60, root: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Greedy sending per key: a row is ``sent`` when nothing was sent in the last ``minutes``; needs ``t`` in microseconds and ``seq``.
+
+    Batches come one after the other, rows of a batch in the order of time. A key's rows run in blocks over many tasks.
+    """
+    machine = cooldown_machine(minutes * 60_000_000)
+
+    def step(batch, states):
+        return speculative_scan(batch, keys, ["t", "seq"], machine, COOLDOWN_STATE, "sent: boolean", states, block_rows)[:2]
+    return run_carried(stream, name, step, root)
+
+
+def budget_run(stream: DataFrame, name: str, *, who: str = "symbol", minutes: int = 60, hours: int = 24, total: int = 15, each: int = 2,
+               root: str | None = None, block_rows: int = 1024) -> DataFrame:
+    """Sent marks and reasons under a cooldown, ``each`` sends per name and ``total`` over all names, in any ``hours``.
+
+    The order is one for all names, so blocks cut across them; what is handed on is the queue of at most ``total`` sends.
+    """
+    machine = budget_machine(who, gap=minutes * 60_000_000, window=hours * 3_600_000_000, total=total, each=each)
+
+    def step(batch, states):
+        return speculative_scan(batch, [], ["t", who, "seq"], machine, BUDGET_STATE, "sent: boolean, reason: string", states, block_rows)[:2]
+    return run_carried(stream, name, step, root)
+
+
+def episode_run(stream: DataFrame, name: str, root: str | None = None, block_rows: int = 256) -> DataFrame:
+    """Episode decisions of landed scan rows; every batch goes on from the states of the symbols before it."""
+    def step(batch, states):
+        return episode_scan(batch, states, block_rows)[:2]
+    return run_carried(stream, name, step, root)
 
 
 def daily_cap(candidates: DataFrame, *, total: int = 15, each: int = 2) -> DataFrame:
     """Sent marks under caps per calendar day: the first ``each`` rows per symbol, and of those the first ``total``.
 
-    A cap that rolls over all symbols would make every decision depend on the one before; calendar days split, and the ranks keep no
-    more than the cap per task. Run it after the cooldown. Needs ``symbol, seq, t``.
+    Unlike the rolling budget this needs no order over days; the ranks keep no more than the cap per task. Run it after the
+    cooldown. Needs ``symbol, seq, t``.
     """
     days = candidates.select("symbol", "seq", "t", F.expr("t DIV 86400000000L AS day"))
     own = stacked_rank(days, ["symbol", "day"], [F.col("t"), F.col("seq")], each).drop("rank")
