@@ -77,3 +77,26 @@ def test_every_opening_is_due_once(spark, tmp_path):
     got = jobs.run_to_table(jobs.outcome_due(a, b), "due_test").where("open_id < 5000")
     want = [(i, 2 * i, "resolved") if i % 2 == 0 else (i, None, "retry") for i in range(60)]
     assert sorted((r["open_id"], r["resolve_id"], r["status"]) for r in got.collect()) == want
+
+
+def test_due_openings_are_checked_again_after_a_restart(spark, tmp_path):
+    # user i opens at 10 i minutes; every third one resolves after 30 minutes, every third after 4.5 hours, the rest never
+    after = lambda i: {0: 30, 1: 270}.get(i % 3)
+    rows = [(i % 5 + 100 * (i + 1), i) for i in range(90)]
+    opened = lambda lo, hi: spark.createDataFrame([(w, i) for w, i in rows[lo:hi]], "who long, id long").selectExpr("who", f"{at('id * 10')} AS ts", "id")
+    solved = lambda lo, hi: spark.createDataFrame([(w, i, i * 10 + after(i)) for w, i in rows if after(i) and lo * 10 <= i * 10 + after(i) < hi * 10], "who long, id long, m long").selectExpr("who", f"{at('m')} AS ts", "id + 1000 AS id")
+    end = lambda i: spark.createDataFrame([(-1, i)], "who long, id long").selectExpr("who", f"{at('id * 10')} AS ts", "id")
+    a, b, root = str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "due")
+    for step in range(4):
+        lo, hi = step * 30, step * 30 + 30
+        (opened(lo, hi) if step < 3 else end(119)).coalesce(1).write.mode("append").parquet(a)
+        solved(lo, hi).coalesce(1).write.mode("append").parquet(b)
+        got = jobs.outcomes_due(jobs.landed(spark, a), jobs.landed(spark, b), "due", checks=3, root=root)
+    now = 119 * 10 - 60  # the watermark in minutes
+    want = {}
+    for _, i in rows:
+        done = min(max(now - i * 10, 0) // 120, 3)
+        needed = -(-after(i) // 120) if after(i) else None
+        want[i] = (needed, i + 1000, "resolved") if needed and needed <= done else (done, None, "unresolved" if done == 3 else "retry" if done else "open")
+    assert {r["open_id"]: (r["checks"], r["resolve_id"], r["status"]) for r in got.where("who > 0").collect()} == want
+    assert {x[2] for x in want.values()} == {"resolved", "unresolved", "retry"}

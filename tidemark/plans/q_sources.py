@@ -531,20 +531,27 @@ def _fresh(v: Views):
 
 
 @query("st_lateness_gate", """
-  SELECT o_orderkey AS bar_key, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 500 DAY""")
+  WITH w AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 500 DAY AS t),
+  j AS (SELECT o_orderkey AS bar_key, o_orderdate AS c, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 500 DAY)
+  SELECT bar_key, l_linenumber FROM j WHERE l_linenumber IS NOT NULL OR c + INTERVAL 500 DAY < (SELECT t FROM w)""")
 def _gate(v: Views):
+    """Every bar: with its timely records, or alone once the watermark has passed its limit."""
     o = jobs.landed(v.spark, f"{v.folder}/orders.parquet").selectExpr("o_orderkey AS bar_key", "o_orderdate AS close_time")
     li = jobs.landed(v.spark, f"{v.folder}/lineitem.parquet").selectExpr("l_orderkey AS bar_key", "l_shipdate AS available_time", "l_linenumber")
-    return jobs.run_to_table(jobs.lateness_gate(o, li, "500 days", keep="500 days").where("s.bar_key IS NOT NULL").selectExpr("b.bar_key", "s.l_linenumber"), "gate")
+    return jobs.run_to_table(jobs.lateness_gate(o, li, "500 days", keep="500 days").selectExpr("b.bar_key", "s.l_linenumber"), "gate")
 
 
 @query("st_outcome_due", """
-  SELECT a.user_id AS who, a.ts AS opened_at, a.seq AS open_id, b.ts AS resolved_at, b.seq AS resolve_id FROM ticks a JOIN ticks b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR
-  WHERE a.symbol = 'click' AND b.symbol = 'purchase'""")
+  WITH w AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS ms FROM ticks WHERE symbol IN ('click', 'purchase')),
+  o AS (SELECT user_id AS who, seq AS open_id, epoch_us(ts) AS o, (SELECT ms FROM w) - epoch_us(ts) // 1000 AS age FROM ticks WHERE symbol = 'click'),
+  f AS (SELECT o.*, least(greatest(age, 0) // 7200000, 12) AS done, r.ts AS resolved_at, r.seq AS resolve_id, (epoch_us(r.ts) - o + 7199999999) // 7200000000 AS needed
+    FROM o LEFT JOIN LATERAL (SELECT p.ts, p.seq FROM ticks p WHERE p.symbol = 'purchase' AND p.user_id = o.who AND epoch_us(p.ts) > o ORDER BY p.ts, p.seq LIMIT 1) r ON TRUE)
+  SELECT who, open_id, make_timestamp(o) AS opened_at, CASE WHEN needed <= done THEN needed ELSE done END AS checks, CASE WHEN needed <= done THEN resolved_at END AS resolved_at,
+    CASE WHEN needed <= done THEN resolve_id END AS resolve_id, CASE WHEN needed <= done THEN 'resolved' WHEN done = 12 THEN 'unresolved' WHEN done = 0 THEN 'open' ELSE 'retry' END AS status FROM f""", ints="checks")
 def _due(v: Views):
-    a = tick_stream(v).where("symbol = 'click'").selectExpr("user_id AS who", "ts AS opened_at", "seq AS open_id")
-    b = tick_stream(v).where("symbol = 'purchase'").selectExpr("user_id AS who", "ts AS resolved_at", "seq AS resolve_id")
-    return jobs.run_to_table(jobs.follow_up(a, b).where("resolve_id IS NOT NULL"), "due")
+    """Each click and the first purchase of its user, looked for at the end of every two hours, twelve times at most."""
+    side = lambda kind: tick_stream(v).where(f"symbol = '{kind}'").selectExpr("user_id AS who", "seq AS id", "ts")
+    return jobs.outcomes_due(side("click"), side("purchase"), "due")
 
 
 COOL = {"cand": "SELECT symbol, seq, epoch_us(ts) AS t FROM ticks WHERE px >= 110",

@@ -142,6 +142,99 @@ def outcome_due(first: DataFrame, second: DataFrame, within: str = "2 hours", la
         "who", "opened_at", "open_id", "r.resolved_at", "r.resolve_id", F.when(F.col("r.resolve_id").isNull(), F.lit("retry")).otherwise(F.lit("resolved")).alias("status"))
 
 
+class DueProcessor(StatefulProcessor):
+    """Openings of one key and time slice, each with a timer at the end of its horizon that is renewed while nothing resolves it.
+
+    State: open rows (id, time, checks so far, first resolving row yet) and resolving rows that a later opening could still need.
+    """
+
+    HORIZON_MS, CHECKS = 7_200_000, 12
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._open = handle.getMapState("open", "open_id bigint, opened bigint", "checks int, resolve_id bigint, resolved bigint")
+        self._news = handle.getMapState("news", "resolve_id bigint, resolved bigint", "seen boolean")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        opened, resolved = [], []
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                (opened if r.kind == "open" else resolved).append((int(r.us), int(r.id)))
+        for us, i in resolved:
+            for (oid, at), (checks, old_id, old) in list(self._open.iterator()):
+                if us > at and (old is None or (us, i) < (old, old_id)):
+                    self._open.updateValue((oid, at), (checks, i, us))
+            self._news.updateValue((i, us), (True,))
+        news = sorted((us, i) for (i, us), _ in self._news.iterator())
+        for us, i in opened:
+            first = next((n for n in news if n[0] > us), (None, None))
+            self._open.updateValue((i, us), (0, first[1], first[0]))
+            self._handle.registerTimer(us // 1000 + self.HORIZON_MS)
+            out.append(self._row(key, i, us, 0, None, None, "open"))
+        # no opening older than the watermark can come any more
+        for us, i in news:
+            if us <= passed:
+                self._news.removeKey((i, us))
+        yield pd.DataFrame(out, columns=DUE_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """One row for the newest state of every opening that is due; its next check is set beyond the watermark."""
+        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        for (oid, at), (checks, rid, us) in list(self._open.iterator()):
+            done = min((passed - at // 1000) // self.HORIZON_MS, self.CHECKS)
+            if done <= checks:
+                continue
+            horizon = self.HORIZON_MS * 1000
+            needed = None if us is None else -((at - us) // horizon)
+            if needed is not None and needed <= done:
+                self._open.removeKey((oid, at))
+                out.append(self._row(key, oid, at, needed, rid, us, "resolved"))
+            elif done == self.CHECKS:
+                self._open.removeKey((oid, at))
+                out.append(self._row(key, oid, at, done, None, None, "unresolved"))
+            else:
+                self._open.updateValue((oid, at), (int(done), rid, us))
+                self._handle.registerTimer(at // 1000 + (done + 1) * self.HORIZON_MS)
+                out.append(self._row(key, oid, at, done, None, None, "retry"))
+        yield pd.DataFrame(out, columns=DUE_COLUMNS)
+
+    @staticmethod
+    def _row(key, oid, at, checks, rid, us, status) -> tuple:
+        return key[0], oid, at, int(checks), rid, us, status
+
+
+DUE_COLUMNS = ["who", "open_id", "opened", "checks", "resolve_id", "resolved", "status"]
+DUE_OUT = "who bigint, open_id bigint, opened bigint, checks int, resolve_id bigint, resolved bigint, status string"
+
+
+def due_events(first: DataFrame, second: DataFrame, horizon_ms: int, checks: int, lateness: str = "1 hour") -> DataFrame:
+    """Changes of every opening: ``open``, then ``retry`` per ended horizon, then ``resolved`` or after all checks ``unresolved``.
+
+    Keys are (who, slice of time as long as all checks), so that a key with many rows is spread; a resolving row goes to its own slice
+    and to the one before it. Needs ``who``, ``id`` and ``ts`` on both sides.
+    """
+    span = horizon_ms * checks * 1000
+    own = f"unix_micros(ts) DIV {span}"
+    side = lambda df, kind, slices: df.selectExpr("who", "id", "ts", "unix_micros(ts) AS us", f"'{kind}' AS kind", slices)
+    rows = side(first, "open", f"{own} AS slice").unionByName(side(second, "resolve", f"explode(array({own} - 1, {own})) AS slice"))
+    processor = DueProcessor()
+    processor.HORIZON_MS, processor.CHECKS = horizon_ms, checks
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.withWatermark("ts", lateness).groupBy("who", "slice").transformWithStateInPandas(processor, DUE_OUT, "append", "eventTime")
+
+
+def outcomes_due(first: DataFrame, second: DataFrame, name: str, *, horizon_ms: int = 7_200_000, checks: int = 12, lateness: str = "1 hour", root: str | None = None) -> DataFrame:
+    """One row per opening with its newest status, the horizons checked, and the first resolving row once it is resolved."""
+    events = run_to_table(due_events(first, second, horizon_ms, checks, lateness), name, root)
+    newest = F.max_by(F.struct("checks", "resolve_id", "resolved", "status"), F.struct("checks", F.col("status") != "retry")).alias("n")
+    return events.groupBy("who", "open_id", "opened").agg(newest).select("who", "open_id", F.expr("timestamp_micros(opened) AS opened_at"), "n.checks",
+                                                                         F.expr("timestamp_micros(n.resolved) AS resolved_at"), "n.resolve_id", "n.status")
+
+
 class _PerKey(StatefulProcessor):
     """Rows of a key in time order against one state row; subclasses say how."""
 
