@@ -100,3 +100,33 @@ def test_training_uses_train_medians_and_refuses_answers(spark):
     assert med["x"] == (float(np.median([r[0] for r in rows if r[0] is not None])), True)
     with pytest.raises(ValueError):
         ml.fit_classifier(df, ["label_value"])
+
+
+def test_counted_intervals_are_those_of_a_plain_loop(spark):
+    """Kinds with counts and single blocks give what a loop over the same md5 draws gives; nothing gives nulls."""
+    import hashlib
+
+    from tidemark.operators import resample
+    kinds = [(0, 0, 11), (0, 1, 7), (1, 0, 4), (1, 1, 9)]
+    values = [(a * p, p) for a, p, n in sorted(kinds) for _ in range(n)]
+
+    def plain(values, reps, kind):
+        n, out = len(values), []
+        for b in range(reps):
+            drawn = [values[int(hashlib.md5(f"42:{b}:{j}".encode()).hexdigest()[:15], 16) % n] for j in range(n)]
+            if sum(x[1] for x in drawn):
+                out.append(sum(x[0] for x in drawn) / sum(x[1] for x in drawn))
+        out.sort()
+        if kind == "index":
+            return [out[min(int(len(out) * q), len(out) - 1)] for q in (0.025, 0.975)]
+        at = [(len(out) - 1) * q for q in (0.025, 0.975)]
+        return [out[int(x)] + (out[min(int(x) + 1, len(out) - 1)] - out[int(x)]) * (x - int(x)) for x in at]
+
+    cells = spark.createDataFrame(kinds, "a int, p int, n long").selectExpr("a", "p", "n", "a * p AS tp")
+    got = resample.counted_interval(cells, ["a", "p"], ["tp", "p"], resample.ratio_of("tp", "p"), replicates=200, count="n").first()
+    assert (got["n"], round(got["point"], 12)) == (31, round(9 / 16, 12)) and [got["ci_lower"], got["ci_upper"]] == plain(values, 200, "index")
+    days = [(d, (d * 7) % 5, 5) for d in range(12)]
+    got = resample.counted_interval(spark.createDataFrame(days, "day int, tp int, p int"), ["day"], ["tp", "p"], resample.ratio_of("tp", "p"), replicates=300, kind="linear").first()
+    assert all(abs(x - y) < 1e-12 for x, y in zip([got["ci_lower"], got["ci_upper"]], plain([x[1:] for x in days], 300, "linear")))
+    none = resample.counted_interval(spark.createDataFrame([], "day int, tp int, p int"), ["day"], ["tp", "p"], resample.ratio_of("tp", "p"), replicates=20).first()
+    assert tuple(none) == (0, None, None, None)

@@ -239,7 +239,7 @@ def promotion_gates(comparison: DataFrame, intervals: DataFrame | None = None) -
     """Gates of the challenger against the champion, one row each with the reason that it gives when it fails.
 
     ``intervals`` has one row with the lower ends ``precision_low`` and ``recall_low`` of the paired differences; without it those two
-    gates are NULL.  No gate is decided (NULL) before there is enough data.
+    gates are NULL, and an end that could not be drawn fails its gate.  No gate is decided (NULL) before there is enough data.
     """
     p = PROMOTION
     row = comparison.groupBy().agg(*[F.max_by(F.struct("*"), F.when(F.col("arm") == arm, 1)).alias(name) for arm, name in (("champion", "a"), ("challenger", "b"))])
@@ -247,11 +247,12 @@ def promotion_gates(comparison: DataFrame, intervals: DataFrame | None = None) -
         "CAST(NULL AS STRUCT<precision_low: DOUBLE, recall_low: DOUBLE>)")
     row = row.withColumn("i", low)
     enough = (f"least(a.resolved, b.resolved) >= {p['resolved']} AND a.positive_events >= {p['events']} AND greatest(a.evaluation_days, b.evaluation_days) >= {p['days']}")
+    sure = lambda e: e if intervals is None else f"coalesce({e}, false)"
     gates = (("insufficient_resolved_outcomes", f"least(a.resolved, b.resolved) >= {p['resolved']}", False), ("insufficient_positive_events", f"a.positive_events >= {p['events']}", False),
              ("evaluation_window_too_short", f"greatest(a.evaluation_days, b.evaluation_days) >= {p['days']}", False),
              ("precision_at_10_gate_failed", f"coalesce(b.precision_at_10 >= a.precision_at_10 * {1 + p['gain']}D, false)", True),
-             ("precision_ci_gate_failed", "i.precision_low > 0", True), ("recall_guardrail_failed", f"coalesce(b.event_recall >= a.event_recall - {p['recall_loss']}D, false)", True),
-             ("recall_ci_guardrail_failed", f"i.recall_low >= -{p['recall_loss']}D", True),
+             ("precision_ci_gate_failed", sure("i.precision_low > 0"), True), ("recall_guardrail_failed", f"coalesce(b.event_recall >= a.event_recall - {p['recall_loss']}D, false)", True),
+             ("recall_ci_guardrail_failed", sure(f"i.recall_low >= -{p['recall_loss']}D"), True),
              ("false_candidate_guardrail_failed", "b.false_candidates_per_day <= a.false_candidates_per_day", True),
              ("minimum_event_recall_failed", f"coalesce(b.event_recall >= {p['event_recall']}D, false)", True))
     arms = ", ".join(f"named_struct('reason', '{n}', 'passed', {f'CASE WHEN {enough} THEN {e} END' if late else e})" for n, e, late in gates)

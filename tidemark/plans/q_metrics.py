@@ -5,11 +5,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import with_exprs
-from tidemark.operators import features, metrics, ordered, scoring
+from tidemark.operators import features, metrics, ordered, resample, scoring
 from tidemark.operators.quantiles import exact_percentiles
 from tidemark.plans.q_labels import BARRIER, STOPS, moved, stop_outcomes
 from tidemark.plans.q_timeline import SCORED_VIEW, scored
 from tidemark.plans.registry import query
+from tidemark.sources.tables import materialize
 from tidemark.plans.views import Views
 
 AP = """(SELECT {k} sum(pos * cp / cn) / nullif(sum(pos), 0) AS ap FROM (SELECT *, sum(n) OVER (PARTITION BY {g} ORDER BY probability DESC) AS cn,
@@ -326,21 +327,38 @@ def _boot_rows(v: Views):
     return _held(cells, F.col("actual") * F.col("predicted"), F.col("predicted"), metrics.bootstrap_interval(cells, "n", ["actual", "predicted"], _precision))
 
 
-@query("met_bootstrap_groups", "SELECT count(*) AS n, coalesce(count(*) FILTER (p = 1 AND a = 1)::DOUBLE / nullif(count(*) FILTER (p = 1), 0), 0) AS point, TRUE AS holds FROM (SELECT coalesce(event_id, prediction_id) AS k, max(label_value) AS a, max(pred_value) AS p FROM judged GROUP BY 1)", floats="point")
+def drawn_sql(name: str, rows: str, order: str, values: str, replicates: int) -> dict[str, str]:
+    """Views of the observations in order and of the sums of each replicate's draws."""
+    sums = ", ".join(f"sum({v}) AS {v}" for v in values.split())
+    return {f"{name}_o": f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM ({rows})",
+            f"{name}_d": f"""SELECT b, {sums} FROM (SELECT k // n AS b, ('0x' || substr(md5('42:' || (k // n) || ':' || (k % n)), 1, 15))::BIGINT % n AS i
+    FROM (SELECT unnest(range({replicates} * n)) AS k, n FROM (SELECT count(*) AS n FROM {name}_o))) JOIN {name}_o USING (i) GROUP BY b"""}
+
+
+def interval_sql(name: str, kind: str, point: str, statistic: str, linear: bool = False) -> str:
+    ends = [f"quantile_cont(s, {q})" if linear else f"list_sort(list(s))[least(floor(count(s) * {q}), count(s) - 1)::INT + 1]" for q in (0.025, 0.975)]
+    return f"""SELECT '{kind}' AS kind, n, point, ci_lower, ci_upper FROM (SELECT count(*) AS n, {point} AS point FROM {name}_o),
+    (SELECT {ends[0]} AS ci_lower, {ends[1]} AS ci_upper FROM (SELECT {statistic} AS s FROM {name}_d))"""
+
+
+DRAWN = {**drawn_sql("bev", "SELECT max(label_value) * max(pred_value) AS tp, max(pred_value) AS p, max(label_value) AS a FROM judged GROUP BY coalesce(event_id, prediction_id)", "a, p", "tp p", 1000),
+          **drawn_sql("bday", "SELECT CAST(signal_time AS DATE) AS day, sum(label_value * pred_value) AS tp, sum(pred_value) AS p FROM judged GROUP BY 1", "day", "tp p", 1000)}
+_SHARE, _SHARE_SUM = "tp::DOUBLE / nullif(p, 0)", "sum(tp)::DOUBLE / nullif(sum(p), 0)"
+
+
+@query("met_bootstrap_groups", interval_sql("bev", "event", _SHARE_SUM, _SHARE) + " UNION ALL " + interval_sql("bday", "block", _SHARE_SUM, _SHARE), views=DRAWN, floats="point ci_lower ci_upper", ints="n")
 def _boot_groups(v: Views):
-    """The same over whole events."""
-    e = metrics.event_rows(v.judged).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    return _held(e, F.col("actual") * F.col("predicted"), F.col("predicted"), metrics.bootstrap_interval(e, "n", ["actual", "predicted"], _precision))
-
-
-@query("met_bootstrap_paired", "SELECT count(*) AS n, avg(c - a) AS point, TRUE AS holds FROM (SELECT event_id, max((probability >= 0.55)::INT) AS a, max((probability >= 0.5)::INT) AS c FROM judged WHERE event_id IS NOT NULL GROUP BY 1)", floats="point")
-def _boot_paired(v: Views):
-    """Recall difference of two thresholds on the same true events."""
-    e = v.judged.where("event_id IS NOT NULL").groupBy("event_id").agg(
-        F.max(F.expr("CAST(probability >= 0.55 AS INT)")).alias("champion"), F.max(F.expr("CAST(probability >= 0.5 AS INT)")).alias("challenger"))
-    cells = e.groupBy("champion", "challenger").agg(F.count(F.lit(1)).alias("n"))
-    diff = lambda d, x: (d @ (x["challenger"] - x["champion"])) / d.sum(axis=1)
-    return _held(cells, F.col("challenger") - F.col("champion"), F.lit(1), metrics.bootstrap_interval(cells, "n", ["champion", "challenger"], diff, iterations=10_000, interpolate=True))
+    """Precision over whole events and over contiguous blocks of a day."""
+    j = materialize(v.judged.select("prediction_id", "event_id", "label_value", "pred_value", "signal_time"), "judged")
+    kinds = metrics.event_rows(j).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n")).withColumn("tp", F.col("actual") * F.col("predicted"))
+    event = resample.counted_interval(kinds.withColumn("p", F.col("predicted")), ["actual", "predicted"], ["tp", "p"], resample.ratio_of("tp", "p"), count="n")
+    days = day_blocks(j)
+    block = resample.counted_interval(days, ["day"], ["tp", "p"], resample.ratio_of("tp", "p"))
+    return event.select(F.lit("event").alias("kind"), "*").unionByName(block.select(F.lit("block").alias("kind"), "*"))
+
+
+def day_blocks(judged):
+    return judged.groupBy(F.to_date("signal_time").alias("day")).agg(F.sum(F.col("label_value") * F.col("pred_value")).alias("tp"), F.sum("pred_value").alias("p"))
 
 
 SWEEP = {"grid": "SELECT unnest(range(90)) AS i", "sweep": """

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import labels, metrics, ordered, reports, selection
+from tidemark.operators import labels, metrics, ordered, reports, resample, selection
 from tidemark.plans.q_labels import PENDING, open_predictions, outcomes
-from tidemark.plans.q_metrics import labelled_features
+from tidemark.plans.q_metrics import drawn_sql, interval_sql, labelled_features
 from tidemark.plans.registry import query
 from tidemark.plans.views import Views
 from tidemark.sources.tables import materialize, shared_folder
@@ -397,14 +397,36 @@ def truth_rows(lab):
     return t.select("symbol", "signal_time", "truth_event", F.expr("min(target_time) OVER (PARTITION BY truth_event) AS event_target"))
 
 
+_FIRST = "arm = 'champion'", "arm = 'challenger'"
+PAIRED = {**COMPARE,
+    **drawn_sql("pev", f"SELECT truth_event, max(CASE WHEN {_FIRST[0]} AND first_ IS NOT NULL THEN 1 ELSE 0 END) AS a, max(CASE WHEN {_FIRST[1]} AND first_ IS NOT NULL THEN 1 ELSE 0 END) AS c, 1 AS one FROM fev GROUP BY 1", "a, c", "a c one", 10_000),
+    **drawn_sql("pday", "SELECT CAST(signal_time AS DATE) AS day, " + ", ".join(f"count(*) FILTER ({w} AND label_value = 1) AS {x}h, count(*) FILTER ({w}) AS {x}n" for w, x in zip(_FIRST, "ac"))
+                + " FROM fdec WHERE selected AND rank <= 10 AND label_value IS NOT NULL GROUP BY 1", "day", "ah an ch cn", 10_000),
+    "paired": interval_sql("pev", "event_recall", "(sum(c) - sum(a))::DOUBLE / sum(one)", "(c - a)::DOUBLE / one", True) + " UNION ALL "
+              + interval_sql("pday", "precision_at_10", "sum(ch)::DOUBLE / nullif(sum(cn), 0) - sum(ah)::DOUBLE / nullif(sum(an), 0)", "ch::DOUBLE / nullif(cn, 0) - ah::DOUBLE / nullif(an, 0)", True)}
+
+
+@query("met_bootstrap_paired", "SELECT * FROM paired", views=PAIRED, floats="point ci_lower ci_upper", ints="n")
+def _paired(v: Views):
+    """Differences of two filters under the same draws of events and of days."""
+    lab = materialize(v.labels.select("symbol", "signal_time", "label_value", "target_time"), "labels")
+    return resample.paired_filter_intervals(materialize(filter_decisions(v, lab), "decisions"), materialize(truth_rows(lab), "truth"))
+
+
 @query("met_filter_gates", """
   WITH x AS (SELECT least(a.resolved, b.resolved) >= 200 AS g1, a.positive_events >= 50 AS g2, greatest(a.evaluation_days, b.evaluation_days) >= 14 AS g3,
       coalesce(b.precision_at_10 >= a.precision_at_10 * 1.1::DOUBLE, FALSE) AS p1, coalesce(b.event_recall >= a.event_recall - 0.05::DOUBLE, FALSE) AS p2,
-      b.false_candidates_per_day <= a.false_candidates_per_day AS p3, coalesce(b.event_recall >= 0.8::DOUBLE, FALSE) AS p4 FROM fcmp a, fcmp b WHERE a.arm = 'champion' AND b.arm = 'challenger')
+      b.false_candidates_per_day <= a.false_candidates_per_day AS p3, coalesce(b.event_recall >= 0.8::DOUBLE, FALSE) AS p4,
+      (SELECT coalesce(max(ci_lower) > 0, FALSE) FROM paired WHERE kind = 'precision_at_10') AS p5, (SELECT coalesce(max(ci_lower) >= -0.05::DOUBLE, FALSE) FROM paired WHERE kind = 'event_recall') AS p6
+      FROM fcmp a, fcmp b WHERE a.arm = 'champion' AND b.arm = 'challenger')
   SELECT unnest(['insufficient_resolved_outcomes','insufficient_positive_events','evaluation_window_too_short','precision_at_10_gate_failed','recall_guardrail_failed','false_candidate_guardrail_failed',
       'minimum_event_recall_failed','precision_ci_gate_failed','recall_ci_guardrail_failed']) AS reason,
-    unnest([g1, g2, g3, CASE WHEN g1 AND g2 AND g3 THEN p1 END, CASE WHEN g1 AND g2 AND g3 THEN p2 END, CASE WHEN g1 AND g2 AND g3 THEN p3 END, CASE WHEN g1 AND g2 AND g3 THEN p4 END, NULL, NULL]) AS passed FROM x""",
-       views=COMPARE)
+    unnest([g1, g2, g3, CASE WHEN g1 AND g2 AND g3 THEN p1 END, CASE WHEN g1 AND g2 AND g3 THEN p2 END, CASE WHEN g1 AND g2 AND g3 THEN p3 END, CASE WHEN g1 AND g2 AND g3 THEN p4 END,
+      CASE WHEN g1 AND g2 AND g3 THEN p5 END, CASE WHEN g1 AND g2 AND g3 THEN p6 END]) AS passed FROM x""",
+       views=PAIRED)
 def _gates(v: Views):
-    """The gates that need no resampling; the two interval gates stay open here and are tested with given intervals."""
-    return reports.promotion_gates(materialize(compared(v), "comparison"))
+    """All nine gates; a missing interval fails its gate."""
+    lab = materialize(v.labels.select("symbol", "signal_time", "label_value", "target_time"), "labels")
+    decisions, truth = materialize(filter_decisions(v, lab), "decisions"), materialize(truth_rows(lab), "truth")
+    low = resample.lower_ends(resample.paired_filter_intervals(decisions, truth))
+    return reports.promotion_gates(materialize(reports.filter_comparison(decisions, truth), "comparison"), materialize(low, "intervals"))
