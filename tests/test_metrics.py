@@ -130,3 +130,44 @@ def test_counted_intervals_are_those_of_a_plain_loop(spark):
     assert all(abs(x - y) < 1e-12 for x, y in zip([got["ci_lower"], got["ci_upper"]], plain([x[1:] for x in days], 300, "linear")))
     none = resample.counted_interval(spark.createDataFrame([], "day int, tp int, p int"), ["day"], ["tp", "p"], resample.ratio_of("tp", "p"), replicates=20).first()
     assert tuple(none) == (0, None, None, None)
+
+
+def test_grouped_calibration_over_many_blocks(spark):
+    """Pools merged over blocks equal pooling at once; curves are stationary points; odd groups have no model."""
+    import random
+
+    from tidemark.operators import calibrate
+    rng = random.Random(2)
+    rows = [(g, round(rng.random(), 3), int(rng.random() < 0.2 + 0.3 * k)) for k, g in enumerate(["a", "b", None]) for _ in range(700)]
+    rows += [("one", 0.25, 1), ("one", 0.75, 1), ("nolabel", 0.5, None), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "g string, probability double, label_value int")
+    models = {r["g"]: [c.asDict() for c in r["pool"]] for r in calibrate.fit_isotonic_groups(df, ["g"], block_rows=32, fan=2).collect()}
+    for g in ("a", "b", None, "one"):
+        cells = {}
+        for k, p, y in rows:
+            if k == g and p is not None:
+                n, pos = cells.get(p, (0, 0))
+                cells[p] = (n + 1, pos + y)
+        want = calibrate.pool([{"lo": x, "hi": x, "n": n, "pos": pos} for x, (n, pos) in sorted(cells.items())])
+        assert models[g] == want
+        shares = [c["pos"] / c["n"] for c in want]
+        assert shares == sorted(shares) and sum(c["pos"] for c in want) == sum(pos for _, pos in cells.values())
+    assert set(models) == {"a", "b", None, "one"}
+    out = calibrate.apply_isotonic_groups(df, spark.createDataFrame([(g, m) for g, m in models.items()], "g string, pool array<struct<lo:double,hi:double,n:long,pos:long>>"), ["g"])
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        m = models.get(r["g"])
+        if m and r["probability"] is not None:
+            p = r["probability"]
+            inside = [c for c in m if c["lo"] <= p <= c["hi"]]
+            assert abs(r["calibrated"] - inside[0]["pos"] / inside[0]["n"]) < 1e-12
+        else:
+            assert r["calibrated"] is None
+    curves = {r["g"]: r for r in calibrate.fit_platt_groups(df, ["g"]).collect()}
+    assert set(curves) == {"a", "b", None}
+    import math
+    for g, r in curves.items():
+        mine = [(p, y) for k, p, y in rows if k == g and p is not None]
+        s = [1 / (1 + math.exp(-(r["a"] * p + r["b"]))) for p, _ in mine]
+        assert abs(sum(q - y for q, (_, y) in zip(s, mine))) < 1e-7 and abs(sum((q - y) * p for q, (p, y) in zip(s, mine)) + r["a"]) < 1e-7

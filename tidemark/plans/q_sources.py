@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import with_exprs
-from tidemark.operators import features, indicators, labels, metrics, ml, ordered, reports, resample, splits
+from tidemark.operators import calibrate, features, indicators, labels, metrics, ml, ordered, reports, resample, splits
 from tidemark.plans.q_labels import REGIME, barrier_signals, moved
 from tidemark.plans.q_metrics import AP, BASE, DRAWN, EDGES, _ece_sql, baseline_counts, day_blocks, interval_sql, labelled_features
 from tidemark.plans.q_scoring import small_bars
@@ -340,20 +340,50 @@ def _horizons(v: Views):
     return out
 
 
-@query("ml_calibrate_isotonic")
+CALIBRATE = {
+    "cal": """
+  SELECT prediction_id, symbol, round(probability, 6) AS x, label_value AS y, epoch_us(signal_time) - min(epoch_us(signal_time)) OVER () < quantile_cont((epoch_us(signal_time) - f)::DOUBLE, 0.8) OVER () AS fit
+  FROM judged, (SELECT min(epoch_us(signal_time)) AS f FROM judged)""",
+    "cell": "SELECT symbol, x, count(*) AS n, sum(y) AS pos FROM cal WHERE fit GROUP BY ALL",
+    "ranked": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY x) AS i FROM cell",
+    "spans": """
+  SELECT a.symbol, a.i AS a, b.i AS b, sum(b.pos) OVER w::DOUBLE / sum(b.n) OVER w AS m FROM ranked a JOIN ranked b ON a.symbol = b.symbol AND b.i >= a.i WINDOW w AS (PARTITION BY a.symbol, a.i ORDER BY b.i)""",
+    "least": "SELECT symbol, a, b AS i, min(m) OVER (PARTITION BY symbol, a ORDER BY b DESC) AS m FROM spans",
+    "steps": "SELECT r.symbol, r.x, max(l.m) AS y FROM ranked r JOIN least l ON r.symbol = l.symbol AND r.i = l.i GROUP BY ALL",
+    "newton": """
+  SELECT * FROM (WITH RECURSIVE t(symbol, k, a, b) AS (
+    SELECT symbol, 0, 0.0::DOUBLE, ln(sum(pos)::DOUBLE / (sum(n) - sum(pos))) FROM cell GROUP BY symbol HAVING sum(pos) > 0 AND sum(pos) < sum(n)
+    UNION ALL
+    SELECT symbol, k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+      SELECT symbol, k, any_value(a) AS a, any_value(b) AS b, sum((n * s - pos) * x) + any_value(a) AS ga, sum(n * s - pos) AS gb, sum(n * s * (1 - s) * x * x) + 1 AS haa,
+        sum(n * s * (1 - s) * x) AS hab, sum(n * s * (1 - s)) AS hbb FROM (SELECT t.symbol, k, a, b, n, pos, x, 1 / (1 + exp(-(a * x + b))) AS s FROM t JOIN cell c ON c.symbol = t.symbol WHERE k < 20) GROUP BY symbol, k))
+  SELECT symbol, a, b FROM t WHERE k = 20)"""}
+
+
+def calibration_rows(v: Views):
+    """Judged rows with their scores to six digits, of the older four fifths to fit and the rest to calibrate."""
+    j = v.judged.selectExpr("prediction_id", "symbol", "signal_time", "round(probability, 6) AS probability", "label_value")
+    j = splits.chronological_cut(tables.materialize(j, "judged"), 0.8)
+    return j.where("part = 'fit'").drop("part", "signal_time"), j.where("part = 'calibrate'").drop("part", "signal_time")
+
+
+@query("ml_calibrate_isotonic", """
+  SELECT prediction_id, c.symbol, c.x AS probability, c.y AS label_value, CASE WHEN lo.x IS NULL THEN hi.y WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.y ELSE lo.y + (c.x - lo.x) / (hi.x - lo.x) * (hi.y - lo.y) END AS calibrated
+  FROM (SELECT * FROM cal WHERE NOT fit) c ASOF LEFT JOIN (SELECT symbol, x, y FROM steps) lo ON c.symbol = lo.symbol AND c.x >= lo.x
+  ASOF LEFT JOIN (SELECT symbol, x, y FROM steps) hi ON c.symbol = hi.symbol AND c.x <= hi.x""", views=CALIBRATE, floats="probability calibrated", ints="label_value")
 def _isotonic(v: Views):
-    j = tables.materialize(v.judged.select("prediction_id", "signal_time", "probability", "label_value"), "judged")
-    j = splits.chronological_cut(j, 0.8)
-    out = ml.apply_isotonic(ml.fit_isotonic(j.where("part = 'fit'")), j.where("part = 'calibrate'"))
-    return metrics.brier(out, label="label_value", prob="calibrated").withColumn("raw_brier", metrics.brier(out).scalar())
+    """Isotonic curves of all symbols at once, applied to the newest fifth."""
+    fit, rest = calibration_rows(v)
+    return calibrate.apply_isotonic_groups(rest, calibrate.fit_isotonic_groups(fit, ["symbol"]), ["symbol"])
 
 
-@query("ml_calibrate_platt")
+@query("ml_calibrate_platt", """
+  SELECT prediction_id, c.symbol, x AS probability, y AS label_value, 1 / (1 + exp(-(a * x + b))) AS calibrated FROM cal c LEFT JOIN newton n ON n.symbol = c.symbol WHERE NOT fit""",
+       views=CALIBRATE, floats="probability calibrated", ints="label_value", digits=8)
 def _platt(v: Views):
-    j = tables.materialize(v.judged.select("prediction_id", "signal_time", "probability", "label_value"), "judged")
-    j = splits.chronological_cut(j, 0.8)
-    out = ml.apply_platt(ml.fit_platt(j.where("part = 'fit'")), j.where("part = 'calibrate'"))
-    return metrics.brier(out, label="label_value", prob="calibrated").withColumn("raw_brier", metrics.brier(out).scalar())
+    """Logistic curves of all symbols at once, applied to the newest fifth."""
+    fit, rest = calibration_rows(v)
+    return calibrate.apply_platt_groups(rest, calibrate.fit_platt_groups(fit, ["symbol"]), ["symbol"])
 
 
 @query("ml_walk_forward_eval")
