@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -110,6 +112,19 @@ def fit_classifier(train: DataFrame, columns: Sequence[str], *, kind: str = "log
     return Pipeline(stages=[*stages, est]).fit(data)
 
 
+def fit_concurrently(parts: dict[object, DataFrame], columns: dict[object, Sequence[str]], *, at_once: int = 4, **options) -> dict[object, PipelineModel]:
+    """One model per part, fitted as concurrent jobs, so that small fits share the cluster instead of queueing."""
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = {k: pool.submit(inheritable_thread_target(df.sparkSession)(lambda df=df, k=k: fit_classifier(df, columns[k], **options))) for k, df in parts.items()}
+        return {k: j.result() for k, j in jobs.items()}
+
+
+def usable_by(df: DataFrame, key: str, columns: Sequence[str], max_share: float = 0.5) -> dict[object, list[str]]:
+    """Usable columns of every key from one aggregate; keys are few (horizons, folds)."""
+    shares = df.groupBy(key).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).collect()
+    return {r[key]: [c for c in columns if r[c] is not None and r[c] <= max_share] for r in shares}
+
+
 def fit_secondary(train: DataFrame, columns: Sequence[str], **options) -> PipelineModel:
     """A secondary model over inputs that are known at entry; any other column is refused."""
     other = [c for c in columns if c not in META_INPUTS]

@@ -325,19 +325,65 @@ def _gbt(v: Views):
     return ml.evaluate(apply(test), threshold).withColumn("threshold", F.lit(threshold))
 
 
-@query("ml_horizon_models")
-def _horizons(v: Views):
-    """One model per horizon, joined to a wide table of probabilities."""
-    f = features.build_features(v.bare_timeline, ("price",)).withColumnRenamed("feature_time", "signal_time").select("symbol", "signal_time", *COLS[:4])
-    f = tables.materialize(f, "features")
+HORIZON_PARTS = {
+    "span": "SELECT min(epoch_us(signal_time)) AS lo, max(epoch_us(signal_time)) - min(epoch_us(signal_time)) AS wide FROM labels_all WHERE label_value IS NOT NULL",
+    "hparts": """
+  SELECT horizon_hours, label_value, CASE WHEN t + h < lo + wide * 6 // 10 THEN 'train' WHEN t < lo + wide * 6 // 10 THEN NULL WHEN t + h < lo + wide * 8 // 10 THEN 'calibrate' WHEN t < lo + wide * 8 // 10 THEN NULL ELSE 'score' END AS part
+  FROM span, (SELECT *, epoch_us(signal_time) AS t, horizon_hours * 3600000000 AS h FROM labels_all WHERE label_value IS NOT NULL)"""}
+
+
+def horizon_rows(v: Views):
+    """One long table of features and labels keyed by horizon, in parts by time. A row whose horizon reaches into the next part is in none."""
+    f = features.build_features(v.timeline, GROUPS).withColumnRenamed("feature_time", "signal_time").select("symbol", "signal_time", *COLS)
     lab = labels.label_paths(v.path_bars, gap_minutes=180).where("label_value IS NOT NULL").select("symbol", "signal_time", "horizon_hours", "label_value")
     lab = tables.materialize(lab, "labels")
-    out = f.select("symbol", "signal_time")
-    for h in labels.HORIZONS:
-        train = f.join(lab.where(F.col("horizon_hours") == h), ["symbol", "signal_time"]).where("signal_time < TIMESTAMP '2024-01-20 00:00:00'")
-        s = ml.score(ml.fit_classifier(train, COLS[:4]), f, f"probability_{h}h").select("symbol", "signal_time", f"probability_{h}h")
-        out = out.join(s, ["symbol", "signal_time"])
-    return out
+    t = F.unix_micros("signal_time")
+    lab = lab.withColumn("_s", lab.agg(F.min(t).alias("lo"), (F.max(t) - F.min(t)).alias("wide")).select(F.struct("lo", "wide")).scalar())
+    end = "unix_micros(signal_time) + horizon_hours * 3600000000L"
+    cut = lambda tenths: f"_s.lo + _s.wide * {tenths} DIV 10"
+    lab = lab.selectExpr("* EXCEPT (_s)", f"CASE WHEN {end} < {cut(6)} THEN 'train' WHEN unix_micros(signal_time) < {cut(6)} THEN NULL "
+                         f"WHEN {end} < {cut(8)} THEN 'calibrate' WHEN unix_micros(signal_time) < {cut(8)} THEN NULL ELSE 'score' END AS part").where("part IS NOT NULL")
+    return tables.materialize(lab.join(f, ["symbol", "signal_time"]), "horizon-rows")
+
+
+def horizon_scores(rows):
+    """All horizons' models fitted at once from the long table; raw scores of the calibration and scoring rows."""
+    train = rows.where("part = 'train'")
+    usable = ml.usable_by(train, "horizon_hours", COLS)
+    models = ml.fit_concurrently({h: train.where(F.col("horizon_hours") == h) for h in usable}, usable)
+    out = None
+    for h, model in models.items():
+        s = ml.score(model, rows.where((F.col("part") != "train") & (F.col("horizon_hours") == h))).select("symbol", "signal_time", "horizon_hours", "label_value", "part", "probability")
+        out = s if out is None else out.unionByName(s)
+    return tables.materialize(out, "horizon-scores")
+
+
+@query("ml_horizon_models", """
+  SELECT horizon_hours, count(*) FILTER (part = 'train') AS n_train, sum(label_value) FILTER (part = 'train') AS n_positive, count(*) FILTER (part = 'calibrate') AS n_calibrate, count(*) FILTER (part = 'score') AS n_scored,
+    avg(label_value) FILTER (part = 'calibrate') AS prevalence, avg(label_value) FILTER (part = 'calibrate') AS isotonic_mean, avg(label_value) FILTER (part = 'calibrate') AS platt_mean, TRUE AS bounded, TRUE AS rising
+  FROM hparts GROUP BY horizon_hours""", views=HORIZON_PARTS, floats="prevalence isotonic_mean platt_mean", ints="horizon_hours n_train n_positive n_calibrate n_scored")
+def _horizons(v: Views):
+    """A model and two calibrators per horizon.
+
+    Whatever the coefficients, a fitted calibrator keeps the positives: on its own rows the calibrated mean is the prevalence. Scores stay in [0, 1],
+    and the isotonic ones never fall where the raw ones rise.
+    """
+    rows = horizon_rows(v)
+    scores = horizon_scores(rows)
+    fit, key = scores.where("part = 'calibrate'"), ["horizon_hours"]
+    both = calibrate.apply_isotonic_groups(scores, calibrate.fit_isotonic_groups(fit, key), key, out="isotonic")
+    both = tables.materialize(calibrate.apply_platt_groups(both, calibrate.fit_platt_groups(fit, key), key, out="platt"), "calibrated")
+    # stretches of equal raw scores to four digits, in order, have maxima and minima that rise
+    order = both.groupBy("horizon_hours", F.floor(F.col("probability") * 10_000).alias("cell")).agg(F.min("isotonic").alias("lo"), F.max("isotonic").alias("hi"))
+    order = order.selectExpr("horizon_hours", "coalesce(lag(hi) OVER (PARTITION BY horizon_hours ORDER BY cell) <= lo + 1e-12, true) AS ok").groupBy("horizon_hours").agg(F.bool_and("ok").alias("rising"))
+    own = F.col("part") == "calibrate"
+    out = both.groupBy("horizon_hours").agg(
+        F.count_if(own).alias("n_calibrate"), F.count_if(~own).alias("n_scored"), F.avg(F.when(own, F.col("label_value"))).alias("prevalence"),
+        F.avg(F.when(own, F.col("isotonic"))).alias("isotonic_mean"), F.avg(F.when(own, F.col("platt"))).alias("platt_mean"),
+        F.bool_and(F.expr("isotonic BETWEEN 0 AND 1 AND platt BETWEEN 0 AND 1")).alias("bounded"))
+    n = rows.where("part = 'train'").groupBy("horizon_hours").agg(F.count(F.lit(1)).alias("n_train"), F.sum("label_value").alias("n_positive"))
+    return out.join(n, "horizon_hours").join(order, "horizon_hours").select(
+        "horizon_hours", "n_train", "n_positive", "n_calibrate", "n_scored", "prevalence", "isotonic_mean", "platt_mean", "bounded", "rising")
 
 
 CALIBRATE = {
