@@ -146,3 +146,38 @@ def test_mixture_shares():
     assert model.predict(en[0]) == ("en", 1.0)
     chosen, share = model.mix(en[0] + " " + en[1] + " " + de[0])
     assert len(chosen) == 2 and 0.5 < share[1] < 0.85
+
+
+def plain_shares(n, p, start, rounds=3000):
+    share = list(start)
+    for _ in range(rounds):
+        new = [0.0] * len(share)
+        for c, row in zip(n, p):
+            all_ = sum(s * x for s, x in zip(share, row))
+            for k, x in enumerate(row):
+                new[k] += c * share[k] * x / all_
+        total = sum(new)
+        share = [x / total for x in new]
+    return share
+
+
+def test_a_second_language_among_many_relatives():
+    """Ten languages are alike and one is not: it's found although each relative fits the mixed text better alone."""
+    rng = np.random.default_rng(7)
+    alphabets = ["abcdefghijkl", "mnopqrstuvwxyz"]
+    stems = [["".join(rng.choice(list(a), 4)) for _ in range(40)] for a in alphabets]
+    # relatives share most of their words with the first
+    vocab = [stems[0][:34] + ["".join(rng.choice(list(alphabets[0]), 4)) for _ in range(6)] for _ in range(10)] + [stems[1]]
+    text = lambda k, n: " ".join(rng.choice(vocab[k], n))
+    table = np.stack([language.trigram_counts(text(k, 4000)) + 0.5 for k in range(11)], axis=1)
+    model = language.Model([f"l{k:02d}" for k in range(11)], (table / table.sum(axis=0)).astype(np.float32))
+    mixed = text(0, 300) + " " + text(10, 200)
+    chosen, share = model.mix(mixed)
+    got = dict(zip(chosen, share))
+    assert 10 in got and abs(got[10] - 0.4) < 0.05 and model.predict(mixed)[0] != "l10"
+    counts = language.trigram_counts(mixed)
+    seen = np.flatnonzero(counts)
+    alone = counts[seen] @ np.log(model.table[seen])
+    assert (alone > alone[10]).sum() >= 8, "the case must be one where the second language ranks low alone"
+    want = plain_shares(counts[seen].tolist(), model.table[seen][:, chosen].tolist(), [1 / len(chosen)] * len(chosen))
+    assert np.abs(np.array(want) - share).max() < 0.02

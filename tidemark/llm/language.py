@@ -22,9 +22,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: About so many labelled documents of each language are learned from, chosen by a hash of their id.
 TRAIN_DOCS = 3000
 SMOOTHING = 0.5
-ROUNDS = 12
-#: Languages that a document's mixture is fitted over, those of the best likelihood alone.
-CANDIDATES = 8
+#: Shares are fitted until none moves by more than this in a round.
+TOLERANCE = 1e-4
 #: Trigrams overlap, so each third of them counts as evidence; a language must earn this times log(n) to be in the set.
 EVIDENCE = 1 / 3
 PENALTY = 4.0
@@ -73,14 +72,14 @@ class Model:
         best = int(alone.argmax())
         if len(self.languages) == 1:
             return [best], np.ones(1)
-        several = np.sort(np.argsort(-alone, kind="stable")[:CANDIDATES])
-        shares = _shares(n, p[:, several], np.full(len(several), 1 / len(several)))
-        order = [int(i) for i in several[np.argsort(-shares, kind="stable")]]
+        # over all languages: the second of a mixed text may be unlike the first and worse alone than its relatives
+        shares = _shares(n, p, np.full(len(self.languages), 1 / len(self.languages)))
+        order = [best, *(int(i) for i in np.argsort(-shares, kind="stable") if i != best)]
         penalty = PENALTY * np.log(n.sum() + 1)
         chosen, share, value = [best], np.ones(1), EVIDENCE * alone[best]
         for k in range(2, len(order) + 1):
             group = sorted(order[:k])
-            start = shares[np.searchsorted(several, group)] + 1e-3
+            start = shares[group] + 1e-3
             s = _shares(n, p[:, group], start / start.sum())
             v = EVIDENCE * float(n @ np.log(p[:, group] @ s)) - (k - 1) * penalty
             if v <= value:
@@ -101,10 +100,14 @@ class Model:
 
 
 def _shares(n: np.ndarray, p: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shares of the highest likelihood, by expectation-maximisation from the given ones; every round raises the likelihood."""
     total = n.sum()
-    for _ in range(ROUNDS):
-        share = share * (p.T @ (n / np.maximum(p @ share, 1e-300))) / total
-    return share / share.sum()
+    while True:
+        new = share * (p.T @ (n / np.maximum(p @ share, 1e-300))) / total
+        new /= new.sum()
+        if np.abs(new - share).max() <= TOLERANCE:
+            return new
+        share = new
 
 
 def held_out() -> Column:
