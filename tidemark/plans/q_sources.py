@@ -1,7 +1,7 @@
 """Queries of sources, sinks, splits, training and streaming."""
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -432,21 +432,85 @@ def _platt(v: Views):
     return calibrate.apply_platt_groups(rest, calibrate.fit_platt_groups(fit, ["symbol"]), ["symbol"])
 
 
+def fold_parts(plan: list[tuple], share: float = 0.8, horizon_hours: int = 24) -> list[tuple]:
+    """Each training window cut in time: the older part to fit, ending a horizon before the newer part that picks the threshold."""
+    out = []
+    for fold, split, start, end in plan:
+        if split != "train":
+            out.append((fold, split, start, end))
+            continue
+        cut = start + (end - start) * share
+        out += [(fold, "fit", start, cut - timedelta(hours=horizon_hours)), (fold, "validate", cut, end)]
+    return out
+
+
+FOLD_PLAN = fold_parts(RUN_PLAN)
+FOLDS = {"fplan": "SELECT * FROM (VALUES " + ", ".join(f"({f}, '{s}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for f, s, a, b in FOLD_PLAN) + ") t(fold_idx, split, a, b)",
+         "frows": "SELECT p.fold_idx, p.split, l.signal_time, l.label_value FROM fplan p JOIN labels_24 l ON l.label_value IS NOT NULL AND l.signal_time >= p.a AND l.signal_time < p.b",
+         "fcounts": """
+  SELECT p.fold_idx, count(*) FILTER (r.split = 'fit') AS n_fit, count(*) FILTER (r.split = 'validate') AS n_validate, count(*) FILTER (r.split = 'test') AS n_test,
+    coalesce(sum(r.label_value) FILTER (r.split = 'fit'), 0) AS fit_positive, coalesce(sum(r.label_value) FILTER (r.split = 'test'), 0) AS test_positive FROM (SELECT DISTINCT fold_idx FROM fplan) p LEFT JOIN frows r USING (fold_idx) GROUP BY 1"""}
+FOLD_STATUS = "CASE WHEN n_test = 0 THEN 'no_test_rows' WHEN n_validate = 0 THEN 'no_validation_rows' WHEN fit_positive = 0 OR fit_positive = n_fit THEN 'single_class' ELSE 'fitted' END"
+
+
+def walk_forward(v: Views):
+    """Counts and status of every fold of the plan, and the scored test rows of those that could be fitted with the fold's own threshold."""
+    f = labelled_features(v, GROUPS).select("symbol", "signal_time", "label_value", *COLS)
+    rows = tables.materialize(splits.assign_splits(f, FOLD_PLAN), "folds")
+    one = lambda s, x: F.count_if((F.col("split") == s) & x)
+    yes, any_ = F.col("label_value") == 1, F.lit(True)
+    n = rows.groupBy("fold_idx").agg(one("fit", any_).alias("n_fit"), one("validate", any_).alias("n_validate"), one("test", any_).alias("n_test"), one("fit", yes).alias("fit_positive"), one("test", yes).alias("test_positive"))
+    plan = v.spark.createDataFrame([(k,) for k in sorted({r[0] for r in FOLD_PLAN})], "fold_idx int")
+    counts = tables.materialize(plan.join(n, "fold_idx", "left").na.fill(0).withColumn("status", F.expr(FOLD_STATUS)), "fold-counts")
+    # the plan has a handful of folds
+    fitted = [r["fold_idx"] for r in counts.where("status = 'fitted'").select("fold_idx").collect()]
+    fit = rows.where(F.col("split") == "fit")
+    usable = ml.usable_by(fit, "fold_idx", COLS)
+    models = ml.fit_concurrently({k: fit.where(F.col("fold_idx") == k) for k in fitted}, usable)
+    out = None
+    for k, model in models.items():
+        s = ml.score(model, rows.where((F.col("fold_idx") == k) & (F.col("split") != "fit"))).select("fold_idx", "split", "symbol", "signal_time", "label_value", "probability")
+        out = s if out is None else out.unionByName(s)
+    if out is None:
+        out = rows.where("false").select("fold_idx", "split", "symbol", "signal_time", "label_value", F.lit(0.0).alias("probability"))
+    scored = tables.materialize(out, "fold-scores")
+    sweep = metrics.threshold_sweep(scored.where("split = 'validate'"), ["fold_idx"], [(5 + i) / 100.0 for i in range(90)])
+    chosen = metrics.best_precision_threshold(sweep, ["fold_idx"])
+    test = scored.where("split = 'test'").join(chosen, "fold_idx").withColumn("pred_value", (F.col("probability") >= F.col("threshold")).cast("int"))
+    return counts, tables.materialize(test, "fold-tests"), fitted
+
+
+def fold_report(v: Views):
+    """One row per fold: counts, status, figures at its threshold, the day-block interval of its precision, and the precision of flagging every row."""
+    counts, test, fitted = walk_forward(v)
+    hit = F.sum(F.col("label_value") * F.col("pred_value"))
+    m = test.groupBy("fold_idx").agg(F.first("threshold").alias("threshold"), F.try_divide(hit, F.sum("pred_value")).alias("precision"), F.try_divide(hit, F.sum("label_value")).alias("recall"),
+                                     F.avg(F.pow(F.col("probability") - F.col("label_value"), 2)).alias("brier_score"), F.avg("label_value").alias("baseline_precision"))
+    ends = None
+    for k in fitted:
+        i = resample.counted_interval(day_blocks(test.where(F.col("fold_idx") == k)), ["day"], ["tp", "p"], resample.ratio_of("tp", "p")).select(F.lit(k).alias("fold_idx"), "ci_lower", "ci_upper")
+        ends = i if ends is None else ends.unionByName(i)
+    out = counts.join(m, "fold_idx", "left")
+    return out.join(ends, "fold_idx", "left") if ends is not None else out.withColumns({"ci_lower": F.lit(None).cast("double"), "ci_upper": F.lit(None).cast("double")})
+
+
 @query("ml_walk_forward_eval")
 def _walk_eval(v: Views):
-    """Fit and judge each fold, with mean and deviation over the folds; the loop is over the plan's few windows."""
-    f = tables.materialize(labelled_features(v, GROUPS).select("symbol", "signal_time", "label_value", *COLS), "train")
-    rows = splits.assign_splits(f, RUN_PLAN)
-    out = None
-    for fold in sorted({r[0] for r in RUN_PLAN}):
-        train, test = (rows.where((F.col("fold_idx") == fold) & (F.col("split") == s)) for s in ("train", "test"))
-        if test.isEmpty() or train.select("label_value").distinct().count() < 2:
-            continue
-        m = ml.evaluate(ml.score(ml.fit_classifier(train, ml.usable_columns(train, COLS)), test), 0.2).withColumn("fold_idx", F.lit(fold))
-        out = m if out is None else out.unionByName(m)
-    over = tables.materialize(out, "folds")
-    return ordered.with_scalar(over, over.agg(*[f(c).alias(f"{c}_{n}") for c in ("precision", "recall", "pr_auc", "brier_score") for n, f in (("mean", F.avg), ("std", F.stddev_samp))]),
-                               *[f"{c}_{n}" for c in ("precision", "recall", "pr_auc", "brier_score") for n in ("mean", "std")])
+    """All folds fitted as concurrent jobs and judged at their own thresholds, with mean and deviation over the folds."""
+    over = tables.materialize(fold_report(v), "fold-report")
+    names = ("precision", "recall", "brier_score")
+    return ordered.with_scalar(over, over.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_samp))]), *[f"{c}_{n}" for c in names for n in ("mean", "std")])
+
+
+@query("ml_walk_forward_folds", f"""
+  SELECT fold_idx, n_fit, n_validate, n_test, fit_positive, test_positive, {FOLD_STATUS} AS status, CASE WHEN {FOLD_STATUS} = 'fitted' THEN test_positive / n_test::DOUBLE END AS baseline_precision, TRUE AS sound FROM fcounts""",
+       views=FOLDS, floats="baseline_precision", ints="fold_idx n_fit n_validate n_test fit_positive test_positive")
+def _walk_folds(v: Views):
+    """What doesn't hang on coefficients: every fold's counts, status and baseline; figures lie in [0, 1], intervals around their precision, thresholds on the grid."""
+    unit = lambda c: f"coalesce({c} BETWEEN 0 AND 1, true)"
+    sound = (f"{unit('precision')} AND {unit('recall')} AND {unit('brier_score')} AND coalesce(ci_lower <= precision + 1e-9 AND precision <= ci_upper + 1e-9, true) "
+             "AND (status <> 'fitted' OR threshold BETWEEN 0.05D AND 0.94D + 1e-9)")
+    return fold_report(v).selectExpr("fold_idx", "n_fit", "n_validate", "n_test", "fit_positive", "test_positive", "status", "baseline_precision", f"{sound} AS sound")
 
 
 @query("ml_score_frozen")
