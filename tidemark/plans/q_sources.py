@@ -539,13 +539,14 @@ def _freeze_meta(v: Views):
 
 @query("ml_predict_latest")
 def _predict_latest(v: Views):
-    """Train on all but the newest rows, then score the newest row per symbol with its level."""
-    f = tables.materialize(features.build_features(v.bare_timeline, ("price",)).withColumnRenamed("feature_time", "signal_time"), "features")
+    """Train on the rows whose horizon had ended two days before the newest feature, then score the newest row per symbol with its level."""
+    f = tables.materialize(features.build_features(v.timeline, GROUPS).withColumnRenamed("feature_time", "signal_time").select("symbol", "signal_time", *COLS), "features")
     lab = v.labels.where("label_value IS NOT NULL").select("symbol", "signal_time", "label_value")
-    train = f.join(lab, ["symbol", "signal_time"]).where("signal_time < TIMESTAMP '2024-01-28 00:00:00'")
-    latest = ordered.latest_per_key(f.select("symbol", "signal_time", *COLS[:4]), ["symbol"], ["signal_time"])
+    newest = f.agg(F.max("signal_time")).scalar()
+    train = tables.materialize(f.join(lab, ["symbol", "signal_time"]).where(F.col("signal_time") < newest - F.expr("INTERVAL 48 HOURS")), "train")
+    latest = ordered.latest_per_key(f, ["symbol"], ["signal_time"])
     from tidemark.operators.scoring import threshold_level
-    s = ml.score(ml.fit_classifier(train, COLS[:4]), latest)
+    s = ml.score(ml.fit_classifier(train, ml.usable_columns(train, COLS)), latest)
     return s.select("symbol", "signal_time", "probability", threshold_level(F.col("probability"), F.lit(0.2)).alias("level"),
                     F.expr("signal_time + INTERVAL 24 HOURS AS invalidation_time"))
 
