@@ -396,7 +396,7 @@ def _overlap(v: Views):
 
 LIST_SQL = {"listings": """
   SELECT 'spot' AS venue, n_name AS base, CASE WHEN n_nationkey % 2 = 0 THEN 'USDT' ELSE 'BTC' END AS quote, TRUE AS trading FROM nation UNION ALL
-  SELECT 'usdm', n_name, 'USDT', s_acctbal > 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0 UNION ALL
+  SELECT 'usdm', n_name, 'USDT', s_acctbal > 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL
   SELECT 'coinm', CASE WHEN c_mktsegment = 'BUILDING' THEN n_name ELSE c_mktsegment END, 'USD', c_acctbal > 0 FROM customer JOIN nation ON c_nationkey = n_nationkey"""}
 
 
@@ -410,7 +410,7 @@ def _listing(v: Views):
     n = v.table("nation")
     names = n.select("n_nationkey", "n_name")
     spot = n.selectExpr("'spot' AS venue", "n_name AS base", "CASE WHEN n_nationkey % 2 = 0 THEN 'USDT' ELSE 'BTC' END AS quote", "true AS trading")
-    usdm = v.table("supplier").where("s_suppkey % 3 = 0").join(names, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(
+    usdm = v.table("supplier").join(names, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(
         "'usdm' AS venue", "n_name AS base", "'USDT' AS quote", "s_acctbal > 0 AS trading")
     coinm = v.table("customer").join(names, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
         "'coinm' AS venue", "CASE WHEN c_mktsegment = 'BUILDING' THEN n_name ELSE c_mktsegment END AS base", "'USD' AS quote", "c_acctbal > 0 AS trading")
