@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import with_exprs
-from tidemark.operators import calibrate, features, indicators, labels, metrics, ml, ordered, reports, resample, splits
+from tidemark.operators import calibrate, champion, features, indicators, labels, metrics, ml, ordered, reports, resample, splits
 from tidemark.plans.q_labels import REGIME, barrier_signals, moved
 from tidemark.plans.q_metrics import AP, BASE, DRAWN, EDGES, _ece_sql, baseline_counts, day_blocks, interval_sql, labelled_features
 from tidemark.plans.q_scoring import small_bars
@@ -551,13 +551,54 @@ def _predict_latest(v: Views):
                     F.expr("signal_time + INTERVAL 24 HOURS AS invalidation_time"))
 
 
+#: The champion has seen three fifths of the time; a row's path must have ended by then.
+CHALLENGE = {
+    "crows": "SELECT symbol, signal_time, label_value, event_id, epoch_us(signal_time) AS t FROM label_events WHERE label_value IN (0, 1)",
+    "cspan": "SELECT min(t) + (max(t) - min(t)) * 6 // 10 AS until, max(t) AS newest FROM crows",
+    "ccut": "SELECT max(t) AS cutoff FROM crows, cspan WHERE t + 86400000000 <= until",
+    "clater": "SELECT t, row_number() OVER (ORDER BY t, symbol) - 1 AS pos, count(*) OVER () AS n FROM crows, ccut WHERE t > cutoff",
+    "chold": "SELECT t AS hold FROM clater WHERE pos = greatest(1, n // 2)",
+    "cparts": """
+  SELECT symbol, t, label_value, 'holdout' AS part FROM crows, chold WHERE t >= hold
+  UNION ALL SELECT symbol, t, label_value, CASE WHEN pos < greatest(1, n * 4 // 5) THEN 'train' ELSE 'validate' END
+  FROM (SELECT symbol, t, label_value, row_number() OVER (ORDER BY t, symbol) - 1 AS pos, count(*) OVER () AS n FROM crows, chold WHERE t < hold)""",
+    "csizes": """SELECT count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'validate') AS n_validate, count(*) FILTER (part = 'holdout') AS n_holdout,
+    count(DISTINCT (part, label_value)) AS kinds FROM cparts""",
+    "cready": """SELECT count(*) AS n_rows, coalesce(nullif(count(DISTINCT event_id) FILTER (label_value = 1), 0), count(*) FILTER (label_value = 1)) AS n_positive_events,
+    count(*) FILTER (t >= newest - 14 * 86400000000) AS n_recent FROM crows, cspan"""}
+
+
+def challenger_runs(v: Views):
+    """Two runs over the same rows with one ledger, in order."""
+    f = features.build_features(v.timeline, GROUPS).withColumnRenamed("feature_time", "signal_time").select("symbol", "signal_time", *COLS)
+    rows = tables.materialize(f.join(v.label_events.where("label_value IN (0, 1)").select("symbol", "signal_time", "label_value", "event_id"), ["symbol", "signal_time"]), "judged")
+    t = F.unix_micros("signal_time")
+    until = rows.agg((F.min(t) + F.expr("(max(unix_micros(signal_time)) - min(unix_micros(signal_time))) * 6 DIV 10")).alias("u")).scalar()
+    seen = rows.where(t + champion.DAY_US <= until)
+    frozen = champion.freeze("v1", seen, ml.usable_columns(seen, COLS))
+    ledger = tables.shared_folder(v.spark, "challenger-ledger")
+    first = champion.challenge(rows, frozen, ledger)
+    again = champion.challenge(rows, frozen, ledger)
+    return first.withColumn("run", F.lit(1)).unionByName(again.withColumn("run", F.lit(2)))
+
+
 @query("ml_champion_challenger")
 def _champion(v: Views):
-    train, test = _train_test(v)
-    usable = ml.usable_columns(train, COLS)
-    champion = ml.evaluate(ml.score(ml.fit_classifier(train, usable), test), 0.2)
-    challenger = ml.evaluate(ml.score(ml.fit_classifier(train, usable, balanced=True), test), 0.5)
-    return ml.promotion_gate(champion, challenger)
+    """A challenger against the frozen champion on held-out rows: state of the run, and its checks; a second run over the same rows does nothing."""
+    return challenger_runs(v).selectExpr("run", "status", "reason", "n_rows", "n_new", "n_train", "n_validate", "n_holdout", "threshold", "inline_outer(checks)")
+
+
+@query("ml_champion_readiness", """
+  SELECT run, n_rows, n_positive_events, n_recent, CASE WHEN run = 1 THEN n_rows ELSE 0 END AS n_new, CASE WHEN run = 1 THEN n_train END AS n_train,
+    CASE WHEN run = 1 THEN n_validate END AS n_validate, CASE WHEN run = 1 THEN n_holdout END AS n_holdout,
+    CASE WHEN n_rows < 200 OR n_positive_events < 20 THEN 'not_ready' WHEN run = 2 AND kinds = 6 THEN 'skipped' WHEN kinds = 6 THEN 'compared' ELSE 'blocked' END AS state, TRUE AS sound
+  FROM cready, csizes, (VALUES (1), (2)) r(run)""", views=CHALLENGE, ints="run n_rows n_positive_events n_recent n_new n_train n_validate n_holdout")
+def _champion_readiness(v: Views):
+    """What doesn't hang on coefficients: counts, sizes of the parts and states of both runs; a challenger is ready if and only if all three checks hold."""
+    sound = ("CASE WHEN size(checks) = 0 THEN threshold IS NULL ELSE size(checks) = 3 AND threshold BETWEEN 0.05D AND 0.94D + 1e-9 "
+             "AND forall(checks, c -> c.passed) = (status = 'challenger_ready') AND forall(checks, c -> c.actual BETWEEN -1 AND 1) END AS sound")
+    state = f"CASE WHEN status IN {champion.TRAINED} THEN 'compared' ELSE status END AS state"
+    return challenger_runs(v).selectExpr("run", "n_rows", "n_positive_events", "n_recent", "n_new", "n_train", "n_validate", "n_holdout", state, sound)
 
 
 def meta_rows(v: Views):
