@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +38,15 @@ FAMILIES = {
     "afl": ((r"academic free licen[sc]e",), ("2 1", "3")),
     "boost": ((r"boost software licen[sc]e",), ("1 0",)),
     "zope": ((r"zope public licen[sc]e",), ("2 0", "2 1")),
-    "ms-pl": ((r"microsoft public licen[sc]e",), ("",)),
+    "ms-pl": ((r"microsoft public licen[sc]e", r"ms pl"), ("",)),
     "mit": ((r"mit licen[sc]e", r"expat licen[sc]e", r"mit x11 licen[sc]e"), ("",)),
     "isc": ((r"isc licen[sc]e",), ("",)),
     "zlib": ((r"zlib licen[sc]e", r"zlib libpng licen[sc]e"), ("",)),
     "unlicense": ((r"unlicense", r"the unlicense"), ("",)),
     "wtfpl": ((r"do what the fuck you want to public licen[sc]e", r"wtfpl"), ("2",)),
     "bsd": ((r"bsd licen[sc]e", r"bsd style licen[sc]e"), ("",)),
-    "bsd-2": ((r"(?:2|two) clause bsd licen[sc]e", r"simplified bsd licen[sc]e", r"freebsd licen[sc]e", r"bsd 2 clause licen[sc]e"), ("",)),
-    "bsd-3": ((r"(?:3|three) clause bsd licen[sc]e", r"new bsd licen[sc]e", r"modified bsd licen[sc]e", r"bsd 3 clause licen[sc]e"), ("",)),
+    "bsd-2": ((r"(?:2|two) clause bsd licen[sc]e", r"simplified bsd licen[sc]e", r"freebsd licen[sc]e", r"bsd (?:2|two) clause(?: licen[sc]e)?"), ("",)),
+    "bsd-3": ((r"(?:3|three) clause bsd licen[sc]e", r"new bsd licen[sc]e", r"modified bsd licen[sc]e", r"bsd (?:3|three) clause(?: licen[sc]e)?"), ("",)),
     "odbl": ((r"open (?:data commons open )?database licen[sc]e", r"odbl"), ("1 0",)),
     "python": ((r"python software foundation licen[sc]e", r"psf licen[sc]e"), ("2",)),
 }
@@ -72,6 +72,14 @@ SENTENCES = (
     ("license-reference", 3, "subject to (?:the )?(?:terms of )?(?:this|the) licen[sc]e"),
     ("no-warranty", 3, "without warrant(?:y|ies) of any kind"),
 )
+# SPDX identifiers with their labels, and those of the GNU family, which also come with "-only" and "-or-later".
+SPDX = {
+    "AFL-2.1": "afl-2.1", "AFL-3.0": "afl-3", "Apache-1.0": "apache-1.0", "Apache-1.1": "apache-1.1", "Apache-2.0": "apache-2", "Artistic-1.0": "artistic-1.0",
+    "Artistic-2.0": "artistic-2", "BSD-2-Clause": "bsd-2", "BSD-3-Clause": "bsd-3", "BSL-1.0": "boost-1.0", "CC0-1.0": "cc0", "CDDL-1.0": "cddl-1.0", "CDDL-1.1": "cddl-1.1",
+    "EPL-1.0": "eclipse-1", "EPL-2.0": "eclipse-2", "EUPL-1.1": "eupl-1.1", "EUPL-1.2": "eupl-1.2", "ISC": "isc", "MIT": "mit", "MPL-1.0": "mozilla-1.0", "MPL-1.1": "mozilla-1.1",
+    "MPL-2.0": "mozilla-2", "MS-PL": "ms-pl", "ODbL-1.0": "odbl-1.0", "OSL-1.0": "osl-1", "OSL-2.1": "osl-2.1", "OSL-3.0": "osl-3", "PSF-2.0": "python-2", "Python-2.0": "python-2",
+    "Unlicense": "unlicense", "WTFPL": "wtfpl-2", "ZPL-2.0": "zope-2.0", "ZPL-2.1": "zope-2.1", "Zlib": "zlib"}
+SPDX_GNU = ("AGPL-1.0", "AGPL-3.0", "GFDL-1.1", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")
 CLASS_WEIGHT = (1.0, 0.8, 0.4)
 _GRANT = r"(?:licensed|released|distributed|available|provided|published|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)? "
 
@@ -80,6 +88,15 @@ def _version(v: str) -> str:
     return r"(?: version| ?v)? ?" + (v if " " in v else rf"{v}(?: 0)?") if v else ""
 
 
+def spdx_labels() -> dict[str, str]:
+    """Label of each SPDX identifier."""
+    out = dict(SPDX)
+    for name in SPDX_GNU:
+        label = name.lower().removesuffix(".0")
+        out |= {name: label, f"{name}-only": label, f"{name}-or-later": f"{label}-or-later"}
+    return out
+
+
 def keyword(pattern: str) -> str:
     """The longest run of words and pieces of words that every match of a pattern holds as it stands; '' if there is none."""
     plain = re.sub(r"\[[^\]]*\](?:\{[^}]*\}|[?*+])?\??", "\0", pattern)
@@ -108,11 +125,13 @@ def rules() -> Iterator[dict]:
                     yield rule(f"{label}-or-later", 1, f"(?:{_GRANT})?{full}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?", name)
                 yield rule(label, 1, f"{_GRANT}{full}")
                 yield rule(label, 2, full)
-            spdx = f"{family} {v} ?0?" if v and " " not in v else f"{family} {v}".rstrip()
-            yield rule(label, 1, f"spdx license identifier {spdx}(?: only)?")
         for name in names:
             if versions != ("",) and " " in name:
                 yield rule(family, 3, name)
+    for name, label in spdx_labels().items():
+        words = re.sub("[^a-z0-9]+", " ", name.lower())
+        yield rule(label, 1, f"spdx license identifier {words}", "spdx license identifier")
+    yield rule("mit", 1, f"{_GRANT}mit", " mit")
     for part, words in CC_PARTS.items():
         short = " ".join(["cc by", *part.split("-")]).rstrip()
         label = "-".join(x for x in ("cc-by", part) if x)
@@ -137,38 +156,71 @@ def rule_table() -> Column:
     return F.from_json(F.lit(json.dumps([dict(keyword=k, rules=g) for k, g in groups.items()])), _RULE)
 
 
-def _blanks(s: Column) -> Column:
+_HITS = "array<struct<first: int, end: int, rank: int, label: string, level: int>>"
+#: Items of a fold that grows an array; longer arrays are cut into blocks, so that no long array is copied per item.
+BLOCK = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _words(s: Column) -> Column:
+    """Words in a piece of a line that begins with a blank, as every word follows one."""
     return F.length(s) - F.length(F.replace(s, F.lit(" ")))
 
 
+def _in_blocks(items: Column, totals: Callable[[Column], Column], join: Callable[[Column, Column], Column], zero: Column,
+               run: Callable[[Column, Column], Column]) -> Column:
+    """Run over the blocks of an array, each with the joined totals of all blocks before it."""
+    def blocks(whole: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int")), lambda b: F.slice(whole, b * BLOCK + 1, BLOCK))
+
+    def ahead(cut: Column) -> Column:
+        start = F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("out"))
+        return F.aggregate(F.transform(cut, totals), start, lambda acc, t: F.struct(join(acc["now"], t).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")),
+                           lambda acc: acc["out"])
+
+    return F.flatten(_let(items, lambda whole: F.when(F.size(whole) > 0, _let(blocks(whole), lambda cut: F.zip_with(cut, ahead(cut), run)))))
+
+
 def _places(line: Column, rule: Column) -> Column:
-    """Where a rule matches: its matches and the pieces between them tell the offsets."""
-    matches = F.regexp_extract_all(line, rule["pattern"], F.lit(0))
-    pieces = F.split(line, rule["pattern"], -1)
-    sized = F.zip_with(F.transform(pieces, F.length), F.transform(matches, F.length),
-                       lambda p, m: F.struct(p.alias("skip"), m.alias("size")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, stop: int, rank: int, label: string, level: int>>").alias("out"))
-    # ``stop`` is the end with its sign turned, so that sorting puts the longer of two intervals with one start first
-    return F.aggregate(F.filter(sized, lambda s: s["size"].isNotNull()), first, lambda acc, s: F.struct(
-        (acc["at"] + s["skip"] + s["size"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + s["skip"]).alias("start"), (-(acc["at"] + s["skip"] + s["size"])).alias("stop"),
-            rule["rank"].alias("rank"), rule["label"].alias("label"), rule["level"].alias("level")))).alias("out")),
-        lambda acc: acc["out"])
+    """Where a rule matches, in words: its matches and the pieces between them tell how many words come before each."""
+    def sized(matches: Column) -> Column:
+        skips = F.transform(F.slice(F.split(line, rule["pattern"], -1), F.lit(1), F.size(matches)), _words)
+        return F.zip_with(skips, F.transform(matches, _words), lambda p, m: F.struct(p.alias("skip"), m.alias("size")))
+
+    def place(block: Column, at: Column) -> Column:
+        # ``end`` has its sign turned, so that sorting puts the longer of two intervals with one start first
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_HITS).alias("out")), lambda acc, s: _step(acc["at"] + s["skip"], s["size"], acc["out"]),
+                           lambda acc: acc["out"])
+
+    def _step(first: Column, size: Column, out: Column) -> Column:
+        hit = F.struct(first.alias("first"), (-(first + size)).alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["level"].alias("level"))
+        return F.struct((first + size).alias("at"), F.concat(out, F.array(hit)).alias("out"))
+
+    total = lambda block: F.aggregate(block, F.lit(0), lambda n, s: n + s["skip"] + s["size"])
+    found = lambda matches: _in_blocks(sized(matches), total, lambda a, b: a + b, F.lit(0), place)
+    return _let(F.regexp_extract_all(line, rule["pattern"], F.lit(0)), lambda m: F.when(F.size(m) > 0, found(m)).otherwise(F.array().cast(_HITS)))
 
 
 def _suppress(hits: Column) -> Column:
     """Keep each hit that lies in no earlier interval of its own or a better class; hits come sorted by start, length and rank."""
-    start = F.struct(*[F.lit(-1).alias(f"e{k}") for k in (1, 2, 3)],
-                     F.array().cast("array<struct<start: int, stop: int, rank: int, label: string, level: int>>").alias("out"))
+    levels = (1, 2, 3)
+    reach = lambda acc, h: F.struct(*[F.when(h["level"] == k, F.greatest(acc[f"e{k}"], -h["end"])).otherwise(acc[f"e{k}"]).alias(f"e{k}") for k in levels])
+    farther = lambda a, b: F.struct(*[F.greatest(a[f"e{k}"], b[f"e{k}"]).alias(f"e{k}") for k in levels])
+    zero = F.struct(*[F.lit(-1).alias(f"e{k}") for k in levels])
 
     def step(acc, h):
-        end = -h["stop"]
-        covered = ((acc["e1"] >= end) | ((h["level"] >= 2) & (acc["e2"] >= end)) | ((h["level"] >= 3) & (acc["e3"] >= end)))
-        reach = [F.when(h["level"] == k, F.greatest(acc[f"e{k}"], end)).otherwise(acc[f"e{k}"]).alias(f"e{k}") for k in (1, 2, 3)]
-        return F.struct(*reach, F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(h))).alias("out"))
+        covered = F.greatest(acc["now"]["e1"], F.when(h["level"] >= 2, acc["now"]["e2"]), F.when(h["level"] >= 3, acc["now"]["e3"])) >= -h["end"]
+        return F.struct(reach(acc["now"], h).alias("now"), F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(h))).alias("out"))
+
+    def keep(block: Column, ahead: Column) -> Column:
+        return F.aggregate(block, F.struct(ahead.alias("now"), F.array().cast(_HITS).alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(hits, start, step, lambda acc: acc["out"])
+    kept = _in_blocks(hits, lambda block: F.aggregate(block, zero, reach), farther, zero, keep)
+    return F.coalesce(kept, F.array().cast(_HITS))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -187,19 +239,17 @@ def scan(docs: DataFrame) -> DataFrame:
         n = F.regexp_count(line, F.lit(f" {phrase}(?= )"))
         counts.append(n)
         labels.append(F.when(n > 0, F.lit(label)))
-        firsts.append(F.when(n > 0, _blanks(F.substring(line, F.lit(1), F.locate(f" {phrase} ", line) - 1))))
-        lasts.append(F.when(n > 0, _blanks(F.regexp_extract(line, f"(?s)^(.*) {phrase} ", 1))))
+        firsts.append(F.when(n > 0, _words(F.substring(line, F.lit(1), F.locate(f" {phrase} ", line) - 1))))
+        lasts.append(F.when(n > 0, _words(F.regexp_extract(line, f"(?s)^(.*) {phrase} ", 1))))
     meant = F.flatten(F.transform(F.filter(rule_table(), lambda g: F.contains(line, g["keyword"])), lambda g: g["rules"]))
     hits = F.flatten(F.transform(meant, lambda r: _places(line, r)))
     found = lines.select(
         "doc_id", "n_words", "line", sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"),
         F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base"),
-        F.when(line == " ", F.array().cast("array<struct<start: int, stop: int, rank: int, label: string, level: int>>"))
-        .otherwise(F.array_sort(hits)).alias("hits"))
+        F.when(line == " ", F.array().cast(_HITS)).otherwise(F.array_sort(hits)).alias("hits"))
     kept = found.withColumn("kept", _suppress(F.col("hits")))
     return kept.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.transform("kept", lambda h: F.struct(
-        h["label"].alias("label"), h["level"].alias("level"), _blanks(F.substring(F.col("line"), F.lit(1), h["start"])).alias("first"),
-        (_blanks(F.substring(F.col("line"), F.lit(1), -h["stop"]))).alias("end"))).alias("found"))
+        h["label"].alias("label"), h["level"].alias("level"), h["first"].alias("first"), (-h["end"]).alias("end"))).alias("found"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
