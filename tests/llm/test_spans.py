@@ -147,3 +147,38 @@ def test_time_follows_length():
         pii.find_spans(text)
         secrets.find_secrets(text)
         assert time.perf_counter() - start < 8, text[:8]
+
+
+FORMS = {
+    'password: str = "Zx81kQ92mmPq"': ["Zx81kQ92mmPq"], 'api_key: Optional[str] = "Zx81kQ92mmPq"': ["Zx81kQ92mmPq"], 'cfg["password"] = "Zx81kQ92mmPq"': ["Zx81kQ92mmPq"],
+    'char password[] = "Zx81kQ92mmPq";': ["Zx81kQ92mmPq"], "note: password = 'Zx81kQ92mmPq'": ["Zx81kQ92mmPq"],
+    'secret = """Zx81kQ\n92mmPq"""': ["Zx81kQ\n92mmPq"], "secret = '''Zx81kQ92mmPq'''": ["Zx81kQ92mmPq"], 'token = b"Zx81kQ92mmPq"': ["Zx81kQ92mmPq"],
+    'base = "Zx81k"\ntoken = f"Q92mm{base}PqRs{other}Tu"': ["Zx81k", "Q92mm", "PqRs", "Tu"], 'password = "Zx81kQ" "92mmPq"': ["Zx81kQ", "92mmPq"],
+    'password = ("Zx81kQ"\n   "92mmPq")': ["Zx81kQ", "92mmPq"], 'db:\n  private_key: |\n    Zx81kQ92mmPq\n    Yw70jP\n  port: 1': ["Zx81kQ92mmPq\n    Yw70jP"],
+    '<user name="x" password="Zx81kQ92mmPq"/>': ["Zx81kQ92mmPq"], '<add key="password" value="Zx81kQ92mmPq"/>': ["Zx81kQ92mmPq"],
+    'user.setPassword("Zx81kQ92mmPq");': ["Zx81kQ92mmPq"], 'define("DB_PASSWORD", "Zx81kQ92mmPq");': ["Zx81kQ92mmPq"], 'props.put("api_key", \'Zx81kQ92mmPq\')': ["Zx81kQ92mmPq"],
+    '"passwords": ["Zx81kQ92mmPq", "short", "Yw70jP81llOp"]': ["Zx81kQ92mmPq", "Yw70jP81llOp"], "don't use password = 'Zx81kQ92mmPq'": ["Zx81kQ92mmPq"],
+    'password = os.environ.get("DB_PASSWORD")': [], "token = make_token(user_id_of_session)": [], "password = getpass.getpass()": [], 'hash_password("Zx81kQ92mmPq")': [],
+    'password == "Zx81kQ92mmPq"': [], "password: |": [], 'password = "': [], 'secret = """Zx81kQ92mmPq': [],
+}
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_forms_of_assignments(text):
+    assert sorted(literals_of(text)) == sorted(FORMS[text])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="token=:\"'f{}[]()|+., \n#9Zx", max_size=60))
+def test_spans_of_any_text_lie_in_it_and_are_found_once(text):
+    text = "password = " + text
+    found = [(a, b) for k, a, b, _ in secrets.find_secrets(text) if k == "literal"]
+    assert len(set(found)) == len(found) and all(0 <= a < b <= len(text) for a, b in found)
+
+
+@pytest.mark.parametrize("piece", ['a = """x', "k: |\n", 'p: q: ', "token = ('a' ", "f(\"token\", ", "password: [", 'secret = f"{', "a = 'b' 'c' + d ", "  k: |\n    v\n"])
+def test_long_texts_of_half_forms_take_time_in_proportion(piece):
+    import time
+    start = time.monotonic()
+    secrets.find_secrets(piece * 40_000)
+    assert time.monotonic() - start < 20

@@ -1,9 +1,11 @@
 """Secrets: lex assignments out of source and configuration text and score literals by the names they are given to.
 
 Three basic patterns (a sensitive word assigned a value, access keys, long hexadecimal runs) are always reported. The
-lexer adds ``literal`` spans: it reads the text line by line into (name, value) pairs, in the forms ``name = "value"``,
-``name: value``, ``"name": "value"``, ``export NAME=value``, ``name := 'value'`` and ``<name>value</name>``, where a
-value is literals and names joined by ``+`` or ``.``. A name's value is remembered for the rest of the text, so that one
+lexer adds ``literal`` spans: from every name it reads on into (name, value) pairs, in the forms ``name = "value"``,
+``name: value``, ``name: type = "value"``, ``"name": "value"``, ``map["name"] = "value"``, ``export NAME=value``, ``name := 'value'``,
+``<name>value</name>``, ``key="name" value="value"``, ``setName("value")``, ``define("NAME", "value")`` and indented blocks. A value is
+literals (prefixed, in three quotes, or with holes too) and names joined by ``+``, ``.`` or nothing, in parentheses over several lines, or a list
+of literals that count one by one. A call isn't a literal. Reading starts anew at each name, so that an apostrophe in prose hides nothing. A name's value is remembered for the rest of the text, so that one
 that is handed on (``key = "..."; password = key``) is found at the literal it comes from. Values refer to the values they are made of
 and are scored by summaries that add up, so neither long sums nor repeated doubling are ever written out.
 """
@@ -29,11 +31,27 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
-_LITERAL = r'''"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`'''
+# prefixes of Python's literals, three quotes over several lines, one quote within a line
+_LITERAL = (r"""[rRbBuUfF]{0,2}(?:\"""(?:[^"\\]|\\[\s\S]|"(?!""))*+\"""|\'\'\'(?:[^'\\]|\\[\s\S]|'(?!''))*+\'\'\'"""
+            r"""|"(?!"")(?:[^"\\\n]|\\.)*+"|'(?!'')(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)""")
+_BARE = r"""[^\s"'`,;<>(){}\[\]]++"""
+_TYPE = rf"(?P<type>{_NAME})(?:\[[^\]\n]*+\])?+\??+(?:[ \t]*+\|[ \t]*+{_NAME})*+"
+_ASSIGNS = rf"(?::=|=>|=(?!=)|:[ \t]*+{_TYPE}[ \t]*+=(?!=)|:)"
+# literals that follow each other, and literals and names joined by + or .
+_JOINED = rf"(?:{_LITERAL}|{_BARE})(?:[ \t]*+[+.][ \t]*+(?:{_LITERAL}|{_NAME})|[ \t]++{_LITERAL})*+"
+_GROUP = rf"\((?:\s*+{_LITERAL}[ \t]*+[+.]?+)++\s*+\)"
+_LIST = rf"\[(?:\s*+{_LITERAL}\s*+,?+)++\s*+\]"
 # the name must not continue a longer one, so that a long run of name characters is read once
-_PAIR = re.compile(rf'''(?<![A-Za-z0-9_$.-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[ \t]*+(?::=|=>|=(?!=)|:)[ \t]*+(?P<value>(?:{_LITERAL}|[^\s"'`,;<>(){{}}\[\]]++)(?:[ \t]*+[+.][ \t]*+(?:{_LITERAL}|{_NAME}))*+)''')
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_$.-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:[ \t]*+\[?\])?+[ \t]*+{_ASSIGNS}[ \t]*+(?P<value>{_JOINED}|(?P<group>{_GROUP})|(?P<list>{_LIST}))""")
 _TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]++)</")
+#: ``<add key="password" value="..."/>``
+_ATTRIBUTES = re.compile(rf"""(?<![A-Za-z0-9_$.-])(?:key|name|id)\s*+=\s*+(?P<q>["'])(?P<name>{_NAME})(?P=q)\s++value\s*+=\s*+(?P<value>{_LITERAL})""")
+#: ``setPassword("...")`` and ``.withToken("...")``; ``define("DB_PASSWORD", "...")``
+_SETTER = re.compile(rf"""(?<![A-Za-z0-9_$-])(?P<name>(?:set|with)_?[A-Za-z][A-Za-z0-9_]*+)\(\s*+(?P<value>{_LITERAL})\s*+\)""")
+_CALL = re.compile(rf"""(?<=[A-Za-z0-9_])\(\s*+(?P<q>["'])(?P<name>{_NAME})(?P=q)\s*+,\s*+(?P<value>{_LITERAL})""")
 _PART = re.compile(rf"(?P<literal>{_LITERAL})|(?P<bare>[^\s+\"'`]+)")
+_HOLE = re.compile(r"\{([^{}]*)\}")
+_CALLED = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 #: Sensitive parts of names with their weights, and parts that speak against a secret.
 SENSITIVE = (("password", .6), ("passwd", .6), ("passphrase", .6), ("pwd", .5), ("secret", .6), ("token", .5), ("apikey", .6), ("api_key", .6),
@@ -119,35 +137,99 @@ def literal_score(weight: float, value: Summary) -> float:
     return round(min(1.0, max(0.0, weight + look)), 2)
 
 
+Item = tuple[tuple[int, int] | None, str | None]
+
+
+def _inside(text: str, start: int, end: int) -> list[Item]:
+    """Spans between a literal's quotes; of one with an ``f`` those around its holes, and the names in the holes."""
+    at = start
+    while text[at] not in "\"'`":
+        at += 1
+    n = 3 if text[at] * 3 == text[at:at + 3] and end - at >= 6 else 1
+    low, high = at + n, end - n
+    if "f" not in text[start:at].lower():
+        return [((low, high), None)]
+    out: list[Item] = []
+    for hole in _HOLE.finditer(text, low, high):
+        out += [((low, hole.start()), None), (None, hole[1].strip())]
+        low = hole.end()
+    return [*out, ((low, high), None)]
+
+
+def _block(text: str, name: int, end: int) -> tuple[int, int] | None:
+    """Span of the lines below a line that are indented deeper than it."""
+    line = text.rfind("\n", 0, name) + 1
+    indent = len(text[line:name]) - len(text[line:name].lstrip(" -"))
+    if text[line:name].strip(" -"):
+        return None
+    at = text.find("\n", end) + 1
+    if not at or text[end:at].strip():
+        return None
+    first = last = None
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        words = text[at:stop].lstrip(" ")
+        if words.strip():
+            if stop - at - len(words) <= indent:
+                break
+            first, last = (stop - len(words) if first is None else first), stop
+        at = stop + 1
+    return None if first is None else (first, last)
+
+
+def _read(text: str, m: re.Match) -> list[list[Item]]:
+    """The values that a match gives its name. Each is items in order: a literal's span, a name in a hole, or a bare word, which may be either."""
+    low, high = m.span("value")
+    if m.re is _TAG:
+        return [[((low, high), None)]]
+    if m.re is not _PAIR:
+        return [_inside(text, low, high)]
+    if m["list"]:
+        return [_inside(text, *p.span()) for p in _PART.finditer(text, low + 1, high - 1) if p["literal"]]
+    if m["value"].rstrip("+-") in ("|", ">"):
+        span = _block(text, m.start(), high)
+        return [[(span, None)]] if span else []
+    items: list[Item] = []
+    for p in _PART.finditer(text, low + bool(m["group"]), high - bool(m["group"])):
+        if p["literal"]:
+            items += _inside(text, *p.span())
+        elif p["bare"] != "." and not (p.end() == high and text[high:high + 1] == "(" and _CALLED.match(p["bare"])):
+            # a name that is called isn't a literal, and neither is what the call gives
+            items.append((p.span(), p["bare"]))
+    return [items]
+
+
 def scored_values(text: str) -> list[Value]:
     """The values of all names in order, each with its score; names in values stand for the values they were given last."""
-    found = []
+    found: list[tuple[int, re.Match]] = []
     if "=" in text or ":" in text:
         found += [(m.start("name"), m) for m in _PAIR.finditer(text)]
     if "</" in text:
         found += [(m.start("name"), m) for m in _TAG.finditer(text)]
-    weights = {name: name_weight(name) for name in {m["name"] for _, m in found}}
+    if "value" in text:
+        found += [(m.start("name"), m) for m in _ATTRIBUTES.finditer(text)]
+    if "(" in text:
+        found += [(m.start("name"), m) for form in (_SETTER, _CALL) for m in form.finditer(text)]
+    # what looks like a type may be the name itself, as in "note: password = ..."
+    names = lambda m: [m["name"], *([m["type"]] if m.re is _PAIR and m["type"] else [])]
+    weights = {name: name_weight(name) for _, m in found for name in names(m)}
     if not any(w > 0 for w in weights.values()):
         return []
     known: dict[str, Value] = {}
     out: list[Value] = []
     for _, m in sorted(found, key=lambda x: x[0]):
-        low = m.start("value")
-        parts: list[tuple[int, int] | Value] = []
-        if m.re is _TAG:
-            parts = [m.span("value")]
-        else:
-            for p in _PART.finditer(m["value"]):
-                if p["literal"]:
-                    parts.append((low + p.start() + 1, low + p.end() - 1))
-                elif (bare := p["bare"]) in known:
+        for read in _read(text, m):
+            parts: list[tuple[int, int] | Value] = []
+            for span, bare in read:
+                if bare in known:
                     parts.append(known[bare])
-                elif bare != ".":
-                    parts.append((low + p.start(), low + p.end()))
-        value = Value(parts, Summary.total([p.summary if isinstance(p, Value) else Summary(text[p[0]:p[1]]) for p in parts]))
-        value.score = literal_score(weights[m["name"]], value.summary)
-        known[m["name"]] = value
-        out.append(value)
+                elif span:
+                    parts.append(span)
+            value = Value(parts, Summary.total([p.summary if isinstance(p, Value) else Summary(text[p[0]:p[1]]) for p in parts]))
+            value.score = literal_score(max(weights[name] for name in names(m)), value.summary)
+            known |= dict.fromkeys(names(m), value)
+            out.append(value)
     return out
 
 
