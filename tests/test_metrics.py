@@ -171,3 +171,14 @@ def test_grouped_calibration_over_many_blocks(spark):
         mine = [(p, y) for k, p, y in rows if k == g and p is not None]
         s = [1 / (1 + math.exp(-(r["a"] * p + r["b"]))) for p, _ in mine]
         assert abs(sum(q - y for q, (_, y) in zip(s, mine))) < 1e-7 and abs(sum((q - y) * p for q, (p, y) in zip(s, mine)) + r["a"]) < 1e-7
+
+
+def test_gains_of_a_part_over_the_whole(spark):
+    columns = "arm string, total_signals long, win_rate double, profit_factor double, expected_value_bps double"
+    both = metrics.gains(spark.createDataFrame([("all", 10, 0.4, 1.5, 12.0), ("filtered", 4, 0.5, 2.0, 20.0)], columns), "all", "filtered").collect()
+    assert [r["arm"] for r in both] == ["all", "filtered"]
+    for r in both:
+        assert (r["dropped_signals"], r["pass_rate"], r["ev_improvement_bps"], round(r["winrate_improvement_pct"], 9), r["profit_factor_improvement"]) == (6, 0.4, 8.0, 10.0, 0.5)
+    alone = metrics.gains(spark.createDataFrame([("all", 10, 0.4, 1.5, 12.0)], columns), "all", "filtered").first()
+    assert (alone["dropped_signals"], alone["pass_rate"], alone["ev_improvement_bps"]) == (10, 0.0, -12.0)
+    assert metrics.gains(spark.createDataFrame([], columns), "all", "filtered").count() == 0

@@ -238,6 +238,18 @@ def performance(trades: DataFrame, keys: Sequence[str] = (), *, fee_bps: float =
         (F.col("_mean") / (dstd + 1e-8) * scale).alias("sortino_ratio"), "max_drawdown", "avg_holding_bars")
 
 
+def gains(summary: DataFrame, whole: str, part: str, key: str = "arm") -> DataFrame:
+    """Add to the performance of two arms what the second, a part of the first, passes and gains; an arm without trades counts as zeros."""
+    pick = lambda arm, c: F.coalesce(F.max(F.when(F.col(key) == arm, F.col(c))), F.lit(0))
+    delta = lambda c: pick(part, c) - pick(whole, c)
+    one = summary.agg((pick(whole, "total_signals") - pick(part, "total_signals")).alias("dropped_signals"),
+                      F.try_divide(pick(part, "total_signals").cast("double"), pick(whole, "total_signals")).alias("pass_rate"),
+                      delta("expected_value_bps").alias("ev_improvement_bps"), (delta("win_rate") * 100.0).alias("winrate_improvement_pct"),
+                      delta("profit_factor").alias("profit_factor_improvement"))
+    names = ("dropped_signals", "pass_rate", "ev_improvement_bps", "winrate_improvement_pct", "profit_factor_improvement")
+    return with_scalar(summary, one, *names)
+
+
 def max_drawdown(trades: DataFrame, keys: Sequence[str], net: str, order: Sequence[str], t: str = "entry_time") -> DataFrame:
     """Deepest fall of the compounded return curve below its running peak."""
     curve = running_sum(trades, list(keys), t, list(order), {"_log": F.log1p(F.col(net))})

@@ -117,9 +117,9 @@ def _drift(v: Views):
     return metrics.threshold_drift(j, ["model_id"])
 
 
-# Feature drift: first half of the month against the second, three columns.
+# Feature drift: the older half of the time against the newer, three columns.
 PSI = {"longf": """
-  SELECT f, x, h FROM (SELECT unnest(['close', 'volume', 'trades']) AS f, unnest([close, volume_base, trade_count::DOUBLE]) AS x, cell < 473700 AS h FROM bars_1h)""",
+  SELECT f, x, h FROM (SELECT unnest(['close', 'volume', 'trades']) AS f, unnest([close, volume_base, trade_count::DOUBLE]) AS x, cell < mid AS h FROM bars_1h, (SELECT (min(cell) + max(cell)) // 2 AS mid FROM bars_1h))""",
        "edges": """
   SELECT f, list_sort(list_distinct(quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM longf WHERE h GROUP BY f""",
        "bins": """
@@ -131,8 +131,13 @@ PSI = {"longf": """
       SELECT *, sum(ne) OVER (PARTITION BY f) AS tn, sum(na) OVER (PARTITION BY f) AS ta FROM bins)) GROUP BY f"""}
 
 
+def older(df):
+    """Whether a row's cell (column ``h``) lies in the older half of the cells' range."""
+    return ordered.with_scalar(df, df.agg(F.expr("(min(cell) + max(cell)) DIV 2").alias("_mid")), "_mid").withColumn("h", F.expr("cell < _mid")).drop("_mid")
+
+
 def long_features(v: Views):
-    return v.bars_1h.selectExpr("cell < 473700 AS h", "stack(3, 'close', close, 'volume', volume_base, 'trades', CAST(trade_count AS DOUBLE)) AS (f, x)")
+    return older(v.bars_1h).selectExpr("h", "stack(3, 'close', close, 'volume', volume_base, 'trades', CAST(trade_count AS DOUBLE)) AS (f, x)")
 
 
 def feature_psi(v: Views):
@@ -149,12 +154,13 @@ def _psi(v: Views):
   SELECT tn AS n_reference, ta AS n_current, psi, mean_delta, CASE WHEN psi >= 0.25 THEN 'critical' WHEN psi >= 0.10 THEN 'warning' ELSE 'ok' END AS status
   FROM (SELECT max(tn) AS tn, max(ta) AS ta, sum((a - r) * ln(a / r)) AS psi FROM (SELECT tn, ta, greatest(1e-6, ne / tn) AS r, greatest(1e-6, na / ta) AS a
       FROM (SELECT *, sum(ne) OVER () AS tn, sum(na) OVER () AS ta FROM (SELECT least(9, floor(probability * 10)) AS b,
-        count(*) FILTER (cell < 473700)::DOUBLE AS ne, count(*) FILTER (cell >= 473700)::DOUBLE AS na FROM predictions GROUP BY 1)))),
-    (SELECT avg(probability) FILTER (cell >= 473700) - avg(probability) FILTER (cell < 473700) AS mean_delta FROM predictions)""",
+        count(*) FILTER (h)::DOUBLE AS ne, count(*) FILTER (NOT h)::DOUBLE AS na FROM halves GROUP BY 1)))),
+    (SELECT avg(probability) FILTER (NOT h) - avg(probability) FILTER (h) AS mean_delta FROM halves)""",
+       views={"halves": "SELECT probability, cell < mid AS h FROM predictions, (SELECT (min(cell) + max(cell)) // 2 AS mid FROM predictions)"},
        floats="psi mean_delta", ints="n_reference n_current")
 def _psi_fixed(v: Views):
-    p = v.rule_probs.selectExpr("probability", "unix_micros(signal_time) DIV 3600000000L AS cell")
-    return metrics.psi_fixed(p.where("cell < 473700"), p.where("cell >= 473700"))
+    p = older(v.rule_probs.selectExpr("probability", "unix_micros(signal_time) DIV 3600000000L AS cell"))
+    return metrics.psi_fixed(p.where("h"), p.where("NOT h"))
 
 
 @query("met_drift_health", """
@@ -241,22 +247,31 @@ def _benchmark(v: Views):
     return ordered.with_scalar(base, q, "p50_mae", "p90_mae", "p50_mfe", "p90_mfe")
 
 
+def newest_third(df, t: str, out: str):
+    """Whether a row lies in the newest third of the table's time."""
+    span = df.agg(F.expr(f"min(unix_micros({t})) + (max(unix_micros({t})) - min(unix_micros({t}))) * 2 DIV 3").alias("_from"))
+    return ordered.with_scalar(df, span, "_from").withColumn(out, F.unix_micros(t) >= F.col("_from")).drop("_from")
+
+
 @query("met_frozen_eval", """
-  SELECT n_rows, precision, recall, brier_score, precision_train, abs(precision - precision_train) > 0.1 AS drifted FROM (
+  SELECT n_rows, precision, recall, brier_score, precision_train, recall_train, recall - recall_train AS recall_delta, abs(precision - precision_train) > 0.1 AS drifted FROM (
     SELECT count(*) FILTER (fwd) AS n_rows, coalesce(count(*) FILTER (fwd AND pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (fwd AND pred_value = 1), 0), 0) AS precision,
       coalesce(count(*) FILTER (fwd AND pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (fwd AND label_value = 1), 0), 0) AS recall,
       avg((probability - label_value) ** 2) FILTER (fwd) AS brier_score,
-      coalesce(count(*) FILTER (NOT fwd AND pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (NOT fwd AND pred_value = 1), 0), 0) AS precision_train
-    FROM (SELECT *, signal_time >= TIMESTAMP '2024-01-20' AS fwd FROM judged))""", floats="precision recall brier_score precision_train")
+      coalesce(count(*) FILTER (NOT fwd AND pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (NOT fwd AND pred_value = 1), 0), 0) AS precision_train,
+      coalesce(count(*) FILTER (NOT fwd AND pred_value = 1 AND label_value = 1)::DOUBLE / nullif(count(*) FILTER (NOT fwd AND label_value = 1), 0), 0) AS recall_train
+    FROM (SELECT j.*, epoch_us(signal_time) >= lo + wide * 2 // 3 AS fwd FROM judged j, (SELECT min(epoch_us(signal_time)) AS lo, max(epoch_us(signal_time)) - min(epoch_us(signal_time)) AS wide FROM judged)))""",
+       floats="precision recall brier_score precision_train recall_train recall_delta")
 def _frozen(v: Views):
-    j = v.judged.withColumn("fwd", F.expr("signal_time >= TIMESTAMP '2024-01-20 00:00:00'"))
+    """Figures of the newest third of the time against those of the rows before it."""
+    j = newest_third(v.judged, "signal_time", "fwd")
     hit = "pred_value = 1 AND label_value = 1"
     div = lambda a, b: f"coalesce(try_divide(count_if({a}), count_if({b})), 0D)"
     t = j.agg(*[F.expr(e) for e in (
         "count_if(fwd) AS n_rows", f"{div(f'fwd AND {hit}', 'fwd AND pred_value = 1')} AS precision",
         f"{div(f'fwd AND {hit}', 'fwd AND label_value = 1')} AS recall", "avg(pow(probability - label_value, 2)) FILTER (WHERE fwd) AS brier_score",
-        f"{div(f'NOT fwd AND {hit}', 'NOT fwd AND pred_value = 1')} AS precision_train")])
-    return with_exprs(t, drifted="abs(precision - precision_train) > 0.1D")
+        f"{div(f'NOT fwd AND {hit}', 'NOT fwd AND pred_value = 1')} AS precision_train", f"{div(f'NOT fwd AND {hit}', 'NOT fwd AND label_value = 1')} AS recall_train")])
+    return with_exprs(t, recall_delta="recall - recall_train", drifted="abs(precision - precision_train) > 0.1D")
 
 
 BASE = {"base": """

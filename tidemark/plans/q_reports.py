@@ -248,9 +248,12 @@ def _mature(v: Views):
   s AS (SELECT symbol, scan_time, probability, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS rn FROM scans),
   p AS (SELECT symbol, signal_time, probability, row_number() OVER (PARTITION BY symbol ORDER BY signal_time DESC) AS rn FROM predictions)
   SELECT * FROM (SELECT * FROM a UNION ALL SELECT symbol, scan_time, probability, 'scan' FROM s WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.symbol = s.symbol AND a.event_time >= s.scan_time)
-    UNION ALL SELECT symbol, signal_time, probability, 'prediction' FROM p WHERE rn = 1) WHERE event_time <= TIMESTAMP '2024-02-01'""")
+    UNION ALL SELECT symbol, signal_time, probability, 'prediction' FROM p WHERE rn = 1)
+  WHERE event_time <= greatest((SELECT max(event_time) FROM a), (SELECT max(scan_time) FROM scans), (SELECT max(signal_time) FROM predictions))""")
 def _feed(v: Views):
-    return reports.signal_feed(v.alerts, v.scans, v.predictions, F.lit("2024-02-01").cast("timestamp"))
+    """The feed as of the newest time that any of the three tables holds."""
+    newest = F.greatest(*[df.agg(F.max(t)).scalar() for df, t in ((v.alerts, "sent_at"), (v.scans, "scan_time"), (v.predictions, "signal_time"))])
+    return reports.signal_feed(v.alerts, v.scans, v.predictions, newest)
 
 
 @query("join_position_enrich", f"""

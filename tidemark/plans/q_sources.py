@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import with_exprs
 from tidemark.operators import calibrate, champion, features, indicators, labels, metrics, ml, ordered, reports, resample, splits
 from tidemark.plans.q_labels import REGIME, barrier_signals, moved
-from tidemark.plans.q_metrics import AP, BASE, DRAWN, EDGES, _ece_sql, baseline_counts, day_blocks, interval_sql, labelled_features
+from tidemark.plans.q_metrics import AP, BASE, DRAWN, EDGES, _ece_sql, baseline_counts, day_blocks, interval_sql, labelled_features, newest_third
 from tidemark.plans.q_scoring import small_bars
 from tidemark.plans.registry import query
 from tidemark.plans.views import Views
@@ -302,8 +302,10 @@ def _scaler(v: Views):
 
 def _train_test(v: Views):
     f = tables.materialize(labelled_features(v, GROUPS).select("symbol", "signal_time", "label_value", *COLS), "train")
-    cut = "TIMESTAMP '2024-01-20 00:00:00'"
-    return f.where(f"signal_time < {cut} - INTERVAL 24 HOURS"), f.where(f"signal_time >= {cut}")
+    # the horizon of a training row ends before the newest third begins
+    f = newest_third(f.withColumn("_end", F.expr("signal_time + INTERVAL 24 HOURS")), "signal_time", "_test")
+    begin = f.where("_test").agg(F.min("signal_time")).scalar()
+    return f.where(F.col("_end") < begin).drop("_end", "_test"), f.where("_test").drop("_end", "_test")
 
 
 @query("ml_logistic")
@@ -613,23 +615,26 @@ def meta_rows(v: Views):
 META_RULE = ("CASE WHEN regime = 'TRENDING_BULL' AND side = -1 THEN 'counter_trend' WHEN probability >= 0.35D THEN 'approved' ELSE 'dropped' END")
 
 
+def secondary_decisions(t):
+    """A secondary model learned from the older two thirds of the time, and its decision on each signal of the newest third."""
+    t = newest_third(t, "entry_time", "_later")
+    model = ml.fit_secondary(t.where("NOT _later"), list(ml.META_INPUTS))
+    return with_exprs(ml.score(model, t.where("_later")), decision=META_RULE)
+
+
 @query("ml_meta_label")
 def _meta(v: Views):
     """Secondary model on barrier outcomes; only inputs known at entry are used."""
     t = meta_rows(v)
-    model = ml.fit_secondary(t.where("entry_time < TIMESTAMP '2024-01-20 00:00:00'"), list(ml.META_INPUTS))
-    s = ml.score(model, t.where("entry_time >= TIMESTAMP '2024-01-20 00:00:00'"))
-    return with_exprs(s, decision=META_RULE).selectExpr("signal_id", "probability", "regime", "decision", "CASE WHEN decision <> 'approved' THEN 0D WHEN regime = 'HIGH_VOLATILITY_CHOP' THEN 0.5D ELSE 1D END AS risk_scaling")
+    return secondary_decisions(t).selectExpr("signal_id", "probability", "regime", "decision", "CASE WHEN decision <> 'approved' THEN 0D WHEN regime = 'HIGH_VOLATILITY_CHOP' THEN 0.5D ELSE 1D END AS risk_scaling")
 
 
 @query("ml_backtest_compare")
 def _backtest(v: Views):
-    """Performance of all later signals against those the secondary model approves."""
-    t = meta_rows(v)
-    model = ml.fit_secondary(t.where("entry_time < TIMESTAMP '2024-01-20 00:00:00'"), list(ml.META_INPUTS))
-    s = with_exprs(ml.score(model, t.where("entry_time >= TIMESTAMP '2024-01-20 00:00:00'")), decision=META_RULE)
+    """Performance of all later signals against those the secondary model approves, with what the approval gains."""
+    s = secondary_decisions(meta_rows(v))
     arms = s.withColumn("arm", F.explode(F.when(F.col("decision") == "approved", F.array(F.lit("all"), F.lit("filtered"))).otherwise(F.array(F.lit("all")))))
-    return metrics.performance(arms, ["arm"], order=("entry_time", "signal_id"))
+    return metrics.gains(metrics.performance(arms, ["arm"], order=("entry_time", "signal_id")), "all", "filtered")
 
 
 RELEASE_SQL = f"""
