@@ -116,3 +116,17 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = spark.createDataFrame([(a, b) for a, b in path[::-1] + star + star[:5] + [(5000, 5000), (None, 3)]], "a long, b long")
     got = by_id_pairs(components(edges))
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(200)}}
+
+
+def test_any_number_of_large_shards_is_cut_into_blocks(spark):
+    visits = spark.range(40_000).selectExpr("CAST(id % 4000 AS INT) AS leaf", "id * 7919 AS fp", "id % 3 > 0 AS resident")
+    got = simhash.in_blocks(visits, {leaf: 2 + leaf % 3 for leaf in range(0, 4000, 2)})
+    assert got.columns == ["leaf", "fp", "resident", "pair"]
+    by_leaf = {}
+    for r in got.collect():
+        by_leaf.setdefault(r["leaf"], {}).setdefault(r["fp"], set()).add(r["pair"])
+    for leaf, fps in by_leaf.items():
+        n = 1 if leaf % 2 else 2 + leaf % 3
+        assert len(fps) == 10 and all(len(p) == n for p in fps.values())
+        # any two visits of a shard meet
+        assert all(a & b for a in fps.values() for b in fps.values())

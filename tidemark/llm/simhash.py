@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -62,6 +61,20 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", start)
 
 
+def in_blocks(visits: DataFrame, large: dict[int, int]) -> DataFrame:
+    """Visits with the ``pair`` of blocks that they meet in; shards that are not in ``large`` have one.
+
+    There is an entry per ``SHARD_VISITS`` visits at most, so the table of them is small beside the visits and is broadcast.
+    """
+    one = F.array(F.lit(0).cast("long"))
+    if not large:
+        return visits.withColumn("pair", F.explode(one))
+    table = visits.sparkSession.createDataFrame(list(large.items()), "leaf int, blocks long")
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(mine, other) * F.col("blocks") + F.greatest(mine, other))
+    return visits.join(F.broadcast(table), "leaf", "left").withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(pairs))).drop("blocks")
+
+
 def near_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints in ``fp`` that keep all components of links within the radius."""
     n = prints.count()
@@ -78,15 +91,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     # a shard too large for one task becomes blocks, and each pair of its blocks a task
     large = {r["leaf"]: math.ceil(2 * r["n"] / SHARD_VISITS)
              for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_VISITS).collect()}
-    zero = F.array(F.lit(0).cast("long"))
-
-    def block_pairs(blocks: int):
-        mine = F.pmod(F.xxhash64("fp"), F.lit(blocks))
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")),
-                           lambda other: F.least(mine, other) * blocks + F.greatest(mine, other))
-
-    pairs = reduce(lambda rest, item: F.when(F.col("leaf") == item[0], block_pairs(item[1])).otherwise(rest), large.items(), zero)
-    visits = visits.withColumn("pair", F.explode(pairs))
+    visits = in_blocks(visits, large)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         fp = frame["fp"].to_numpy(np.int64).view(np.uint64)
