@@ -34,3 +34,19 @@ def test_splits_follow_the_plan_of_their_sql(spark, name):
 
 def test_a_report_without_rows_is_empty(spark):
     assert both(spark, "sink_report_by_fold") == ([], [])
+
+
+@pytest.fixture(scope="module")
+def calm(tmp_path_factory):
+    """Thirty days of small moves with one fall per symbol in the middle: few positive events, none in the newest week."""
+    folder = tmp_path_factory.mktemp("calm")
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + i * INTERVAL 6 MINUTE AS ts, i % 7 AS user_id, ['view', 'click', 'error', 'purchase', 'signup'][1 + i % 5] AS event_type,
+      CASE WHEN i // 10 = 360 THEN 0 ELSE 200 + i * 37 % 11 END::DOUBLE AS value, '' AS props FROM range(7200) t(i)) TO '{folder}/events.parquet'""")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["agg_weekly_review", "ml_champion_readiness"])
+def test_too_few_positive_events(spark, calm, name):
+    got, want = both(spark, name, calm)
+    assert got == want and len(got) == {"agg_weekly_review": 1, "ml_champion_readiness": 2}[name]
+    assert name == "agg_weekly_review" or all("'not_ready'" in r for r in got)
