@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tests.test_candidates import scan
-from tidemark.operators import candidates
+from tidemark.operators import candidates, speculative
 from tidemark.operators.speculative import BUDGET_STATE, COOLDOWN_STATE, budget_machine, cooldown_machine, speculative_scan
 from tidemark.streaming import jobs
 
@@ -135,3 +135,14 @@ def test_episodes_over_files_equal_the_plain_state(spark, tmp_path):
         rows(lo, lo + 120).coalesce(1).write.mode("append").parquet(path)
         done = jobs.episode_run(jobs.landed(spark, path), "episodes", root, block_rows=64)
     assert seen(done) == want and len({v[2] for v in want.values()}) > 3
+
+
+def test_an_exhausted_cap_costs_a_round_per_chain_not_per_block(spark, monkeypatch):
+    # thirty hours of a row every 40 seconds: each state hangs on all before it, and no block forgets
+    monkeypatch.setattr(speculative, "CHAINS", 4)
+    rows = [(f"n{i * 7 % 40}", i, i * 2 * M // 3) for i in range(2700)]
+    out, last, rounds = speculative_scan(frame(spark, rows), [], ["t", "name", "seq"], budget_machine("name", gap=60 * M, window=DAY, total=15, each=2), BUDGET_STATE,
+                                         "sent: boolean, reason: string", block_rows=64)
+    want = plain_budget(rows)
+    assert marks(out) == want and sum(want.values()) > 15
+    assert rounds <= 4

@@ -4,7 +4,9 @@ A decision that depends on the decisions before it (a cooldown, a rolling budget
 key are cut into blocks of bounded size, and all blocks run at once: the first of a key from its carried state, the others
 from none. Every block hands the state it ends with to the next; only blocks that were handed another state than they
 ran from run again, until none is left. Machines that forget (old sends leave the budget, an episode ends) settle after
-two or three rounds. One that never does costs a round per block, but gives the same result: that of the serial run.
+two or three rounds. One that never does (a cap that stays exhausted keeps its phase from window to window) costs a round per
+chain: consecutive blocks of a key are chained so that a key has at most ``CHAINS`` of them, and a task takes a chain's blocks one
+after the other. So the rounds don't grow with the rows, and the result is always that of the serial run.
 """
 from __future__ import annotations
 
@@ -18,7 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.sources.tables import materialize
 
-BLOCK, ROWS, STATE = "_block", "_rows", "_state"
+BLOCK, CHAIN, ROWS, STATE = "_block", "_chain", "_rows", "_state"
+#: Chains of blocks per key, and so rounds, at most.
+CHAINS = 24
 #: Rows of an id come from one partition; a power of two, so that no block crosses partitions.
 BLOCK_ROWS = 4096
 _BATCH = 16
@@ -43,28 +47,41 @@ def blocks_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str], block_
 
 
 def _run(blocks: DataFrame, keys: Sequence[str], machine: Machine, state_type: str, new_type: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
-    """Keys, block and the state after it, or with ``new_type`` the rows with their kept and new columns."""
+    """Keys, chain and the state after it, or with ``new_type`` the rows with their kept and new columns.
+
+    The blocks of a chain go to one task in order; no more than a few of them are held at once.
+    """
     rows_type = blocks.schema[ROWS].dataType
     fields = [f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys]
     if new_type is None:
-        schema = ", ".join([*fields, f"{BLOCK} long", f"_after {state_type}"])
+        schema = ", ".join([*fields, f"{CHAIN} long", f"_after {state_type}"])
     else:
         each = ", ".join([*(f"{f.name}: {f.dataType.simpleString()}" for f in rows_type.elementType.fields if keep is None or f.name in keep), new_type])
         schema = f"{ROWS} array<struct<{each}>>"
     kind = to_arrow_schema(T._parse_datatype_string(schema))
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, state = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 out = []
                 for b in batch.slice(at, _BATCH).to_pylist():
-                    made, after = machine(b[STATE], b[ROWS])
-                    if new_type is None:
-                        out.append({**{k: b[k] for k in keys}, BLOCK: b[BLOCK], "_after": after})
-                    else:
+                    name = {**{k: b[k] for k in keys}, CHAIN: b[CHAIN]}
+                    if name != chain:
+                        if new_type is None and chain is not None:
+                            out.append({**chain, "_after": state})
+                        chain, state = name, b[STATE]
+                    made, state = machine(state, b[ROWS])
+                    if new_type is not None:
                         out.append({ROWS: [{**(r if keep is None else {k: r[k] for k in keep}), **m} for r, m in zip(b[ROWS], made)]})
-                yield pa.RecordBatch.from_pylist(out, kind)
-
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, kind)
+        if new_type is None and chain is not None:
+            yield pa.RecordBatch.from_pylist([{**chain, "_after": state}], kind)
+
+    # a given number, as few bytes can mean much work
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, *keys, CHAIN).sortWithinPartitions(*keys, CHAIN, BLOCK)
     return blocks.mapInArrow(over, schema)
 
 
@@ -79,9 +96,13 @@ def speculative_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys = list(keys)
     blocks = blocks_of(rows, keys, order, block_rows)
     none = F.lit(None).cast(state_type)
-    by = Window.partitionBy(*keys).orderBy(BLOCK)
     # one row of a few bytes per block; states aren't part of it
-    links = blocks.select(*keys, BLOCK).withColumn("_before", F.lag(BLOCK).over(by))
+    place = blocks.select(*keys, BLOCK).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(BLOCK)) - 1)
+    place = materialize(place, "places")
+    long = -(-((place.agg(F.max("_n")).first()[0] or 0) + 1) // CHAINS)
+    chains = place.select(*keys, BLOCK, F.expr(f"_n DIV {long}").alias(CHAIN))
+    blocks = _match(blocks, chains, [*keys, BLOCK])
+    links = chains.select(*keys, CHAIN).distinct().withColumn("_before", F.when(F.col(CHAIN) > 0, F.col(CHAIN) - 1))
     if carried is None:
         links = links.withColumn("_first", none)
     else:
@@ -90,17 +111,17 @@ def speculative_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     rounds = 0
     while not now.where("_go").isEmpty():
         rounds += 1
-        todo = _match(blocks, now.where("_go").select(*keys, BLOCK, STATE, F.lit(True).alias("_due")), [*keys, BLOCK]).where("_due")
+        todo = _match(blocks, now.where("_go").select(*keys, CHAIN, STATE, F.lit(True).alias("_due")), [*keys, CHAIN]).where("_due")
         done = materialize(_run(todo, keys, machine, state_type).withColumn("_ran", F.lit(True)), "ran")
-        now = _match(now.withColumnRenamed("_after", "_old"), done, [*keys, BLOCK])
+        now = _match(now.withColumnRenamed("_after", "_old"), done, [*keys, CHAIN])
         now = now.withColumn("_after", F.when(F.col("_ran"), F.col("_after")).otherwise(F.col("_old"))).drop("_old", "_ran", "_go")
-        handed = now.select(*keys, F.col(BLOCK).alias("_before"), F.col("_after").alias("_handed"))
+        handed = now.select(*keys, F.col(CHAIN).alias("_before"), F.col("_after").alias("_handed"))
         now = _match(now, handed, [*keys, "_before"])
         other = F.col("_before").isNotNull() & ~F.col("_handed").eqNullSafe(F.col(STATE))
         now = materialize(now.withColumns({"_go": other, STATE: F.when(other, F.col("_handed")).otherwise(F.col(STATE))}).drop("_handed"), "states")
-    full = _match(blocks, now.select(*keys, BLOCK, STATE), [*keys, BLOCK])
+    full = _match(blocks, now.select(*keys, CHAIN, STATE), [*keys, CHAIN])
     out = _run(full, keys, machine, state_type, new_columns, keep).select(F.explode(ROWS).alias("r")).select("r.*")
-    last = now.groupBy(*keys).agg(F.max_by("_after", BLOCK).alias(STATE)) if keys else now.agg(F.max_by("_after", BLOCK).alias(STATE)).where(F.col(STATE).isNotNull())
+    last = now.groupBy(*keys).agg(F.max_by("_after", CHAIN).alias(STATE)) if keys else now.agg(F.max_by("_after", CHAIN).alias(STATE)).where(F.col(STATE).isNotNull())
     if carried is not None:
         old = carried.select(*keys, F.col(STATE).cast(state_type).alias(STATE))
         same = _same(old, last, keys)
