@@ -100,3 +100,22 @@ def test_due_openings_are_checked_again_after_a_restart(spark, tmp_path):
         want[i] = (needed, i + 1000, "resolved") if needed and needed <= done else (done, None, "unresolved" if done == 3 else "retry" if done else "open")
     assert {r["open_id"]: (r["checks"], r["resolve_id"], r["status"]) for r in got.where("who > 0").collect()} == want
     assert {x[2] for x in want.values()} == {"resolved", "unresolved", "retry"}
+
+
+def test_due_openings_of_a_crowded_key_without_a_call_per_row(spark, tmp_path):
+    # all rows of one key: an opening a minute, a resolving row every five hours; openings without key or time stay open or unresolved
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    n, far = 2400, 300
+    times = spark.range(n).selectExpr("CASE WHEN id = 5 THEN NULL ELSE 7 END AS who", f"CASE WHEN id <> 6 THEN {at('id')} END AS ts", "id")
+    times.write.parquet(a)
+    spark.range(1, n // far + 1).selectExpr("CASE WHEN id = 8 THEN NULL ELSE 7 END AS who", f"{at(f'id * {far}')} AS ts", "id + 10000 AS id").write.parquet(b)
+    states = jobs.due_step(spark.read.parquet(a).selectExpr("'open' AS kind", "who", "id", "unix_micros(ts) AS us"), None, 7_200_000, 3)[1]
+    assert states.where("kind = 'open'").count() <= 360 + 60, "only openings not yet decided are carried"
+    got = {r["open_id"]: (r["checks"], r["resolve_id"], r["status"]) for r in jobs.outcomes_due(jobs.landed(spark, a), jobs.landed(spark, b), "due", checks=3).collect()}
+    now, want = n - 60, {}
+    for i in range(n):
+        done = min(max(now - i, 0) // 120, 3) if i != 6 else 0
+        needed, which = -(-(far - i % far) // 120), i // far + 1
+        hit = i not in (5, 6) and which < 8 and needed <= done
+        want[i] = (needed, which + 10000, "resolved") if hit else (done, None, "unresolved" if done == 3 else "retry" if done else "open")
+    assert got == want

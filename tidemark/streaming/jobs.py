@@ -11,14 +11,14 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.operators.candidates import EPISODE_OUT, Episode, episode_rows, episode_scan
 from tidemark.operators.ordered import latest_per_key, stacked_rank
 from tidemark.operators.speculative import BLOCK_ROWS, BUDGET_STATE, COOLDOWN_STATE, budget_machine, cooldown_machine, speculative_scan
-from tidemark.sources.tables import shared_folder
+from tidemark.sources.tables import materialize, shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -142,94 +142,59 @@ def outcome_due(first: DataFrame, second: DataFrame, within: str = "2 hours", la
         "who", "opened_at", "open_id", "r.resolved_at", "r.resolve_id", F.when(F.col("r.resolve_id").isNull(), F.lit("retry")).otherwise(F.lit("resolved")).alias("status"))
 
 
-class DueProcessor(StatefulProcessor):
-    """Openings of one key and time slice, each with a timer at the end of its horizon that is renewed while nothing resolves it.
+DUE_STATE = "kind string, who bigint, id bigint, us bigint, checks int, resolved bigint, resolve_id bigint"
 
-    State: open rows (id, time, checks so far, first resolving row yet) and resolving rows that a later opening could still need.
-    """
-
-    HORIZON_MS, CHECKS = 7_200_000, 12
 
-    def init(self, handle) -> None:
-        self._handle = handle
-        self._open = handle.getMapState("open", "open_id bigint, opened bigint", "checks int, resolve_id bigint, resolved bigint")
-        self._news = handle.getMapState("news", "resolve_id bigint, resolved bigint", "seen boolean")
-
-    def close(self) -> None:
-        pass
+def due_step(batch: DataFrame, states: DataFrame | None, horizon_ms: int, checks: int, lateness: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Openings that are new or were checked again, with their newest status, and what later batches need.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        opened, resolved = [], []
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                (opened if r.kind == "open" else resolved).append((int(r.us), int(r.id)))
-        for us, i in resolved:
-            for (oid, at), (checks, old_id, old) in list(self._open.iterator()):
-                if us > at and (old is None or (us, i) < (old, old_id)):
-                    self._open.updateValue((oid, at), (checks, i, us))
-            self._news.updateValue((i, us), (True,))
-        news = sorted((us, i) for (i, us), _ in self._news.iterator())
-        for us, i in opened:
-            first = next((n for n in news if n[0] > us), (None, None))
-            self._open.updateValue((i, us), (0, first[1], first[0]))
-            self._handle.registerTimer(us // 1000 + self.HORIZON_MS)
-            out.append(self._row(key, i, us, 0, None, None, "open"))
-        # no opening older than the watermark can come any more
-        for us, i in news:
-            if us <= passed:
-                self._news.removeKey((i, us))
-        yield pd.DataFrame(out, columns=DUE_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """One row for the newest state of every opening that is due; its next check is set beyond the watermark."""
-        passed, out = timerValues.getCurrentWatermarkInMs(), []
-        for (oid, at), (checks, rid, us) in list(self._open.iterator()):
-            done = min((passed - at // 1000) // self.HORIZON_MS, self.CHECKS)
-            if done <= checks:
-                continue
-            horizon = self.HORIZON_MS * 1000
-            needed = None if us is None else -((at - us) // horizon)
-            if needed is not None and needed <= done:
-                self._open.removeKey((oid, at))
-                out.append(self._row(key, oid, at, needed, rid, us, "resolved"))
-            elif done == self.CHECKS:
-                self._open.removeKey((oid, at))
-                out.append(self._row(key, oid, at, done, None, None, "unresolved"))
-            else:
-                self._open.updateValue((oid, at), (int(done), rid, us))
-                self._handle.registerTimer(at // 1000 + (done + 1) * self.HORIZON_MS)
-                out.append(self._row(key, oid, at, done, None, None, "retry"))
-        yield pd.DataFrame(out, columns=DUE_COLUMNS)
-
-    @staticmethod
-    def _row(key, oid, at, checks, rid, us, status) -> tuple:
-        return key[0], oid, at, int(checks), rid, us, status
-
-
-DUE_COLUMNS = ["who", "open_id", "opened", "checks", "resolve_id", "resolved", "status"]
-DUE_OUT = "who bigint, open_id bigint, opened bigint, checks int, resolve_id bigint, resolved bigint, status string"
-
-
-def due_events(first: DataFrame, second: DataFrame, horizon_ms: int, checks: int, lateness: str = "1 hour") -> DataFrame:
-    """Changes of every opening: ``open``, then ``retry`` per ended horizon, then ``resolved`` or after all checks ``unresolved``.
-
-    Keys are (who, slice of time as long as all checks), so that a key with many rows is spread; a resolving row goes to its own slice
-    and to the one before it. Needs ``who``, ``id`` and ``ts`` on both sides.
+    ``batch`` has ``kind`` (open or resolve), ``who``, ``id`` and ``us``. Rows are ordered per (who, slice of time as long as all checks), so that a
+    key with many rows is spread; a resolving row goes to its own slice and to the one before it. States are the openings not yet
+    decided, each with its first resolving row so far, the resolving rows that a later opening could need, and the newest time seen.
     """
-    span = horizon_ms * checks * 1000
-    own = f"unix_micros(ts) DIV {span}"
-    side = lambda df, kind, slices: df.selectExpr("who", "id", "ts", "unix_micros(ts) AS us", f"'{kind}' AS kind", slices)
-    rows = side(first, "open", f"{own} AS slice").unionByName(side(second, "resolve", f"explode(array({own} - 1, {own})) AS slice"))
-    processor = DueProcessor()
-    processor.HORIZON_MS, processor.CHECKS = horizon_ms, checks
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.withWatermark("ts", lateness).groupBy("who", "slice").transformWithStateInPandas(processor, DUE_OUT, "append", "eventTime")
+    spark, span = batch.sparkSession, horizon_ms * checks * 1000
+    states = spark.createDataFrame([], DUE_STATE) if states is None else states
+    late = spark.sql(f"SELECT unix_micros(timestamp_micros(0L) + INTERVAL {lateness})").first()[0]
+    passed_at = lambda seen: None if seen is None else (seen - late) // 1000 * 1000
+    # one number each
+    before = states.where("kind = 'seen'").agg(F.max("us")).first()[0]
+    times = [x for x in (before, batch.agg(F.max("us")).first()[0]) if x is not None]
+    seen = max(times, default=None)
+    if before is not None:
+        batch = batch.where(f"us IS NULL OR us > {passed_at(before)}L")
+    passed = "NULL" if seen is None else f"{passed_at(seen)}L"
+    new = batch.selectExpr("kind", "who", "id", "us", "0 AS checks", "CAST(NULL AS BIGINT) AS resolved", "CAST(NULL AS BIGINT) AS resolve_id", "true AS new")
+    rows = new.unionByName(states.where("kind <> 'seen'").withColumn("new", F.lit(False)))
+    news = rows.where("kind = 'resolve' AND who IS NOT NULL AND us IS NOT NULL")
+    own = f"((us - pmod(us, {span}L)) DIV {span}L)"
+    sliced = rows.where("kind = 'open'").selectExpr("*", f"{own} AS slice").unionByName(news.selectExpr("*", f"explode(array({own} - 1, {own})) AS slice"))
+    # from the newest back; an opening comes before the rows of its own time, so it sees later ones only, the earliest last
+    after = Window.partitionBy("who", "slice").orderBy(F.col("us").desc(), "kind", F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.expr("CASE WHEN kind = 'resolve' THEN named_struct('resolved', us, 'resolve_id', id) END"), True).over(after)
+    done = f"CAST(least(greatest(coalesce(({passed} - us DIV 1000 * 1000) DIV {horizon_ms * 1000}L, 0L), 0L), {checks}L) AS INT)"
+    live = (sliced.withColumn("_found", found).where("kind = 'open'")
+            .withColumn("_first", F.expr("least(_found, CASE WHEN resolved IS NOT NULL THEN named_struct('resolved', resolved, 'resolve_id', resolve_id) END)"))
+            .selectExpr("who", "id", "us", "new", "checks AS _old", "_first", f"{done} AS _done", f"(_first.resolved - us + {horizon_ms * 1000 - 1}L) DIV {horizon_ms * 1000}L AS _needed")
+            .selectExpr("*", f"CASE WHEN _needed <= _done THEN 'resolved' WHEN _done = {checks} THEN 'unresolved' WHEN _done > 0 THEN 'retry' ELSE 'open' END AS status"))
+    live = materialize(live, "due")
+    out = live.where("new OR _done > _old").selectExpr(
+        "who", "id AS open_id", "us AS opened", "CAST(CASE WHEN status = 'resolved' THEN _needed ELSE _done END AS INT) AS checks",
+        "CASE WHEN status = 'resolved' THEN _first.resolve_id END AS resolve_id", "CASE WHEN status = 'resolved' THEN _first.resolved END AS resolved", "status")
+    left = live.where("us IS NOT NULL AND status IN ('open', 'retry')").selectExpr(
+        "'open' AS kind", "who", "id", "us", "_done AS checks", "_first.resolved AS resolved", "_first.resolve_id AS resolve_id")
+    # no opening older than the watermark can come any more
+    left = left.unionByName(news.drop("new").where(f"us > {passed}"))
+    return out, left.unionByName(spark.createDataFrame([("seen", None, None, seen, None, None, None)] if times else [], DUE_STATE))
 
 
 def outcomes_due(first: DataFrame, second: DataFrame, name: str, *, horizon_ms: int = 7_200_000, checks: int = 12, lateness: str = "1 hour", root: str | None = None) -> DataFrame:
-    """One row per opening with its newest status, the horizons checked, and the first resolving row once it is resolved."""
-    events = run_to_table(due_events(first, second, horizon_ms, checks, lateness), name, root)
+    """One row per opening with its newest status, the horizons checked, and the first resolving row once it is resolved.
+
+    An opening is looked at again when the watermark (the newest time seen less ``lateness``) has passed the end of another horizon.
+    Needs ``who``, ``id`` and ``ts`` on both sides.
+    """
+    side = lambda df, kind: df.selectExpr(f"'{kind}' AS kind", "who", "id", "unix_micros(ts) AS us")
+    events = run_carried(side(first, "open").unionByName(side(second, "resolve")), name, lambda batch, states: due_step(batch, states, horizon_ms, checks, lateness), root)
     newest = F.max_by(F.struct("checks", "resolve_id", "resolved", "status"), F.struct("checks", F.col("status") != "retry")).alias("n")
     return events.groupBy("who", "open_id", "opened").agg(newest).select("who", "open_id", F.expr("timestamp_micros(opened) AS opened_at"), "n.checks",
                                                                          F.expr("timestamp_micros(n.resolved) AS resolved_at"), "n.resolve_id", "n.status")
