@@ -8,7 +8,9 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from check_oracle import TABLES, canonical  # noqa: E402
 
+from tidemark.plans import q_lines  # noqa: E402
 from tidemark.plans.catalog import QUERIES  # noqa: E402
+from tidemark.plans.views import Views  # noqa: E402
 
 SMALL, SOME = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -50,3 +52,12 @@ def test_too_few_positive_events(spark, calm, name):
     got, want = both(spark, name, calm)
     assert got == want and len(got) == {"agg_weekly_review": 1, "ml_champion_readiness": 2}[name]
     assert name == "agg_weekly_review" or all("'not_ready'" in r for r in got)
+
+
+def test_newest_lines_are_chosen_before_features_are_built(spark):
+    """Whole days are kept, so more than asked for by less than a day's rows, and never a third of the table."""
+    feed = q_lines.line_feed(Views(spark, SOME), last=500).groupBy("symbol").count().collect()
+    days = q_lines.line_feed(Views(spark, SOME)).groupBy("symbol").count().collect()
+    assert len(feed) == 3 and all(500 <= r["count"] < 700 for r in feed) and all(r["count"] > 15000 for r in days)
+    got, want = both(spark, "feat_line_latest", SOME)
+    assert got == want and len(got) == 3

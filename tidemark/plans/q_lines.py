@@ -24,10 +24,11 @@ LINES = {"line_rows": LINE_ROWS, "line_features": VIEWS["features"].replace("FRO
          "line_tr": ATR["tr"].replace("FROM path_bars", "FROM line_rows"), "line_atr": ATR["atr"].replace("FROM tr", "FROM line_tr")}
 
 
-def line_feed(v: Views):
+def line_feed(v: Views, last: int | None = None):
+    """Positioned lines, or about the newest ``last`` per key; numbered in slices of a day, as a month of a key is a hundredth of all lines."""
     li = v.table("lineitem").selectExpr("l_returnflag AS symbol", "l_shipdate AS ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice / l_quantity * 1.0000001234567D AS close",
                                         "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    rows = ordered.with_position(li, ["symbol"], ORDER, "ts")
+    rows = ordered.with_position(li, ["symbol"], ORDER, "ts", span=ordered.DAY, last=last)
     return rows.selectExpr(
         "symbol", "timestamp_micros(1700000000000000L + _pos * 300000000L) AS feature_time", "_pos", "close", "close * (1D + l_tax) AS high", "close * (1D - l_discount) AS low",
         "l_quantity AS volume_base", "CASE WHEN l_linenumber % 5 <> 0 THEN l_discount - 0.05D + l_extendedprice * 1.234567e-7D END AS funding_rate_last_known", "l_extendedprice AS open_interest_value",
@@ -52,11 +53,9 @@ def _daily(v: Views):
 
 @query("feat_line_latest", f"SELECT symbol, max(feature_time) AS feature_time, {', '.join(f'arg_max({c}, feature_time) AS {c}' for c in LONG)} FROM line_features GROUP BY symbol", views=LINES, floats=" ".join(LONG))
 def _latest(v: Views):
-    """The newest feature row per key from the newest rows alone: those that its longest frame can reach."""
-    feed = line_feed(v)
-    ends = feed.groupBy("symbol").agg(F.max("_pos").alias("_end"))
-    near = feed.join(ends, "symbol").where(f"_pos > _end - {features.MONTH + features.DAY_ROWS}").drop("_end")
-    f = features.build_features(near, ("funding", "oi")).select("symbol", "feature_time", *LONG)
+    """The newest feature row per key from the newest rows alone: those that its longest frame can reach, chosen by counts per day before any row is sorted."""
+    feed = line_feed(v, last=features.MONTH + features.DAY_ROWS)
+    f = features.build_features(feed, ("funding", "oi")).select("symbol", "feature_time", *LONG)
     return ordered.latest_per_key(f, ["symbol"], ["feature_time"])
 
 
