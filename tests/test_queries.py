@@ -61,3 +61,13 @@ def test_newest_lines_are_chosen_before_features_are_built(spark):
     assert len(feed) == 3 and all(500 <= r["count"] < 700 for r in feed) and all(r["count"] > 15000 for r in days)
     got, want = both(spark, "feat_line_latest", SOME)
     assert got == want and len(got) == 3
+
+
+def test_tasks_go_with_the_blocks_of_lines(spark, monkeypatch):
+    v = Views(spark, SOME)
+    assert q_lines.block_tasks(v) == 4, "no fewer than the session asks for"
+    monkeypatch.setattr(q_lines.features, "BLOCK_ROWS", 2000)
+    assert q_lines.block_tasks(v) == 16
+    feed = q_lines.line_feed(v)
+    few, many = (q_lines.features.build_features(feed, ("price",), block=2000, tasks=n) for n in (None, q_lines.block_tasks(v)))
+    assert few.exceptAll(many).isEmpty() and many.count() == 60000

@@ -35,12 +35,17 @@ def line_feed(v: Views, last: int | None = None):
         "l_quantity AS buy_volume", "50D - l_quantity AS sell_volume", "1D + l_tax AS global_long_short_ratio", "1D + l_discount AS top_long_short_ratio")
 
 
+def block_tasks(v: Views) -> int:
+    """Two blocks a task; the rows are counted in the files' footers."""
+    return max(int(v.spark.conf.get("spark.sql.shuffle.partitions")), v.table("lineitem").count() // (2 * features.BLOCK_ROWS) + 1)
+
+
 LONG = ("funding_percentile_7d", "funding_percentile_30d", "funding_zscore_30d", "funding_persistence_7d", "oi_zscore_7d")
 
 
 @query("feat_line_long", f"SELECT symbol, feature_time, {', '.join(LONG)} FROM line_features", views=LINES, floats=" ".join(LONG))
 def _long(v: Views):
-    return features.build_features(line_feed(v), ("funding", "oi")).select("symbol", "feature_time", *LONG)
+    return features.build_features(line_feed(v), ("funding", "oi"), tasks=block_tasks(v)).select("symbol", "feature_time", *LONG)
 
 
 DAILY = ("price_ret_1h", "price_ret_24h", "price_volatility_24h", "distance_from_high_24h", "volume_percentile_24h", "fake_breakout_1h")
@@ -48,7 +53,7 @@ DAILY = ("price_ret_1h", "price_ret_24h", "price_volatility_24h", "distance_from
 
 @query("feat_line_daily", f"SELECT symbol, feature_time, {', '.join(DAILY)} FROM line_features", views=LINES, floats=" ".join(DAILY))
 def _daily(v: Views):
-    return features.build_features(line_feed(v), ("price",)).select("symbol", "feature_time", *DAILY)
+    return features.build_features(line_feed(v), ("price",), tasks=block_tasks(v)).select("symbol", "feature_time", *DAILY)
 
 
 @query("feat_line_latest", f"SELECT symbol, max(feature_time) AS feature_time, {', '.join(f'arg_max({c}, feature_time) AS {c}' for c in LONG)} FROM line_features GROUP BY symbol", views=LINES, floats=" ".join(LONG))
