@@ -1,4 +1,5 @@
 """Episode states, budgets, rankings and normalisation."""
+import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -128,3 +129,24 @@ def test_universe_forces_an_eligible_benchmark(spark):
     assert len(set(without) - set(got)) == 1 and len(set(got) - set(without)) == 1
     volume = spark.createDataFrame([("BTCUSDT", 9e12, 50.0)], eligible.schema).unionByName(eligible.where("symbol <> 'BTCUSDT'"))
     assert sorted(r["symbol"] for r in selection.comparison_universe(volume, pinned, 10).collect()).count("BTCUSDT") == 1
+
+
+def test_pump_windows_by_brute_force(spark):
+    """Ties, gaps between days, days without a high or an open, symbols of one day, rows in any order."""
+    rng = random.Random(5)
+    rows = [(s, datetime(2024, 1, 1) + timedelta(days=t), *(rng.choice([None, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0]) if rng.random() < 0.9 else float(rng.randint(1, 40)) for _ in range(2)), float(t), t * 10.0)
+            for s, n in [("A", 400), *((f"S{i}", 1 + i % 9) for i in range(60))] for t in sorted(rng.sample(range(900), n))]
+    rng.shuffle(rows)
+    want = {}
+    for s in {r[0] for r in rows}:
+        d, found = sorted(r for r in rows if r[0] == s), []
+        for a, k in ((a, k) for a in range(len(d)) for k in range(1, 6) if a + k < len(d)):
+            top = max((r[3] for r in d[a:a + k + 1] if r[3] is not None), default=None)
+            if top is not None and d[a][2] and top / d[a][2] - 1 > 0:
+                found.append((-(top / d[a][2] - 1), a, k, top))
+        if found:
+            pct, _, k, top = min(found)
+            want[s] = (-pct, k, top, d[-1][4], d[-1][5])
+    daily = spark.createDataFrame(rows, "symbol string, feature_time timestamp, open double, high double, close double, quote_volume double")
+    got = candidates.pump_windows(daily).collect()
+    assert {r.symbol: (r.pump_pct, r.pump_days, r.peak_price, r.close, r.quote_volume) for r in got} == want and len(got) == len(want) > 20

@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from check_oracle import TABLES, canonical  # noqa: E402
 
-from tidemark.plans import q_lines  # noqa: E402
+from tidemark.plans import q_lines, views  # noqa: E402
 from tidemark.plans.catalog import QUERIES  # noqa: E402
 from tidemark.plans.views import Views  # noqa: E402
 
@@ -71,3 +71,27 @@ def test_tasks_go_with_the_blocks_of_lines(spark, monkeypatch):
     feed = q_lines.line_feed(v)
     few, many = (q_lines.features.build_features(feed, ("price",), block=2000, tasks=n) for n in (None, q_lines.block_tasks(v)))
     assert few.exceptAll(many).isEmpty() and many.count() == 60000
+
+
+def test_daily_bars_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    """Two shuffles with a sort each, no row copied per window, tasks by lines; the rows stay those of the SQL."""
+    assert QUERIES["win_pump_daily"](spark, SOME).rdd.getNumPartitions() == 4, "no fewer than the session asks for"
+    monkeypatch.setattr(views, "LINES_A_TASK", 2000)
+    df = QUERIES["win_pump_daily"](spark, SOME)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert df.rdd.getNumPartitions() == 31 and "Generate" not in plan and "Join" not in plan
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count(" Sort [") == 2
+    got, want = both(spark, "win_pump_daily", SOME)
+    assert got == want and got
+
+
+def test_daily_bars_of_a_supplier_with_most_lines(spark, tmp_path, monkeypatch):
+    """Three quarters of the lines are one supplier's, on 40 days; others rise twice alike, have one day only, or fall."""
+    monkeypatch.setattr(views, "LINES_A_TASK", 500)
+    duckdb.sql(f"""COPY (SELECT i AS l_orderkey, 1 + i % 3 AS l_linenumber, s AS l_suppkey, 1.0::DOUBLE AS l_quantity, 2000.0 + px AS l_extendedprice, TIMESTAMP '1996-12-10' + d * INTERVAL 1 DAY AS l_shipdate
+      FROM (SELECT i, CASE WHEN i % 4 > 0 THEN 7 ELSE i % 80 // 8 END AS s, CASE WHEN i % 4 = 0 AND i % 80 // 8 = 1 THEN 5 ELSE i // 80 % 40 END AS d FROM range(6000) t(i)),
+      LATERAL (SELECT CASE s WHEN 0 THEN 1000 * (d % 10 = 3)::INT WHEN 2 THEN -40 * d ELSE i * 37 % 1800 END::DOUBLE AS px)) TO '{tmp_path}/lineitem.parquet'""")
+    assert duckdb.sql(f"SELECT count(*) FILTER (l_suppkey = 7) / count(*) FROM '{tmp_path}/lineitem.parquet'").fetchall()[0][0] >= 0.75
+    got, want = both(spark, "win_pump_daily", str(tmp_path))
+    assert got == want and len(got) > 2

@@ -56,18 +56,21 @@ def pump_windows(daily: DataFrame, days: int = 5) -> DataFrame:
 
     The earliest start and then the shortest window wins a tie.  Days count by row.
     The newest close and volume come from the same pass.
+
+    A symbol has one row per day, however many trades there are, so its days stay together: rows that come
+    partitioned by symbol are sorted once, and neither copied nor shuffled again.
     """
-    b = row_blocks(with_position(daily, ["symbol"], ["feature_time"], "feature_time", span=365 * DAY), "_pos", 4096, after=days)
-    w = f"OVER (PARTITION BY symbol, {SLICE} ORDER BY _pos"
-    b = b.selectExpr("symbol", "_pos", "open", "close", "quote_volume", OWN, *[
-        f"CASE WHEN lead(high, {k}) {w}) IS NOT NULL THEN max(high) {w} ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING) END AS top_{k}"
-        for k in range(1, days + 1)])
-    each = b.where(OWN).selectExpr(
-        "symbol", "_pos", "open", "close", "quote_volume", f"inline(array({', '.join(f'struct({k} AS pump_days, top_{k} AS peak_price, try_divide(top_{k}, open) - 1 AS pump_pct)' for k in range(1, days + 1))}))")
-    rise = F.when(F.expr("open > 0 AND pump_pct > 0"), F.struct("pump_pct", -F.col("_pos"), -F.col("pump_days")))
-    best = each.groupBy("symbol").agg(F.max_by(F.struct("pump_pct", "pump_days", "peak_price"), rise).alias("b"),
-                                      F.max_by(F.struct("close", "quote_volume"), "_pos").alias("l"), F.count(rise).alias("n"))
-    return best.where("n > 0").select("symbol", "b.*", "l.*")
+    w, ks = "OVER (PARTITION BY symbol ORDER BY feature_time)", range(1, days + 1)
+    d = daily.where("symbol IS NOT NULL AND feature_time IS NOT NULL")
+    # without a day k rows ahead next_k is NULL, without a high on it -Infinity
+    d = d.selectExpr("symbol", "feature_time", "open", "high", "close", "quote_volume", *[f"lead(coalesce(high, double('-Infinity')), {k}) {w} AS next_{k}" for k in ks])
+    d = with_exprs(d, **{f"top_{k}": f"CASE WHEN next_{k} IS NOT NULL THEN greatest(high, {', '.join(f'next_{i}' for i in range(1, k + 1))}) END" for k in ks})
+    d = with_exprs(d, **{f"pct_{k}": f"try_divide(top_{k}, open) - 1" for k in ks})
+    d = d.withColumn("pump_pct", F.expr(f"array_max(array({', '.join(f'pct_{k}' for k in ks)}))"))
+    days_, peak = (f"CASE pump_pct {' '.join(f'WHEN pct_{k} THEN {x.format(k)}' for k in ks)} END" for x in ("{}", "top_{}"))
+    rise = F.expr(f"CASE WHEN open > 0 AND pump_pct > 0 THEN struct(pump_pct, -unix_micros(feature_time) AS less_t, -({days_}) AS less_days, {peak} AS peak_price) END")
+    best = d.groupBy("symbol").agg(F.max(rise).alias("b"), F.max_by(F.struct("close", "quote_volume"), "feature_time").alias("l"))
+    return best.where("b IS NOT NULL").selectExpr("symbol", "b.pump_pct", "-b.less_days AS pump_days", "b.peak_price", "l.close", "l.quote_volume")
 
 
 def pump_candidates(daily: DataFrame, *, min_pump: float = 0.5, max_pump: float = 5.0, keep: float = 0.7, min_volume: float = 500_000,
